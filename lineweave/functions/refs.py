@@ -23,7 +23,7 @@ _STOP_WORDS = (
     "TABLE|UNION|UPDATE|USING|VALUES|WHEN|WHERE|WINDOW|WITH"
 )
 _WORD_OR_QUOTED = rf'(?:"[^"]*"|(?!(?i:{_STOP_WORDS})(?!{WORD})){WORD}+)'
-_NAME = rf"{_WORD_OR_QUOTED}(?:\.{_WORD_OR_QUOTED})?"
+_NAME = rf"{_WORD_OR_QUOTED}(?:\.{_WORD_OR_QUOTED})*"
 _ARGS = rf"(?:{_B}*\([^()]*\))?"
 _ALIAS = rf"(?:{_B}+(?i:AS))?{_B}+({_WORD_OR_QUOTED})"
 _ITEM = rf"{_NAME}{_ARGS}(?:{_ALIAS})?"
@@ -50,11 +50,11 @@ def _is_lower(name: Column) -> Column:
 
 
 def _item_parts(clause: Column, item: Column) -> Column:
-    """Cut one item of a table list into its written parts."""
-    name = F.regexp_extract(item, rf"^{_NAME}", 0)
+    """Cut one item of a table list into its written parts; further dotted parts of a name do not count."""
     return F.struct(
-        clause.role.alias("role"), (F.size(clause["items"]) > 1).alias("listed"), item.alias("item"), name.alias("full"),
-        F.regexp_extract(name, rf"({_WORD_OR_QUOTED})$", 1).alias("last"),
+        clause.role.alias("role"), (F.size(clause["items"]) > 1).alias("listed"), item.alias("item"),
+        F.regexp_extract(item, rf"^({_WORD_OR_QUOTED})", 1).alias("first"),
+        F.regexp_extract(item, rf"^{_WORD_OR_QUOTED}\.({_WORD_OR_QUOTED})", 1).alias("second"),
         F.regexp_extract(item, rf"^{_NAME}({_ARGS})", 1).alias("args"),
         F.regexp_extract(item, rf"^{_NAME}{_ARGS}{_ALIAS}", 1).alias("alias"))
 
@@ -62,11 +62,12 @@ def _item_parts(clause: Column, item: Column) -> Column:
 def _reference(p: Column, is_insert: Column) -> Column:
     """Names in a list stay as written; a name that stands alone is lower-cased unless quoted, and
     then keeps its written form as alias."""
-    schema = F.when(F.length(p.last) < F.length(p.full), F.substring(p.full, F.lit(1), F.length(p.full) - F.length(p.last) - 1))
+    dotted = p["second"] != ""
+    schema = F.when(dotted, drop_text(p["first"], '"'))
+    name = drop_text(F.when(dotted, p["second"]).otherwise(p["first"]), '"')
     alias = F.when(p["alias"] != "", drop_text(p["alias"], '"'))
-    name = drop_text(p.last, '"')
     quotes = F.length(p["item"]) - F.length(drop_text(p["item"], '"'))
-    schema_quoted = schema.isNotNull() & p["item"].startswith('"')
+    schema_quoted = dotted & p["item"].startswith('"')
     name_quoted = (quotes > 2) | ((quotes > 0) & ~schema_quoted)
     requoted = F.concat(F.lit('"'), F.coalesce(alias, name), F.lit('"'))
     needs_quotes = (alias.isNotNull() & p["item"].endswith('"')) | (name_quoted & alias.isNull() & _is_lower(name))
@@ -74,7 +75,7 @@ def _reference(p: Column, is_insert: Column) -> Column:
     lowered = ~name_quoted & ~_is_lower(name)
     return F.struct(
         p.role.alias("role"),
-        F.when(p.listed | schema_quoted, drop_text(schema, '"')).otherwise(F.lower(drop_text(schema, '"'))).alias("table_schema"),
+        F.when(p.listed | schema_quoted, schema).otherwise(F.lower(schema)).alias("table_schema"),
         F.when(~p.listed & lowered, F.lower(name)).otherwise(name).alias("table_name"),
         F.when(p.listed, alias).when(lowered, F.coalesce(lone_alias, name)).otherwise(lone_alias).alias("alias"),
         ((p.args != "") & ~is_insert).alias("is_function"))
