@@ -29,7 +29,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _by_length(body: Callable[[DataFrame, bool], DataFrame], lines: Callable[[DataFrame], DataFrame] = lambda d: d) -> Query:
-    return lambda spark, sf_dir: program_map.by_length(lines(corpus.corpus_lines(spark, sf_dir)), body)
+    return lambda spark, sf_dir: program_map.by_length(
+        lines(corpus.corpus_lines(spark, sf_dir)), body, sizes=corpus.script_sizes(spark, sf_dir))
 
 
 def _lines(step: Callable[[DataFrame], DataFrame]) -> Query:
@@ -105,7 +106,8 @@ def _kinds(lines: DataFrame, chunked: bool) -> DataFrame:
 
 def _found(lines: DataFrame, chunked: bool) -> DataFrame:
     return lineage.classify(program_map.assembled(lines, chunked)).select(
-        "script_id", "line_no", F.col("kind").alias("stmt_type"), F.posexplode("found").alias("ref_no", "table_ref"))
+        "script_id", "line_no", F.col("kind").alias("stmt_type"), F.posexplode("found").alias("ref_no", "table_ref")
+    ).withColumn("ref_no", F.col("ref_no").cast("bigint"))
 
 
 def _owners(lines: DataFrame, chunked: bool) -> DataFrame:
@@ -126,7 +128,8 @@ def _statements(lines: DataFrame, chunked: bool) -> DataFrame:
 def _normal_names(lines: DataFrame, chunked: bool) -> DataFrame:
     names = nm.chosen_names(F.col("line"), F.col("found"), F.col("kind"))
     return _statements(lines, chunked).select(
-        "script_id", "line_no", F.col("kind").alias("stmt_type"), F.posexplode(names).alias("ref_no", "table_name"))
+        "script_id", "line_no", F.col("kind").alias("stmt_type"), F.posexplode(names).alias("ref_no", "table_name")
+    ).withColumn("ref_no", F.col("ref_no").cast("bigint"))
 
 
 def _schema_test(lines: DataFrame, chunked: bool) -> DataFrame:
@@ -134,7 +137,8 @@ def _schema_test(lines: DataFrame, chunked: bool) -> DataFrame:
     name, line = F.col("table_name"), F.col("line")
     return (_statements(lines, chunked)
             .select("script_id", "line_no", "line", F.posexplode(names).alias("ref_no", "table_name"))
-            .withColumn("is_table", nm.known_table(name) & ~nm.masked_by_line(name, line)).drop("line"))
+            .withColumn("ref_no", F.col("ref_no").cast("bigint"))
+            .withColumn("is_table", nm.known_table(name) & ~nm.masked_by_line(name, line, F.upper(line))).drop("line"))
 
 
 def _named(lines: DataFrame, chunked: bool) -> DataFrame:
@@ -161,7 +165,8 @@ def _cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _map(spark: SparkSession, sf_dir: str, date: str = DATE) -> DataFrame:
-    rows = program_map.program_table_map(corpus.corpus_lines(spark, sf_dir), date)
+    rows = program_map.program_table_map(
+        corpus.corpus_lines(spark, sf_dir), date, sizes=corpus.script_sizes(spark, sf_dir))
     return rows.withColumns({
         "script_path": F.concat(F.lit("jobs/"), (F.col("script_id") % 100).cast("string")),
         "script_name": F.concat(F.lit("job_"), F.col("script_id").cast("string"), F.lit(".py")),
@@ -267,7 +272,8 @@ def queries() -> dict[str, Query]:
         "paren_groups": lambda spark, sf_dir: _pages(spans.paren_groups(line("html")).alias("g"))(spark, sf_dir).select("page_id", "g.*"),
         "df_sql_pairs": lambda spark, sf_dir: call_bodies.df_sql_pairs(corpus.corpus_files(spark, sf_dir)),
         "from_tables": lambda spark, sf_dir: _cleaned_statements(spark, sf_dir).select(
-            "script_id", "stmt_no", F.posexplode(refs.from_tables(line("sql"))).alias("ref_no", "table_name")),
+            "script_id", "stmt_no", F.posexplode(refs.from_tables(line("sql"))).alias("ref_no", "table_name")
+        ).withColumn("ref_no", line("ref_no").cast("bigint")),
         "insert_target": _insert_targets,
         "statement_table_refs": _reference_rows("role", "table_schema", "table_name", "alias", "is_function"),
         "reference_label": _reference_rows("label"),

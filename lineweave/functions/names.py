@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ QUALIFIED = rf"\{{?{_WORD_DOT}+\}}?\.\{{?{WORD}+\}}?"
 PATH_PART = rf"{WORD}+\}}/{WORD}+"
 QUOTED_PATH = rf"/{WORD}+[^{BLANK}]+[\"|']"
 
+DECLARES = "CREATEORREPLACETEMPVIEW"
 PATH_TYPES = ["SAVE", "READ_PARQUET"]
 PAREN_TYPES = ["TEMP_VIEW", "DF_UNION"]
 UNFILTERED_TYPES = ["TEMP_VIEW", "SAVE", "DF_UNION", "WRITE_MODE", "READ_PARQUET"]
@@ -26,16 +29,16 @@ def df_variable(line: Column) -> Column:
 
 
 def declares_view(line: Column) -> Column:
-    return F.upper(line).contains("CREATEORREPLACETEMPVIEW")
+    return F.upper(line).contains(DECLARES)
 
 
-def stmt_type(line: Column) -> Column:
+def stmt_type(line: Column, upper: Column) -> Column:
     """Statement kind, null when the line is no statement (X2). The first rule that holds decides."""
-    u = F.upper(line)
+    u = upper
     return (
         F.when(u.contains(".WRITE.MODE("), "WRITE_MODE")
         .when(u.contains(".UNION("), "DF_UNION")
-        .when(declares_view(line), "TEMP_VIEW")
+        .when(u.contains(DECLARES), "TEMP_VIEW")
         .when(line.contains("read.parquet"), "READ_PARQUET")
         .when(u.contains("LOCATION ") & ~u.contains("_LOCATION"), "LOCATION")
         .when(u.contains("SAVE_DIR") | u.contains(".SAVE"), "SAVE")
@@ -124,14 +127,22 @@ def known_table(name: Column, schemas: list[str] = fv.KNOWN_SCHEMAS,
     ok = ok & (~name.contains(".") | (F.length(F.split_part(name, F.lit("."), F.lit(2))) >= 3))
     for prefix in rejected:
         ok = ok & ~schema.startswith(prefix)
-    known = F.array(*[F.lit(s) for s in schemas])
-    return ok & F.exists(known, lambda s: F.startswith(cut, s) & F.endswith(cut, s))
+    return ok & cut.rlike(_starts_and_ends(schemas))
+
+
+def _starts_and_ends(schemas: list[str]) -> str:
+    """Pattern of the texts that both start and end with one of the schemas."""
+    ways = []
+    for s in schemas:
+        ways.append(rf"{re.escape(s)}(?:.*{re.escape(s)})?")
+        # start and end may share characters
+        ways += [re.escape(s + s[n:]) for n in range(1, len(s)) if s.endswith(s[:n])]
+    return f"(?s)^(?:{'|'.join(ways)})$"
 
 
-def masked_by_line(name: Column, line: Column) -> Column:
+def masked_by_line(name: Column, line: Column, upper: Column) -> Column:
     """The part of the schema test that depends on the line the name stands in."""
-    return F.contains(line, F.concat(F.lit("("), name)) | F.contains(
-        F.upper(line), F.concat(F.lit("CASE WHEN "), name))
+    return F.contains(line, F.concat(F.lit("("), name)) | F.contains(upper, F.concat(F.lit("CASE WHEN "), name))
 
 
 def shown_name(name: Column, kind: Column) -> Column:

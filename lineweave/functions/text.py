@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineweave import fixed_values as fv
@@ -31,14 +31,24 @@ def rstrip(c: Column) -> Column:
     return F.rtrim(c, F.lit(BLANKS))
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Set a column through a generator. A projected expression is substituted into the filters that
+    read it and computed again for each mention; a generator's output is not."""
+    return df.select(*[c for c in df.columns if c != name], F.explode_outer(F.array(value)).alias(name))
+
+
 def drop_text(c: Column, *texts: str) -> Column:
     """Remove every occurrence of each text."""
     return reduce(lambda acc, t: F.replace(acc, F.lit(t), F.lit("")), texts, c)
 
 
 def holds_any(c: Column, tokens: list[str]) -> Column:
-    """True when one of the tokens occurs. One pattern rather than an OR of `contains`: a filter is
-    pushed below the projection it reads, and an OR would compute `c` once per token."""
+    """True when one of the tokens occurs; for a column that is at hand, as each token reads it."""
+    return reduce(lambda a, b: a | b, [c.contains(t) for t in tokens], F.lit(False))
+
+
+def matches_any(c: Column, tokens: list[str]) -> Column:
+    """The same as one pattern, for an expression that should be computed once."""
     return c.rlike("|".join(map(re.escape, tokens))) if tokens else F.lit(False)
 
 
@@ -63,10 +73,14 @@ def is_comment_line(line: Column) -> Column:
     return starts_with_any(line, ["#", "--"])
 
 
-def cut_line_comments(line: Column) -> Column:
-    """Cut `#` on spark.sql lines, then `--`, then `/*…*/` within the line."""
+def cut_hash_and_dashes(line: Column) -> Column:
+    """Cut `#` on spark.sql lines, then `--`."""
     line = F.when(line.contains("#") & starts_with_any(line, ["spark.sql"]), before(line, "#")).otherwise(line)
-    line = before(line, "--")
+    return before(line, "--")
+
+
+def cut_block_comments(line: Column) -> Column:
+    """Cut every `/*…*/` that closes within the line."""
     return F.when(line.contains("/*"), F.regexp_replace(line, r"(?s)/\*.*?\*/", "")).otherwise(line)
 
 

@@ -10,7 +10,8 @@ from lineweave.functions import text as tx
 
 
 def strip_line_comments(lines: DataFrame) -> DataFrame:
-    return lines.where(~tx.is_comment_line(F.col("line"))).withColumn("line", tx.cut_line_comments(F.col("line")))
+    lines = lines.where(~tx.is_comment_line(F.col("line"))).withColumn("line", tx.cut_hash_and_dashes(F.col("line")))
+    return tx.computed_once(lines, "line", tx.cut_block_comments(F.col("line")))
 
 
 def strip_comments_hashslash(lines: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def drop_boilerplate_lines(lines: DataFrame, tokens: list[str] = fv.BOILERPLATE_
 
 
 def normalize_lines(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("line", tx.normalize_line(F.col("line")))
+    return tx.computed_once(lines, "line", tx.normalize_line(F.col("line")))
 
 
 def drop_job_control_lines(lines: DataFrame) -> DataFrame:

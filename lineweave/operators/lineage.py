@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lineweave import fixed_values as fv
 from lineweave.functions import names as nm
-from lineweave.functions.text import holds_any, starts_with_any
+from lineweave.functions.text import computed_once, holds_any, starts_with_any
 from lineweave.operators.scan import CHUNK_KEYS, running, since_reset
 
 USE = "struct<name:string,copies:bigint>"
@@ -54,9 +54,10 @@ def block_owner(lines: DataFrame, chunked: bool) -> DataFrame:
 
 
 def classify(lines: DataFrame) -> DataFrame:
-    """Keep statements; add `kind`, the names `found` and the view a line declares (X2, X3). Narrow."""
+    """Keep statements; add `upper`, `kind`, the names `found` and the view a line declares (X2, X3). Narrow."""
     line = F.col("line")
-    return (lines.withColumn("kind", nm.stmt_type(line)).where(F.col("kind").isNotNull())
+    lines = computed_once(lines, "upper", F.upper(line))
+    return (computed_once(lines, "kind", nm.stmt_type(line, F.col("upper"))).where(F.col("kind").isNotNull())
             .withColumns({"found": nm.table_refs(line, F.col("kind")), "view": nm.view_name(line)}))
 
 
@@ -71,7 +72,7 @@ def temp_view_use(stmts: DataFrame, chunked: bool) -> DataFrame:
 
 def _uses_short(stmts: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("script_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hits = F.filter("views", lambda v: F.contains(F.upper("line"), v))
+    hits = F.filter("views", lambda v: F.contains("upper", v))
     return (stmts.withColumn("views", F.collect_list("view").over(so_far))
             .withColumn("views", hits)
             .withColumn("uses", F.transform(
@@ -88,13 +89,12 @@ def _uses_long(stmts: DataFrame) -> DataFrame:
     names = declared.select("script_id", "name").distinct()
     sizes = names.groupBy("script_id").agg(F.collect_set(F.length("name")).alias("sizes"))
     chunks = stmts.select(*CHUNK_KEYS).distinct().join(sizes, "script_id")
-    upper = F.upper("line")
     parts = (stmts.where("kind <> 'TEMP_VIEW'").join(chunks, CHUNK_KEYS)
-             .select(*CHUNK_KEYS, upper.alias("line"), F.explode("sizes").alias("size"))
-             .where(F.length("line") >= F.col("size"))
+             .select(*CHUNK_KEYS, "upper", F.explode("sizes").alias("size"))
+             .where(F.length("upper") >= F.col("size"))
              .select(*CHUNK_KEYS, F.explode(F.array_distinct(F.transform(
-                 F.sequence(F.lit(1), F.length("line") - F.col("size") + 1),
-                 lambda at: F.substring(F.col("line"), at, F.col("size"))))).alias("name"))
+                 F.sequence(F.lit(1), F.length("upper") - F.col("size") + 1),
+                 lambda at: F.substring(F.col("upper"), at, F.col("size"))))).alias("name"))
              .distinct())
     held = parts.join(names, ["script_id", "name"])
     before = Window.partitionBy("script_id", "name").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,7 +107,7 @@ def _uses_long(stmts: DataFrame) -> DataFrame:
 
     so_far = Window.partitionBy(*CHUNK_KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = F.transform(
-        F.filter("known", lambda k: F.contains(upper, k["name"])),
+        F.filter("known", lambda k: F.contains("upper", k["name"])),
         lambda k: F.struct(
             k["name"].alias("name"),
             (k.earlier + F.size(F.filter("views", lambda v: v == k["name"]))).cast("bigint").alias("copies")))
@@ -146,13 +146,13 @@ def carried_refs(stmts: DataFrame, chunked: bool, schemas: list[str] = fv.KNOWN_
         "uses": F.filter(
             F.transform("uses", lambda u: F.struct(
                 nm.normal_name(F.concat(F.lit("TEMPVIEW."), u["name"])).alias("name"), u.copies.alias("copies"))),
-            lambda u: known(u["name"]) & ~nm.masked_by_line(u["name"], line)),
+            lambda u: known(u["name"]) & ~nm.masked_by_line(u["name"], line, F.col("upper"))),
     })
-    kept = F.filter("own", lambda n: known(n) & (F.col("unfiltered") | ~nm.masked_by_line(n, line)))
+    kept = F.filter("own", lambda n: known(n) & (F.col("unfiltered") | ~nm.masked_by_line(n, line, F.col("upper"))))
     stmts = running(stmts, chunked, last={"base": F.when(F.col("resets"), kept)})
     nothing = F.array().cast("array<string>")
     stmts = stmts.withColumn("lost", F.when(
-        ~F.col("resets"), F.filter(F.coalesce("prev_base", nothing), lambda n: nm.masked_by_line(n, line))
+        ~F.col("resets"), F.filter(F.coalesce("prev_base", nothing), lambda n: nm.masked_by_line(n, line, F.col("upper")))
     ).otherwise(nothing))
     stmts = since_reset(stmts, chunked, F.col("resets"), {"lost": F.col("lost"), "uses": F.col("uses")})
 
@@ -162,7 +162,7 @@ def carried_refs(stmts: DataFrame, chunked: bool, schemas: list[str] = fv.KNOWN_
     names = F.concat(
         F.transform(base, lambda n: F.struct(n.alias("name"), F.lit(1).cast("bigint").alias("copies"))), F.col("uses"))
     return (stmts.withColumn("names", names)
-            .drop("resets", "unfiltered", "own", "uses", "base", "prev_base", "lost"))
+            .drop("upper", "resets", "unfiltered", "own", "uses", "base", "prev_base", "lost"))
 
 
 def name_rows(stmts: DataFrame) -> DataFrame:
@@ -175,5 +175,6 @@ def name_rows(stmts: DataFrame) -> DataFrame:
                 lambda n: F.struct(n.alias("table_name"), F.aggregate(
                     F.filter("names", lambda x: x["name"] == n), F.lit(0).cast("bigint"),
                     lambda acc, x: acc + x.copies).alias("copies"))))
-            .selectExpr("*", "inline(names)").drop("names")
+            .select("*", F.inline_outer("names")).drop("names")
+            .where(F.col("table_name").isNotNull())
             .withColumn("in_line", nm.in_line(F.col("table_name"), F.col("line"))))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave import fixed_values as fv
-from lineweave.functions.text import WORD, drop_text, holds_any, strip
+from lineweave.functions.text import WORD, drop_text, matches_any, strip
 from lineweave.operators.scan import CHUNK_KEYS
 
 PLACEHOLDER = r"\{[^}]+\}"
@@ -21,7 +21,7 @@ _DOTTED_MARK = rf"\{{(?=[^}}]+\.{WORD}+\}})[^.}}]*\.([^.}}]*)(?:\.[^}}]*)?\}}"
 
 def is_assignment(line: Column) -> Column:
     one_equals = F.length(line) - F.length(F.replace(line, F.lit("="), F.lit(""))) == 1
-    return one_equals & ~line.contains("\\") & ~holds_any(F.upper(line), fv.NOT_ASSIGNMENT_TOKENS)
+    return one_equals & ~line.contains("\\") & ~matches_any(F.upper(line), fv.NOT_ASSIGNMENT_TOKENS)
 
 
 def assigned_name(line: Column) -> Column:

@@ -15,17 +15,19 @@ MAP_COLUMNS = ["strd_dt", "script_path", "script_name", "line_no", "df_var", "st
 
 
 def by_length(lines: DataFrame, body: Callable[[DataFrame, bool], DataFrame],
-              chunk_lines: int = fv.CHUNK_LINES) -> DataFrame:
+              chunk_lines: int = fv.CHUNK_LINES, sizes: DataFrame | None = None) -> DataFrame:
     """Run `body(lines, chunked)` on short scripts and, where there are any, on the chunks of long ones.
 
     `lines` has (script_id, src_line_no, n_src_lines, line). Short scripts need one shuffle on
-    script_id and no join; only scripts above `chunk_lines` pay for carrying state.
+    script_id and no join; only scripts above `chunk_lines` pay for carrying state. Whether there
+    are any is asked first, of `sizes` (script_id, n_src_lines) when that is cheaper to read than
+    `lines`.
     """
     lines = lines.select("script_id", F.col("src_line_no").alias("pos"), "n_src_lines", "line")
     is_long = F.col("n_src_lines") > chunk_lines
     short = body(lines.where(~is_long).drop("n_src_lines"), False)
     long = lines.where(is_long)
-    if long.isEmpty():
+    if (lines if sizes is None else sizes).where(is_long).isEmpty():
         return short
     chunk = F.floor((F.col("pos") - 1) / chunk_lines).alias("chunk")
     result = body(long.select("script_id", "pos", "line", chunk), True)
@@ -67,7 +69,7 @@ def statements(lines: DataFrame, chunked: bool) -> DataFrame:
 
 def program_table_map(lines: DataFrame, strd_dt: str, schemas: list[str] = fv.KNOWN_SCHEMAS,
                       rejected: list[str] = fv.REJECTED_SCHEMA_PREFIXES,
-                      chunk_lines: int = fv.CHUNK_LINES) -> DataFrame:
+                      chunk_lines: int = fv.CHUNK_LINES, sizes: DataFrame | None = None) -> DataFrame:
     """One row per statement and table name: (script_id, strd_dt, line_no, df_var, stmt_type,
     table_name, in_line, line, copies).
 
@@ -80,7 +82,7 @@ def program_table_map(lines: DataFrame, strd_dt: str, schemas: list[str] = fv.KN
             "script_id", F.lit(strd_dt).alias("strd_dt"), "line_no", F.col("owner").alias("df_var"),
             F.col("kind").alias("stmt_type"), "table_name", "in_line", "line", "copies")
 
-    return by_length(lines, body, chunk_lines)
+    return by_length(lines, body, chunk_lines, sizes)
 
 
 def expand_copies(rows: DataFrame) -> DataFrame:

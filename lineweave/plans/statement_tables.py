@@ -19,8 +19,10 @@ def reference_rows(statements: DataFrame) -> DataFrame:
     """One row per reference, with its position `ref_no` and its label."""
     keys = [c for c in statements.columns if c != "sql"]
     return (with_references(statements)
-            .select(*keys, F.posexplode("refs").alias("ref_no", "ref"))
-            .select(*keys, "ref_no", "ref.*")
+            # the outer form: the inner one would also filter by size, computing the array twice
+            .select(*keys, F.posexplode_outer("refs").alias("ref_no", "ref"))
+            .where(F.col("ref_no").isNotNull())
+            .select(*keys, F.col("ref_no").cast("bigint").alias("ref_no"), "ref.*")
             .withColumn("label", refs.reference_label(F.col("table_name"), F.col("alias"))))
 
 
@@ -28,5 +30,6 @@ def table_rows(statements: DataFrame, schemas: list[str] = fv.STATEMENT_SCHEMAS)
     """One row per distinct table of a statement, split by schema membership (`schema_known`)."""
     keys = [c for c in statements.columns if c != "sql"]
     return (with_references(statements)
-            .select(*keys, F.explode(refs.statement_tables(F.col("sql"), F.col("refs"))).alias("table_name"))
+            .select(*keys, F.explode_outer(refs.statement_tables(F.col("sql"), F.col("refs"))).alias("table_name"))
+            .where(F.col("table_name").isNotNull())
             .withColumn("schema_known", refs.in_schemas(F.col("table_name"), schemas)))

@@ -44,6 +44,19 @@ def _block_text(order_key: Column, cust_key: Column) -> Column:
     return reduce(lambda acc, m: F.replace(acc, F.lit(m), marks[m]), marks, text)
 
 
+def _block_lines(order_key: Column) -> Column:
+    per_kind = [b.count("~") + 1 for b in BLOCKS]
+    kind = order_key % 10
+    n = reduce(lambda acc, k: acc.when(kind == k, per_kind[k]), range(1, 10), F.when(kind == 0, per_kind[0]))
+    return n.cast("bigint")
+
+
+def script_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(script_id, n_src_lines), from the keys alone."""
+    return orders_of(spark, sf_dir).groupBy("script_id").agg(
+        (F.sum(_block_lines(F.col("blk"))) + HEADER_LINES).alias("n_src_lines"))
+
+
 def orders_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.col("o_custkey").alias("script_id"), F.col("o_orderkey").alias("blk"))
@@ -55,12 +68,8 @@ def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Line numbers are a prefix sum in two steps, within a key range and over the ranges of a script,
     so one customer owning a large share of all orders is still numbered by many tasks.
     """
-    per_kind = [b.count("~") + 1 for b in BLOCKS]
-    kind = F.col("blk") % 10
-    n = reduce(lambda acc, k: acc.when(kind == k, per_kind[k]), range(1, 10), F.when(kind == 0, per_kind[0]))
-    orders = (orders_of(spark, sf_dir)
-              .withColumn("rng", F.shiftright("blk", KEY_RANGE_BITS))
-              .withColumn("n", n.cast("bigint")))
+    orders = orders_of(spark, sf_dir).withColumns({
+        "rng": F.shiftright("blk", KEY_RANGE_BITS), "n": _block_lines(F.col("blk"))})
 
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     in_range = orders.withColumn(

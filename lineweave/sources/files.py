@@ -50,5 +50,5 @@ def script_texts(spark: SparkSession, root: str, extensions: list[str] = fv.SCRI
 def script_lines(texts: DataFrame) -> DataFrame:
     """(script_id, src_line_no, n_src_lines, line), line numbers from 1 (S3). Narrow."""
     return (texts.withColumn("rows", lines_of(F.col("text")))
-            .select("script_id", F.size("rows").alias("n_src_lines"), F.posexplode("rows").alias("i", "line"))
-            .select("script_id", (F.col("i") + 1).alias("src_line_no"), "n_src_lines", "line"))
+            .select("script_id", F.size("rows").cast("bigint").alias("n_src_lines"), F.posexplode("rows").alias("i", "line"))
+            .select("script_id", (F.col("i") + 1).cast("bigint").alias("src_line_no"), "n_src_lines", "line"))
