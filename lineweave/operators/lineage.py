@@ -92,7 +92,7 @@ def _uses_long(stmts: DataFrame) -> DataFrame:
     parts = (stmts.where("kind <> 'TEMP_VIEW'").join(chunks, CHUNK_KEYS)
              .select(*CHUNK_KEYS, "upper", F.explode("sizes").alias("size"))
              .where(F.length("upper") >= F.col("size"))
-             .select(*CHUNK_KEYS, F.explode(F.array_distinct(F.transform(
+             .select(*CHUNK_KEYS, F.explode_outer(F.array_distinct(F.transform(
                  F.sequence(F.lit(1), F.length("upper") - F.col("size") + 1),
                  lambda at: F.substring(F.col("upper"), at, F.col("size"))))).alias("name"))
              .distinct())

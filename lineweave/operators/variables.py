@@ -131,13 +131,17 @@ def _fill_long(lines: DataFrame) -> DataFrame:
         F.min(F.when(F.col("var_name") == "", F.col("first_pos"))).alias("empty_pos"),
         F.max(F.when(F.col("var_name") == "", F.col("var_value"))).alias("empty_value"))
     lines = lines.withColumn("line", collapse_placeholders(F.col("line")))
-    used = lines.select(*CHUNK_KEYS, F.explode(F.array_distinct(placeholders(F.col("line")))).alias("mark")).distinct()
-    marks = used.select("script_id", "mark").distinct().join(per_script, "script_id")
+    used = (lines.select(*CHUNK_KEYS, F.explode_outer(F.array_distinct(placeholders(F.col("line")))).alias("mark"))
+            .where(F.col("mark").isNotNull()).distinct())
+    # by way of the chunks: a long script has few of them, but may have many placeholders
+    chunks = used.select(*CHUNK_KEYS).distinct().join(per_script, "script_id")
+    marks = used.join(chunks, CHUNK_KEYS).groupBy("script_id", "mark").agg(
+        F.first("longest").alias("longest"), F.first("empty_pos").alias("empty_pos"), F.first("empty_value").alias("empty_value"))
 
     size = F.length("mark")
     parts = marks.select(
         "script_id", "mark",
-        F.explode(F.array_distinct(F.flatten(F.transform(
+        F.explode_outer(F.array_distinct(F.flatten(F.transform(
             F.sequence(F.lit(1), size), lambda at: F.transform(
                 F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.col("longest"), size - at + 1))),
                 lambda n: F.substring(F.col("mark"), at, n)))))).alias("var_name"))

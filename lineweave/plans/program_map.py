@@ -35,8 +35,8 @@ def by_length(lines: DataFrame, body: Callable[[DataFrame, bool], DataFrame],
 
 
 def cut_lineage(df: DataFrame, chunked: bool) -> DataFrame:
-    """Write a long-script step to the checkpoint folder: each carry reads its input twice, so a
-    plan of many carries would otherwise repeat the early ones."""
+    """Write a long-script step to the cluster's checkpoint folder, if it names one: each carry reads
+    its input twice, so a plan of many carries would otherwise repeat the early ones."""
     if not (chunked and df.sparkSession.conf.get("spark.checkpoint.dir", None)):
         return df
     return df.checkpoint()
@@ -47,7 +47,8 @@ def cleaned(lines: DataFrame, tokens: list[str] = fv.BOILERPLATE_TOKENS) -> Data
 
 
 def substituted(lines: DataFrame, chunked: bool) -> DataFrame:
-    lines = clean.normalize_lines(variables.fill_placeholders(cleaned(lines), chunked))
+    lines = cut_lineage(cleaned(lines), chunked)
+    lines = clean.normalize_lines(variables.fill_placeholders(lines, chunked))
     return clean.drop_job_control_lines(lines)
 
 

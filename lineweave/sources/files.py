@@ -16,10 +16,10 @@ from lineweave.functions.text import lines_of
 
 
 def script_scan(spark: SparkSession, root: str, extensions: list[str] = fv.SCRIPT_EXTENSIONS) -> DataFrame:
-    """(path, content) of every script below `root`; extensions are case-sensitive."""
+    """(path, length, content) of every script below `root`; extensions are case-sensitive."""
     return (spark.read.format("binaryFile")
             .option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(extensions)}}}")
-            .load(root).select("path", "content"))
+            .load(root).select("path", "length", "content"))
 
 
 def script_decode(content: Column) -> Column:
@@ -41,10 +41,10 @@ def script_name(relative: Column) -> Column:
     return F.substring_index(relative, "/", -1)
 
 
-def script_texts(spark: SparkSession, root: str, extensions: list[str] = fv.SCRIPT_EXTENSIONS) -> DataFrame:
-    """(script_id, text); the relative path is the id."""
-    return script_scan(spark, root, extensions).select(
-        relative_path(F.col("path"), root).alias("script_id"), script_decode(F.col("content")).alias("text"))
+def script_texts(scan: DataFrame, root: str) -> DataFrame:
+    """(script_id, text); the relative path is the id, and line ends are LF."""
+    text = F.regexp_replace(script_decode(F.col("content")), "\r\n?", "\n")
+    return scan.select(relative_path(F.col("path"), root).alias("script_id"), text.alias("text"))
 
 
 def script_lines(texts: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 import sequential
 from pyspark.sql import functions as F
 
+from lineweave.plans import directory
 from lineweave.plans import program_map as pm
 from lineweave.sources import files, map_table
 
@@ -24,22 +25,29 @@ def test_files_to_map(spark, tmp_path):
     root = tmp_path / "in"
     root.mkdir()
     write(root)
-    texts = files.script_texts(spark, str(root))
+    texts = files.script_texts(files.script_scan(spark, str(root)), str(root))
     got = {r.script_id: r.text for r in texts.collect()}
-    assert got == {"a.py": SCRIPT, "sub/b.sql": "-- note\nSELECT é FROM SWG.TB_TWO"}
+    plain = SCRIPT.replace("\r\n", "\n").replace("\r", "\n")
+    assert got == {"a.py": plain, "sub/b.sql": "-- note\nSELECT é FROM SWG.TB_TWO"}
 
     lines = files.script_lines(texts)
     assert [r.line for r in lines.where("script_id = 'a.py'").orderBy("src_line_no").collect()] == [
         'DB_T = "TMP"', 'df_A = spark.sql(f"""', "SELECT 1 FROM {DB_T}.TB_ONE", '""")',
         'df_A.createOrReplaceTempView("V_A1")', "FROM V_A1 x"]
-    rows = pm.program_table_map(lines, "20240101").withColumns({
-        "script_path": files.script_path(F.col("script_id")), "script_name": files.script_name(F.col("script_id"))})
-    expected = Counter(sequential.program_map(SCRIPT.replace("\r\n", "\n").replace("\r", "\n").split("\n")))
+    rows = directory.map_directory(spark, str(root), "20240101")
+    assert rows.columns == pm.MAP_COLUMNS
+    expected = Counter(sequential.program_map(plain.split("\n")))
     assert {(r.line_no, r.df_var, r.stmt_type, r.table_name, r.in_line, r.line): r.copies
-            for r in rows.where("script_id = 'a.py'").collect()} == expected
-    other = rows.where("script_id = 'sub/b.sql'").collect()
+            for r in rows.where("script_name = 'a.py'").collect()} == expected
+    other = rows.where("script_name = 'b.sql'").collect()
     assert [(r.script_path, r.script_name, r.table_name) for r in other] == [("sub", "b.sql", "SWG.TB_TWO")]
     assert [r.script_path for r in rows.where("script_name = 'a.py'").limit(1).collect()] == ["."]
+    longer = directory.map_directory(spark, str(root), "20240101", chunk_lines=2)
+    assert sorted(map(tuple, longer.collect())) == sorted(map(tuple, rows.collect()))
+
+    calls = {r.script_name: (r.status, r.df_name, r.body) for r in directory.call_bodies(spark, str(root)).collect()}
+    assert calls["a.py"] == ("ok", "DB_T", 'f"""\nSELECT 1 FROM {DB_T}.TB_ONE\n"""')
+    assert calls["b.sql"] == ("no_balanced_call", None, None)
 
 
 def test_stored_map(spark, tmp_path):
