@@ -69,7 +69,7 @@ def table_refs(line: Column, kind: Column) -> Column:
 
 def bare(name: Column) -> Column:
     """Upper case without quotes, braces and parentheses."""
-    return F.upper(drop_text(name, "'", '"', "{", "}", "(", ")"))
+    return F.upper(F.translate(name, "'\"{}()", ""))
 
 
 def in_parentheses(line: Column) -> Column:
@@ -82,17 +82,16 @@ def view_name(line: Column) -> Column:
     return F.when(declares_view(line), bare(in_parentheses(line)))
 
 
-def _cut_schema(schema: Column) -> Column:
-    return F.when(schema.contains(fv.WHOLE_SCHEMA), fv.WHOLE_SCHEMA).otherwise(F.substring_index(schema, "_", 1))
+def _two_parts(name: Column) -> Column:
+    """Of a bare name, `SCHEMA.TABLE`, the schema cut at its first underscore."""
+    whole = re.escape(fv.WHOLE_SCHEMA)
+    name = F.regexp_replace(name, rf"(?s)^(?![^.]*{whole})([^._]*)[^.]*\.([^.]*).*$", "$1.$2")
+    return F.regexp_replace(name, rf"(?s)^[^.]*{whole}[^.]*\.([^.]*).*$", f"{fv.WHOLE_SCHEMA}.$1")
 
 
-def normal_name(name: Column) -> Column:
-    """`SCHEMA.TABLE` in upper case, the schema cut at its first underscore."""
-    name = bare(name)
-    schema = F.substring_index(name, ".", 1)
-    return F.when(
-        name.contains("."), F.concat(_cut_schema(schema), F.lit("."), F.split_part(name, F.lit("."), F.lit(2)))
-    ).otherwise(name)
+def normal_names(names: Column) -> Column:
+    """Every name in upper case, as `SCHEMA.TABLE` when it has a dot."""
+    return F.transform(F.transform(names, bare), _two_parts)
 
 
 def chosen_names(line: Column, found: Column, kind: Column) -> Column:
@@ -105,7 +104,7 @@ def chosen_names(line: Column, found: Column, kind: Column) -> Column:
         .when(kind == "WRITE_MODE", F.array(path))
         .otherwise(found)
     )
-    return F.transform(picked, normal_name)
+    return normal_names(picked)
 
 
 def lacks_name(line: Column, found: Column, kind: Column) -> Column:
@@ -120,24 +119,30 @@ def lacks_name(line: Column, found: Column, kind: Column) -> Column:
 
 def known_table(name: Column, schemas: list[str] = fv.KNOWN_SCHEMAS,
                 rejected: list[str] = fv.REJECTED_SCHEMA_PREFIXES) -> Column:
-    """The part of the schema test that depends on the name alone."""
-    schema = F.regexp_replace(drop_text(F.substring_index(name, ".", 1), "{", "}"), "^DB_", "")
-    cut = _cut_schema(schema)
-    ok = (F.length(name) > 2) & ~schema.rlike("[가-힣]")
-    ok = ok & (~name.contains(".") | (F.length(F.split_part(name, F.lit("."), F.lit(2))) >= 3))
-    for prefix in rejected:
-        ok = ok & ~schema.startswith(prefix)
-    return ok & cut.rlike(_starts_and_ends(schemas))
+    """The part of the schema test that depends on the normal name alone (X7), as one pattern."""
+    whole = fv.WHOLE_SCHEMA
+    whole_known = any(whole.startswith(s) and whole.endswith(s) for s in schemas)
+    return name.rlike(
+        r"(?s)^(?=.{3})"                                       # more than two characters
+        r"(?=[^.]*$|[^.]*\.[^.]{3})"                           # second part, if any, of three or more
+        r"(?:DB_)?+"                                           # not part of the schema
+        r"(?![^.]*[가-힣])"
+        + "".join(rf"(?!{re.escape(p)})" for p in rejected)
+        + rf"(?:(?=[^.]*{whole}){'' if whole_known else '(?!)'}"
+        + rf"|(?![^.]*{whole})(?:{_starts_and_ends(schemas)})(?=[_.]|$))")
 
 
 def _starts_and_ends(schemas: list[str]) -> str:
-    """Pattern of the texts that both start and end with one of the schemas."""
-    ways = []
+    """Pattern of the texts that both start and end with one of the schemas, up to a `_` or `.`; a
+    schema that holds a `_` is no such text."""
+    ways = ["(?!)"]
     for s in schemas:
-        ways.append(rf"{re.escape(s)}(?:.*{re.escape(s)})?")
+        if "_" in s:
+            continue
+        ways.append(rf"{re.escape(s)}(?:[^_.]*{re.escape(s)})?")
         # start and end may share characters
         ways += [re.escape(s + s[n:]) for n in range(1, len(s)) if s.endswith(s[:n])]
-    return f"(?s)^(?:{'|'.join(ways)})$"
+    return "|".join(ways)
 
 
 def masked_by_line(name: Column, line: Column, upper: Column) -> Column:

@@ -144,8 +144,8 @@ def carried_refs(stmts: DataFrame, chunked: bool, schemas: list[str] = fv.KNOWN_
         "resets": resets, "unfiltered": unfiltered,
         "own": F.when(resets, nm.chosen_names(line, F.col("found"), kind)),
         "uses": F.filter(
-            F.transform("uses", lambda u: F.struct(
-                nm.normal_name(F.concat(F.lit("TEMPVIEW."), u["name"])).alias("name"), u.copies.alias("copies"))),
+            F.zip_with(nm.normal_names(F.transform("uses.name", lambda n: F.concat(F.lit("TEMPVIEW."), n))), "uses.copies",
+                       lambda n, copies: F.struct(n.alias("name"), copies.alias("copies"))),
             lambda u: known(u["name"]) & ~nm.masked_by_line(u["name"], line, F.col("upper"))),
     })
     kept = F.filter("own", lambda n: known(n) & (F.col("unfiltered") | ~nm.masked_by_line(n, line, F.col("upper"))))

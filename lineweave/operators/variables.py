@@ -36,7 +36,7 @@ def plain_value(text: Column) -> Column:
     """The second dotted part, or a path without its configuration prefix; no braces."""
     value = (F.when(text.contains("/"), F.when(text.contains("."), drop_text(text, *fv.VALUE_PREFIXES)).otherwise(text))
              .when(text.contains("."), F.split_part(text, F.lit("."), F.lit(2))).otherwise(text))
-    return drop_text(value, "{", "}")
+    return F.translate(value, "{}", "")
 
 
 def schema_value(name: Column, value: Column) -> Column:
