@@ -14,15 +14,32 @@ MAP_COLUMNS = ["strd_dt", "script_path", "script_name", "line_no", "df_var", "st
                "in_line", "line", "copies"]
 
 
+def with_length(lines: DataFrame, chunk_lines: int) -> DataFrame:
+    """Add `n_src_lines` to lines that lack it, as far as telling long scripts needs it.
+
+    Only the first `chunk_lines` lines of a script have to ask whether there are more, so the join
+    sees no more than that many rows of any script.
+    """
+    beyond = lines.where(F.col("src_line_no") > chunk_lines)
+    long_scripts = beyond.groupBy("script_id").agg(F.max("src_line_no").alias("n_src_lines"))
+    head = lines.where(F.col("src_line_no") <= chunk_lines).join(long_scripts, "script_id", "left")
+    return head.withColumn("n_src_lines", F.coalesce("n_src_lines", "src_line_no")).unionByName(
+        beyond.withColumn("n_src_lines", F.col("src_line_no")))
+
+
 def by_length(lines: DataFrame, body: Callable[[DataFrame, bool], DataFrame],
               chunk_lines: int = fv.CHUNK_LINES, sizes: DataFrame | None = None) -> DataFrame:
     """Run `body(lines, chunked)` on short scripts and, where there are any, on the chunks of long ones.
 
-    `lines` has (script_id, src_line_no, n_src_lines, line). Short scripts need one shuffle on
-    script_id and no join; only scripts above `chunk_lines` pay for carrying state. Whether there
-    are any is asked first, of `sizes` (script_id, n_src_lines) when that is cheaper to read than
-    `lines`.
+    `lines` has (script_id, src_line_no, line) and, from sources that know it, n_src_lines. Short
+    scripts need one shuffle on script_id and no join; only scripts above `chunk_lines` pay for
+    carrying state. Whether there are any is asked first, of `sizes` (script_id, n_src_lines) when
+    that is cheaper to read than `lines`.
     """
+    if "n_src_lines" not in lines.columns:
+        if lines.where(F.col("src_line_no") > chunk_lines).isEmpty():
+            return body(lines.select("script_id", F.col("src_line_no").alias("pos"), "line"), False)
+        lines = with_length(lines, chunk_lines)
     lines = lines.select("script_id", F.col("src_line_no").alias("pos"), "n_src_lines", "line")
     is_long = F.col("n_src_lines") > chunk_lines
     short = body(lines.where(~is_long).drop("n_src_lines"), False)

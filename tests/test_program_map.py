@@ -68,6 +68,23 @@ def test_random_scripts(spark, chunk_lines):
     compare(expected, actual)
 
 
+@pytest.mark.parametrize("chunk_lines", [1 << 20, 20])
+def test_lines_without_sizes(spark, chunk_lines):
+    scripts = list(random_scripts(60, 60, 23))
+    lines = as_lines(spark, scripts).drop("n_src_lines")
+    compare({i: sequential.program_map(ls) for i, ls in scripts},
+            got(pm.program_table_map(lines, "20240101", chunk_lines=chunk_lines)))
+
+
+def test_one_script_holds_a_third_of_all_lines(spark):
+    """The long script goes through chunks, the others through one window each; both come out whole."""
+    rnd = random.Random(4)
+    calm = [p for p in PARTS if p not in FATAL and "createOrReplaceTempView()" not in p and "createOrReplaceTempView (" not in p]
+    scripts = [(0, [rnd.choice(calm) for _ in range(700)])] + list(random_scripts(60, 45, 31))[1:]
+    rows = pm.program_table_map(as_lines(spark, scripts), "20240101", chunk_lines=64)
+    compare({i: sequential.program_map(ls) for i, ls in scripts}, got(rows))
+
+
 @pytest.mark.parametrize("chunk_lines", [1 << 20, 16])
 def test_corpus(spark, tiny, chunk_lines):
     lines = corpus_lines(spark, tiny)
