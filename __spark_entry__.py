@@ -48,8 +48,13 @@ def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.script_lines(_doc_texts(spark, sf_dir)).select("script_id", "src_line_no", "line")
 
 
-def _pages(*columns) -> Query:
-    return lambda spark, sf_dir: _table(spark, sf_dir, "pages").select("page_id", *columns)
+def _pages(**columns: Callable) -> Query:
+    """Columns computed from each page; `struct` is taken apart."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pages = _table(spark, sf_dir, "pages")
+        out = pages.select("page_id", *[make(F.col("html"), F.col("url")).alias(name) for name, make in columns.items()])
+        return out.select("page_id", "struct.*") if "struct" in columns else out
+    return run
 
 
 def _page_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,10 +205,6 @@ def _replaced_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_table.read_map(spark, path).groupBy("strd_dt", "stmt_type").agg(F.count("*").alias("n"))
 
 
-def _widest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spans.widest_call_body(F.col("html")).alias("call"))(spark, sf_dir).select("page_id", "call.*")
-
-
 def _cleaned_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.corpus_statements(spark, sf_dir).withColumn("sql", refs.clean_statement(F.col("sql")))
 
@@ -224,32 +225,31 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    line = F.col
     return {
         "script_scan": _scanned,
         "script_decode": _decoded,
         "script_lines": _doc_lines,
         "relative_path": _pages(
-            files.script_path(files.relative_path(line("url"), "/")).alias("script_path"),
-            files.script_name(files.relative_path(line("url"), "/")).alias("script_name")),
+            script_path=lambda html, url: files.script_path(files.relative_path(url, "/")),
+            script_name=lambda html, url: files.script_name(files.relative_path(url, "/"))),
         "mapping_sink": _stored,
         "mapping_record": _records,
         "mapping_table_reset": _replaced_day,
         "strip_line_comments": _lines(clean.strip_line_comments),
         "strip_comments_text": lambda spark, sf_dir: _table(spark, sf_dir, "documents").select(
-            "doc_id", tx.strip_comments_text(line("text")).alias("text")),
+            "doc_id", tx.strip_comments_text(F.col("text")).alias("text")),
         "strip_comments_hashslash": lambda spark, sf_dir: clean.strip_comments_hashslash(_doc_lines(spark, sf_dir)),
         "strip_comments_stmt": lambda spark, sf_dir: corpus.corpus_statements(spark, sf_dir).withColumn(
-            "sql", tx.strip_comments_stmt(line("sql"))),
+            "sql", tx.strip_comments_stmt(F.col("sql"))),
         "drop_boilerplate_lines": _lines(program_map.cleaned),
         "drop_job_control_lines": _lines(clean.drop_job_control_lines),
         "normalize_line": _lines(clean.normalize_lines),
-        "pad_parentheses": _pages(tx.pad_parentheses(line("html")).alias("html")),
-        "wrap_sql_call": lambda spark, sf_dir: corpus.corpus_files(spark, sf_dir).withColumn("text", tx.wrap_sql_call(line("text"))),
-        "strip_placeholder_marks": _pages(tx.strip_placeholder_marks(line("html")).alias("html")),
+        "pad_parentheses": _pages(html=lambda html, url: tx.pad_parentheses(html)),
+        "wrap_sql_call": lambda spark, sf_dir: corpus.corpus_files(spark, sf_dir).withColumn("text", tx.wrap_sql_call(F.col("text"))),
+        "strip_placeholder_marks": _pages(html=lambda html, url: tx.strip_placeholder_marks(html)),
         "assignment_map": _assignment_map,
         "assignment_value": _assignments,
-        "placeholder_collapse": _lines(lambda d: program_map.cleaned(d).withColumn("line", variables.collapse_placeholders(line("line")))),
+        "placeholder_collapse": _lines(lambda d: program_map.cleaned(d).withColumn("line", variables.collapse_placeholders(F.col("line")))),
         "placeholder_substitute": _by_length(_filled),
         "join_continuations": _by_length(_joined),
         "save_dir_fill": _by_length(lambda lines, chunked: _pos(program_map.assembled(lines, chunked))),
@@ -265,15 +265,14 @@ def queries() -> dict[str, Query]:
         "in_line_flag": _by_length(_flags),
         "bad_script_cutoff": _cutoff,
         "program_table_map": _map,
-        "first_balanced_span": lambda spark, sf_dir: _pages(spans.first_balanced_span(line("html")).alias("span"))(
-            spark, sf_dir).select("page_id", "span.*"),
+        "first_balanced_span": _pages(struct=lambda html, url: spans.first_balanced_span(html)),
         "first_call_body": _page_calls,
-        "widest_call_body": _widest,
-        "paren_groups": lambda spark, sf_dir: _pages(spans.paren_groups(line("html")).alias("g"))(spark, sf_dir).select("page_id", "g.*"),
+        "widest_call_body": _pages(struct=lambda html, url: spans.widest_call_body(html)),
+        "paren_groups": _pages(struct=lambda html, url: spans.paren_groups(html)),
         "df_sql_pairs": lambda spark, sf_dir: call_bodies.df_sql_pairs(corpus.corpus_files(spark, sf_dir)),
         "from_tables": lambda spark, sf_dir: _cleaned_statements(spark, sf_dir).select(
-            "script_id", "stmt_no", F.posexplode(refs.from_tables(line("sql"))).alias("ref_no", "table_name")
-        ).withColumn("ref_no", line("ref_no").cast("bigint")),
+            "script_id", "stmt_no", F.posexplode(refs.from_tables(F.col("sql"))).alias("ref_no", "table_name")
+        ).withColumn("ref_no", F.col("ref_no").cast("bigint")),
         "insert_target": _insert_targets,
         "statement_table_refs": _reference_rows("role", "table_schema", "table_name", "alias", "is_function"),
         "reference_label": _reference_rows("label"),
