@@ -28,7 +28,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _by_length(body: Callable[[DataFrame, bool], DataFrame], lines: Callable[[DataFrame], DataFrame] = lambda d: d) -> Query:
+def _by_length(body: Callable[[DataFrame, int], DataFrame], lines: Callable[[DataFrame], DataFrame] = lambda d: d) -> Query:
     return lambda spark, sf_dir: program_map.by_length(
         lines(corpus.corpus_lines(spark, sf_dir)), body, sizes=corpus.script_sizes(spark, sf_dir))
 
@@ -88,83 +88,83 @@ def _pos(df: DataFrame) -> DataFrame:
     return df.select("script_id", F.col("pos").alias("src_line_no"), "line")
 
 
-def _filled(lines: DataFrame, chunked: bool) -> DataFrame:
-    return _pos(variables.fill_placeholders(program_map.cleaned(lines), chunked))
+def _filled(lines: DataFrame, levels: int) -> DataFrame:
+    return _pos(variables.fill_placeholders(program_map.cleaned(lines), levels))
 
 
-def _joined(lines: DataFrame, chunked: bool) -> DataFrame:
-    return _pos(assemble.join_continuations(program_map.substituted(lines, chunked), chunked))
+def _joined(lines: DataFrame, levels: int) -> DataFrame:
+    return _pos(assemble.join_continuations(program_map.substituted(lines, levels), levels))
 
 
-def _numbered(lines: DataFrame, chunked: bool) -> DataFrame:
-    return program_map.assembled(lines, chunked).select("script_id", F.col("pos").alias("src_line_no"), "line_no")
+def _numbered(lines: DataFrame, levels: int) -> DataFrame:
+    return program_map.assembled(lines, levels).select("script_id", F.col("pos").alias("src_line_no"), "line_no")
 
 
-def _df_variables(lines: DataFrame, chunked: bool) -> DataFrame:
-    return (program_map.assembled(lines, chunked).where(F.col("line").contains("df_"))
+def _df_variables(lines: DataFrame, levels: int) -> DataFrame:
+    return (program_map.assembled(lines, levels).where(F.col("line").contains("df_"))
             .select("script_id", "line_no", nm.df_variable(F.col("line")).alias("df_var")))
 
 
-def _kinds(lines: DataFrame, chunked: bool) -> DataFrame:
-    return lineage.classify(program_map.assembled(lines, chunked)).select("script_id", "line_no", F.col("kind").alias("stmt_type"))
+def _kinds(lines: DataFrame, levels: int) -> DataFrame:
+    return lineage.classify(program_map.assembled(lines, levels)).select("script_id", "line_no", F.col("kind").alias("stmt_type"))
 
 
-def _found(lines: DataFrame, chunked: bool) -> DataFrame:
-    return lineage.classify(program_map.assembled(lines, chunked)).select(
+def _found(lines: DataFrame, levels: int) -> DataFrame:
+    return lineage.classify(program_map.assembled(lines, levels)).select(
         "script_id", "line_no", F.col("kind").alias("stmt_type"), F.posexplode("found").alias("ref_no", "table_ref")
     ).withColumn("ref_no", F.col("ref_no").cast("bigint"))
 
 
-def _owners(lines: DataFrame, chunked: bool) -> DataFrame:
-    return lineage.block_owner(program_map.assembled(lines, chunked), chunked).select("script_id", "line_no", "owner")
+def _owners(lines: DataFrame, levels: int) -> DataFrame:
+    return lineage.block_owner(program_map.assembled(lines, levels), levels).select("script_id", "line_no", "owner")
 
 
-def _view_uses(lines: DataFrame, chunked: bool) -> DataFrame:
-    stmts = lineage.temp_view_use(lineage.classify(program_map.assembled(lines, chunked)), chunked)
+def _view_uses(lines: DataFrame, levels: int) -> DataFrame:
+    stmts = lineage.temp_view_use(lineage.classify(program_map.assembled(lines, levels)), levels)
     return (stmts.select("script_id", "line_no", F.inline("uses"))
             .select("script_id", "line_no", F.col("name").alias("view_name"), "copies"))
 
 
-def _statements(lines: DataFrame, chunked: bool) -> DataFrame:
-    stmts = lineage.temp_view_use(lineage.classify(program_map.assembled(lines, chunked)), chunked)
-    return lineage.drop_after_bad_line(stmts, chunked)
+def _statements(lines: DataFrame, levels: int) -> DataFrame:
+    stmts = lineage.temp_view_use(lineage.classify(program_map.assembled(lines, levels)), levels)
+    return lineage.drop_after_bad_line(stmts, levels)
 
 
-def _normal_names(lines: DataFrame, chunked: bool) -> DataFrame:
+def _normal_names(lines: DataFrame, levels: int) -> DataFrame:
     names = nm.chosen_names(F.col("line"), F.col("found"), F.col("kind"))
-    return _statements(lines, chunked).select(
+    return _statements(lines, levels).select(
         "script_id", "line_no", F.col("kind").alias("stmt_type"), F.posexplode(names).alias("ref_no", "table_name")
     ).withColumn("ref_no", F.col("ref_no").cast("bigint"))
 
 
-def _schema_test(lines: DataFrame, chunked: bool) -> DataFrame:
+def _schema_test(lines: DataFrame, levels: int) -> DataFrame:
     names = nm.chosen_names(F.col("line"), F.col("found"), F.col("kind"))
     name, line = F.col("table_name"), F.col("line")
-    return (_statements(lines, chunked)
+    return (_statements(lines, levels)
             .select("script_id", "line_no", "line", F.posexplode(names).alias("ref_no", "table_name"))
             .withColumn("ref_no", F.col("ref_no").cast("bigint"))
             .withColumn("is_table", nm.known_table(name) & ~nm.masked_by_line(name, line, F.upper(line))).drop("line"))
 
 
-def _named(lines: DataFrame, chunked: bool) -> DataFrame:
-    return lineage.carried_refs(program_map.statements(lines, chunked), chunked)
+def _named(lines: DataFrame, levels: int) -> DataFrame:
+    return lineage.carried_refs(program_map.statements(lines, levels), levels)
 
 
-def _carried(lines: DataFrame, chunked: bool) -> DataFrame:
+def _carried(lines: DataFrame, levels: int) -> DataFrame:
     same = lambda n: F.aggregate(
         F.filter("names", lambda x: x["name"] == n), F.lit(0).cast("bigint"), lambda acc, x: acc + x.copies)
-    return (_named(lines, chunked)
+    return (_named(lines, levels)
             .withColumn("names", F.transform(F.array_distinct("names.name"), lambda n: F.struct(n.alias("table_name"), same(n).alias("copies"))))
             .select("script_id", "line_no", F.col("kind").alias("stmt_type"), F.inline("names")))
 
 
-def _flags(lines: DataFrame, chunked: bool) -> DataFrame:
-    return lineage.name_rows(_named(lines, chunked)).select("script_id", "line_no", "table_name", "in_line")
+def _flags(lines: DataFrame, levels: int) -> DataFrame:
+    return lineage.name_rows(_named(lines, levels)).select("script_id", "line_no", "table_name", "in_line")
 
 
 def _cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scripts that lost their save_dir lines: a write statement without a path ends them."""
-    kept = _by_length(lambda lines, chunked: _statements(lines, chunked).select("script_id", "line_no"),
+    kept = _by_length(lambda lines, levels: _statements(lines, levels).select("script_id", "line_no"),
                       lambda lines: lines.where(~F.col("line").startswith("save_dir")))(spark, sf_dir)
     return kept.groupBy("script_id").agg(F.count("*").alias("n_statements"), F.max("line_no").alias("last_line_no"))
 
@@ -252,7 +252,7 @@ def queries() -> dict[str, Query]:
         "placeholder_collapse": _lines(lambda d: program_map.cleaned(d).withColumn("line", variables.collapse_placeholders(F.col("line")))),
         "placeholder_substitute": _by_length(_filled),
         "join_continuations": _by_length(_joined),
-        "save_dir_fill": _by_length(lambda lines, chunked: _pos(program_map.assembled(lines, chunked))),
+        "save_dir_fill": _by_length(lambda lines, levels: _pos(program_map.assembled(lines, levels))),
         "line_number": _by_length(_numbered),
         "df_variable": _by_length(_df_variables),
         "stmt_type": _by_length(_kinds),

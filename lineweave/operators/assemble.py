@@ -9,13 +9,13 @@ from lineweave.functions.text import strip
 from lineweave.operators.scan import running, since_reset
 
 
-def join_continuations(lines: DataFrame, chunked: bool) -> DataFrame:
+def join_continuations(lines: DataFrame, levels: int) -> DataFrame:
     """A line ending in a backslash joins the next; the joined line stands at its last piece (L1)."""
     line = F.col("line")
     goes_on = line.endswith("\\")
     piece = F.concat(strip(F.substring(line, F.lit(1), F.length(line) - 1)), F.when(line.contains("="), " ").otherwise(""))
-    lines = running(lines, chunked, last={"ends": ~goes_on})
-    lines = since_reset(lines, chunked, F.coalesce("prev_ends", F.lit(True)),
+    lines = running(lines, levels, last={"ends": ~goes_on})
+    lines = since_reset(lines, levels, F.coalesce("prev_ends", F.lit(True)),
                         {"pieces": F.when(goes_on, F.array(piece)).otherwise(F.array().cast("array<string>"))})
     head = F.array_join("pieces", "")
     return (lines.where("ends")
@@ -23,13 +23,13 @@ def join_continuations(lines: DataFrame, chunked: bool) -> DataFrame:
             .drop("ends", "prev_ends", "pieces"))
 
 
-def fill_save_dir(lines: DataFrame, chunked: bool) -> DataFrame:
+def fill_save_dir(lines: DataFrame, levels: int) -> DataFrame:
     """Write statements take the current `save_dir` value; lines that set it go; lines are numbered (L2, L3)."""
     line = F.col("line")
     sets = line.contains("save_dir") & line.contains("=")
     value = F.concat(F.lit("save_dir-"), strip(F.split_part(line, F.lit("="), F.lit(2))))
     writes = line.startswith("df_") & line.contains(".write")
-    lines = running(lines, chunked, last={"dir": F.when(sets, value)},
+    lines = running(lines, levels, last={"dir": F.when(sets, value)},
                     total={"kept": F.when(sets, 0).otherwise(1).cast("bigint")})
     return (lines.where("kept = 1")
             .withColumn("line", F.when(writes, F.replace(line, F.lit("save_dir"), F.coalesce("prev_dir", F.lit(""))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lineweave import fixed_values as fv
 from lineweave.functions import names as nm
 from lineweave.functions.text import computed_once, holds_any, starts_with_any
-from lineweave.operators.scan import CHUNK_KEYS, running, since_reset
+from lineweave.operators.scan import CHUNK_KEYS, next_level, running, since_reset
 
 USE = "struct<name:string,copies:bigint>"
 
@@ -21,17 +21,17 @@ def opens_block(line: Column) -> Column:
     return starts_with_any(line, ["df_"]) & holds_any(line, fv.OPENING_TOKENS)
 
 
-def block_owner(lines: DataFrame, chunked: bool) -> DataFrame:
+def block_owner(lines: DataFrame, levels: int) -> DataFrame:
     """Add `owner`, the DataFrame variable whose block a line stands in."""
     line, n = F.col("line"), F.col("line_no")
     opens, starts, closes = opens_block(line), line.contains("spark.sql("), line.contains('""")')
 
-    lines = running(lines, chunked, last={"sql": F.when(closes, False).when(starts, True)})
+    lines = running(lines, levels, last={"sql": F.when(closes, False).when(starts, True)})
     was_sql = F.coalesce("prev_sql", F.lit(False))
     lines = lines.withColumns({"in_sql": starts | was_sql, "run_start": F.when(starts & ~was_sql, n)})
     ends = closes & F.col("in_sql")
 
-    lines = running(lines, chunked, last={
+    lines = running(lines, levels, last={
         "owned": F.when(ends, False).when(opens, True),
         "var": F.when(opens, nm.df_variable(line)),
         "open_no": F.when(opens, n),
@@ -61,10 +61,10 @@ def classify(lines: DataFrame) -> DataFrame:
             .withColumns({"found": nm.table_refs(line, F.col("kind")), "view": nm.view_name(line)}))
 
 
-def temp_view_use(stmts: DataFrame, chunked: bool) -> DataFrame:
+def temp_view_use(stmts: DataFrame, levels: int) -> DataFrame:
     """Add `uses`: each view declared so far whose name the line holds, with its number of
     declarations; such a line becomes TEMP_VIEW_USE and keeps its first kind as `own_kind` (X5)."""
-    stmts = _uses_long(stmts) if chunked else _uses_short(stmts)
+    stmts = _uses_long(stmts, levels) if levels else _uses_short(stmts)
     uses = F.when(F.col("kind") == "TEMP_VIEW", F.array().cast(f"array<{USE}>")).otherwise(F.col("uses"))
     return (stmts.withColumns({"uses": uses, "own_kind": F.col("kind")})
             .withColumn("kind", F.when(F.size("uses") > 0, "TEMP_VIEW_USE").otherwise(F.col("kind"))))
@@ -81,7 +81,7 @@ def _uses_short(stmts: DataFrame) -> DataFrame:
             .drop("views"))
 
 
-def _uses_long(stmts: DataFrame) -> DataFrame:
+def _uses_long(stmts: DataFrame, levels: int) -> DataFrame:
     """The views a chunk uses are found by an equi-join of the substrings of its lines with the view
     names; how often each was declared before the chunk is a running sum per view."""
     declared = (stmts.where(F.col("view").isNotNull())
@@ -97,13 +97,13 @@ def _uses_long(stmts: DataFrame) -> DataFrame:
                  lambda at: F.substring(F.col("upper"), at, F.col("size"))))).alias("name"))
              .distinct())
     held = parts.join(names, ["script_id", "name"])
-    before = Window.partitionBy("script_id", "name").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    known = (held.withColumn("n", F.lit(0).cast("bigint"))
-             .unionByName(declared)
-             .groupBy(*CHUNK_KEYS, "name").agg(F.sum("n").alias("n"), F.max(F.col("n") == 0).alias("held"))
-             .withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0)))
-             .where("held")
-             .groupBy(*CHUNK_KEYS).agg(F.collect_list(F.struct("name", "earlier")).alias("known")))
+    counts = (held.withColumn("n", F.lit(0).cast("bigint"))
+              .unionByName(declared)
+              .groupBy(*CHUNK_KEYS, "name").agg(F.sum("n").alias("n"), F.max(F.col("n") == 0).alias("held")))
+    counts = running(next_level(counts), levels - 1, total={"n": F.col("n")}, by=["script_id", "name"])
+    known = (counts.where("held")
+             .groupBy("script_id", F.col("pos").alias("chunk"))
+             .agg(F.collect_list(F.struct("name", F.col("prev_n").alias("earlier"))).alias("known")))
 
     so_far = Window.partitionBy(*CHUNK_KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = F.transform(
@@ -117,9 +117,9 @@ def _uses_long(stmts: DataFrame) -> DataFrame:
             .drop("views", "known"))
 
 
-def drop_after_bad_line(stmts: DataFrame, chunked: bool) -> DataFrame:
+def drop_after_bad_line(stmts: DataFrame, levels: int) -> DataFrame:
     """A statement without the part its name is taken from ends its script."""
-    stmts = running(stmts, chunked, last={"bad": F.when(is_bad(), True)})
+    stmts = running(stmts, levels, last={"bad": F.when(is_bad(), True)})
     return stmts.where(F.col("bad").isNull() & F.col("prev_bad").isNull()).drop("bad", "prev_bad")
 
 
@@ -128,7 +128,7 @@ def is_bad() -> Column:
     return nm.lacks_name(line, F.col("found"), F.col("kind")) | (opens_block(line) & (nm.df_variable(line) == ""))
 
 
-def carried_refs(stmts: DataFrame, chunked: bool, schemas: list[str] = fv.KNOWN_SCHEMAS,
+def carried_refs(stmts: DataFrame, levels: int, schemas: list[str] = fv.KNOWN_SCHEMAS,
                  rejected: list[str] = fv.REJECTED_SCHEMA_PREFIXES) -> DataFrame:
     """Add `names`, array of (name, copies): the statement's own names, or, when it has none, those
     of the statement before, plus every view use since (X6-X8)."""
@@ -149,12 +149,12 @@ def carried_refs(stmts: DataFrame, chunked: bool, schemas: list[str] = fv.KNOWN_
             lambda u: known(u["name"]) & ~nm.masked_by_line(u["name"], line, F.col("upper"))),
     })
     kept = F.filter("own", lambda n: known(n) & (F.col("unfiltered") | ~nm.masked_by_line(n, line, F.col("upper"))))
-    stmts = running(stmts, chunked, last={"base": F.when(F.col("resets"), kept)})
+    stmts = running(stmts, levels, last={"base": F.when(F.col("resets"), kept)})
     nothing = F.array().cast("array<string>")
     stmts = stmts.withColumn("lost", F.when(
         ~F.col("resets"), F.filter(F.coalesce("prev_base", nothing), lambda n: nm.masked_by_line(n, line, F.col("upper")))
     ).otherwise(nothing))
-    stmts = since_reset(stmts, chunked, F.col("resets"), {"lost": F.col("lost"), "uses": F.col("uses")})
+    stmts = since_reset(stmts, levels, F.col("resets"), {"lost": F.col("lost"), "uses": F.col("uses")})
 
     base = (F.when(F.col("resets") & F.col("unfiltered"), F.col("own"))
             .when(F.col("resets"), F.col("base"))

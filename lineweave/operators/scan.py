@@ -5,10 +5,11 @@ The lines of one script are ordered by `pos`. Two primitives cover every statefu
 * `running`         the last event, or the sum, over all earlier lines of the script;
 * `since_reset`     the items collected since the last reset line.
 
-A short script is one window partition. A long script is cut into chunks of bounded length: each
-chunk is reduced to one summary row, a window over the summaries of the script gives the state each
-chunk starts from, and that state is joined back on (script_id, chunk). So no task ever holds more
-than one chunk of lines, even when one script makes up most of the archive.
+A short script (levels = 0) is one window partition. A long script is cut into chunks of bounded
+length: each chunk is reduced to one summary row, the same primitive over the summaries, with one
+level less, gives the state each chunk starts from, and that state is joined back on the chunk. With
+enough levels no task holds more than one chunk of lines or FAN_OUT summaries of a script, even when
+one script makes up most of the archive.
 """
 
 from __future__ import annotations
@@ -17,65 +18,79 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_KEYS = ["script_id", "chunk"]
+# summaries of one chunk of the next level
+FAN_OUT = 16384
 _START, _HERE = Window.unboundedPreceding, Window.currentRow
 
 
-def keys_of(chunked: bool) -> list[str]:
-    return CHUNK_KEYS if chunked else ["script_id"]
+def levels_for(longest: int, chunk_lines: int) -> int:
+    """How often a script of `longest` lines has to be summed up until one window can hold the rest."""
+    levels, reach = 0, chunk_lines
+    while reach < longest:
+        levels, reach = levels + 1, reach * FAN_OUT
+    return levels
 
 
-def running(df: DataFrame, chunked: bool, last: dict[str, Column] | None = None,
-            total: dict[str, Column] | None = None) -> DataFrame:
+def _keys(by: list[str], levels: int) -> list[str]:
+    return [*by, "chunk"] if levels else by
+
+
+def next_level(summary: DataFrame) -> DataFrame:
+    """Summary rows as the lines of the next level."""
+    return summary.withColumn("pos", F.col("chunk")).withColumn("chunk", F.floor(F.col("chunk") / FAN_OUT))
+
+
+def _as_carry(rows: DataFrame, by: list[str], names: dict[str, str]) -> DataFrame:
+    return rows.select(*by, F.col("pos").alias("chunk"), *[F.col(c).alias(f"carry_{n}") for n, c in names.items()])
+
+
+def running(df: DataFrame, levels: int, last: dict[str, Column] | None = None,
+            total: dict[str, Column] | None = None, by: list[str] = CHUNK_KEYS[:1]) -> DataFrame:
     """Add each event column `name` and `prev_name`, its state before the line.
 
     `last`: the last non-null event on earlier lines, null if none. `total`: the sum over earlier
     lines, 0 if none.
     """
     last, total = last or {}, total or {}
+    keys = _keys(by, levels)
     df = df.withColumns({**last, **total})
-    w = Window.partitionBy(*keys_of(chunked)).orderBy("pos").rowsBetween(_START, -1)
+    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(_START, -1)
     prev = {f"prev_{n}": F.last(n, ignorenulls=True).over(w) for n in last}
     prev |= {f"prev_{n}": F.coalesce(F.sum(n).over(w), F.lit(0)) for n in total}
-    if not chunked:
+    if not levels:
         return df.withColumns(prev)
 
-    summary = df.groupBy(*CHUNK_KEYS).agg(
+    summary = df.groupBy(*keys).agg(
         *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("pos"))).alias(n) for n in last],
         *[F.sum(n).alias(n) for n in total])
-    before = Window.partitionBy("script_id").orderBy("chunk").rowsBetween(_START, -1)
-    carry = summary.select(
-        *CHUNK_KEYS,
-        *[F.last(n, ignorenulls=True).over(before).alias(f"carry_{n}") for n in last],
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"carry_{n}") for n in total])
-    return (df.withColumns(prev).join(carry, CHUNK_KEYS)
+    before = running(next_level(summary), levels - 1, {n: F.col(n) for n in last}, {n: F.col(n) for n in total}, by)
+    carry = _as_carry(before, by, {n: f"prev_{n}" for n in [*last, *total]})
+    return (df.withColumns(prev).join(carry, keys)
             .withColumns({f"prev_{n}": F.coalesce(f"prev_{n}", f"carry_{n}") for n in last}
                          | {f"prev_{n}": F.col(f"prev_{n}") + F.col(f"carry_{n}") for n in total})
             .drop(*[f"carry_{n}" for n in [*last, *total]]))
 
 
-def since_reset(df: DataFrame, chunked: bool, reset: Column, items: dict[str, Column]) -> DataFrame:
+def since_reset(df: DataFrame, levels: int, reset: Column, items: dict[str, Column],
+                by: list[str] = CHUNK_KEYS[:1]) -> DataFrame:
     """Add `name`: the concatenated `items` arrays from the last reset line through this line."""
-    keys = keys_of(chunked)
+    keys = _keys(by, levels)
     df = df.withColumn("seg", F.sum(reset.cast("bigint")).over(
         Window.partitionBy(*keys).orderBy("pos").rowsBetween(_START, _HERE)))
     in_segment = Window.partitionBy(*keys, "seg").orderBy("pos").rowsBetween(_START, _HERE)
     # empty arrays become null, which collect_list skips
     df = df.withColumns({
         n: F.flatten(F.collect_list(F.when(F.size(c) > 0, c)).over(in_segment)) for n, c in items.items()})
-    if not chunked:
+    if not levels:
         return df.drop("seg")
 
-    summary = df.groupBy(*CHUNK_KEYS).agg(
-        F.max("seg").alias("seg"), *[F.max_by(n, "pos").alias(n) for n in items])
-    by_chunk = Window.partitionBy("script_id").orderBy("chunk")
-    summary = summary.withColumn("stretch", F.sum((F.col("seg") > 0).cast("bigint")).over(by_chunk))
-    in_stretch = Window.partitionBy("script_id", "stretch").orderBy("chunk").rowsBetween(_START, _HERE)
-    # a stretch ends at the first chunk with a reset: it is longer than one chunk only when a whole
-    # chunk of lines adds to the same value
-    for n in items:
-        summary = summary.withColumn(n, F.flatten(F.collect_list(n).over(in_stretch)))
-    carry = summary.select(*CHUNK_KEYS, *[F.lag(n).over(by_chunk).alias(f"carry_{n}") for n in items])
-    return (df.join(carry, CHUNK_KEYS)
+    # over the chunks, a reset is a chunk that holds one; its items are those since the last of them
+    summary = df.groupBy(*keys).agg(
+        (F.max("seg") > 0).alias("resets"), *[F.max_by(n, "pos").alias(n) for n in items])
+    whole = since_reset(next_level(summary), levels - 1, F.col("resets"), {n: F.col(n) for n in items}, by)
+    before = running(whole, levels - 1, {n: F.col(n) for n in items}, by=by)
+    carry = _as_carry(before, by, {n: f"prev_{n}" for n in items})
+    return (df.join(carry, keys)
             .withColumns({n: F.when((F.col("seg") == 0) & F.col(f"carry_{n}").isNotNull(),
                                     F.concat(f"carry_{n}", n)).otherwise(F.col(n)) for n in items})
             .drop("seg", *[f"carry_{n}" for n in items]))

@@ -97,9 +97,9 @@ def _fill(line: Column, value_of: Callable[[Column], Column]) -> Column:
     return F.when(line.contains("{"), filled).otherwise(line)
 
 
-def fill_placeholders(lines: DataFrame, chunked: bool) -> DataFrame:
+def fill_placeholders(lines: DataFrame, levels: int) -> DataFrame:
     """Each `{…}` takes the value of the first variable whose name it holds (V3, V4)."""
-    return _fill_long(lines) if chunked else _fill_short(lines)
+    return _fill_long(lines) if levels else _fill_short(lines)
 
 
 def _fill_short(lines: DataFrame) -> DataFrame:

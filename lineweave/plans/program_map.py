@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lineweave import fixed_values as fv
 from lineweave.operators import assemble, clean, lineage, variables
+from lineweave.operators.scan import levels_for
 
 MAP_COLUMNS = ["strd_dt", "script_path", "script_name", "line_no", "df_var", "stmt_type", "table_name",
                "in_line", "line", "copies"]
@@ -27,34 +28,34 @@ def with_length(lines: DataFrame, chunk_lines: int) -> DataFrame:
         beyond.withColumn("n_src_lines", F.col("src_line_no")))
 
 
-def by_length(lines: DataFrame, body: Callable[[DataFrame, bool], DataFrame],
+def by_length(lines: DataFrame, body: Callable[[DataFrame, int], DataFrame],
               chunk_lines: int = fv.CHUNK_LINES, sizes: DataFrame | None = None) -> DataFrame:
-    """Run `body(lines, chunked)` on short scripts and, where there are any, on the chunks of long ones.
+    """Run `body(lines, levels)` on short scripts and, where there are any, on the chunks of long ones.
 
     `lines` has (script_id, src_line_no, line) and, from sources that know it, n_src_lines. Short
     scripts need one shuffle on script_id and no join; only scripts above `chunk_lines` pay for
-    carrying state. Whether there are any is asked first, of `sizes` (script_id, n_src_lines) when
+    carrying state. The longest script is asked for first, from `sizes` (script_id, n_src_lines) when
     that is cheaper to read than `lines`.
     """
+    measured = lines if sizes is None else sizes
+    longest = measured.agg(F.max("n_src_lines" if "n_src_lines" in measured.columns else "src_line_no")).first()[0] or 0
+    levels = levels_for(longest, chunk_lines)
+    placed = lines.withColumn("pos", F.col("src_line_no"))
+    if not levels:
+        return body(placed.select("script_id", "pos", "line"), 0)
     if "n_src_lines" not in lines.columns:
-        if lines.where(F.col("src_line_no") > chunk_lines).isEmpty():
-            return body(lines.select("script_id", F.col("src_line_no").alias("pos"), "line"), False)
-        lines = with_length(lines, chunk_lines)
-    lines = lines.select("script_id", F.col("src_line_no").alias("pos"), "n_src_lines", "line")
+        placed = with_length(lines, chunk_lines).withColumn("pos", F.col("src_line_no"))
     is_long = F.col("n_src_lines") > chunk_lines
-    short = body(lines.where(~is_long).drop("n_src_lines"), False)
-    long = lines.where(is_long)
-    if (lines if sizes is None else sizes).where(is_long).isEmpty():
-        return short
     chunk = F.floor((F.col("pos") - 1) / chunk_lines).alias("chunk")
-    result = body(long.select("script_id", "pos", "line", chunk), True)
-    return short.unionByName(result.select(*short.columns))
+    short = body(placed.where(~is_long).select("script_id", "pos", "line"), 0)
+    long = body(placed.where(is_long).select("script_id", "pos", "line", chunk), levels)
+    return short.unionByName(long.select(*short.columns))
 
 
-def cut_lineage(df: DataFrame, chunked: bool) -> DataFrame:
+def cut_lineage(df: DataFrame, levels: int) -> DataFrame:
     """Write a long-script step to the cluster's checkpoint folder, if it names one: each carry reads
     its input twice, so a plan of many carries would otherwise repeat the early ones."""
-    if not (chunked and df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+    if not (levels and df.sparkSession.conf.get("spark.checkpoint.dir", None)):
         return df
     return df.checkpoint()
 
@@ -63,26 +64,26 @@ def cleaned(lines: DataFrame, tokens: list[str] = fv.BOILERPLATE_TOKENS) -> Data
     return clean.drop_boilerplate_lines(clean.strip_line_comments(lines), tokens)
 
 
-def substituted(lines: DataFrame, chunked: bool) -> DataFrame:
-    lines = cut_lineage(cleaned(lines), chunked)
-    lines = clean.normalize_lines(variables.fill_placeholders(lines, chunked))
+def substituted(lines: DataFrame, levels: int) -> DataFrame:
+    lines = cut_lineage(cleaned(lines), levels)
+    lines = clean.normalize_lines(variables.fill_placeholders(lines, levels))
     return clean.drop_job_control_lines(lines)
 
 
-def assembled(lines: DataFrame, chunked: bool) -> DataFrame:
+def assembled(lines: DataFrame, levels: int) -> DataFrame:
     """(script_id, pos, line_no, line): cleaned, filled, joined and numbered."""
-    lines = cut_lineage(assemble.join_continuations(substituted(lines, chunked), chunked), chunked)
-    return assemble.fill_save_dir(lines, chunked)
+    lines = cut_lineage(assemble.join_continuations(substituted(lines, levels), levels), levels)
+    return assemble.fill_save_dir(lines, levels)
 
 
-def owned(lines: DataFrame, chunked: bool) -> DataFrame:
-    return cut_lineage(lineage.block_owner(assembled(lines, chunked), chunked), chunked)
+def owned(lines: DataFrame, levels: int) -> DataFrame:
+    return cut_lineage(lineage.block_owner(assembled(lines, levels), levels), levels)
 
 
-def statements(lines: DataFrame, chunked: bool) -> DataFrame:
+def statements(lines: DataFrame, levels: int) -> DataFrame:
     """Typed lines with owner, found names and view uses, up to the first bad line of each script."""
-    stmts = lineage.temp_view_use(lineage.classify(owned(lines, chunked)), chunked)
-    return cut_lineage(lineage.drop_after_bad_line(stmts, chunked), chunked)
+    stmts = lineage.temp_view_use(lineage.classify(owned(lines, levels)), levels)
+    return cut_lineage(lineage.drop_after_bad_line(stmts, levels), levels)
 
 
 def program_table_map(lines: DataFrame, strd_dt: str, schemas: list[str] = fv.KNOWN_SCHEMAS,
@@ -94,8 +95,8 @@ def program_table_map(lines: DataFrame, strd_dt: str, schemas: list[str] = fv.KN
     A view declared n times is used n times by every later statement that names it. Such equal rows
     are one row with `copies` = n, which keeps the map linear in the scripts; see `expand_copies`.
     """
-    def body(part: DataFrame, chunked: bool) -> DataFrame:
-        stmts = lineage.carried_refs(statements(part, chunked), chunked, schemas, rejected)
+    def body(part: DataFrame, levels: int) -> DataFrame:
+        stmts = lineage.carried_refs(statements(part, levels), levels, schemas, rejected)
         return lineage.name_rows(stmts).select(
             "script_id", F.lit(strd_dt).alias("strd_dt"), "line_no", F.col("owner").alias("df_var"),
             F.col("kind").alias("stmt_type"), "table_name", "in_line", "line", "copies")

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 import sequential
 
+from lineweave.operators import scan
 from lineweave.plans import program_map as pm
 from lineweave.sources.corpus import corpus_lines
 
@@ -59,8 +60,11 @@ def compare(expected, actual):
     assert set(actual) <= set(expected)
 
 
-@pytest.mark.parametrize("chunk_lines", [1 << 20, 7, 1])
-def test_random_scripts(spark, chunk_lines):
+@pytest.mark.parametrize("chunk_lines, fan_out", [(1 << 20, 16), (7, 16), (1, 8)])
+def test_random_scripts(spark, monkeypatch, chunk_lines, fan_out):
+    """One window per script; one level of chunks; two levels, of single lines and of eight chunks."""
+    monkeypatch.setattr(scan, "FAN_OUT", fan_out)
+    assert scan.levels_for(60, chunk_lines) == {1 << 20: 0, 7: 1, 1: 2}[chunk_lines]
     scripts = list(random_scripts(400, 60, 11))
     expected = {i: sequential.program_map(lines) for i, lines in scripts}
     assert sum(map(len, expected.values())) > 1000
