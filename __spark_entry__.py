@@ -169,6 +169,11 @@ def _cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("script_id").agg(F.count("*").alias("n_statements"), F.max("line_no").alias("last_line_no"))
 
 
+def _bad_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = corpus.corpus_lines(spark, sf_dir).where(~F.col("line").startswith("save_dir"))
+    return program_map.bad_scripts(lines, sizes=corpus.script_sizes(spark, sf_dir))
+
+
 def _map(spark: SparkSession, sf_dir: str, date: str = DATE) -> DataFrame:
     rows = program_map.program_table_map(
         corpus.corpus_lines(spark, sf_dir), date, sizes=corpus.script_sizes(spark, sf_dir))
@@ -264,6 +269,7 @@ def queries() -> dict[str, Query]:
         "carried_refs": _by_length(_carried),
         "in_line_flag": _by_length(_flags),
         "bad_script_cutoff": _cutoff,
+        "bad_scripts": _bad_scripts,
         "program_table_map": _map,
         "first_balanced_span": _pages(struct=lambda html, url: spans.first_balanced_span(html)),
         "first_call_body": _page_calls,

@@ -10,6 +10,8 @@ from lineweave.functions import names as nm
 from lineweave.functions.text import computed_once, holds_any, starts_with_any
 from lineweave.operators.scan import CHUNK_KEYS, next_level, running, since_reset
 
+# names a long script may carry along with each of its lines
+FEW_VIEWS = 256
 USE = "struct<name:string,copies:bigint>"
 
 
@@ -81,22 +83,42 @@ def _uses_short(stmts: DataFrame) -> DataFrame:
             .drop("views"))
 
 
-def _uses_long(stmts: DataFrame, levels: int) -> DataFrame:
-    """The views a chunk uses are found by an equi-join of the substrings of its lines with the view
-    names; how often each was declared before the chunk is a running sum per view."""
-    declared = (stmts.where(F.col("view").isNotNull())
-                .groupBy(*CHUNK_KEYS, F.col("view").alias("name")).agg(F.count("*").alias("n")))
-    names = declared.select("script_id", "name").distinct()
-    sizes = names.groupBy("script_id").agg(F.collect_set(F.length("name")).alias("sizes"))
-    chunks = stmts.select(*CHUNK_KEYS).distinct().join(sizes, "script_id")
-    parts = (stmts.where("kind <> 'TEMP_VIEW'").join(chunks, CHUNK_KEYS)
-             .select(*CHUNK_KEYS, "upper", F.explode("sizes").alias("size"))
+def _held_names(stmts: DataFrame, names: DataFrame) -> DataFrame:
+    """(script_id, chunk, name): the view names that occur in some line of a chunk.
+
+    A script of at most FEW_VIEWS names carries them along. The names of others are found by an
+    equi-join with the substrings of the chunk's lines; only substrings that have the length of a
+    name, and a beginning that some name may have, get as far as the join.
+    """
+    lines = stmts.where("kind <> 'TEMP_VIEW'").select(*CHUNK_KEYS, "upper")
+    chunks = lines.select(*CHUNK_KEYS).distinct()
+    head = F.pmod(F.hash(F.substring("name", 1, 3)), F.lit(256))
+    scripts = names.groupBy("script_id").agg(
+        F.count("*").alias("n"), F.collect_set(F.length("name")).alias("sizes"), F.collect_set(head).alias("heads"))
+
+    few = names.join(scripts.where(F.col("n") <= FEW_VIEWS).select("script_id"), "script_id")
+    few = few.groupBy("script_id").agg(F.collect_list("name").alias("names"))
+    plain = (lines.join(chunks.join(few, "script_id"), CHUNK_KEYS)
+             .select(*CHUNK_KEYS, F.explode_outer(F.filter("names", lambda n: F.contains("upper", n))).alias("name"))
+             .where(F.col("name").isNotNull()).distinct())
+
+    many = scripts.where(F.col("n") > FEW_VIEWS).select("script_id", "sizes", "heads")
+    parts = (lines.join(chunks.join(many, "script_id"), CHUNK_KEYS)
+             .select(*CHUNK_KEYS, "upper", "heads", F.explode("sizes").alias("size"))
              .where(F.length("upper") >= F.col("size"))
-             .select(*CHUNK_KEYS, F.explode_outer(F.array_distinct(F.transform(
+             .select(*CHUNK_KEYS, "heads", F.explode_outer(F.array_distinct(F.transform(
                  F.sequence(F.lit(1), F.length("upper") - F.col("size") + 1),
                  lambda at: F.substring(F.col("upper"), at, F.col("size"))))).alias("name"))
-             .distinct())
-    held = parts.join(names, ["script_id", "name"])
+             .where(F.array_contains("heads", head)).select(*CHUNK_KEYS, "name").distinct())
+    return plain.unionByName(parts.join(names, ["script_id", "name"]).select(*CHUNK_KEYS, "name"))
+
+
+def _uses_long(stmts: DataFrame, levels: int) -> DataFrame:
+    """Which views a chunk holds is found first; how often each was declared before the chunk is a
+    running sum per view."""
+    declared = (stmts.where(F.col("view").isNotNull())
+                .groupBy(*CHUNK_KEYS, F.col("view").alias("name")).agg(F.count("*").alias("n")))
+    held = _held_names(stmts, declared.select("script_id", "name").distinct())
     counts = (held.withColumn("n", F.lit(0).cast("bigint"))
               .unionByName(declared)
               .groupBy(*CHUNK_KEYS, "name").agg(F.sum("n").alias("n"), F.max(F.col("n") == 0).alias("held")))

@@ -55,8 +55,12 @@ def by_length(lines: DataFrame, body: Callable[[DataFrame, int], DataFrame],
 def cut_lineage(df: DataFrame, levels: int) -> DataFrame:
     """Write a long-script step to the cluster's checkpoint folder, if it names one: each carry reads
     its input twice, so a plan of many carries would otherwise repeat the early ones."""
-    if not (levels and df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not (levels and folder):
         return df
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -104,6 +108,16 @@ def program_table_map(lines: DataFrame, strd_dt: str, schemas: list[str] = fv.KN
     return by_length(lines, body, chunk_lines, sizes)
 
 
+def bad_scripts(lines: DataFrame, chunk_lines: int = fv.CHUNK_LINES, sizes: DataFrame | None = None) -> DataFrame:
+    """(script_id, bad_line_no): the scripts the map leaves off before their end, and where."""
+    def body(part: DataFrame, levels: int) -> DataFrame:
+        stmts = lineage.temp_view_use(lineage.classify(assembled(part, levels)), levels)
+        return stmts.where(lineage.is_bad()).select("script_id", "line_no")
+
+    rows = by_length(lines, body, chunk_lines, sizes)
+    return rows.groupBy("script_id").agg(F.min("line_no").alias("bad_line_no"))
+
+
 def expand_copies(rows: DataFrame) -> DataFrame:
     """One row per copy."""
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("copy", "copies")

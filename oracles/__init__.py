@@ -465,6 +465,8 @@ def all_sql() -> dict[str, str]:
         "in_line_flag": over(NAMED, "SELECT script_id, line_no, table_name, in_line FROM shown"),
         "bad_script_cutoff": over([*ASSEMBLED, TYPED, USES], """
             SELECT script_id, count(*) AS n_statements, max(line_no) AS last_line_no FROM good GROUP BY ALL""", NO_DIR),
+        "bad_scripts": over([*ASSEMBLED, TYPED, USES], """
+            SELECT script_id, min(line_no) AS bad_line_no FROM stmts WHERE bad GROUP BY ALL""", NO_DIR),
         "program_table_map": over(NAMED, MAP.format(date=DATE)),
         # texts and statements
         "first_balanced_span": f"WITH{SPAN} SELECT page_id, start, stop FROM spans",

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 import sequential
 
-from lineweave.operators import scan
+from lineweave.operators import lineage, scan
 from lineweave.plans import program_map as pm
 from lineweave.sources.corpus import corpus_lines
 
@@ -80,8 +80,11 @@ def test_lines_without_sizes(spark, chunk_lines):
             got(pm.program_table_map(lines, "20240101", chunk_lines=chunk_lines)))
 
 
-def test_one_script_holds_a_third_of_all_lines(spark):
-    """The long script goes through chunks, the others through one window each; both come out whole."""
+@pytest.mark.parametrize("few_views", [256, 2])
+def test_one_script_holds_a_third_of_all_lines(spark, monkeypatch, few_views):
+    """The long script goes through chunks, the others through one window each; both come out whole,
+    whichever way view names are looked up."""
+    monkeypatch.setattr(lineage, "FEW_VIEWS", few_views)
     rnd = random.Random(4)
     calm = [p for p in PARTS if p not in FATAL and "createOrReplaceTempView()" not in p and "createOrReplaceTempView (" not in p]
     scripts = [(0, [rnd.choice(calm) for _ in range(700)])] + list(random_scripts(60, 45, 31))[1:]
