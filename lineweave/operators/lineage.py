@@ -58,7 +58,7 @@ def block_owner(lines: DataFrame, levels: int) -> DataFrame:
 def classify(lines: DataFrame) -> DataFrame:
     """Keep statements; add `upper`, `kind`, the names `found` and the view a line declares (X2, X3). Narrow."""
     line = F.col("line")
-    lines = computed_once(lines, "upper", F.upper(line))
+    lines = lines.withColumn("upper", F.upper(line))
     return (computed_once(lines, "kind", nm.stmt_type(line, F.col("upper"))).where(F.col("kind").isNotNull())
             .withColumns({"found": nm.table_refs(line, F.col("kind")), "view": nm.view_name(line)}))
 
