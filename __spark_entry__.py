@@ -20,6 +20,14 @@ from lineweave.operators import assemble, clean, lineage, variables
 from lineweave.plans import call_bodies, program_map, statement_tables
 from lineweave.sources import corpus, files, map_table
 
+try:  # the training-data operators and their pipeline may be absent
+    import corpus_pipeline
+    from lineweave.llm import queries as training
+except ImportError as absent:
+    if absent.name not in ("corpus_pipeline", "lineweave.llm"):
+        raise
+    corpus_pipeline = training = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 DATE = "20240101"
 
@@ -230,6 +238,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    return _reference_queries() | ({} if training is None else training.queries() | {"pipeline": corpus_pipeline.run})
+
+
+def _reference_queries() -> dict[str, Query]:
     return {
         "script_scan": _scanned,
         "script_decode": _decoded,
@@ -291,4 +303,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from oracles import all_sql
 
-    return all_sql()
+    own = {} if training is None else training.oracle_sql()
+    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL is not None:
+        own["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return all_sql() | own
