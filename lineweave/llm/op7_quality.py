@@ -32,9 +32,9 @@ from lineweave.llm.shared import stored
 
 ORDER = 5
 #: Robust standard deviations either side of the median.
-BAND = 6.0
+BAND = 4.0
 #: Half width of a band, in nats per character, that every text is allowed besides.
-LEAST_WIDTH = 0.03
+LEAST_WIDTH = 0.02
 MIN_WORDS, MAX_REPEATED_PERCENT = 10, 20
 SYMBOLS = "#*$%&|<>"
 #: Words that a task holds at once while it counts or scores.

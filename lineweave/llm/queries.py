@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.llm import op1_url_filter, op4_pieces, op7_quality, op10_warc
+from lineweave.llm import op1_url_filter, op2_line_dedup, op4_pieces, op7_quality, op9_decontamination, op10_warc
 from lineweave.llm.shared import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,8 +22,10 @@ def _shipped(query: Query) -> Query:
 def queries() -> dict[str, Query]:
     found = {
         "op1_url_filter": op1_url_filter.op1_url_filter,
+        "op2_line_dedup": op2_line_dedup.op2_line_dedup,
         "op4_pieces": op4_pieces.op4_pieces,
         "op7_quality": op7_quality.op7_quality,
+        "op9_decontamination": op9_decontamination.op9_decontamination,
         "op10_warc": op10_warc.op10_warc,
     }
     return {name: _shipped(q) for name, q in found.items()}
