@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.llm import op1_url_filter, op2_line_dedup, op4_pieces, op7_quality, op9_decontamination, op10_warc
+from lineweave.llm import (
+    op1_url_filter, op2_line_dedup, op4_pieces, op5_sentence_spans, op6_suffix_dedup, op7_quality, op8_ngram_join,
+    op9_decontamination, op10_warc)
 from lineweave.llm.shared import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +26,10 @@ def queries() -> dict[str, Query]:
         "op1_url_filter": op1_url_filter.op1_url_filter,
         "op2_line_dedup": op2_line_dedup.op2_line_dedup,
         "op4_pieces": op4_pieces.op4_pieces,
+        "op5_sentence_spans": op5_sentence_spans.op5_sentence_spans,
+        "op6_suffix_dedup": op6_suffix_dedup.op6_suffix_dedup,
         "op7_quality": op7_quality.op7_quality,
+        "op8_ngram_join": op8_ngram_join.op8_ngram_join,
         "op9_decontamination": op9_decontamination.op9_decontamination,
         "op10_warc": op10_warc.op10_warc,
     }
