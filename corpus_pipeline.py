@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.llm import op4_pieces, op7_quality
+from lineweave.llm import op2_line_dedup, op4_pieces, op7_quality, op8_ngram_join, op9_decontamination
 from lineweave.llm.shared import ship_package, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,6 +25,9 @@ def _stage(step: Stage) -> Stage:
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", _stage(op7_quality.quality_stage)),
+    ("line_dedup", _stage(op2_line_dedup.line_stage)),
+    ("ngram_join", _stage(op8_ngram_join.ngram_stage)),
+    ("decontamination", _stage(op9_decontamination.decontamination_stage)),
     ("pieces", _stage(op4_pieces.pieces_stage)),
 ]
 

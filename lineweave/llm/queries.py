@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lineweave.llm import (
-    op1_url_filter, op2_line_dedup, op4_pieces, op5_sentence_spans, op6_suffix_dedup, op7_quality, op8_ngram_join,
-    op9_decontamination, op10_warc)
+    op1_url_filter, op2_line_dedup, op3_html_extraction, op4_pieces, op5_sentence_spans, op6_suffix_dedup, op7_quality,
+    op8_ngram_join, op9_decontamination, op10_warc)
 from lineweave.llm.shared import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
     found = {
         "op1_url_filter": op1_url_filter.op1_url_filter,
         "op2_line_dedup": op2_line_dedup.op2_line_dedup,
+        "op3_html_extraction": op3_html_extraction.op3_html_extraction,
         "op4_pieces": op4_pieces.op4_pieces,
         "op5_sentence_spans": op5_sentence_spans.op5_sentence_spans,
         "op6_suffix_dedup": op6_suffix_dedup.op6_suffix_dedup,
