@@ -1,15 +1,19 @@
 """Line dedup by exact set-similarity join.
 
 A line is the set of its words (A-Z in lower case). A line of at least MIN_WORDS different words is removed when an earlier
-line, by doc_id and line number, has a Jaccard similarity of 80 % or more; whether that line is removed itself makes no
+line, by doc_id and line number, has a Jaccard similarity of PERCENT or more; whether that line is removed itself makes no
 difference, so the result does not depend on any order of work. Shorter lines stay.
 
 Lines of equal sets are one (`first` is the earliest) before anything is joined. Sets list their words by rarity, counted over
-all texts. Two sets of similarity t share a word among the first n - ceil(t n) + 1 of each (prefix filter); words that
-occur in one prefix only go no further. Pairs that share a prefix word must have sizes within t (length filter) and enough
-words after the shared places (positional filter). Each set is first compared with the earliest holder of each of its prefix
-words, which is linear in the rows and decides almost all lines of a group of near copies; only sets that no such comparison
-decides meet the other holders. Pairs are verified on the whole sets, which a second pass reads from the texts.
+all texts. Prefix filter: similar sets of n words differ in d <= n / 4 words, and at most n / 5 of n are missing in the other.
+Of the d + 2 first words they share, two neighbours have none of the d differing words between them, so they are neighbours
+in both sets, among the first n / 4 + n / 5 + 2 words. Such pairs of neighbours are the tokens of the join: two unrelated
+lines often share one rare word, but hardly two in a row. Pairs of words that occur once go no further. Candidates must
+have sizes within t (length filter) and enough words after the shared place (positional filter).
+
+Each set is first compared with the earliest holder of each of its tokens, which is linear in the rows and decides
+almost all lines of a group of near copies; only sets that no such comparison decides meet the other holders. Pairs are
+verified on the whole sets.
 
 Null and empty texts have no lines to remove. Documents are told apart by doc_id and text; repeated rows are one
 document and get the same result; null ids come first. Columns of the input named like those of the result are replaced.
@@ -18,7 +22,6 @@ document and get the same result; null ids come first. Columns of the input name
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,38 +32,36 @@ from pyspark.sql import functions as F
 from lineweave.llm import sets, words
 from lineweave.llm.shared import dropped, stored
 
-#: Similarity in percent, and the least number of different words of a line that is judged.
+#: Similarity in percent, and the least number of different words of a line that is judged. The prefix below is for 80 %.
 PERCENT, MIN_WORDS = 80, 5
 
-_hashes = words.WordHashes(lambda w: w.translate(words.ASCII_LOWER))
-
-
-def _word_hashes(text: str) -> np.ndarray:
-    return _hashes.of(words.WORD.findall(text))
-
 
-def _line_sets(text: str, levels: np.ndarray) -> Iterator[tuple[int, str, np.ndarray]]:
-    """Number, text and ordered set of each line that is judged."""
-    lines = text.split("\n")
-    found = [words.WORD.findall(x) for x in lines]
-    ranks = sets.ranked(_hashes.of(list(chain.from_iterable(found))), levels)
-    at = 0
-    for i, ws in enumerate(found):
-        own = ranks[at : at + len(ws)]
-        at += len(ws)
-        if len(ws) >= MIN_WORDS:
-            own = np.unique(own)
-            if len(own) >= MIN_WORDS:
-                yield i, lines[i], own
+def _line_sets(column: pa.Array, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all lines that are judged: row, line, start of the set, and (one after the other) the sets; the last start is the end."""
+    hashes, rows, lines = words.flat_words(column)
+    if not len(hashes):
+        return rows, lines, np.zeros(1, np.int64), hashes
+    new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (lines[1:] != lines[:-1])])
+    group, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+    values, group = words.distinct_in_groups(sets.ranked(hashes, levels), group)
+    n = np.bincount(group, minlength=len(heads))
+    judged = n >= MIN_WORDS
+    values = values[judged[group]]
+    return rows[heads][judged], lines[heads][judged], np.concatenate([[0], np.cumsum(n[judged])]), values
 
 
-def prefix_size(n: int) -> int:
-    """How many first words of a set of n hold one of every similar set."""
-    return n - -(-PERCENT * n // 100) + 1
+def prefix_size(n: np.ndarray) -> np.ndarray:
+    """How many first words of sets of n words hold two neighbours of every similar set."""
+    return np.minimum(n, n // 4 + n // 5 + 2)
 
 
-def _text_hash(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
+def _tokens(starts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of neighbours in the prefixes, with set and place."""
+    count = prefix_size(np.diff(starts)) - 1
+    group = np.repeat(np.arange(len(count)), count)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = starts[:-1][group] + place
+    return words.mixed(values[at] * np.uint64(0x9E3779B97F4A7C15) + values[at + 1]).view(np.int64), group, place
 
 
 def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -69,111 +70,94 @@ def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
                     F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
 
 
-LINES = "doc struct<known: boolean, id: bigint, h: bigint>, line int, key binary, text_hash bigint, n int, prefix array<int>"
+def _count_tokens(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in words.pieces(batches, 2048):
+            _, _, starts, values = _line_sets(batch["text"], levels)
+            if len(starts) > 1:
+                token, n = np.unique(_tokens(starts, values)[0], return_counts=True)
+                yield pa.record_batch([pa.array(token), pa.array(n)], ["token", "n"])
+    return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1").select("token")
 
 
-def lines_of(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """One row per line that is judged: doc, line, key of its set, hash of its text, size, prefix (32 bits of each word)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in words.pieces(batches, 512):
-            row, line, key, texts, n, prefix = [], [], [], [], [], []
-            for r, text in enumerate(batch["text"].to_pylist()):
-                for i, raw, own in _line_sets(text or "", levels):
-                    row.append(r)
-                    line.append(i)
-                    key.append(xxhash.xxh3_128_digest(own.tobytes()))
-                    texts.append(_text_hash(raw))
-                    n.append(len(own))
-                    prefix.append(own[: prefix_size(len(own))].astype(np.uint32).view(np.int32))
-            if row:
-                yield pa.record_batch([batch["doc"].take(pa.array(row)), pa.array(line, pa.int32()), pa.array(key, pa.binary()), pa.array(texts, pa.int64()),
-                                       pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int32()))], ["doc", "line", "key", "text_hash", "n", "prefix"])
-    return docs.select(document_key().alias("doc"), "text").mapInArrow(run, LINES)
+LINES = ("doc struct<known: boolean, id: bigint, h: bigint>, line int, key binary, n int, tokens array<bigint>, places array<int>, "
+         "words array<bigint>")
 
 
-def _whole_sets(docs: DataFrame, levels: np.ndarray, wanted: np.ndarray) -> DataFrame:
-    """(text_hash, words) of the lines whose text hash may be in the bitmap."""
+def _lines_of(docs: DataFrame, levels: np.ndarray, shared: np.ndarray) -> DataFrame:
+    """One row per line that is judged: doc, line, key of its set, size, tokens that may be in another line, with places, and the set of
+    lines that have such tokens. A set that stands in the batch before is not given again."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in words.pieces(batches):
-            found = {}
-            lines = [x for t in batch["text"].to_pylist() if t for x in t.split("\n")]
-            hashes = np.fromiter(map(_text_hash, lines), np.int64, len(lines))
-            for i in np.flatnonzero(sets.in_bitmap(wanted, hashes)):
-                if int(hashes[i]) not in found:
-                    found[int(hashes[i])] = next((own.view(np.int64) for _, _, own in _line_sets(lines[i], levels)), None)
-            found = {k: v for k, v in found.items() if v is not None}
-            if found:
-                yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["text_hash", "words"])
-    return docs.select("text").mapInArrow(run, "text_hash bigint, words array<bigint>").groupBy("text_hash").agg(F.first("words").alias("words"))
+        for batch in words.pieces(batches, 1024):
+            rows, lines, starts, values = _line_sets(batch["text"], levels)
+            if len(starts) == 1:
+                continue
+            token, group, place = _tokens(starts, values)
+            hit = sets.in_bitmap(shared, token)
+            token, group, place = token[hit], group[hit], place[hit]
+            edges = np.searchsorted(group, np.arange(len(rows) + 1))
+            bytes_ = memoryview(values.tobytes())
+            keys = [xxhash.xxh3_128_digest(bytes_[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+            seen, whole = set(), []
+            for i, (key, a, b) in enumerate(zip(keys, edges[:-1].tolist(), edges[1:].tolist())):
+                whole.append(values[starts[i] : starts[i + 1]].view(np.int64) if a < b and key not in seen else None)
+                seen.add(key)
+            lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x, kind))
+            yield pa.record_batch([
+                batch["doc"].take(pa.array(rows)), pa.array(lines, pa.int32()), pa.array(keys, pa.binary()), pa.array(np.diff(starts), pa.int32()),
+                lists(token, pa.int64()), lists(place, pa.int32()), pa.array(whole, pa.list_(pa.int64()))],
+                ["doc", "line", "key", "n", "tokens", "places", "words"])
+    return docs.select(document_key().alias("doc"), "text").mapInArrow(run, LINES)
 
 
 def _near(x: str, y: str) -> Column:
-    """Length and positional filter of the prefix rows x and y."""
-    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    most = 1 + F.least(nx - F.col(f"{x}.p") - 1, ny - F.col(f"{y}.p") - 1) + F.least(F.col(f"{x}.p"), F.col(f"{y}.p"))
+    """Length and positional filter of x and y that share the token at their places p."""
+    nx, ny, px, py = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.p"), F.col(f"{y}.p")
+    most = F.least(px, py) + F.least(nx - px, ny - py)
     return (100 * nx >= PERCENT * ny) & (100 * ny >= PERCENT * nx) & ((100 + PERCENT) * most >= PERCENT * (nx + ny))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Pairs (x, y of text hashes) whose sets are similar."""
-    pairs = stored(pairs.select("x", "y").distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("k")).distinct()
-    wanted = sets.bitmap(ends, "k", 2 * pairs.count())
-    whole = stored(_whole_sets(docs, levels, wanted), "whole-lines")
-    both = (pairs.join(whole.select(F.col("text_hash").alias("x"), F.col("words").alias("wx")), "x")
-            .join(whole.select(F.col("text_hash").alias("y"), F.col("words").alias("wy")), "y"))
+def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Pairs (x, y) of keys whose sets are similar."""
+    both = (pairs.select("x", "y").distinct().join(whole.select(F.col("key").alias("x"), F.col("words").alias("wx")), "x")
+            .join(whole.select(F.col("key").alias("y"), F.col("words").alias("wy")), "y"))
     shared = F.size(F.array_intersect("wx", "wy"))
     return both.where(100 * shared >= PERCENT * (F.size("wx") + F.size("wy") - shared)).select("x", "y")
 
 
-def removed_sets(distinct: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Text hashes of the distinct sets (first, text_hash, n, prefix) that an earlier one is similar to."""
-    counts = (distinct.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-              .select(F.col("token").cast("long").alias("token")))
-    counts = stored(counts, "tokens")
-    shared = sets.bitmap(counts, "token", counts.count())
-    dropped(counts)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prefix = batch["prefix"]
-            flat, sizes = prefix.flatten().to_numpy().astype(np.int64), np.diff(prefix.offsets.to_numpy())
-            rows = np.repeat(np.arange(len(sizes)), sizes)
-            places = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            hit = np.flatnonzero(sets.in_bitmap(shared, flat))
-            yield pa.record_batch([batch["first"].take(pa.array(rows[hit])), batch["text_hash"].take(pa.array(rows[hit])),
-                                   batch["n"].take(pa.array(rows[hit])), pa.array(flat[hit]), pa.array(places[hit].astype(np.int32))],
-                                  ["first", "text_hash", "n", "token", "p"])
-
-    first = distinct.schema["first"].dataType.simpleString()
-    held = stored(distinct.select("first", "text_hash", "n", "prefix").mapInArrow(
-        keep, f"first {first}, text_hash bigint, n int, token bigint, p int"), "prefixes")
-    me = F.struct("first", "text_hash", "n", "p")
-    heads = held.groupBy("token").agg(F.min(me).alias("x"), F.count("*").alias("c")).where("c > 1")
-    heads = stored(heads, "heads")
-    tests = held.join(heads, "token").select(F.col("x"), me.alias("y")).where("x.text_hash <> y.text_hash").where(_near("x", "y"))
-    found = stored(_verified(tests.select(F.col("x.text_hash").alias("x"), F.col("y.text_hash").alias("y")), docs, levels), "found")
-    decided = found.select(F.col("y").alias("text_hash")).distinct()
-    # of two holders one is the head and the other has met it
-    open_rows = held.join(heads.where("c > 2").select("token"), "token").join(decided, "text_hash", "left_anti")
-    earlier = held.join(heads.where("c > 2").select("token", F.col("x.text_hash").alias("head")), "token").where("text_hash <> head")
+def _removed_sets(distinct: DataFrame) -> DataFrame:
+    """Keys of the distinct sets (key, first, n, tokens, places, words) that an earlier one is similar to."""
+    whole = distinct.where("words is not null").select("key", "words")
+    me = F.struct("first", "key", "n", "p")
+    held = stored(distinct.select("first", "key", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
+                  .select("first", "key", "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("p")), "tokens")
+    heads = stored(held.groupBy("token").agg(F.min(me).alias("x"), F.count("*").alias("c")).where("c > 1"), "heads")
+    tests = held.join(heads, "token").select("x", me.alias("y")).where("x.key <> y.key").where(_near("x", "y"))
+    found = stored(_verified(tests.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")), whole), "found")
+    decided = found.select(F.col("y").alias("key")).distinct()
+    # of two holders one is the head, which the other has met
+    many = heads.where("c > 2")
+    open_rows = held.join(many.select("token"), "token").join(decided, "key", "left_anti")
+    earlier = held.join(many.select("token", F.col("x.key").alias("head")), "token").where("key <> head")
     rest = (open_rows.select("token", me.alias("y")).join(earlier.select("token", me.alias("x")), "token")
             .where("x.first < y.first").where(_near("x", "y")))
-    more = _verified(rest.select(F.col("x.text_hash").alias("x"), F.col("y.text_hash").alias("y")), docs, levels)
-    return found.unionByName(more).select(F.col("y").alias("text_hash")).distinct()
+    more = _verified(rest.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")), whole)
+    return found.unionByName(more).select(F.col("y").alias("key")).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc, removed): the numbers of the lines to remove from each document that has any."""
-    levels = sets.rarity(docs, _word_hashes)
-    lines = stored(lines_of(docs, levels), "lines")
+    levels = sets.rarity(docs, lambda column: words.flat_words(column)[0])
+    counts = stored(_count_tokens(docs, levels), "counts")
+    shared = sets.bitmap(counts, "token", counts.count())
+    dropped(counts)
+    lines = stored(_lines_of(docs, levels, shared), "lines")
     place = F.struct("doc", "line")
-    distinct = stored(lines.groupBy("key").agg(
-        F.min(F.struct("doc", "line", "text_hash")).alias("at"), F.max(place).alias("last"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-        .select("key", F.struct("at.doc", "at.line").alias("first"), "last", F.col("at.text_hash").alias("text_hash"), "n", "prefix"), "line-sets")
-    gone = removed_sets(distinct, docs, levels).withColumn("gone", F.lit(True))
-    later = (distinct.select("key", "first", "last", "text_hash").join(gone, "text_hash", "left")
-             .where("gone or first <> last").select("key", "first", "gone"))
+    places = lines.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    sets_ = lines.where("words is not null").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "places", "words")])
+    places = stored(places, "places")
+    gone = stored(_removed_sets(stored(sets_.join(places.select("key", "first"), "key"), "line-sets")), "gone").withColumn("gone", F.lit(True))
+    later = places.join(gone, "key", "left").where("gone or first <> last").select("key", "first", "gone")
     return (lines.select("doc", "line", "key").join(later, "key").where("gone or struct(doc, line) <> first")
             .groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed")))
 

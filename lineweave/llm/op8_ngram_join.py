@@ -31,21 +31,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineweave.llm import sets, words
-from lineweave.llm.shared import stored
+from lineweave.llm.shared import dropped, stored
 
 #: Words of a run, similarity in percent, members of a group.
 SIZE, PERCENT, GROUP = 4, 85, 32
 
-_hashes = words.WordHashes(lambda w: w.translate(words.ASCII_LOWER))
-
-
-def runs(text: str | None) -> np.ndarray:
-    """Hashes of the different runs of a text."""
-    found = _hashes.of(words.WORD.findall(text or ""))
-    return np.unique(words.window_hashes(found, min(SIZE, len(found)))) if len(found) else found
-
-
-def prefix_size(n: int) -> int:
+def runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of all texts of a column, and their rows."""
+    found, rows, _ = words.flat_words(column)
+    n = np.bincount(rows, minlength=len(column))
+    at = np.flatnonzero(rows[SIZE - 1 :] == rows[: len(rows) - SIZE + 1]) if len(rows) >= SIZE else np.zeros(0, np.int64)
+    hashes, where = words.window_hashes(found, SIZE)[at], rows[at]
+    for size in range(1, SIZE):  # texts of fewer words are one run
+        short = np.flatnonzero(n == size)
+        if len(short):
+            starts = np.searchsorted(rows, short)
+            hashes = np.concatenate([hashes, words.window_hashes(found, size)[starts]])
+            where = np.concatenate([where, short])
+    return hashes, where
+
+
+def _sets(column: pa.Array, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The ordered sets of a column one after the other, their starts (the last is the end), and their keys."""
+    hashes, rows = runs(column)
+    values, rows = words.distinct_in_groups(sets.ranked(hashes, levels), rows)
+    starts = np.searchsorted(rows, np.arange(len(column) + 1))
+    data = memoryview(values.tobytes())
+    return values, starts, [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+
+
+def prefix_size(n):
     return n - -(-PERCENT * n // 100) + 1
 
 
@@ -61,26 +76,28 @@ def sets_of(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """doc, key of the set, its size, and its prefix (32 bits of each run)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.pieces(batches):
-            found = [np.sort(sets.ranked(runs(t), levels)) for t in batch["text"].to_pylist()]
-            yield pa.record_batch([
-                batch["doc"], pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()), pa.array(map(len, found), pa.int64()),
-                pa.array([x[: prefix_size(len(x)) if len(x) else 0].astype(np.uint32).view(np.int32) for x in found], pa.list_(pa.int32()))],
-                ["doc", "key", "n", "prefix"])
+            values, starts, keys = _sets(batch["text"], levels)
+            n = np.diff(starts)
+            size = np.where(n > 0, prefix_size(n), 0)
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[:-1], size)
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(values[at].astype(np.uint32).view(np.int32)))
+            yield pa.record_batch([batch["doc"], pa.array(keys, pa.binary()), pa.array(n, pa.int64()), prefix], ["doc", "key", "n", "prefix"])
     return docs.select(document().alias("doc"), "text").mapInArrow(run, ROWS)
 
 
-def _whole_sets(docs: DataFrame, levels: np.ndarray, wanted: np.ndarray) -> DataFrame:
-    """(key, runs) of the sets whose key may be in the bitmap."""
+def _whole_sets(docs: DataFrame, levels: np.ndarray, keys: DataFrame) -> DataFrame:
+    """(key, runs) of the sets of the keys, and of some others: keys are told apart by a bitmap."""
+    wanted = sets.bitmap(keys.select(_number("key").alias("k")), "k", keys.count())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.pieces(batches):
-            found = {}
-            for text in batch["text"].to_pylist():
-                own = np.sort(sets.ranked(runs(text), levels))
-                key = xxhash.xxh3_128_digest(own.tobytes())
-                if len(own) and sets.in_bitmap(wanted, np.frombuffer(key[:8], np.int64))[0]:
-                    found[key] = own.view(np.int64)
-            if found:
-                yield pa.record_batch([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["key", "runs"])
+            values, starts, found = _sets(batch["text"], levels)
+            numbers = np.frombuffer(b"".join([k[:8] for k in found]), np.int64)
+            hit = np.flatnonzero(sets.in_bitmap(wanted, numbers) & (np.diff(starts) > 0))
+            once = {found[i]: i for i in hit.tolist()}
+            if once:
+                runs_ = [values[starts[i] : starts[i + 1]].view(np.int64) for i in once.values()]
+                yield pa.record_batch([pa.array(list(once), pa.binary()), pa.array(runs_, pa.list_(pa.int64()))], ["key", "runs"])
     return docs.select("text").mapInArrow(run, "key binary, runs array<bigint>").groupBy("key").agg(F.first("runs").alias("runs"))
 
 
@@ -106,6 +123,23 @@ def _similar(x: str, y: str) -> Column:
     return 100 * shared >= PERCENT * (F.size(x) + F.size(y) - shared)
 
 
+def _enough(m: Column, n: Column, least: Column, most: Column) -> Column:
+    """Whether sets of n runs and of least to most runs that share m runs of their prefixes can be similar. Of two prefixes one
+    ends first in the order of runs; all its other runs are missing in the other set."""
+    behind = F.greatest(n - prefix_column(n), most - prefix_column(most))
+    return (100 + PERCENT) * (m + behind) >= PERCENT * (n + F.greatest(least, F.ceil(n * PERCENT / 100)))
+
+
+def prefix_column(n: Column) -> Column:
+    return n - F.ceil(n * PERCENT / 100) + 1
+
+
+def _pairs(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys whose sets are similar."""
+    of = lambda key, runs: whole.select(F.col("key").alias(key), F.col("runs").alias(runs))
+    return pairs.join(of("a", "ra"), "a").join(of("b", "rb"), "b").where(_similar("ra", "rb"))
+
+
 def links(nodes: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """(a, b): links of keys, enough of them to hold every class together."""
     counts = stored(nodes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
@@ -114,15 +148,17 @@ def links(nodes: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
     heads = stored(held.groupBy("token").agg(F.min(F.struct("key", "n")).alias("head"), F.count("*").alias("c")).where("c > 1"), "heads")
     held = stored(held.join(heads.select("token"), "token"), "held")
 
-    keys = held.select("key").distinct()
-    wanted = sets.bitmap(keys.select(_number("key").alias("k")), "k", keys.count())
-    whole = stored(_whole_sets(docs, levels, wanted), "whole-sets")
-    of = lambda key, runs: whole.select(F.col("key").alias(key), F.col("runs").alias(runs))
-
-    tests = (held.join(heads, "token").where(F.col("key") != F.col("head.key")).where(_alike(F.col("n"), F.col("head.n")))
-             .select(F.col("key").alias("a"), F.col("head.key").alias("b")).distinct())
-    star = stored(tests.join(of("a", "ra"), "a").join(of("b", "rb"), "b").where(_similar("ra", "rb")).select("a", "b"), "star")
+    # a node that shares m prefix runs with its head can share no more than m and all behind the prefix; heads of other runs
+    # may be other copies, so a third of the runs needed is enough to try. What is not tried here is left to the groups
+    size, other = F.col("n"), F.col("m")
+    tests = (held.join(heads, "token").where(F.col("key") != F.col("head.key")).where(_alike(size, F.col("head.n")))
+             .groupBy("key", "n", "head").agg(F.count("*").alias("m")).where(_enough(3 * other, size, F.col("head.n"), F.col("head.n")))
+             .select(F.col("key").alias("a"), F.col("head.key").alias("b")))
+    tests = stored(tests, "tests")
+    whole = stored(_whole_sets(docs, levels, tests.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "whole-sets")
+    star = stored(_pairs(tests, whole).select("a", "b"), "star")
     roots = sets.components(star)
+    dropped(whole)
 
     classes = held.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     members = classes.select("key", "root", "n").distinct()
@@ -133,10 +169,14 @@ def links(nodes: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
     matrix = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     asks = (rows.select("token", "key", "root", "n").join(matrix, "token").where(F.col("root") < F.col("group.root"))
             .where((100 * F.col("most") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("least")))
-            .groupBy("key", "group").agg(F.first("n").alias("n")))
-    asks = stored(asks, "asks")
+            .groupBy("key", "n", "group").agg(F.count("*").alias("m"), F.min("least").alias("least"), F.max("most").alias("most"))
+            .where(_enough(F.col("m"), F.col("n"), F.col("least"), F.col("most"))))
+    asks = stored(asks.select("key", "n", "group"), "asks")
+    asked = members.join(asks.select("group").distinct(), "group")
+    whole = stored(_whole_sets(docs, levels, asked.select("key").union(asks.select("key")).distinct()), "whole-sets")
+    of = lambda key, runs: whole.select(F.col("key").alias(key), F.col("runs").alias(runs))
 
-    opened = members.join(asks.select("group").distinct(), "group").join(whole, "key").select("group", "key", "n", "runs")
+    opened = asked.join(whole, "key").select("group", "key", "n", "runs")
     unions = opened.groupBy("group").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("union"), F.min("n").alias("least"))
     bound = 100 * F.size(F.array_intersect("ra", "union"))
     qualify = (asks.join(of("key", "ra"), "key").join(unions, "group")
@@ -157,7 +197,7 @@ def _number(key: str) -> Column:
 
 def classified(docs: DataFrame) -> DataFrame:
     """doc (identity), n_shingles, and head: the document that stands for the class, the smallest id of it."""
-    levels = sets.rarity(docs, runs)
+    levels = sets.rarity(docs, lambda column: runs(column)[0])
     rows = stored(sets_of(docs, levels), "sets")
     nodes = stored(rows.where("n > 0").groupBy("key").agg(
         F.min("doc").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")

@@ -10,16 +10,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.llm import words
+from lineweave.llm.shared import dropped, stored
 
 #: Bits of a token's hash that name its cell, and the share of all tokens (1 / 2 ** HEAVY_BITS) from which a cell is heavy.
 CELL_BITS, HEAVY_BITS = 20, 14
 
 
-def rarity(docs: DataFrame, hashes: Callable[[str], np.ndarray]) -> np.ndarray:
+def rarity(docs: DataFrame, hashes: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
     """Level of each of 2 ** CELL_BITS cells: 0 for rare tokens, more the more often the cell's tokens occur.
 
     Every task counts all tokens of its texts by cell and reports cells with a share of 1 / 2 ** HEAVY_BITS or more, so at most
@@ -27,7 +28,7 @@ def rarity(docs: DataFrame, hashes: Callable[[str], np.ndarray]) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, total = np.zeros(1 << CELL_BITS, np.int64), 0
         for batch in words.pieces(batches):
-            found = np.concatenate([np.zeros(0, np.uint64), *(hashes(t) for t in batch["text"].to_pylist() if t)])
+            found = hashes(batch["text"])
             total += len(found)
             cells += np.bincount((found >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
         heavy = np.flatnonzero(cells >= max(2, total >> HEAVY_BITS))
@@ -67,13 +68,11 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def components(edges: DataFrame, least: Callable[[str, str], Column] = F.least) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of an edge table (a, b): root is the smallest node it is linked with.
 
     Each round joins every node with the smallest neighbour and lets it take over that neighbour's root, so chains
     shrink by half or more; rounds are written to the shared folder."""
-    from lineweave.llm.shared import dropped, stored
-
     links = stored(edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
                    .select("e.*").distinct(), "links")
     roots = stored(links.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "roots")

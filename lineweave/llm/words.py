@@ -35,6 +35,59 @@ def window_hashes(items: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+_FACTOR = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1 of an odd number modulo 2 ** 64, and of its inverse."""
+    if len(_powers[0]) < n:
+        for i, f in enumerate((_FACTOR, pow(_FACTOR, -1, 1 << 64))):
+            x = np.full(1 << max(20, (n - 1).bit_length()), f, np.uint64)
+            x[0] = 1
+            _powers[i] = np.multiply.accumulate(x)
+    return _powers[0][:n], _powers[1][:n]
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, 9, 10, 11, 12, 13]] = True
+_LOWER = np.arange(1, 257, dtype=np.uint64)
+_LOWER[65:91] += 32
+
+
+def flat_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts of a column one after the other: the hash of each word (A-Z in lower case), its row, and its line.
+
+    Works on the bytes of the column: a word's hash is a difference of sums of powers, so no word becomes an object."""
+    wide = pa.types.is_large_string(column.type)
+    ends = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    blank = _BLANK[data]
+    first = np.zeros(len(data) + 1, bool)
+    first[ends] = True  # a text begins here, or the last ends
+    word = ~blank
+    starts = np.flatnonzero(word & (np.concatenate([[True], blank[:-1]]) | first[:-1]))
+    stops = np.flatnonzero(word & (np.concatenate([blank[1:], [True]]) | first[1:])) + 1
+    up, down = powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LOWER[data] * up, out=sums[1:])
+    hashes = mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    lines = np.concatenate([[0], np.cumsum(data == 10)])
+    rows = np.searchsorted(ends, starts, "right") - 1
+    return hashes, rows, lines[starts] - lines[ends[rows]]
+
+
+def distinct_in_groups(values: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of each group in order; groups are numbers under 2 ** 24 in rising order."""
+    order = np.lexsort((values, groups))
+    values, groups = values[order], groups[order]
+    new = np.concatenate([[True], (values[1:] != values[:-1]) | (groups[1:] != groups[:-1])]) if len(values) else np.zeros(0, bool)
+    return values[new], groups[new]
+
+
 class WordHashes(dict):
     """word -> 64-bit hash of its normal form; 0 for words without one. Forgets all when full: memory stays bounded."""
 
