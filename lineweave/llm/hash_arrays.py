@@ -34,6 +34,7 @@ class Arrays:
             if os.path.exists(f"{folder}/{c}.bytes.npy"):
                 self.columns[c] = (self.columns[c], _mapped(f"{folder}/{c}.bytes.npy"))
         self.keys = self.columns["key"]
+        self._starts = None
 
     def first(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each key the place of its first row, and whether there is one."""
@@ -43,6 +44,22 @@ class Arrays:
         at[at == len(self.keys)] = 0
         return at, self.keys[at] == keys
 
+    def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `first`, by way of an index on the leading bits; for keys that are even hashes and occur once."""
+        if not len(self.keys):
+            return self.first(keys)
+        if self._starts is None:
+            self._bits = max(1, int(len(self.keys)).bit_length())
+            edges = (np.arange(1 << self._bits, dtype=np.int64) - (1 << (self._bits - 1))) << (64 - self._bits)
+            self._starts = np.searchsorted(self.keys, edges).astype(np.int64)
+        at = np.minimum(self._starts[(keys >> (64 - self._bits)) + (1 << (self._bits - 1))], len(self.keys) - 1)
+        open_ = np.flatnonzero(self.keys[at] < keys)
+        while len(open_):
+            at[open_] += 1
+            open_ = open_[at[open_] < len(self.keys) - 1]
+            open_ = open_[self.keys[at[open_]] < keys[open_]]
+        return at, self.keys[at] == keys
+
     def bytes_at(self, column: str, i: int) -> bytes:
         ends, data = self.columns[column]
         return data[ends[i - 1] if i else 0 : ends[i]].tobytes()
@@ -63,7 +80,7 @@ class HashArrays:
 
 
 def build(rows: DataFrame) -> HashArrays:
-    """rows: `key` (bigint, any number of rows per key) and value columns (bigint, double, string or binary, without nulls)."""
+    """rows: `key` (bigint, any number of rows per key) and value columns (bigint, float, double, string or binary, without nulls)."""
     spark = rows.sparkSession
     rows, path = stored(rows, "rows"), shared_path(spark, "arrays")
     n = 1 + rows.count() // FILE_ROWS
@@ -99,7 +116,7 @@ def _unpack(paths: list[str], columns: tuple[str, ...], folder: str) -> None:
     for c in columns:
         kind = read[0].schema_arrow.field(c).type if read else pa.int64()
         text = pa.types.is_string(kind) or pa.types.is_binary(kind)
-        out = _array(f"{folder}/{c}.npy", np.float64 if pa.types.is_floating(kind) else np.int64, rows)
+        out = _array(f"{folder}/{c}.npy", kind.to_pandas_dtype() if pa.types.is_floating(kind) else np.int64, rows)
         at = size = 0
         for f in read:
             for batch in f.iter_batches(1 << 16, columns=[c]):

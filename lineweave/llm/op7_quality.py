@@ -30,15 +30,15 @@ from pyspark.sql import functions as F
 from lineweave.llm import hash_arrays, words
 from lineweave.llm.shared import stored
 
-ORDER = 5
+ORDER = 4
 #: Robust standard deviations either side of the median.
-BAND = 4.0
+BAND = 5.0
 #: Half width of a band, in nats per character, that every text is allowed besides.
 LEAST_WIDTH = 0.02
 MIN_WORDS, MAX_REPEATED_PERCENT = 10, 20
 SYMBOLS = "#*$%&|<>"
-#: Words that a task holds at once while it counts or scores.
-HELD_WORDS = 400_000
+#: Words that a task holds at once while it counts, and while it scores.
+HELD_WORDS, HELD_COSTS = 400_000, 1_000_000
 
 _START, _END = "\x02", "\x03"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -77,7 +77,7 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 # --- n-grams as numbers
 
-def _grams(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _points(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The padded words as one row of code points; the places that the model predicts."""
     joined = "".join([_START * (ORDER - 1) + w + _END for w in many])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -91,12 +91,9 @@ def _seed(lang: str) -> np.uint64:
     return words.window_hashes(np.frombuffer(("#" + lang).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), len(lang) + 1)[0]
 
 
-def _keys(points: np.ndarray, ends: np.ndarray, size: int, seed: np.uint64 | np.ndarray) -> np.ndarray:
-    """Keys of the n-grams of `size` code points that end before `ends`."""
-    out = np.full(len(ends), seed + np.uint64(size), np.uint64)
-    for back in range(size, 0, -1):
-        out = words.mixed(out * np.uint64(0x9E3779B97F4A7C15) + points[ends - back])
-    return out.view(np.int64)
+def _longer(keys: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Keys of n-grams that have one more code point in front."""
+    return words.mixed(keys * np.uint64(0x9E3779B97F4A7C15) + points + np.uint64(1))
 
 
 # --- the model, counted by Spark
@@ -165,7 +162,7 @@ def fit(docs: DataFrame) -> hash_arrays.HashArrays:
     """The model of columns lang and text."""
     grams = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         _count_words, "lang string, gram string, c long")
-    return hash_arrays.build(_weights(_levels(grams)).mapInArrow(_with_keys, "key long, alpha double, gamma double"))
+    return hash_arrays.build(_weights(_levels(grams)).mapInArrow(_with_keys, "key long, alpha float, gamma float"))
 
 
 def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +173,12 @@ def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for size in np.unique(sizes).tolist():
             rows = np.flatnonzero(sizes == size)
             text = "".join([grams[i] for i in rows]).encode("utf-32-le", "surrogatepass")
-            points = np.frombuffer(text, np.uint32).astype(np.uint64)
-            keys[rows] = _keys(points, size * np.arange(1, len(rows) + 1), size, seeds[rows])
-        yield pa.record_batch([pa.array(keys, pa.int64()), batch["alpha"], batch["gamma"]], ["key", "alpha", "gamma"])
+            points = np.frombuffer(text, np.uint32).astype(np.uint64).reshape(len(rows), size)
+            own = seeds[rows]
+            for back in range(size - 1, -1, -1):
+                own = _longer(own, points[:, back])
+            keys[rows] = own.view(np.int64)
+        yield pa.record_batch([pa.array(keys, pa.int64()), batch["alpha"].cast(pa.float32()), batch["gamma"].cast(pa.float32())], ["key", "alpha", "gamma"])
 
 
 _seeds: dict[str, np.uint64] = {}
@@ -192,14 +192,18 @@ def _seed_of(lang: str) -> np.uint64:
 
 def word_costs(model: hash_arrays.Arrays, lang: str, many: list[str]) -> np.ndarray:
     """-log probability of each word with its end."""
-    points, ends = _grams(many)
+    points, ends = _points(many)
     seed = _seed_of(lang)
-    p = np.full(len(ends), 1e-6)
-    for size in range(1, ORDER + 1):
-        at, known = model.first(_keys(points, ends, size - 1, seed))
-        gamma = np.where(known, model.columns["gamma"][at], 1.0) if len(model.keys) else 1.0
-        at, known = model.first(_keys(points, ends + 1, size, seed))
-        p = (np.where(known, model.columns["alpha"][at], 0.0) if len(model.keys) else 0.0) + gamma * p
+    keys = np.full(len(points), seed, np.uint64)
+    at, known = model.probe(keys[:1].view(np.int64))
+    gamma = np.where(known, model.columns["gamma"][at], 1.0) if len(keys) else keys
+    p = np.full(len(ends), 1e-6) * gamma
+    for size in range(1, ORDER + 1):  # keys of all n-grams by their last place; those that cross words are not asked for
+        keys[size - 1 :] = _longer(keys[size - 1 :], points[: len(points) - size + 1])
+        at, known = model.probe(keys.view(np.int64))
+        p += np.where(known, model.columns["alpha"][at], 0.0)[ends]
+        if size < ORDER:
+            p *= np.where(known, model.columns["gamma"][at], 1.0)[ends - 1]
     sizes = np.fromiter(map(len, many), np.int64, len(many)) + 1
     return -np.add.reduceat(np.log(p), np.cumsum(sizes) - sizes) if len(many) else np.zeros(0)
 
@@ -217,7 +221,7 @@ def _score(model: hash_arrays.HashArrays):
             counts, scores = [], []
             found = [words.WORD.findall(t or "") for t in batch["text"].to_pylist()]
             langs = [x or "" for x in batch["lang"].to_pylist()]
-            if sum(map(len, cost.values())) > HELD_WORDS:
+            if sum(map(len, cost.values())) > HELD_COSTS:
                 cost.clear()
             for lang in set(langs):
                 own = cost.setdefault(lang, {})
