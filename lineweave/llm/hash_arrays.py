@@ -53,11 +53,11 @@ class Arrays:
             edges = (np.arange(1 << self._bits, dtype=np.int64) - (1 << (self._bits - 1))) << (64 - self._bits)
             self._starts = np.searchsorted(self.keys, edges).astype(np.int64)
         at = np.minimum(self._starts[(keys >> (64 - self._bits)) + (1 << (self._bits - 1))], len(self.keys) - 1)
-        open_ = np.flatnonzero(self.keys[at] < keys)
-        while len(open_):
-            at[open_] += 1
-            open_ = open_[at[open_] < len(self.keys) - 1]
-            open_ = open_[self.keys[at[open_]] < keys[open_]]
+        behind = np.flatnonzero(self.keys[at] < keys)
+        while len(behind):
+            behind = behind[at[behind] < len(self.keys) - 1]
+            at[behind] += 1
+            behind = behind[self.keys[at[behind]] < keys[behind]]
         return at, self.keys[at] == keys
 
     def bytes_at(self, column: str, i: int) -> bytes:
