@@ -36,7 +36,7 @@ from lineweave.llm.shared import dropped, stored
 
 LENGTH, GRAM = 200, 150
 #: Windows of a text that are hashed at once; suffixes of a run and (about) of a range; strings from which splitters come, per range.
-BLOCK, RUN_SUFFIXES, RANGE_SUFFIXES, SAMPLES = 1 << 19, 100_000, 200_000, 40
+BLOCK, RUN_SUFFIXES, RANGE_SUFFIXES, SAMPLES = 1 << 18, 40_000, 80_000, 40
 
 _SPREAD = LENGTH - GRAM + 1
 _PLACE = np.uint64((1 << 20) - 1)
@@ -88,7 +88,7 @@ def _bytes(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in words.pieces(batches, 2048):
+    for batch in words.pieces(batches, 512):
         found = [h for text in _bytes(batch) for _, h, _, _ in stretches(text)]
         if found:
             hashes, n = np.unique(np.concatenate(found).view(np.int64), return_counts=True)
@@ -214,7 +214,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([int(ids[r][i]) for r, i in out], pa.int64()), pa.array([int(places[r][i]) for r, i in out], pa.int64())], ["id", "place"])
 
     for batch in batches:
-        for row in batch.to_pylist():
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
             if row["range"] != current:
                 if held:
                     yield from close()
@@ -256,11 +257,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     data = _stretch_bytes(docs, wanted)
     open_ = stored(open_kinds.select("key", "many").groupBy("key").agg(F.max("many").alias("many")).join(data, "key").withColumn("id", F.monotonically_increasing_id()), "open-bytes")
     places = repeated_places(open_.select("id", "data", "many"))
-    # consecutive places of a stretch as one range
-    found = (places.distinct().groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("places"))
-             .join(open_.where("not many").select("id", "key"), "id").select("key", "places"))
+    found = places.join(open_.where("not many").select("id", "key"), "id").select("key", "place")
     settled = rows.join(kinds.where("n > 1").select("anchor", "key"), ["anchor", "key"], "left_semi").select("doc", "low", "high")
-    sorted_ = rows.join(found, "key").select("doc", "low", F.explode("places").alias("p")).select("doc", (F.col("low") + F.col("p")).alias("low"), (F.col("low") + F.col("p")).alias("high"))
+    start = F.col("low") + F.col("place")
+    sorted_ = rows.join(found, "key").select("doc", start.alias("low"), start.alias("high"))
     return settled.unionByName(sorted_)
 
 
