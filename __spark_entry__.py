@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -134,7 +133,7 @@ def _view_uses(lines: DataFrame, levels: int) -> DataFrame:
 
 
 def _statements(lines: DataFrame, levels: int) -> DataFrame:
-    stmts = lineage.temp_view_use(lineage.classify(program_map.assembled(lines, levels)), levels)
+    stmts = lineage.temp_view_use(lineage.classify(program_map.assembled(lines, levels), keep_bad=True), levels)
     return lineage.drop_after_bad_line(stmts, levels)
 
 
@@ -191,13 +190,16 @@ def _map(spark: SparkSession, sf_dir: str, date: str = DATE) -> DataFrame:
     }).select(program_map.MAP_COLUMNS)
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lineweave-")
-    return f"{base.rstrip('/')}/map-{uuid.uuid4().hex}"
+def _stored_map(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share; removed when the session ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/map-{uuid.uuid4().hex}"
+    files.remove_at_exit(spark, path)
+    return path
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _shared_folder(spark)
+    path = _stored_map(spark)
     map_table.write_map(_map(spark, sf_dir), path)
     return map_table.read_map(spark, path).select(program_map.MAP_COLUMNS)
 
@@ -207,10 +209,14 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replaced_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two days are stored, then the second is stored again with its FROM statements only."""
-    path, rows = _shared_folder(spark), _map(spark, sf_dir)
+    """A day is stored and the map emptied; then two days are stored, and the second again with its FROM statements only."""
+    path, rows = _stored_map(spark), _map(spark, sf_dir)
     second = F.lit("20240102").alias("strd_dt")
     rest = [c for c in program_map.MAP_COLUMNS if c != "strd_dt"]
+    map_table.write_map(rows.select(F.lit("20231231").alias("strd_dt"), *rest), path)
+    map_table.reset_map(spark, path)
+    if not map_table.read_map(spark, path).isEmpty():
+        raise RuntimeError(f"the map at {path} still has rows after its reset")
     map_table.write_map(rows, path)
     first = map_table.read_map(spark, path).where(F.col("strd_dt") == DATE)
     map_table.write_map(first.select(second, *rest), path)

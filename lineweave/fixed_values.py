@@ -55,5 +55,5 @@ STATEMENT_SCHEMAS = [
 # --- sizes ------------------------------------------------------------------------------------
 
 # A script of at most this many source lines is one window partition. A longer one is cut into
-# chunks of this many lines, and state is carried from chunk to chunk (operators/carry.py).
+# chunks of this many lines, and state is carried from chunk to chunk (operators/scan.py).
 CHUNK_LINES = 16384

@@ -20,7 +20,7 @@ _INSERT = rf"(?:OVERWRITE|INTO){_B}+TABLE{_B}+({WORD}+\.{WORD}+)"
 _STOP_WORDS = (
     "AND|AS|COPY|CROSS|CLUSTER|DISTRIBUTE|EXCEPT|FROM|FULL|GROUP|HAVING|IF|INNER|INSERT|INTERSECT|INTO|JOIN|LATERAL|LEFT|"
     "LIMIT|LOCATION|MINUS|NATURAL|ON|OR|ORDER|OUTER|OVERWRITE|PARTITION|RIGHT|SELECT|SEMI|ANTI|SET|SORT|STORED|"
-    "TABLE|UNION|UPDATE|USING|VALUES|WHEN|WHERE|WINDOW|WITH"
+    "PIVOT|TABLE|TABLESAMPLE|UNION|UNPIVOT|UPDATE|USING|VALUES|WHEN|WHERE|WINDOW|WITH"
 )
 _WORD_OR_QUOTED = rf'(?:"[^"]*"|(?!(?i:{_STOP_WORDS})(?!{WORD})){WORD}+)'
 _NAME = rf"{_WORD_OR_QUOTED}(?:\.{_WORD_OR_QUOTED})*"
@@ -31,6 +31,17 @@ _ROLE = r"(?:COPY|FROM|INTO|UPDATE|TABLE|JOIN)"
 _CLAUSE = rf"(?<!{WORD})(?i:{_ROLE}){_B}+{_ITEM}(?:{_B}*,{_B}*{_ITEM})*"
 
 
+_LITERAL = r"'(?:[^']|'')*'"
+_GROUP = r"(?:[^()]|\((?:[^()]|\([^()]*\))*\))"
+# a parenthesis that is no sub-select and has FROM at its own level, as EXTRACT(YEAR FROM d)
+_ARGUMENT_FROM = rf"\((?!{_B}*(?i:SELECT|WITH|FROM)(?!{WORD})){_GROUP}*?(?<!{WORD})(?i:FROM)(?!{WORD}){_GROUP}*\)"
+
+
+def without_values(sql: Column) -> Column:
+    """The statement without what may look like a table but is a value: literals, and FROM in the arguments of a function."""
+    return F.regexp_replace(F.regexp_replace(sql, _LITERAL, "''"), _ARGUMENT_FROM, "()")
+
+
 def clean_statement(sql: Column) -> Column:
     return strip_placeholder_marks(strip_comments_stmt(sql))
 
@@ -87,7 +98,7 @@ def statement_table_refs(sql: Column) -> Column:
     The column list of an INSERT is neither a function call nor a source of names.
     """
     is_insert = F.upper(strip(sql)).startswith("INSERT")
-    clauses = F.transform(F.regexp_extract_all(sql, F.lit(_CLAUSE), F.lit(0)), lambda clause: F.struct(
+    clauses = F.transform(F.regexp_extract_all(without_values(sql), F.lit(_CLAUSE), F.lit(0)), lambda clause: F.struct(
         F.upper(F.regexp_extract(clause, rf"^(?i:{_ROLE})", 0)).alias("role"),
         F.regexp_extract_all(F.regexp_replace(clause, rf"^(?i:{_ROLE}){_B}+", ""), F.lit(_ITEM), F.lit(0)).alias("items")))
     parts = F.flatten(F.transform(clauses, lambda c: F.transform(c["items"], lambda item: _item_parts(c, item))))

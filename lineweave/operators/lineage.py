@@ -55,11 +55,18 @@ def block_owner(lines: DataFrame, levels: int) -> DataFrame:
     return lines.withColumn("owner", owner).drop("in_sql", "run_start", *state, *[f"prev_{s}" for s in state])
 
 
-def classify(lines: DataFrame) -> DataFrame:
-    """Keep statements; add `upper`, `kind`, the names `found` and the view a line declares (X2, X3). Narrow."""
+def nameless_opener(line: Column) -> Column:
+    return opens_block(line) & (nm.df_variable(line) == "")
+
+
+def classify(lines: DataFrame, keep_bad: bool = False) -> DataFrame:
+    """Keep statements; add `upper`, `kind`, the names `found` and the view a line declares (X2, X3). Narrow.
+
+    `keep_bad` keeps lines of no kind that end their script, for `drop_after_bad_line`."""
     line = F.col("line")
     lines = lines.withColumn("upper", F.upper(line))
-    return (computed_once(lines, "kind", nm.stmt_type(line, F.col("upper"))).where(F.col("kind").isNotNull())
+    wanted = F.col("kind").isNotNull()
+    return (computed_once(lines, "kind", nm.stmt_type(line, F.col("upper"))).where(wanted | nameless_opener(line) if keep_bad else wanted)
             .withColumns({"found": nm.table_refs(line, F.col("kind")), "view": nm.view_name(line)}))
 
 
@@ -147,7 +154,7 @@ def drop_after_bad_line(stmts: DataFrame, levels: int) -> DataFrame:
 
 def is_bad() -> Column:
     line = F.col("line")
-    return nm.lacks_name(line, F.col("found"), F.col("kind")) | (opens_block(line) & (nm.df_variable(line) == ""))
+    return F.coalesce(nm.lacks_name(line, F.col("found"), F.col("kind")), F.lit(False)) | nameless_opener(line)
 
 
 def carried_refs(stmts: DataFrame, levels: int, schemas: list[str] = fv.KNOWN_SCHEMAS,

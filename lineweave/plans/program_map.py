@@ -86,7 +86,7 @@ def owned(lines: DataFrame, levels: int) -> DataFrame:
 
 def statements(lines: DataFrame, levels: int) -> DataFrame:
     """Typed lines with owner, found names and view uses, up to the first bad line of each script."""
-    stmts = lineage.temp_view_use(lineage.classify(owned(lines, levels)), levels)
+    stmts = lineage.temp_view_use(lineage.classify(owned(lines, levels), keep_bad=True), levels)
     return cut_lineage(lineage.drop_after_bad_line(stmts, levels), levels)
 
 
@@ -111,7 +111,7 @@ def program_table_map(lines: DataFrame, strd_dt: str, schemas: list[str] = fv.KN
 def bad_scripts(lines: DataFrame, chunk_lines: int = fv.CHUNK_LINES, sizes: DataFrame | None = None) -> DataFrame:
     """(script_id, bad_line_no): the scripts the map leaves off before their end, and where."""
     def body(part: DataFrame, levels: int) -> DataFrame:
-        stmts = lineage.temp_view_use(lineage.classify(assembled(part, levels)), levels)
+        stmts = lineage.temp_view_use(lineage.classify(assembled(part, levels), keep_bad=True), levels)
         return stmts.where(lineage.is_bad()).select("script_id", "line_no")
 
     rows = by_length(lines, body, chunk_lines, sizes)

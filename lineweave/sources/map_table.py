@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lineweave.plans.program_map import MAP_COLUMNS, expand_copies
 
+MAP_SCHEMA = ("script_path string, script_name string, line_no long, df_var string, stmt_type string, table_name string, "
+              "in_line boolean, line string, copies long, strd_dt string")
+
 
 def write_map(rows: DataFrame, path: str) -> None:
     """Replace the partitions of the dates in `rows`; other dates stay."""
@@ -16,12 +19,15 @@ def write_map(rows: DataFrame, path: str) -> None:
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
     """The stored map; a filter on `strd_dt` reads only its partitions."""
-    return spark.read.option("basePath", path).parquet(path).withColumn("strd_dt", F.col("strd_dt").cast("string"))
+    return spark.read.schema(MAP_SCHEMA).option("basePath", path).parquet(path)
 
 
-def reset_map(rows: DataFrame, path: str) -> None:
-    """Empty the stored map; `rows` gives the schema."""
-    rows.select(MAP_COLUMNS).limit(0).write.mode("overwrite").parquet(path)
+def reset_map(spark: SparkSession, path: str) -> None:
+    """Empty the stored map: the folder stays, all its days go."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(folder, True)
+    fs.mkdirs(folder)
 
 
 def record_text() -> Column:

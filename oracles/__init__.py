@@ -396,6 +396,9 @@ _NAME_EQ = rf"({W}+){B}*="
 def all_sql() -> dict[str, str]:
     return {
         # sources and sinks
+        "script_scan": "SELECT unnest(" + sql_list(f"{t}.parquet" for t in (
+            "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier").split())
+        + ") AS script_name",
         "script_decode": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
         "script_lines": f"WITH{DOC_LINES} SELECT doc_id AS script_id, line_no AS src_line_no, line FROM doc_lines",
         "relative_path": """

@@ -26,10 +26,10 @@ PARTS = [
     "ALTER TABLE {DB_IP}.TB_7 ADD", "LOCATION '/w/1'", "CREATE OR REPLACE VIEW {DB_SWG}.V_1 AS",
     "TAST.TB_1 FROM TAST.TB_2", "FROM 가나.TB_1 x", "FROM SWG.AB x", "x = {CommonCfg.A}_lower()}\t", "DROP {DB_SWG}.TB_9 ",
     "FROM IP_PLF.TB_K JOIN {A_B.C}.D", "spark.sql(f\"DROP TABLE IF EXISTS {DB_TMP}.TB_5\")", "createOrReplaceTempView (",
-    "FROM V_ONE JOIN", "JOIN CASE WHEN STG_V1", "df_Z = spark.sql(\"\"\"SELECT 1 FROM {DB_SWG}.TB_Z \"\"\")",
+    "df_ = save", "FROM V_ONE JOIN", "JOIN CASE WHEN STG_V1", "df_Z = spark.sql(\"\"\"SELECT 1 FROM {DB_SWG}.TB_Z \"\"\")",
 ]
 # lines that end a script, alone or with others of the list
-FATAL = {'df_P = spark.read.parquet("x")', "df_ = spark.sql('x')", "X.SAVE", "\\", '.parquet(save_dir + "/p")',
+FATAL = {"df_ = save", 'df_P = spark.read.parquet("x")', "df_ = spark.sql('x')", "X.SAVE", "\\", '.parquet(save_dir + "/p")',
          'df_P.write.mode("overwrite").parquet(save_dir)', 'df_P.write.mode("overwrite") \\', "  .option(a=1) \\"}
 
 

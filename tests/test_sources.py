@@ -69,5 +69,15 @@ def test_stored_map(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(out).collect()) == [
         "20240101|p|s.py|1|df_A|FROM|SWG.T1X|FROM SWG.T1X", "20240101|p|s.py|1|df_A|FROM|SWG.T1X|FROM SWG.T1X",
         "20240102|p|s.py|2|@@##df_A|FROM|SWG.T2X|FROM"]
-    map_table.reset_map(one, path)
+    map_table.reset_map(spark, path)
     assert spark.read.schema(one.schema).parquet(path).count() == 0
+
+
+def test_scripts_that_are_not_read_are_listed(spark, tmp_path):
+    root = tmp_path / "in"
+    for name in ("a.py", "__init__.py", "_x.sql", ".h.sh", "sub/_y/z.sql", "_n.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("FROM SWG.TB_ONE")
+    scanned = {r.path.split("/in/")[1] for r in files.script_scan(spark, str(root)).collect()}
+    skipped = {r.path.split("/in/")[1]: r.length for r in files.skipped_scripts(spark, str(root)).collect()}
+    assert scanned == {"a.py"} and skipped == {n: 15 for n in ("__init__.py", "_x.sql", ".h.sh", "sub/_y/z.sql")}

@@ -22,6 +22,9 @@ def test_references(spark):
         "COPY log_in FROM 's3'",
         'SELECT 1 FROM "low" union all select 2 from a.b c /* from d */',
         "CREATE TABLE SWG.T1 LOCATION '/x'",
+        "SELECT 1 FROM s.t WHERE note = 'moved FROM archive' AND b = 'it''s FROM x'",
+        "SELECT EXTRACT(YEAR FROM CAST(d AS DATE)), TRIM(BOTH FROM e) FROM s.t WHERE a IN (SELECT b FROM s.u)",
+        "SELECT 1 FROM s.t3 TABLESAMPLE (10 PERCENT) JOIN s.t4 x",
     )
     assert got[0] == [("FROM", "db", "ta", "x", False, "x"), ("FROM", "s", "tb", None, False, "tb")]
     assert got[1] == [("INTO", "sch", "tgt", None, False, "tgt"), ("FROM", None, "src_a", "A", False, "A"),
@@ -31,6 +34,9 @@ def test_references(spark):
     assert got[4] == []
     assert got[5] == [("COPY", None, "log_in", None, False, "log_in")]
     assert got[6] == [("FROM", None, "low", '"low"', False, '"low"'), ("FROM", "a", "b", "c", False, "c")]
+    assert [r[:3] for r in got[8]] == [("FROM", "s", "t")]
+    assert [r[:3] for r in got[9]] == [("FROM", "s", "t"), ("FROM", "s", "u")]
+    assert [r[:4] for r in got[10]] == [("FROM", "s", "t3", None), ("JOIN", "s", "t4", "x")]
     assert got[7] == [("TABLE", "swg", "t1", "T1", False, "T1")]
 
 
