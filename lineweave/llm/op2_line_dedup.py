@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineweave.llm import sets, words
-from lineweave.llm.shared import dropped, stored
+from lineweave.llm.shared import dropped, scratch, stored
 
 #: Similarity in percent, and the least number of different words of a line that is judged. The prefix below is for 80 %.
 PERCENT, MIN_WORDS = 80, 5
@@ -147,19 +147,20 @@ def _removed_sets(distinct: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc, removed): the numbers of the lines to remove from each document that has any."""
-    levels = sets.rarity(docs, lambda column: words.flat_words(column)[0])
-    counts = stored(_count_tokens(docs, levels), "counts")
-    shared = sets.bitmap(counts, "token", counts.count())
-    dropped(counts)
-    lines = stored(_lines_of(docs, levels, shared), "lines")
-    place = F.struct("doc", "line")
-    places = lines.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    sets_ = lines.where("words is not null").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "places", "words")])
-    places = stored(places, "places")
-    gone = stored(_removed_sets(stored(sets_.join(places.select("key", "first"), "key"), "line-sets")), "gone").withColumn("gone", F.lit(True))
-    later = places.join(gone, "key", "left").where("gone or first <> last").select("key", "first", "gone")
-    return (lines.select("doc", "line", "key").join(later, "key").where("gone or struct(doc, line) <> first")
-            .groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed")))
+    with scratch(docs.sparkSession):
+        levels = sets.rarity(docs, lambda column: words.flat_words(column)[0])
+        counts = stored(_count_tokens(docs, levels), "counts")
+        shared = sets.bitmap(counts, "token", counts.count())
+        dropped(counts)
+        lines = stored(_lines_of(docs, levels, shared), "lines")
+        place = F.struct("doc", "line")
+        places = lines.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        sets_ = lines.where("words is not null").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "places", "words")])
+        places = stored(places, "places")
+        gone = stored(_removed_sets(stored(sets_.join(places.select("key", "first"), "key"), "line-sets")), "gone").withColumn("gone", F.lit(True))
+        later = places.join(gone, "key", "left").where("gone or first <> last").select("key", "first", "gone")
+        return stored(lines.select("doc", "line", "key").join(later, "key").where("gone or struct(doc, line) <> first")
+                .groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed", keep=True)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

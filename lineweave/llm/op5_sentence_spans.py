@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lineweave.llm import sets, words
 from lineweave.llm.op2_line_dedup import document_key
-from lineweave.llm.shared import dropped, stored
+from lineweave.llm.shared import dropped, scratch, stored
 
 #: Sentences of a span, and the words that it must have.
 RUN, MIN_WORDS = 2, 12
@@ -87,16 +87,18 @@ def _places(docs: DataFrame, repeated: np.ndarray) -> DataFrame:
 
 def covered(docs: DataFrame) -> DataFrame:
     """doc, doc_id, n_sentences and removed, the numbers of the sentences to remove; one row per row of docs."""
-    counts = stored(docs.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "spans")
-    repeated = sets.bitmap(counts, "h", counts.count())
-    dropped(counts)
-    places = stored(_places(docs, repeated), "places")
-    held = places.select("doc", F.inline("spans")).distinct()
-    firsts = held.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = held.join(firsts, "key").where("struct(doc, at) <> first")
-    gone = again.select("doc", F.explode(F.sequence(F.col("at"), F.col("at") + RUN - 1)).alias("i")).groupBy("doc").agg(
-        F.sort_array(F.collect_set("i")).alias("removed"))
-    return places.drop("spans").join(gone, "doc", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    with scratch(docs.sparkSession):
+        counts = stored(docs.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "spans")
+        repeated = sets.bitmap(counts, "h", counts.count())
+        dropped(counts)
+        places = stored(_places(docs, repeated), "places")
+        held = places.select("doc", F.inline("spans")).distinct()
+        firsts = held.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        again = held.join(firsts, "key").where("struct(doc, at) <> first")
+        gone = again.select("doc", F.explode(F.sequence(F.col("at"), F.col("at") + RUN - 1)).alias("i")).groupBy("doc").agg(
+            F.sort_array(F.collect_set("i")).alias("removed"))
+        whole = places.drop("spans").join(gone, "doc", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+        return stored(whole, "removed", keep=True)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

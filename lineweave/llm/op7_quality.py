@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineweave.llm import hash_arrays, words
-from lineweave.llm.shared import stored
+from lineweave.llm.shared import scratch, stored
 
 ORDER = 4
 #: Robust standard deviations either side of the median.
@@ -162,7 +162,8 @@ def fit(docs: DataFrame) -> hash_arrays.HashArrays:
     """The model of columns lang and text."""
     grams = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         _count_words, "lang string, gram string, c long")
-    return hash_arrays.build(_weights(_levels(grams)).mapInArrow(_with_keys, "key long, alpha float, gamma float"))
+    with scratch(docs.sparkSession):
+        return hash_arrays.build(_weights(_levels(grams)).mapInArrow(_with_keys, "key long, alpha float, gamma float"))
 
 
 def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

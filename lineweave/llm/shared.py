@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +23,33 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written once as Parquet and read again: its lineage ends there, and a lost executor costs no recomputation."""
-    path = shared_path(df.sparkSession, label)
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `stored` writes inside are deleted at the end, but for those written to be kept."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _hadoop(spark, path, lambda fs, p: fs.delete(p, True))
+
+
+def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """df written once as Parquet and read again: its lineage ends there, and a lost executor costs no recomputation.
+
+    keep: it outlives the innermost `scratch`, and goes with the one around that."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # Spark removes the shuffle files of plans that nothing refers to when the driver's JVM collects garbage
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
