@@ -8,12 +8,12 @@ Every document gets its class: the smallest doc_id that it reaches by links.
    n - ceil(t n) + 1 runs (the prefix). Runs in one prefix only go no further.
 2. Each node is compared with the first holder of each of its prefix runs: linear in the rows, and enough to join most near
    copies of a text, however many there are.
-3. The nodes joined so far are the partition: each class, cut into groups of GROUP members, is a group of similar documents; all
-   others are groups of one. The token-group matrix holds which prefix runs occur in which group, and each group that is
-   asked for keeps the union of its members' whole sets.
-4. A node asks the groups of other classes that share a prefix run and whose sizes can match. Its overlap with the union bounds
-   the overlap with every member; only groups whose bound reaches t are opened, and their members compared one by one.
-   Links within a class need no search: they can't change the classes.
+3. The partition: nodes go to the head with which they share most prefix runs, and the nodes of a head are cut into groups of
+   about GROUP members. The token-group matrix holds which prefix runs occur in which group; each group that is asked for keeps
+   its members' whole sets and their union.
+4. A node asks the groups with which it shares prefix runs, whose sizes can match and which hold a later class. Prefix runs in common
+   bound the overlap first, the union of the group then; only groups whose bounds reach t are opened, and their
+   members of later classes compared one by one. Links within a class need no search: they can't change the classes.
 
 Every link between different classes is found, whatever the size of groups. Null texts count as empty; rows with null doc_id
 take part and take the smallest known id of their class. Repeated rows get the same result. Columns of the input named like
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineweave.llm import sets, words
-from lineweave.llm.shared import dropped, stored
+from lineweave.llm.shared import dropped, scratch, stored
 
 #: Words of a run, similarity in percent, members of a group.
 SIZE, PERCENT, GROUP = 4, 85, 32
@@ -118,7 +118,7 @@ def _alike(x: Column, y: Column) -> Column:
     return (100 * x >= PERCENT * y) & (100 * y >= PERCENT * x)
 
 
-def _similar(x: str, y: str) -> Column:
+def _similar(x: str | Column, y: str | Column) -> Column:
     shared = F.size(F.array_intersect(x, y))
     return 100 * shared >= PERCENT * (F.size(x) + F.size(y) - shared)
 
@@ -150,39 +150,38 @@ def links(nodes: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
     # a node that shares m prefix runs with its head can share no more than m and all behind the prefix; heads of other runs
     # may be other copies, so a third of the runs needed is enough to try. What is not tried here is left to the groups
-    size, other = F.col("n"), F.col("m")
-    tests = (held.join(heads, "token").where(F.col("key") != F.col("head.key")).where(_alike(size, F.col("head.n")))
-             .groupBy("key", "n", "head").agg(F.count("*").alias("m")).where(_enough(3 * other, size, F.col("head.n"), F.col("head.n")))
-             .select(F.col("key").alias("a"), F.col("head.key").alias("b")))
+    tests = (held.join(heads, "token").where(F.col("key") != F.col("head.key")).where(_alike(F.col("n"), F.col("head.n")))
+             .groupBy("key", "n", "head").agg(F.count("*").alias("m")).where(_enough(3 * F.col("m"), F.col("n"), F.col("head.n"), F.col("head.n")))
+             .select(F.col("key").alias("a"), F.col("head.key").alias("b"), "m"))
     tests = stored(tests, "tests")
     whole = stored(_whole_sets(docs, levels, tests.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "whole-sets")
     star = stored(_pairs(tests, whole).select("a", "b"), "star")
     roots = sets.components(star)
     dropped(whole)
 
-    classes = held.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    members = classes.select("key", "root", "n").distinct()
-    parts = members.groupBy("root").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    members = stored(members.join(parts, "root").select(
-        "key", "root", "n", F.struct("root", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part")).alias("group")), "members")
+    pivots = tests.groupBy(F.col("a").alias("key")).agg(F.max_by("b", F.struct("m", "b")).alias("pivot"))
+    members = (held.select("key", "n").distinct().join(pivots, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
+               .select("key", "n", F.coalesce("root", "key").alias("root"), F.coalesce("pivot", "key").alias("pivot")))
+    parts = members.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    members = stored(members.join(parts, "pivot").select(
+        "key", "n", "root", F.struct("pivot", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part")).alias("group")), "members")
     rows = held.select("token", "key").join(members, "key")
-    matrix = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asks = (rows.select("token", "key", "root", "n").join(matrix, "token").where(F.col("root") < F.col("group.root"))
+    matrix = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("root").alias("last"))
+    asks = (rows.select("token", "key", "root", "n").join(matrix, "token").where(F.col("root") < F.col("last"))
             .where((100 * F.col("most") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("least")))
-            .groupBy("key", "n", "group").agg(F.count("*").alias("m"), F.min("least").alias("least"), F.max("most").alias("most"))
+            .groupBy("key", "root", "n", "group").agg(F.count("*").alias("m"), F.min("least").alias("least"), F.max("most").alias("most"))
             .where(_enough(F.col("m"), F.col("n"), F.col("least"), F.col("most"))))
-    asks = stored(asks.select("key", "n", "group"), "asks")
+    asks = stored(asks.select("key", "root", "n", "group"), "asks")
     asked = members.join(asks.select("group").distinct(), "group")
     whole = stored(_whole_sets(docs, levels, asked.select("key").union(asks.select("key")).distinct()), "whole-sets")
-    of = lambda key, runs: whole.select(F.col("key").alias(key), F.col("runs").alias(runs))
 
-    opened = asked.join(whole, "key").select("group", "key", "n", "runs")
-    unions = opened.groupBy("group").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("union"), F.min("n").alias("least"))
-    bound = 100 * F.size(F.array_intersect("ra", "union"))
-    qualify = (asks.join(of("key", "ra"), "key").join(unions, "group")
-               .where(bound >= PERCENT * F.greatest(F.col("n"), F.col("least"))).select(F.col("key").alias("a"), "group", "ra"))
-    more = (qualify.join(opened.select("group", F.col("key").alias("b"), F.col("runs").alias("rb")), "group")
-            .where(_similar("ra", "rb")).select("a", "b"))
+    # one row per group: its members and their union; at most GROUP and a few more sets, as the parts of a pivot are even
+    groups = asked.join(whole, "key").groupBy("group").agg(
+        F.collect_list(F.struct("key", "root", "runs")).alias("members"), F.array_distinct(F.flatten(F.collect_list("runs"))).alias("union"), F.min("n").alias("least"))
+    own = asks.join(whole, "key").select(F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("runs").alias("asked"), "group")
+    bound = 100 * F.size(F.array_intersect("asked", "union")) >= PERCENT * F.greatest(F.col("na"), F.col("least"))
+    linked = F.filter("members", lambda x: (x["root"] > F.col("ra")) & _similar(F.col("asked"), x["runs"]))
+    more = (own.join(groups, "group").where(bound).select("a", F.explode(F.transform(linked, lambda x: x["key"])).alias("b")))
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
 
 
@@ -197,17 +196,18 @@ def _number(key: str) -> Column:
 
 def classified(docs: DataFrame) -> DataFrame:
     """doc (identity), n_shingles, and head: the document that stands for the class, the smallest id of it."""
-    levels = sets.rarity(docs, lambda column: runs(column)[0])
-    rows = stored(sets_of(docs, levels), "sets")
-    nodes = stored(rows.where("n > 0").groupBy("key").agg(
-        F.min("doc").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
-    roots = sets.components(links(nodes, docs, levels)).withColumnRenamed("node", "key")
-    joined = nodes.select("key", "first").join(roots, "key")
-    heads = joined.groupBy("root").agg(F.min("first").alias("class"))
-    classes = joined.join(heads, "root").select("key", "class")
-    heads = nodes.select("key", "first").join(classes, "key", "left").select("key", F.coalesce("class", "first").alias("head"))
-    return rows.select("doc", "key", "n").join(heads, "key", "left").select(
-        "doc", F.col("n").alias("n_shingles"), F.coalesce("head", "doc").alias("head"))
+    with scratch(docs.sparkSession):
+        levels = sets.rarity(docs, lambda column: runs(column)[0])
+        rows = stored(sets_of(docs, levels), "sets")
+        nodes = stored(rows.where("n > 0").groupBy("key").agg(
+            F.min("doc").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
+        roots = sets.components(links(nodes, docs, levels)).withColumnRenamed("node", "key")
+        joined = nodes.select("key", "first").join(roots, "key")
+        heads = joined.groupBy("root").agg(F.min("first").alias("class"))
+        classes = joined.join(heads, "root").select("key", "class")
+        heads = nodes.select("key", "first").join(classes, "key", "left").select("key", F.coalesce("class", "first").alias("head"))
+        return stored(rows.select("doc", "key", "n").join(heads, "key", "left").select(
+            "doc", F.col("n").alias("n_shingles"), F.coalesce("head", "doc").alias("head")), "classes", keep=True)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,31 +16,46 @@ from pyspark.sql import functions as F
 from lineweave.llm import words
 from lineweave.llm.shared import dropped, stored
 
-#: Bits of a token's hash that name its cell, and the share of all tokens (1 / 2 ** HEAVY_BITS) from which a cell is heavy.
-CELL_BITS, HEAVY_BITS = 20, 14
+#: Bits of a token's hash that name its cell, and cells of a block of the sketch.
+CELL_BITS, BLOCK = 22, 1 << 14
 
 
 def rarity(docs: DataFrame, hashes: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
     """Level of each of 2 ** CELL_BITS cells: 0 for rare tokens, more the more often the cell's tokens occur.
 
-    Every task counts all tokens of its texts by cell and reports cells with a share of 1 / 2 ** HEAVY_BITS or more, so at most
-    2 ** HEAVY_BITS rows come from a task, and as many (times two, for rounding) reach the driver after they are summed."""
+    Every task counts all tokens of its texts by cell; blocks of cells are summed over the tasks. The driver receives the
+    sums, which have one size whatever the input is. A cell is rare up to what chance puts into it when tokens are
+    dealt evenly (the mean and four standard deviations)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, total = np.zeros(1 << CELL_BITS, np.int64), 0
+        cells, any_ = np.zeros(1 << CELL_BITS, np.uint32), False
         for batch in words.pieces(batches):
-            found = hashes(batch["text"])
-            total += len(found)
-            cells += np.bincount((found >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
-        heavy = np.flatnonzero(cells >= max(2, total >> HEAVY_BITS))
-        if total:
-            yield pa.record_batch([pa.array(np.append(heavy, -1)), pa.array(np.append(cells[heavy], total))], ["cell", "n"])
-
-    sums = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    total = F.max(F.when(F.col("cell") < 0, F.col("n")))
-    least = (sums.agg(total.alias("total")).first()["total"] or 0) >> (HEAVY_BITS + 1)
-    levels = np.zeros(1 << CELL_BITS, np.uint8)
-    for r in sums.where((F.col("cell") >= 0) & (F.col("n") >= max(2, least))).collect():
-        levels[r["cell"]] = int(r["n"]).bit_length()
+            found = (hashes(batch["text"]) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+            any_ = any_ or len(found) > 0
+            cells += np.bincount(found, minlength=1 << CELL_BITS).astype(np.uint32) if len(found) > 1 << 18 else 0
+            if len(found) <= 1 << 18:
+                np.add.at(cells, found, 1)
+        if any_:
+            for b in range(0, 1 << CELL_BITS, BLOCK):
+                yield pa.record_batch([pa.array([b // BLOCK], pa.int32()), pa.array([cells[b : b + BLOCK].tobytes()], pa.binary())], ["block", "cells"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, cells in zip(batch["block"].to_pylist(), batch["cells"]):
+                own = np.frombuffer(cells.as_buffer(), np.uint32)
+                sums[b] = sums[b] + own if b in sums else own.astype(np.int64)
+        for b, own in sums.items():
+            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["block", "cells"])
+
+    parts = docs.select("text").mapInArrow(count, "block int, cells binary")
+    # one partition holds few blocks of fixed size
+    sums = parts.repartition((1 << CELL_BITS) // BLOCK // 8, "block").mapInArrow(add, "block int, cells binary").toArrow()
+    cells = np.zeros(1 << CELL_BITS, np.int64)
+    for b, own in zip(sums["block"].to_pylist(), sums["cells"].to_pylist()):
+        cells[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(own, np.int64)
+    mean = cells.mean()
+    levels = np.ceil(np.log2(np.maximum(cells, 1))).astype(np.uint8)
+    levels[cells <= mean + 4 * np.sqrt(mean) + 4] = 0
     return levels
 
 
