@@ -9,7 +9,7 @@ by its first LENGTH bytes only, its window.
    by a 128-bit key before anything else: all windows of a stretch that occurs twice are repeated. This settles exact copies
    without sorting them, however many there are.
 3. Suffixes. Only stretches that occur once, but whose anchor occurs in other stretches too, are open. Their windows, and those of
-   the other stretches with these anchors, are sorted: tasks sort runs, front-code them, cut them at common splitters and
+   the other stretches with these anchors, are sorted, but for windows whose hash occurs once among them: tasks sort runs, front-code them, cut them at common splitters and
    exchange the parts; each range is merged by a loser tree that never compares a known common prefix again. A window that
    shares all LENGTH bytes with its neighbour is repeated. Equal windows of a run are exchanged once.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lineweave.llm import front_coding, sets, words
 from lineweave.llm.op2_line_dedup import document_key
-from lineweave.llm.shared import dropped, stored
+from lineweave.llm.shared import dropped, scratch, stored
 
 LENGTH, GRAM = 200, 150
 #: Windows of a text that are hashed at once; suffixes of a run and (about) of a range; strings from which splitters come, per range.
@@ -40,18 +40,6 @@ BLOCK, RUN_SUFFIXES, RANGE_SUFFIXES, SAMPLES = 1 << 18, 40_000, 80_000, 40
 
 _SPREAD = LENGTH - GRAM + 1
 _PLACE = np.uint64((1 << 20) - 1)
-_FACTOR = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
-
-
-def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2 ** 64, and of its inverse."""
-    if not _powers:
-        for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64)):
-            x = np.full(BLOCK + LENGTH, f, np.uint64)
-            x[0] = 1
-            _powers.append(np.multiply.accumulate(x))
-    return _powers[0][:n], _powers[1][:n]
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +47,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data) - LENGTH + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    up, down = _factors(len(data))
+    up, down = words.powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
     grams = words.mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1])
@@ -138,23 +126,41 @@ def _stretch_bytes(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
 PART = "range int, common binary, rest binary, ids binary, places binary, many binary"
 
 
-def _sorted_run(found: list[tuple[int, bytes, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of the stretches in order, with stretch, place, and whether the stretch occurs twice."""
-    rows = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), LENGTH) for _, data, _ in found]
-    sizes = [len(r) for r in rows]
+def _sorted_run(found: list[tuple[int, bytes, bool, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The chosen windows of the stretches in order, with stretch, place, and whether the stretch occurs twice."""
+    rows = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), LENGTH)[at] for _, data, _, at in found]
+    sizes = list(map(len, rows))
     table = np.ascontiguousarray(np.concatenate(rows))
     order = np.argsort(table.view(f"S{LENGTH}").ravel(), kind="stable")
-    ids = np.repeat(np.array([i for i, _, _ in found], np.int64), sizes)
-    places = np.concatenate([np.arange(s) for s in sizes])
-    many = np.repeat(np.array([m for _, _, m in found], bool), sizes)
+    ids = np.repeat(np.array([f[0] for f in found], np.int64), sizes)
+    places = np.concatenate([f[3] for f in found])
+    many = np.repeat(np.array([f[2] for f in found], bool), sizes)
     return table[order], ids[order], places[order].astype(np.int64), many[order]
 
 
-def _runs(splitters: list[bytes]):
-    """Sorts runs of windows; equal windows of a run become one (`many`), and their places are given out at once (range -1)."""
+def _window_hashes(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of the stretches one after the other, and the number of windows of each."""
+    flat = np.frombuffer(b"".join(datas), np.uint8)
+    sizes = np.fromiter(map(len, datas), np.int64, len(datas))
+    n = sizes - LENGTH + 1
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.cumsum(sizes) - sizes, n)
+    up, down = words.powers(len(flat))
+    sums = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+    return words.mixed((sums[at + LENGTH] - sums[at]) * down[at]).view(np.int64), n
+
+
+def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in words.pieces(batches, 4096):
+        hashes, n = np.unique(_window_hashes(batch["data"].to_pylist())[0], return_counts=True)
+        yield pa.record_batch([pa.array(hashes), pa.array(n)], ["h", "n"])
+
+
+def _runs(splitters: list[bytes], repeated: np.ndarray):
+    """Sorts runs of those windows whose hash may be in the bitmap; equal windows of a run become one (`many`), and their places are given out at once (range -1)."""
     edges = np.array(splitters, f"S{LENGTH}")
 
-    def one(found: list[tuple[int, bytes, bool]]) -> Iterator[pa.RecordBatch]:
+    def one(found: list[tuple[int, bytes, bool, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         table, ids, places, many = _sorted_run(found)
         new = np.concatenate([[True], (table[1:] != table[:-1]).any(axis=1)])
         group = np.cumsum(new) - 1
@@ -172,10 +178,15 @@ def _runs(splitters: list[bytes]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = [], 0
-        for batch in batches:
-            for i, data, many in zip(batch["id"].to_pylist(), batch["data"].to_pylist(), batch["many"].to_pylist()):
-                found.append((i, data, many))
-                n += len(data) - LENGTH + 1
+        for batch in words.pieces(batches, 4096):
+            datas = batch["data"].to_pylist()
+            hashes, sizes = _window_hashes(datas)
+            hit = sets.in_bitmap(repeated, hashes)
+            for i, data, many, own in zip(batch["id"].to_pylist(), datas, batch["many"].to_pylist(), np.split(hit, np.cumsum(sizes)[:-1])):
+                at = np.flatnonzero(own)
+                if len(at):
+                    found.append((i, data, many, at))
+                    n += len(at)
                 if n >= RUN_SUFFIXES:
                     yield from one(found)
                     found, n = [], 0
@@ -227,15 +238,17 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_places(open_: DataFrame) -> DataFrame:
     """(id, place) of the windows that repeat among stretches open_ (id, data, many)."""
-    spark = open_.sparkSession
-    n = open_.agg(F.sum(F.length("data") - (LENGTH - 1))).first()[0] or 0
-    ranges = 1 + n // RANGE_SUFFIXES
+    twice = stored(open_.select("data").mapInArrow(_count_windows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "windows-twice")
+    total = twice.agg(F.count("*"), F.sum("n")).first()
+    ranges = 1 + (total[1] or 0) // RANGE_SUFFIXES
+    repeated = sets.bitmap(twice, "h", total[0])
+    dropped(twice)
     count = max(1, open_.count())
     # splitters only balance the ranges: a sample of about SAMPLES strings for each
     sample = open_.sample(min(1.0, SAMPLES * ranges / count), seed=1).select(F.substring("data", 1, LENGTH).alias("s")).collect() if ranges > 1 else []
     sample = sorted(bytes(r["s"]) for r in sample)
     splitters = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
-    parts = stored(open_.mapInArrow(_runs(splitters), PART), "suffix-runs")
+    parts = stored(open_.mapInArrow(_runs(splitters, repeated), PART), "suffix-runs")
     merged = parts.where("range >= 0").repartition(min(ranges, 4000), "range").sortWithinPartitions("range").mapInArrow(_merge, "id long, place long")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +290,8 @@ def spans(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def windows_of(docs: DataFrame) -> DataFrame:
     """(doc, windows): the ranges of repeated windows of each document that has any; a document has no more than its bytes."""
-    return repeated_windows(docs).groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("windows"))
+    with scratch(docs.sparkSession):
+        return stored(repeated_windows(docs).groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("windows")), "windows", keep=True)
 
 
 def cut(docs: DataFrame, digests: bool = False) -> DataFrame:
@@ -285,11 +299,12 @@ def cut(docs: DataFrame, digests: bool = False) -> DataFrame:
     new = (["n_bytes", "n_removed", "n_spans", "kept_sha256"] if digests else ["removed_spans", "kept_bytes"])
     docs = docs.drop(*new)
     names = docs.columns
-    rows = docs.withColumn("_doc", document_key()).join(windows_of(docs).withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
+    rows = words.packed(docs.withColumn("_doc", document_key()), "text").join(windows_of(docs).withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.pieces(batches):
             out = defaultdict(list)
+            batch = words.unpacked(batch, "text")
             for text, windows in zip(_bytes(batch), batch["windows"].to_pylist()):
                 gone = spans([(w["low"], w["high"]) for w in windows or []])
                 edges = [0, *(x for span in gone for x in span), len(text)]

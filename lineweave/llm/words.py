@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark.sql import DataFrame
 
 #: White space is the blank and U+0009 to U+000D only.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -111,3 +113,22 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def packed(rows: DataFrame, column: str) -> DataFrame:
+    """rows with a text column as Zstandard frames, for a shuffle that has to carry it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(level=3)
+        for batch in pieces(batches):
+            data = [None if t is None else compressor.compress(t.encode("utf-8", "surrogatepass")) for t in batch[column].to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index(column), column, pa.array(data, pa.binary()))
+
+    fields = ", ".join(f"`{f.name}` {'binary' if f.name == column else f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, fields)
+
+
+def unpacked(batch: pa.RecordBatch, column: str) -> pa.RecordBatch:
+    """The batch with the text of `packed`."""
+    decompressor = zstandard.ZstdDecompressor()
+    texts = [None if d is None else decompressor.decompress(d).decode("utf-8", "surrogatepass") for d in batch[column].to_pylist()]
+    return batch.set_column(batch.schema.get_field_index(column), column, pa.array(texts, pa.string()))
