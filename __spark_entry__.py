@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from lineweave.functions import names as nm
 from lineweave.functions import refs, spans
 from lineweave.functions import text as tx
-from lineweave.operators import assemble, clean, lineage, variables
+from lineweave.operators import assemble, clean, lineage, pairs, variables
 from lineweave.plans import call_bodies, program_map, statement_tables
 from lineweave.sources import corpus, files, map_table
 
@@ -268,7 +268,7 @@ def _reference_queries() -> dict[str, Query]:
         "drop_job_control_lines": _lines(clean.drop_job_control_lines),
         "normalize_line": _lines(clean.normalize_lines),
         "pad_parentheses": _pages(html=lambda html, url: tx.pad_parentheses(html)),
-        "wrap_sql_call": lambda spark, sf_dir: corpus.corpus_files(spark, sf_dir).withColumn("text", tx.wrap_sql_call(F.col("text"))),
+        "wrap_sql_call": _lines(clean.wrap_first_call),
         "strip_placeholder_marks": _pages(html=lambda html, url: tx.strip_placeholder_marks(html)),
         "assignment_map": _assignment_map,
         "assignment_value": _assignments,
@@ -293,7 +293,7 @@ def _reference_queries() -> dict[str, Query]:
         "first_call_body": _page_calls,
         "widest_call_body": _pages(struct=lambda html, url: spans.widest_call_body(html)),
         "paren_groups": _pages(struct=lambda html, url: spans.paren_groups(html)),
-        "df_sql_pairs": lambda spark, sf_dir: call_bodies.df_sql_pairs(corpus.corpus_files(spark, sf_dir)),
+        "df_sql_pairs": _lines(pairs.df_sql_pairs),
         "from_tables": lambda spark, sf_dir: _cleaned_statements(spark, sf_dir).select(
             "script_id", "stmt_no", F.posexplode(refs.from_tables(F.col("sql"))).alias("ref_no", "table_name")
         ).withColumn("ref_no", F.col("ref_no").cast("bigint")),

@@ -1,4 +1,4 @@
-"""Parenthesis spans and call bodies of one text value (Q1-Q5). Row-local folds, no shuffle.
+"""Parenthesis spans and call bodies of one text value (Q1-Q4). Row-local folds, no shuffle.
 
 Positions count characters from 0; -1 means absent.
 """
@@ -79,49 +79,3 @@ def paren_groups(text: Column) -> Column:
     start, stop = F.instr(text, "("), F.instr(text, ")")
     shown = F.substring(text, start, F.greatest(stop - start + 1, F.lit(0)))
     return F.struct(F.aggregate(_pieces(text), zero, step, lambda acc: acc.n).alias("n_groups"), shown.alias("group_text"))
-
-
-_PAIRS = "array<struct<df_at:int,sql_at:int,end_at:int>>"
-
-
-def df_sql_lines(lines: Column) -> Column:
-    """struct(pairs, open): line indexes of each `df_` line, the next later `spark.sql(` line and the
-    line that closes it; `open` when the last call never closes (first half of Q5)."""
-    zero = F.struct(F.lit("name").alias("want"), F.lit(-1).alias("df_at"), F.lit(-1).alias("sql_at"),
-                    F.array().cast(_PAIRS).alias("pairs"))
-    marks = F.transform(lines, lambda x, i: F.struct(
-        i.alias("i"), F.startswith(strip(x), F.lit("df_")).alias("df"),
-        F.contains(x, F.lit("spark.sql(")).alias("sql"), F.contains(x, F.lit(")")).alias("end")))
-
-    def step(acc: Column, x: Column) -> Column:
-        named = (acc.want == "name") & x.df
-        called = (acc.want == "call") & x.sql
-        closed = (called | (acc.want == "end")) & x.end
-        sql_at = F.when(called, x.i).otherwise(acc.sql_at)
-        pair = F.struct(acc.df_at.alias("df_at"), sql_at.alias("sql_at"), x.i.alias("end_at"))
-        return F.struct(
-            F.when(named, "call").when(closed, "name").when(called, "end").otherwise(acc.want).alias("want"),
-            F.when(named, x.i).otherwise(acc.df_at).alias("df_at"), sql_at.alias("sql_at"),
-            F.when(closed, F.array_append(acc.pairs, pair)).otherwise(acc.pairs).alias("pairs"))
-
-    return F.aggregate(marks, zero, step, lambda acc: F.struct(acc.pairs.alias("pairs"), (acc.want == "end").alias("open")))
-
-
-def df_sql_texts(lines: Column, pairs: Column) -> Column:
-    """array of (df_name, sql_text): the lines between name and call go before the call text."""
-    def between(first: Column, last: Column) -> Column:
-        return F.slice(lines, first + 1, F.greatest(last - first + 1, F.lit(0)))
-
-    def text(p: Column) -> Column:
-        call = F.get(lines, p.sql_at)
-        call = F.substring(call, F.instr(call, "spark.sql("), F.length(call))
-        return strip(F.array_join(F.concat(
-            between(p.df_at + 1, p.sql_at - 1), F.array(call), between(p.sql_at + 1, p.end_at)), "\n"))
-
-    return F.transform(pairs, lambda p: F.struct(
-        strip(F.substring_index(F.get(lines, p.df_at), "=", 1)).alias("df_name"), text(p).alias("sql_text")))
-
-
-def last_per_name(pairs: Column) -> Column:
-    return F.filter(pairs, lambda p, i: ~F.exists(
-        F.slice(pairs, i + 2, F.size(pairs)), lambda q: q.df_name == p.df_name))

@@ -138,9 +138,16 @@ def pad_parentheses(text: Column) -> Column:
     return strip(F.replace(text, F.lit(")"), F.lit(" ) ")))
 
 
+ONE_LINE_CALL = r"spark\.sql\([^\n]*?\)"
+
+
+def pad_call(text: Column) -> Column:
+    return F.regexp_replace(text, rf"(?s)^(.*?)({ONE_LINE_CALL})", "$1 $2 ")
+
+
 def wrap_sql_call(text: Column) -> Column:
     """Blanks around the first `spark.sql(…)` that closes on its own line."""
-    return strip(F.regexp_replace(text, r"(?s)^(.*?)(spark\.sql\([^\n]*?\))", "$1 $2 "))
+    return strip(pad_call(text))
 
 
 def strip_placeholder_marks(text: Column) -> Column:

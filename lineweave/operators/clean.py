@@ -29,3 +29,11 @@ def normalize_lines(lines: DataFrame) -> DataFrame:
 
 def drop_job_control_lines(lines: DataFrame) -> DataFrame:
     return lines.where(~tx.is_job_control(F.col("line")))
+
+
+def wrap_first_call(lines: DataFrame) -> DataFrame:
+    """Blanks around the first `spark.sql(…)` of each script that closes on its own line (C9); other lines stay as they are."""
+    calls = F.col("line").rlike(tx.ONE_LINE_CALL)
+    first = lines.where(calls).groupBy("script_id").agg(F.min("src_line_no").alias("src_line_no")).withColumn("first", F.lit(True))
+    return lines.join(first, ["script_id", "src_line_no"], "left").withColumn(
+        "line", F.when(F.col("first"), tx.pad_call(F.col("line"))).otherwise(F.col("line"))).drop("first")

@@ -1,12 +1,14 @@
-"""Script texts to the first call body of each, and to their DataFrame/SQL pairs. Narrow."""
+"""Script texts to the first call body of each, and to their DataFrame/SQL pairs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineweave import fixed_values as fv
 from lineweave.functions import spans
 from lineweave.functions.text import lines_of
+from lineweave.operators import pairs
 
 
 def first_call_bodies(texts: DataFrame) -> DataFrame:
@@ -17,13 +19,7 @@ def first_call_bodies(texts: DataFrame) -> DataFrame:
             .select(*keys, "call.*"))
 
 
-def df_sql_pairs(texts: DataFrame) -> DataFrame:
-    """One row per DataFrame name, or one row of status `unterminated` for a text whose last call
-    never closes."""
-    keys = [c for c in texts.columns if c != "text"]
-    no_pair = F.array(F.struct(F.lit(None).cast("string").alias("df_name"), F.lit(None).cast("string").alias("sql_text")))
-    return (texts.withColumn("rows", lines_of(F.col("text")))
-            .withColumn("found", spans.df_sql_lines(F.col("rows")))
-            .withColumn("pairs", spans.df_sql_texts(F.col("rows"), F.col("found.pairs")))
-            .withColumn("pairs", F.when(F.col("found.open"), no_pair).otherwise(spans.last_per_name(F.col("pairs"))))
-            .select(*keys, F.when(F.col("found.open"), "unterminated").otherwise("ok").alias("status"), F.inline("pairs")))
+def df_sql_pairs(texts: DataFrame, chunk_lines: int = fv.CHUNK_LINES) -> DataFrame:
+    """The pairs of texts (script_id, text); see `operators.pairs`."""
+    lines = texts.select("script_id", F.posexplode(lines_of(F.col("text"))).alias("i", "line"))
+    return pairs.df_sql_pairs(lines.select("script_id", (F.col("i") + 1).alias("src_line_no"), "line"), chunk_lines)

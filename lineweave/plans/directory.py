@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lineweave import fixed_values as fv
 from lineweave.functions.text import lines_of
+from lineweave.plans.call_bodies import df_sql_pairs as pairs_of
 from lineweave.plans.call_bodies import first_call_bodies
 from lineweave.plans.program_map import MAP_COLUMNS, program_table_map
 from lineweave.sources import files
@@ -32,3 +33,9 @@ def call_bodies(spark: SparkSession, root: str, extensions: list[str] = fv.SCRIP
     """The first call body of every script below `root`, with the name it is assigned to."""
     texts = files.script_texts(files.script_scan(spark, root, extensions), root)
     return _located(first_call_bodies(texts)).select("script_path", "script_name", "status", "df_name", "body")
+
+
+def df_sql_pairs(spark: SparkSession, root: str, extensions: list[str] = fv.SCRIPT_EXTENSIONS) -> DataFrame:
+    """DataFrame names and their SQL texts of every script below `root`."""
+    texts = files.script_texts(files.script_scan(spark, root, extensions), root)
+    return _located(pairs_of(texts)).select("script_path", "script_name", "status", "df_name", "sql_text")

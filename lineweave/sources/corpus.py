@@ -100,12 +100,3 @@ def corpus_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("script_id", F.col("blk").alias("stmt_no"),
                     F.replace(F.replace(body, F.lit("~"), F.lit("\n")), F.lit("{"), F.lit("${")).alias("sql"))
             .where(F.col("sql") != ""))
-
-
-def corpus_files(spark: SparkSession, sf_dir: str, lines_per_file: int = 512) -> DataFrame:
-    """script_text: (script_id, part, text). A script is a series of files of at most `lines_per_file` lines."""
-    return (corpus_lines(spark, sf_dir)
-            .withColumn("part", F.floor((F.col("src_line_no") - 1) / lines_per_file))
-            .groupBy("script_id", "part")
-            .agg(F.sort_array(F.collect_list(F.struct("src_line_no", "line"))).alias("rows"))
-            .select("script_id", "part", F.array_join(F.col("rows.line"), "\n").alias("text")))

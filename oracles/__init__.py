@@ -363,16 +363,13 @@ doc_lines AS (
   FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents))"""
 
 FILES = """
-files AS (
-  SELECT script_id, (src_line_no - 1) // 512 AS part, src_line_no, line,
-         row_number() OVER (PARTITION BY script_id, (src_line_no - 1) // 512 ORDER BY src_line_no) AS n
-  FROM corpus)"""
+files AS (SELECT script_id, src_line_no, line, row_number() OVER (PARTITION BY script_id ORDER BY src_line_no) AS n FROM corpus)"""
 PAIRS = f"""
 walk AS (
-  SELECT script_id, part, 0::BIGINT AS n, 'name' AS want, NULL::VARCHAR AS name, '' AS text, false AS done
-  FROM (SELECT DISTINCT script_id, part FROM files)
+  SELECT script_id, 0::BIGINT AS n, 'name' AS want, NULL::VARCHAR AS name, '' AS text, false AS done
+  FROM (SELECT DISTINCT script_id FROM files)
   UNION ALL
-  SELECT script_id, part, n,
+  SELECT script_id, n,
          CASE WHEN want = 'name' THEN CASE WHEN starts_with({strip('line')}, 'df_') THEN 'call' ELSE 'name' END
               WHEN hit AND contains(line, ')') THEN 'name' WHEN hit THEN 'end' ELSE want END,
          CASE WHEN want = 'name' THEN {strip(f"split_part({strip('line')}, '=', 1)")} ELSE name END,
@@ -380,15 +377,15 @@ walk AS (
               WHEN want = 'call' AND hit THEN text || line[strpos(line, 'spark.sql(') :] || chr(10)
               ELSE text || line || chr(10) END,
          want <> 'name' AND hit AND contains(line, ')')
-  FROM (SELECT w.script_id, w.part, f.n, w.want, w.name, w.text, f.line,
+  FROM (SELECT w.script_id, f.n, w.want, w.name, w.text, f.line,
                w.want = 'end' OR (w.want = 'call' AND contains(f.line, 'spark.sql(')) AS hit
-        FROM walk w JOIN files f ON f.script_id = w.script_id AND f.part = w.part AND f.n = w.n + 1)),
-ended AS (SELECT script_id, part, arg_max(want, n) = 'end' AS open FROM walk GROUP BY ALL),
+        FROM walk w JOIN files f ON f.script_id = w.script_id AND f.n = w.n + 1)),
+ended AS (SELECT script_id, arg_max(want, n) = 'end' AS open FROM walk GROUP BY ALL),
 pairs AS (
-  SELECT script_id, part, 'ok' AS status, name AS df_name, {strip('arg_max(text, n)')} AS sql_text
-  FROM walk JOIN ended USING (script_id, part) WHERE done AND NOT open GROUP BY script_id, part, name
+  SELECT script_id, 'ok' AS status, name AS df_name, {strip('arg_max(text, n)')} AS sql_text
+  FROM walk JOIN ended USING (script_id) WHERE done AND NOT open GROUP BY script_id, name
   UNION ALL
-  SELECT script_id, part, 'unterminated', NULL, NULL FROM ended WHERE open)"""
+  SELECT script_id, 'unterminated', NULL, NULL FROM ended WHERE open)"""
 
 _NAME_EQ = rf"({W}+){B}*="
 
@@ -433,11 +430,11 @@ def all_sql() -> dict[str, str]:
         "normalize_line": over([C7.replace("FROM v4", "FROM lines")], "SELECT * FROM c7"),
         "drop_job_control_lines": over([C6.replace("FROM c7", "FROM lines")], "SELECT * FROM c6"),
         "pad_parentheses": f"SELECT page_id, {strip('''array_to_string(string_split(array_to_string(string_split(html, '('), ' ( '), ')'), ' ) ')''')} AS html FROM pages",
-        "wrap_sql_call": over([FILES], f"""
-            SELECT script_id, part, {strip('''CASE WHEN m = '' THEN text ELSE left(text, strpos(text, m) - 1) || ' ' || m || ' '
-                   || text[strpos(text, m) + length(m) :] END''')} AS text
-            FROM (SELECT script_id, part, text, regexp_extract(text, 'spark\\.sql\\([^\\n]*?\\)') AS m
-                  FROM (SELECT script_id, part, string_agg(line, chr(10) ORDER BY src_line_no) AS text FROM files GROUP BY ALL))"""),
+        "wrap_sql_call": over([], """
+            SELECT script_id, src_line_no, CASE WHEN src_line_no = first THEN left(line, strpos(line, m) - 1) || ' ' || m || ' '
+                   || substr(line, strpos(line, m) + length(m)) ELSE line END AS line
+            FROM (SELECT *, min(src_line_no) FILTER (WHERE m <> '') OVER (PARTITION BY script_id) AS first
+                  FROM (SELECT script_id, src_line_no, line, regexp_extract(line, 'spark\\.sql\\([^\\n]*?\\)') AS m FROM lines))"""),
         "strip_placeholder_marks": "SELECT page_id, array_to_string(string_split(array_to_string(string_split(html, '${'), ''), '}'), '') AS html FROM pages",
         # variables
         "assignment_map": over([C1, C5, V12], "SELECT script_id, var_name, var_value, first_pos FROM vars"),

@@ -90,9 +90,11 @@ def test_df_sql_pairs(spark):
     rnd = random.Random(5)
     parts = ["df_a = 1", "df_b=spark.sql(", " spark.sql('''", "x) spark.sql(", "SELECT 1", "''')", "# df_c", "", "  df_d.x = y"]
     rows = [(n, "\n".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))) for n in range(500)]
-    got = {}
-    for r in df_sql_pairs(spark.createDataFrame(rows, "n int, text string")).collect():
-        got.setdefault(r.n, {})[r.df_name] = r.sql_text if r.status == "ok" else r.status
-    for n, text in rows:
-        expected = pairs(text)
-        assert got.get(n, {}) == ({None: "unterminated"} if expected is None else expected), text
+    texts = spark.createDataFrame(rows, "script_id int, text string")
+    for chunk_lines in (3, 1000):
+        got = {}
+        for r in df_sql_pairs(texts, chunk_lines).collect():
+            got.setdefault(r.script_id, {})[r.df_name] = r.sql_text if r.status == "ok" else r.status
+        for n, text in rows:
+            expected = pairs(text)
+            assert got.get(n, {}) == ({None: "unterminated"} if expected is None else expected), text
