@@ -51,8 +51,8 @@ def _doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("script_id"), "text")
 
 
-def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.script_lines(_doc_texts(spark, sf_dir)).select("script_id", "src_line_no", "line")
+def _doc_lines(spark: SparkSession, sf_dir: str, cut: Callable = tx.lines_of) -> DataFrame:
+    return files.script_lines(_doc_texts(spark, sf_dir), cut).select("script_id", "src_line_no", "line")
 
 
 def _pages(**columns: Callable) -> Query:
@@ -261,7 +261,7 @@ def _reference_queries() -> dict[str, Query]:
         "strip_line_comments": _lines(clean.strip_line_comments),
         "strip_comments_text": lambda spark, sf_dir: _table(spark, sf_dir, "documents").select(
             "doc_id", tx.strip_comments_text(F.col("text")).alias("text")),
-        "strip_comments_hashslash": lambda spark, sf_dir: clean.strip_comments_hashslash(_doc_lines(spark, sf_dir)),
+        "strip_comments_hashslash": lambda spark, sf_dir: clean.strip_comments_hashslash(_doc_lines(spark, sf_dir, tx.all_lines_of)),
         "strip_comments_stmt": lambda spark, sf_dir: corpus.corpus_statements(spark, sf_dir).withColumn(
             "sql", tx.strip_comments_stmt(F.col("sql"))),
         "drop_boilerplate_lines": _lines(program_map.cleaned),

@@ -67,6 +67,12 @@ def lines_of(text: Column) -> Column:
     return F.split(text, r"\r\n|\r|\n", -1)
 
 
+def all_lines_of(text: Column) -> Column:
+    """Array of lines as C3 cuts them: the separators of Unicode and of ASCII end a line too, and the last line end starts none."""
+    lines = F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1)
+    return F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+
+
 # --- C1 -----------------------------------------------------------------------------------------
 
 def is_comment_line(line: Column) -> Column:

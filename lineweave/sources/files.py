@@ -7,6 +7,7 @@ is left out without a trace. An empty file gives no row, as it has no line.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,8 +69,8 @@ def script_texts(scan: DataFrame, root: str) -> DataFrame:
     return scan.select(relative_path(F.col("path"), root).alias("script_id"), text.alias("text"))
 
 
-def script_lines(texts: DataFrame) -> DataFrame:
+def script_lines(texts: DataFrame, cut: Callable[[Column], Column] = lines_of) -> DataFrame:
     """(script_id, src_line_no, n_src_lines, line), line numbers from 1 (S3). Narrow."""
-    return (texts.withColumn("rows", lines_of(F.col("text")))
+    return (texts.withColumn("rows", cut(F.col("text")))
             .select("script_id", F.size("rows").cast("bigint").alias("n_src_lines"), F.posexplode("rows").alias("i", "line"))
             .select("script_id", (F.col("i") + 1).cast("bigint").alias("src_line_no"), "n_src_lines", "line"))

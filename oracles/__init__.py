@@ -362,6 +362,12 @@ doc_lines AS (
   SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS line_no
   FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents))"""
 
+ALL_DOC_LINES = r"""
+doc_lines AS (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS line_no
+  FROM (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l
+        FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS l FROM documents)))"""
+
 FILES = """
 files AS (SELECT script_id, src_line_no, line, row_number() OVER (PARTITION BY script_id ORDER BY src_line_no) AS n FROM corpus)"""
 PAIRS = f"""
@@ -418,7 +424,7 @@ def all_sql() -> dict[str, str]:
             SELECT doc_id, {strip(r"""array_to_string(list_transform(list_transform(string_split(regexp_replace(text, '/\*(.*?)\*/', ' ', 'gs'), chr(10)),
               lambda r: CASE WHEN contains(r, '--') THEN split_part(r, '--', 1) || ' ' ELSE r END),
               lambda r: CASE WHEN contains(r, '#') THEN split_part(r, '#', 1) || ' ' ELSE r END), chr(10))""")} AS text FROM documents""",
-        "strip_comments_hashslash": f"""WITH{DOC_LINES}
+        "strip_comments_hashslash": f"""WITH{ALL_DOC_LINES}
             SELECT doc_id AS script_id, line_no AS src_line_no,
                    CASE WHEN contains(line, '/*') AND contains(line, '*/')
                         THEN left(line, strpos(line, '/*') - 1) || line[strpos(line, '*/') + 2 :] ELSE line END AS line

@@ -5,6 +5,7 @@ from collections import Counter
 import sequential
 from pyspark.sql import functions as F
 
+from lineweave.functions.text import all_lines_of
 from lineweave.plans import directory
 from lineweave.plans import program_map as pm
 from lineweave.sources import files, map_table
@@ -81,3 +82,9 @@ def test_scripts_that_are_not_read_are_listed(spark, tmp_path):
     scanned = {r.path.split("/in/")[1] for r in files.script_scan(spark, str(root)).collect()}
     skipped = {r.path.split("/in/")[1]: r.length for r in files.skipped_scripts(spark, str(root)).collect()}
     assert scanned == {"a.py"} and skipped == {n: 15 for n in ("__init__.py", "_x.sql", ".h.sh", "sub/_y/z.sql")}
+
+
+def test_lines_of_hash_and_slash_comments(spark):
+    texts = ["a\r\nb\x0bc\u2028d\x85e\n", "", "\n\n", "x\x1cy\x0c", "one", "\r\r\n\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select("n", all_lines_of(F.col("text")).alias("lines")).collect()
+    assert {r.n: r.lines for r in rows} == {n: t.splitlines() for n, t in enumerate(texts)}
