@@ -6,8 +6,8 @@ Every document gets its class: the smallest doc_id that it reaches by links.
 
 1. Equal sets are one node. Sets list their runs by rarity, counted over all texts; similar sets share one of the first
    n - ceil(t n) + 1 runs (the prefix). Runs in one prefix only go no further.
-2. Each node is compared with the first holder of each of its prefix runs: linear in the rows, and enough to join most near
-   copies of a text, however many there are.
+2. Each node is compared with one head, the first holder of most of its prefix runs: no more tests than nodes, and enough to join
+   most near copies of a text, however many there are.
 3. The partition: nodes go to the head with which they share most prefix runs, and the nodes of a head are cut into groups of
    about GROUP members. The token-group matrix holds which prefix runs occur in which group; each group that is asked for keeps
    its members' whole sets and their union.
@@ -150,16 +150,17 @@ def links(nodes: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
     # a node that shares m prefix runs with its head can share no more than m and all behind the prefix; heads of other runs
     # may be other copies, so a third of the runs needed is enough to try. What is not tried here is left to the groups
-    tests = (held.join(heads, "token").where(F.col("key") != F.col("head.key")).where(_alike(F.col("n"), F.col("head.n")))
-             .groupBy("key", "n", "head").agg(F.count("*").alias("m")).where(_enough(3 * F.col("m"), F.col("n"), F.col("head.n"), F.col("head.n")))
-             .select(F.col("key").alias("a"), F.col("head.key").alias("b"), "m"))
+    shared = (held.join(heads, "token").where(F.col("key") != F.col("head.key")).where(_alike(F.col("n"), F.col("head.n")))
+              .groupBy("key", "n", "head").agg(F.count("*").alias("m")).where(_enough(3 * F.col("m"), F.col("n"), F.col("head.n"), F.col("head.n"))))
+    # each node tries one head, so there are no more tests than nodes
+    tests = shared.groupBy(F.col("key").alias("a")).agg(F.min_by("head.key", F.struct(-F.col("m"), "head.key")).alias("b"))
     tests = stored(tests, "tests")
     whole = stored(_whole_sets(docs, levels, tests.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "whole-sets")
     star = stored(_pairs(tests, whole).select("a", "b"), "star")
     roots = sets.components(star)
     dropped(whole)
 
-    pivots = tests.groupBy(F.col("a").alias("key")).agg(F.max_by("b", F.struct("m", "b")).alias("pivot"))
+    pivots = tests.select(F.col("a").alias("key"), F.col("b").alias("pivot"))
     members = (held.select("key", "n").distinct().join(pivots, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
                .select("key", "n", F.coalesce("root", "key").alias("root"), F.coalesce("pivot", "key").alias("pivot")))
     parts = members.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
