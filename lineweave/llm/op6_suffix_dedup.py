@@ -264,19 +264,43 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     rows = stored(_stretch_rows(docs, sets.bitmap(counts, "anchor", counts.count())), "stretches")
     dropped(counts)
     kinds = stored(rows.groupBy("anchor", "key").agg(F.count("*").alias("n")), "kinds")
+    settled = rows.join(kinds.where("n > 1").select("anchor", "key"), ["anchor", "key"], "left_semi")
+    settled = stored(settled.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("windows")).mapInArrow(
+        _joined, "doc struct<known: boolean, id: bigint, h: bigint>, low long, high long"), "settled")
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor")
     open_kinds = stored(kinds.join(mixed, "anchor").select("anchor", "key", (F.col("n") > 1).alias("many")), "open")
+    single = open_kinds.where("not many").select("anchor", "key")
+    rows_open = stored(rows.join(single, ["anchor", "key"], "left_semi").select("doc", "key", "low"), "open-rows")
+    # what is settled needs no more of the many stretches: they go before the sort takes its room
+    dropped(rows)
+    dropped(kinds)
+
     wanted = sets.bitmap(open_kinds.select("anchor").distinct(), "anchor", open_kinds.count())
     data = _stretch_bytes(docs, wanted)
     open_ = stored(open_kinds.select("key", "many").groupBy("key").agg(F.max("many").alias("many")).join(data, "key").withColumn("id", F.monotonically_increasing_id()), "open-bytes")
     places = repeated_places(open_.select("id", "data", "many"))
     found = places.join(open_.where("not many").select("id", "key"), "id").select("key", "place")
-    settled = rows.join(kinds.where("n > 1").select("anchor", "key"), ["anchor", "key"], "left_semi").select("doc", "low", "high")
     start = F.col("low") + F.col("place")
-    sorted_ = rows.join(found, "key").select("doc", start.alias("low"), start.alias("high"))
+    sorted_ = rows_open.join(found, "key").select("doc", start.alias("low"), start.alias("high"))
     return settled.unionByName(sorted_)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of starts of each document, those that touch as one."""
+    for batch in batches:
+        row, low, high = [], [], []
+        for r, windows in enumerate(batch["windows"].to_pylist()):
+            for a, b in sorted((w["low"], w["high"]) for w in windows):
+                if row and row[-1] == r and a <= high[-1] + 1:
+                    high[-1] = max(high[-1], b)
+                else:
+                    row.append(r)
+                    low.append(a)
+                    high.append(b)
+        if row:
+            yield pa.record_batch([batch["doc"].take(pa.array(row)), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["doc", "low", "high"])
+
+
 def spans(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of bytes under the windows whose starts lie in the ranges."""
     out: list[list[int]] = []
