@@ -187,6 +187,29 @@ def test_sentence_spans(docs, rows, none):
     assert "".join(op5_sentence_spans.sentences("A b.  \n\n . c!d? e")) == "A b.  \n\n . c!d? e"
 
 
+def test_repeats_of_short_and_of_single_sentences_go(spark):
+    """Plain expectations: what is left of each text is written out."""
+    ship_package(spark)
+    long = " ".join(f"word{i}" for i in range(60)) + "."
+    short = " ".join(f"Ab{i} cd{i}!!" for i in range(9))
+    texts = ["A!! B!! C!!", "A!! B!! C!!", f"Own start. {long} Own end.", f"Other start. {long} Other end.", f"First. {short} Last.", f"Before. {short} Behind.",
+             f"{long[:-1]} and more.", "A!! B!! D!!", " \n a!! b!! c!!"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in op5_sentence_spans.deduplicated(table).collect()}
+    assert got == {**dict(enumerate(texts)), 1: "", 3: "Other start. Other end.", 5: "Before. Behind.", 8: " \n"}
+
+
+def test_every_sentence_of_a_long_repeat_is_in_a_span_inside_it():
+    r = random.Random(11)
+    for _ in range(300):
+        text = " ".join(" ".join(f"w{r.randrange(10**9)}" for _ in range(r.choice((1, 2, 3, 5, 9, 14)))) + "." for _ in range(r.randint(1, 14)))
+        cut = op5_sentence_spans.sentences(text)
+        a, b = sorted(r.sample(range(len(cut) + 1), 2))
+        if sum(len(s.split()) for s in cut[a:b]) >= op5_sentence_spans.MIN_WORDS:
+            inside = [(i, n) for i, n, _ in op5_sentence_spans.grown(text) if a <= i and i + n <= b]
+            assert {k for i, n in inside for k in range(i, i + n)} == set(range(a, b)), text
+
+
 def test_suffix_dedup(docs, rows, none):
     got = op6_suffix_dedup.cut(docs, digests=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     want = [(d, *c) for (d, _), c in zip(rows, brute.cut([t for _, t in rows]))]
