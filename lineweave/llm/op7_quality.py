@@ -8,12 +8,14 @@ forms of the languages, not with the number of documents.
 
 The score of a document is its mean negative log probability per character. A mean over n characters varies with
 1 / sqrt(n), so the band of a language is its median score, less and plus BAND robust deviations of
-(score - median) * sqrt(n) over sqrt(n). Both enter in whole thousandths or hundredths, so that medians come from exact,
+(score - median) * sqrt(n) over sqrt(n). Both are medians over the distinct texts of the language, so that no group of copies sets the
+band alone. They enter in whole thousandths or hundredths, so that medians come from exact,
 mergeable histograms.
 
 base_failed: under 10 words, or over 20 % of the words in repeated 5-word windows. kept: not base_failed, and the score in
 the band. Null text counts as empty, null language as a language of its own; a text without words has no score and fails.
-Repeated rows are counted and scored each. Columns of the input named like those of the result are replaced.
+The model of the query and of the stage counts each text of a language once, as copies would make their own score low; all rows are
+scored. Columns of the input named like those of the result are replaced.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineweave.llm import hash_arrays, words
-from lineweave.llm.shared import scratch, stored
+from lineweave.llm import hash_arrays, sets, words
+from lineweave.llm.shared import dropped, scratch, stored
 
 ORDER = 4
 #: Robust standard deviations either side of the median.
@@ -158,11 +160,27 @@ def _weights(levels: DataFrame) -> DataFrame:
         F.coalesce(F.max("alpha"), F.lit(0.0)).alias("alpha"), F.coalesce(F.max("gamma"), F.lit(1.0)).alias("gamma"))
 
 
-def fit(docs: DataFrame) -> hash_arrays.HashArrays:
-    """The model of columns lang and text."""
-    grams = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        _count_words, "lang string, gram string, c long")
+def _once(texts: DataFrame) -> DataFrame:
+    """Every text of a language once. Only rows whose hash may be repeated (by a bitmap) are shuffled, after their task has dropped its copies."""
+    keyed = texts.withColumn("h", F.xxhash64("lang", "text"))
+    many = stored(keyed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "copied")
+    repeated = sets.bitmap(many, "h", many.count())
+    dropped(many)
+
+    def part(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = sets.in_bitmap(repeated, batch["h"].to_numpy())
+                yield batch.filter(pa.array(hit == wanted))
+        return keyed.mapInArrow(run, "lang string, text string, h long")
+    return part(False).unionByName(part(True).dropDuplicates(["lang", "h"])).drop("h")
+
+
+def fit(docs: DataFrame, once: bool = False) -> hash_arrays.HashArrays:
+    """The model of columns lang and text; once: copies of a text count as one."""
+    texts = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     with scratch(docs.sparkSession):
+        grams = (_once(texts) if once else texts).mapInArrow(_count_words, "lang string, gram string, c long")
         return hash_arrays.build(_weights(_levels(grams)).mapInArrow(_with_keys, "key long, alpha float, gamma float"))
 
 
@@ -252,11 +270,12 @@ def _median(rows: DataFrame, value: str) -> DataFrame:
 
 def bands(scored: DataFrame) -> DataFrame:
     """(lang, median, width): the centre of each language's band in thousandths, and its half width for a text of one
-    character. Texts that the base rules reject don't count."""
+    character. Texts that the base rules reject don't count, copies of a text count once."""
     fine = scored.where(F.col("score").isNotNull() & ~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    seen = fine.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "score").agg(F.count("*").alias("n"))
-    middle = _median(seen, "score").select("lang", "median")
-    away = fine.withColumn("lang", F.coalesce("lang", F.lit(""))).join(middle, "lang").select(
+    text = F.col("_text") if "_text" in scored.columns else F.xxhash64("text")
+    once = fine.select(F.coalesce("lang", F.lit("")).alias("lang"), text.alias("_text"), "score", "n_words", "word_chars").distinct()
+    middle = _median(once.groupBy("lang", "score").agg(F.count("*").alias("n")), "score").select("lang", "median")
+    away = once.join(middle, "lang").select(
         "lang", F.round(F.abs(F.col("score") - F.col("median")) * F.sqrt(_chars()) / 10).alias("away"))
     spread = _median(away.groupBy("lang", "away").agg(F.count("*").alias("n")), "away").select("lang", F.col("median").alias("mad"))
     return middle.join(spread, "lang").select(F.col("lang").alias("_lang"), "median", (BAND * 14.826 * F.col("mad")).alias("width"))
@@ -275,12 +294,12 @@ def judged(scored: DataFrame) -> DataFrame:
     return both.withColumn("kept", ~F.col("base_failed") & inside)
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """docs (lang, text and any others) with the counts and the score, written once."""
-    names = {f.split()[0] for f in BASE.split(", ")} | {"score", "median", "width", "_lang", "base_failed", "kept"}
+def scored(docs: DataFrame, once: bool = False) -> DataFrame:
+    """docs (lang, text and any others) with the counts and the score, written once. once: as in fit."""
+    names = {f.split()[0] for f in BASE.split(", ")} | {"score", "median", "width", "_lang", "_text", "base_failed", "kept"}
     docs = docs.drop(*names)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return stored(docs.mapInArrow(_score(fit(docs)), f"{fields}, {BASE}, score long"), "scored")
+    return stored(docs.mapInArrow(_score(fit(docs, once)), f"{fields}, {BASE}, score long"), "scored")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,9 +311,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _without_text(docs: DataFrame) -> DataFrame:
-    return stored(docs.mapInArrow(_score(fit(docs)), f"doc_id long, lang string, text string, {BASE}, score long").drop("text"), "scored")
+    return stored(docs.mapInArrow(_score(fit(docs, once=True)), f"doc_id long, lang string, text string, {BASE}, score long").withColumn("_text", F.xxhash64("text")).drop("text"), "scored")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with the columns they came with."""
-    return judged(scored(docs)).where("kept").select(*docs.columns)
+    return judged(scored(docs, once=True)).where("kept").select(*docs.columns)

@@ -254,6 +254,15 @@ def test_perplexity_bands_reject_noise(spark):
     assert kept == set(range(80))
 
 
+def test_copies_of_one_text_do_not_set_the_band(spark):
+    ship_package(spark)
+    r = random.Random(8)
+    vocabulary = ["".join(r.choices("aeinorstlmdu", k=r.randint(2, 9))) for _ in range(400)]
+    clean = [" ".join(r.choices(vocabulary, k=r.randint(60, 160))) for _ in range(80)]
+    table = spark.createDataFrame(list(enumerate([*clean, *[clean[0]] * 120])), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    assert {x["doc_id"] for x in op7_quality.quality_stage(spark, table, "").collect()} == set(range(200))
+
+
 def test_ngram_join(docs, rows, none):
     got = op8_ngram_join.classified(docs).select("doc.id", "n_shingles", "head.id").collect()
     assert _sorted(got) == _sorted(brute.classes(rows))
