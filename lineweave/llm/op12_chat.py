@@ -3,7 +3,7 @@
 A log has conv_id (bigint), seq (any orderable type), message (bigint, names a message within its conversation), kind, role and text.
 Kinds: `open` begins a message (or begins it anew at its old place) and gives it a role; `delta` appends text; `edit`
 replaces the text; `regenerate` takes the text back, and deltas that follow are the new answer. Events of a message that was never
-opened begin it with an empty role. Other kinds are ignored. Messages stand in the order of their first events. Null texts and
+opened begin it with an empty role. Other kinds are ignored; a conversation that has no others gives no row. Messages stand in the order of their first events. Null texts and
 roles are empty. Events with equal seq are applied in the order of message, kind and text. A null conv_id is a conversation of its own.
 
 The log is dealt by ranges of (conv_id, seq) and sorted, so each task folds whole conversations one after the other, and a
@@ -129,6 +129,8 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, (m, s) in enumerate(state.items())]
 
     def whole() -> list[dict]:
+        if not state:
+            return []
         parts = list(_parts((s.role or "", "".join(s.pieces)) for s in state.values()))
         return [{"conv_id": conv, "part": i, "formatted": f, "spans": spans, "whole": len(parts) == 1} for i, (f, spans) in enumerate(parts)]
 
@@ -184,7 +186,9 @@ def read_back(parts: DataFrame) -> DataFrame:
 
     Parts of a conversation are read in order as a stream, with a hash as the only state; conversations of one part are not moved."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    names = [c.split(" ")[0] for c in schema.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    types = pa.schema([(c.split(" ")[0], kinds[c.split(" ")[1]]) for c in schema.split(", ")])
+    batch_of = lambda found: pa.RecordBatch.from_pylist([dict(zip(types.names, r)) for r in found], types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, state = None, None
@@ -200,9 +204,9 @@ def read_back(parts: DataFrame) -> DataFrame:
                     out.append(state.row(conv))
                     state = None
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out])
+                yield batch_of(out)
         if state is not None:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, state.row(conv)))])
+            yield batch_of([state.row(conv)])
 
     rows = parts.select("conv_id", "part", "formatted", "spans", "whole")
     split = rows.where("NOT whole").repartition("conv_id").sortWithinPartitions("conv_id", "part")
