@@ -158,11 +158,7 @@ def _named(lines: DataFrame, levels: int) -> DataFrame:
 
 
 def _carried(lines: DataFrame, levels: int) -> DataFrame:
-    same = lambda n: F.aggregate(
-        F.filter("names", lambda x: x["name"] == n), F.lit(0).cast("bigint"), lambda acc, x: acc + x.copies)
-    return (_named(lines, levels)
-            .withColumn("names", F.transform(F.array_distinct("names.name"), lambda n: F.struct(n.alias("table_name"), same(n).alias("copies"))))
-            .select("script_id", "line_no", F.col("kind").alias("stmt_type"), F.inline("names")))
+    return _named(lines, levels).select("script_id", "line_no", F.col("kind").alias("stmt_type"), F.col("name").alias("table_name"), "copies")
 
 
 def _flags(lines: DataFrame, levels: int) -> DataFrame:

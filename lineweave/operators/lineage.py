@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lineweave import fixed_values as fv
 from lineweave.functions import names as nm
 from lineweave.functions.text import computed_once, holds_any, starts_with_any
-from lineweave.operators.scan import CHUNK_KEYS, next_level, running, since_reset
+from lineweave.operators.scan import CHUNK_KEYS, counted, next_level, running
 
 # names a long script may carry along with each of its lines
 FEW_VIEWS = 256
@@ -159,9 +159,9 @@ def is_bad() -> Column:
 
 def carried_refs(stmts: DataFrame, levels: int, schemas: list[str] = fv.KNOWN_SCHEMAS,
                  rejected: list[str] = fv.REJECTED_SCHEMA_PREFIXES) -> DataFrame:
-    """Add `names`, array of (name, copies): the statement's own names, or, when it has none, those
+    """One row per statement and name, with `name` and `copies`: the statement's own names, or, when it has none, those
     of the statement before, plus every view use since (X6-X8)."""
-    line, kind = F.col("line"), F.col("kind")
+    line, upper, kind = F.col("line"), F.col("upper"), F.col("kind")
     resets = (F.col("own_kind").isin(*nm.PATH_TYPES, "WRITE_MODE", "ETC") | (F.size("found") > 0)
               | kind.isin(nm.PAREN_TYPES))
     unfiltered = kind.isin(nm.UNFILTERED_TYPES)
@@ -169,41 +169,31 @@ def carried_refs(stmts: DataFrame, levels: int, schemas: list[str] = fv.KNOWN_SC
     def known(name: Column) -> Column:
         return nm.known_table(name, schemas, rejected)
 
+    def entry(name: Column, shown: Column, added: Column) -> Column:
+        return F.struct(name.alias("name"), shown.cast("bigint").alias("shown"), added.cast("bigint").alias("added"))
+
     stmts = stmts.withColumns({
         "resets": resets, "unfiltered": unfiltered,
-        "own": F.when(resets, nm.chosen_names(line, F.col("found"), kind)),
+        "own": F.when(resets, nm.chosen_names(line, F.col("found"), kind)).otherwise(F.array().cast("array<string>")),
         "uses": F.filter(
             F.zip_with(nm.normal_names(F.transform("uses.name", lambda n: F.concat(F.lit("TEMPVIEW."), n))), "uses.copies",
                        lambda n, copies: F.struct(n.alias("name"), copies.alias("copies"))),
-            lambda u: known(u["name"]) & ~nm.masked_by_line(u["name"], line, F.col("upper"))),
+            lambda u: known(u["name"]) & ~nm.masked_by_line(u["name"], line, upper)),
     })
-    kept = F.filter("own", lambda n: known(n) & (F.col("unfiltered") | ~nm.masked_by_line(n, line, F.col("upper"))))
-    stmts = running(stmts, levels, last={"base": F.when(F.col("resets"), kept)})
-    nothing = F.array().cast("array<string>")
-    stmts = stmts.withColumn("lost", F.when(
-        ~F.col("resets"), F.filter(F.coalesce("prev_base", nothing), lambda n: nm.masked_by_line(n, line, F.col("upper")))
-    ).otherwise(nothing))
-    stmts = since_reset(stmts, levels, F.col("resets"), {"lost": F.col("lost"), "uses": F.col("uses")})
-
-    base = (F.when(F.col("resets") & F.col("unfiltered"), F.col("own"))
-            .when(F.col("resets"), F.col("base"))
-            .otherwise(F.filter(F.coalesce("prev_base", nothing), lambda n: ~F.array_contains(F.col("lost"), n))))
-    names = F.concat(
-        F.transform(base, lambda n: F.struct(n.alias("name"), F.lit(1).cast("bigint").alias("copies"))), F.col("uses"))
-    return (stmts.withColumn("names", names)
-            .drop("upper", "resets", "unfiltered", "own", "uses", "base", "prev_base", "lost"))
-
-
-def name_rows(stmts: DataFrame) -> DataFrame:
-    """One row per distinct name of a statement, with its number of copies and its X9 flag."""
-    kind = F.col("kind")
-    return (stmts.withColumn("names", F.transform("names", lambda x: F.struct(
-                nm.shown_name(x["name"], kind).alias("name"), x.copies.alias("copies"))))
-            .withColumn("names", F.transform(
-                F.array_distinct("names.name"),
-                lambda n: F.struct(n.alias("table_name"), F.aggregate(
-                    F.filter("names", lambda x: x["name"] == n), F.lit(0).cast("bigint"),
-                    lambda acc, x: acc + x.copies).alias("copies"))))
-            .select("*", F.inline_outer("names")).drop("names")
-            .where(F.col("table_name").isNotNull())
+    # names that the schema test refuses go no further than an unfiltered statement
+    own = F.transform("own", lambda n: entry(n, F.lit(1), F.when(known(n) & (F.col("unfiltered") | ~nm.masked_by_line(n, line, upper)), 1).otherwise(0)))
+    own = F.filter(own, lambda e: (e.added > 0) | F.col("unfiltered"))
+    used = F.transform("uses", lambda u: entry(u["name"], F.when(F.col("resets"), u.copies), u.copies))
+    stmts = stmts.withColumn("entries", F.concat(own, used))
+    total = lambda n, f: F.aggregate(F.filter("entries", lambda e: e["name"] == n), F.lit(0).cast("bigint"), lambda acc, e: acc + e[f])
+    stmts = stmts.withColumn("entries", F.when(F.size("entries") < 2, F.col("entries")).otherwise(F.transform(
+        F.array_distinct("entries.name"), lambda n: entry(n, F.when(F.col("resets"), total(n, "shown")), total(n, "added")))))
+    needed = [c for c in stmts.columns if c not in ("found", "view", "own_kind", "own", "uses", "unfiltered")]
+    return counted(stmts.select(needed), levels, "entries", nm.masked_by_line(F.col("name"), line, upper)).drop("upper")
+
+
+def name_rows(named: DataFrame) -> DataFrame:
+    """One row per statement and name as it is shown, with its number of copies and its X9 flag."""
+    shown = named.withColumn("name", nm.shown_name(F.col("name"), F.col("kind"))).withColumnRenamed("name", "table_name")
+    return (shown.groupBy([c for c in shown.columns if c != "copies"]).agg(F.sum("copies").alias("copies"))
             .withColumn("in_line", nm.in_line(F.col("table_name"), F.col("line"))))

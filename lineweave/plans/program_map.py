@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineweave import fixed_values as fv
 from lineweave.operators import assemble, clean, lineage, variables
-from lineweave.operators.scan import levels_for
+from lineweave.operators.scan import cut_lineage, levels_for
 
 MAP_COLUMNS = ["strd_dt", "script_path", "script_name", "line_no", "df_var", "stmt_type", "table_name",
                "in_line", "line", "copies"]
@@ -52,18 +52,6 @@ def by_length(lines: DataFrame, body: Callable[[DataFrame, int], DataFrame],
     return short.unionByName(long.select(*short.columns))
 
 
-def cut_lineage(df: DataFrame, levels: int) -> DataFrame:
-    """Write a long-script step to the cluster's checkpoint folder, if it names one: each carry reads
-    its input twice, so a plan of many carries would otherwise repeat the early ones."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not (levels and folder):
-        return df
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def cleaned(lines: DataFrame, tokens: list[str] = fv.BOILERPLATE_TOKENS) -> DataFrame:
     return clean.drop_boilerplate_lines(clean.strip_line_comments(lines), tokens)
 
