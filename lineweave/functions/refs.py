@@ -1,7 +1,10 @@
-"""Table references of one cleaned SQL statement (Q6-Q11). Row-local patterns, no shuffle.
+"""Table references of one cleaned SQL statement (Q6-Q11). Row-local, no shuffle.
 
-Not covered: quoted names that hold blanks next to a dot, dialect table functions with nested
-parentheses, and names that follow a sub-select in the same comma list.
+One pattern marks what matters in a statement: role words and commas with the name behind them, parentheses, words that end a
+table list. A fold over the marks keeps a stack of open parentheses: a sub-select, a group of joins, or anything else,
+in which role words and commas mean nothing. Nesting has no bound.
+
+Not covered: quoted names that hold blanks next to a dot.
 """
 
 from __future__ import annotations
@@ -22,24 +25,113 @@ _STOP_WORDS = (
     "LIMIT|LOCATION|MINUS|NATURAL|ON|OR|ORDER|OUTER|OVERWRITE|PARTITION|RIGHT|SELECT|SEMI|ANTI|SET|SORT|STORED|"
     "PIVOT|TABLE|TABLESAMPLE|UNION|UNPIVOT|UPDATE|USING|VALUES|WHEN|WHERE|WINDOW|WITH"
 )
-_WORD_OR_QUOTED = rf'(?:"[^"]*"|(?!(?i:{_STOP_WORDS})(?!{WORD})){WORD}+)'
-_NAME = rf"{_WORD_OR_QUOTED}(?:\.{_WORD_OR_QUOTED})*"
-_ARGS = rf"(?:{_B}*\([^()]*\))?"
-_ALIAS = rf"(?:{_B}+(?i:AS))?{_B}+({_WORD_OR_QUOTED})"
-_ITEM = rf"{_NAME}{_ARGS}(?:{_ALIAS})?"
-_ROLE = r"(?:COPY|FROM|INTO|UPDATE|TABLE|JOIN)"
-_CLAUSE = rf"(?<!{WORD})(?i:{_ROLE}){_B}+{_ITEM}(?:{_B}*,{_B}*{_ITEM})*"
 
 
-_LITERAL = r"'(?:[^']|'')*'"
-_GROUP = r"(?:[^()]|\((?:[^()]|\([^()]*\))*\))"
-# a parenthesis that is no sub-select and has FROM at its own level, as EXTRACT(YEAR FROM d)
-_ARGUMENT_FROM = rf"\((?!{_B}*(?i:SELECT|WITH|FROM)(?!{WORD})){_GROUP}*?(?<!{WORD})(?i:FROM)(?!{WORD}){_GROUP}*\)"
+def _any_of(words: list[str]) -> str:
+    """Pattern of the words in any case, grouped by their first letters: a word is refused after one comparison for each of these."""
+    first = sorted({w[0] for w in words})
+    return "(?i:" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in words if w[0] == c)})" for c in first) + ")"
 
 
-def without_values(sql: Column) -> Column:
-    """The statement without what may look like a table but is a value: literals, and FROM in the arguments of a function."""
-    return F.regexp_replace(F.regexp_replace(sql, _LITERAL, "''"), _ARGUMENT_FROM, "()")
+_END = rf"(?!{WORD})"
+# stop words that need no mark: a table list has ended before them, or a JOIN follows
+_SILENT = "AND|ANTI|AS|CROSS|FULL|INNER|LEFT|NATURAL|OR|OUTER|RIGHT|SEMI|PIVOT|TABLESAMPLE|UNPIVOT".split("|")
+_STOP = _any_of(_STOP_WORDS.split("|")) + _END
+_WORD_OR_QUOTED = rf'(?:"[^"]*"|(?!{_STOP}){WORD}+)'
+_NAME = rf"({_WORD_OR_QUOTED})(?:\.({_WORD_OR_QUOTED}))?(?:\.{_WORD_OR_QUOTED})*"
+_ALIAS = rf"(?:{_B}+(?i:AS))?{_B}+({_WORD_OR_QUOTED})"
+_ROLES = ["COPY", "FROM", "INTO", "UPDATE", "TABLE", "JOIN", "USING"]
+# a name; what it opens, arguments or a sample; or else its alias
+_ITEM = rf"{_NAME}(?:({_B}*\(|{_B}+(?i:TABLESAMPLE|PIVOT|UNPIVOT)(?!{WORD})[^()]*\()|{_ALIAS})?"
+
+# --- the marks of a statement
+
+_BREAK, _FIELD = "\x01", "\x02"
+_MARKS = (
+    # words, tried at their first letter only
+    rf"(?=[A-Za-z])(?<![A-Za-z0-9_])(?<!{WORD})(?:(?i:IS{_B}+(?:NOT{_B}+)?DISTINCT{_B}+FROM){_END}"
+    rf"|({_any_of(_ROLES)}){_END}(?:{_B}+(?:(?i:ONLY){_B}+)?{_ITEM})?"
+    rf"|({_any_of([w for w in _STOP_WORDS.split('|') if w not in _SILENT])}){_END})"
+    # signs
+    rf"|(?=[(),'\"])(?:(\({_B}*(?i:SELECT|WITH|VALUES){_END})"
+    rf"|([,(])(?:{_B}*{_ITEM})?"
+    rf"|(\))(?:{_ALIAS})?"
+    r"|('(?:[^']|'')*')"
+    r'|("[^"]*"))'
+)
+# the mark, the first two parts of its name, what that opens, its alias; alternatives that did not match give no text
+_AS_FIELDS = f"{_BREAK}$1$6$7$8$13$15$16{_FIELD}$2$9{_FIELD}$3$10{_FIELD}$4$11{_FIELD}$5$12$14{_FIELD}"
+
+
+# what a mark is
+_ROLE, _COMMA, _OPEN, _SUBSELECT, _CLOSE, _LATERAL, _OTHER = range(7)
+
+
+def _marks(sql: Column) -> Column:
+    """array of (kind, word, first, second, arguments, opens, alias): every mark with its parts as written."""
+    marked = F.regexp_replace(F.translate(sql, _BREAK + _FIELD, "  "), _MARKS, _AS_FIELDS)
+    parts = F.split(marked, _BREAK, -1)
+    parts = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda m: F.split(m, _FIELD, -1))
+    merges = sql.rlike(rf"^{_B}*(?i:MERGE|DELETE){_END}")
+    roles = F.when(merges, F.array(*map(F.lit, _ROLES))).otherwise(F.array(*map(F.lit, _ROLES[:-1])))
+
+    def mark(m: Column) -> Column:
+        word = F.upper(m[0])
+        kind = (F.when(word == ",", _COMMA).when(word == "(", _OPEN).when(word == ")", _CLOSE).when(F.array_contains(roles, word), _ROLE)
+                .when(word == "LATERAL", _LATERAL).when(word.startswith("("), _SUBSELECT).otherwise(_OTHER))
+        return F.struct(kind.alias("kind"), word.alias("word"), m[1].alias("first"), m[2].alias("second"),
+                        (F.ltrim(m[3]) == "(").alias("arguments"), (m[3] != "").alias("opens"), m[4].alias("alias"))
+
+    return F.transform(parts, mark)
+
+
+# --- the fold: a frame is its mode and, in steps of 16, the list it is in or the reference it belongs to
+
+_OUTSIDE, _ARGUMENTS, _WANTS_NAME, _IN_LIST = range(4)
+_STEP = 16
+_STATE = "struct<stack:array<int>,roles:array<string>,commas:array<int>,refs:array<struct<list:int,first:string,second:string,arguments:boolean,alias:string>>>"
+
+
+def _folded(sql: Column) -> Column:
+    """The state after the last mark: the role of every table list, the lists that have a comma, the references."""
+    def step(acc: Column, mark: Column) -> Column:
+        kind, alias = mark["kind"], mark["alias"]
+        top = F.element_at(acc["stack"], -1)
+        mode, own = top.bitwiseAND(_STEP - 1), F.shiftright(top, 4)
+        known, named = F.size(acc["refs"]), mark["first"] != ""
+        starts = (kind == _ROLE) & (mode != _ARGUMENTS)
+        goes_on = (kind == _COMMA) & (mode == _IN_LIST)
+        nested = (kind == _OPEN) & (mode == _WANTS_NAME)
+        takes = named & (starts | goes_on | nested)
+        lst = F.when(kind == _ROLE, F.size(acc["roles"])).otherwise(own)
+        in_list = lambda n: n * _STEP + F.when(named, _IN_LIST).otherwise(_WANTS_NAME)
+
+        def with_top(new: Column) -> Column:
+            return F.concat(F.slice(acc["stack"], F.lit(1), F.size(acc["stack"]) - 1), F.array(new))
+
+        stack = (F.when(kind == _CLOSE, F.when(F.size(acc["stack"]) > 1, F.slice(acc["stack"], F.lit(1), F.size(acc["stack"]) - 1)).otherwise(acc["stack"]))
+                 .when(starts | goes_on, with_top(in_list(lst)))
+                 .when(nested, F.concat(with_top(own * _STEP + _IN_LIST), F.array(in_list(own))))
+                 .when(kind == _OPEN, F.concat(acc["stack"], F.array(F.lit(_ARGUMENTS))))
+                 .when(kind == _SUBSELECT, F.concat(F.when(mode == _WANTS_NAME, with_top(own * _STEP + _IN_LIST)).otherwise(acc["stack"]),
+                                                    F.array(F.lit(_OUTSIDE))))
+                 .when((mode == _WANTS_NAME) & (kind != _LATERAL) | (mode == _IN_LIST) & mark["word"].rlike("^[A-Z]"), with_top(F.lit(_OUTSIDE)))
+                 .otherwise(acc["stack"]))
+        # the alias of a name with arguments stands behind them
+        stack = F.when(mark["opens"], F.concat(stack, F.array(F.when(takes, (known + 1) * _STEP + _ARGUMENTS).otherwise(_ARGUMENTS)))).otherwise(stack)
+
+        ref = lambda lst, of, alias: F.struct(
+            lst.alias("list"), of["first"].alias("first"), of["second"].alias("second"), of["arguments"].alias("arguments"), alias.alias("alias"))
+        old = F.get(acc["refs"], own - 1)
+        renamed = F.concat(F.slice(acc["refs"], F.lit(1), own - 1), F.array(ref(old["list"], old, alias)), F.slice(acc["refs"], own + 1, known))
+        refs = (F.when(takes, F.concat(acc["refs"], F.array(ref(lst, mark, alias))))
+                .when((kind == _CLOSE) & (mode == _ARGUMENTS) & (own > 0) & (alias != ""), renamed).otherwise(acc["refs"]))
+        return F.struct(
+            stack.alias("stack"), F.when(starts, F.concat(acc["roles"], F.array(mark["word"]))).otherwise(acc["roles"]).alias("roles"),
+            F.when(goes_on, F.concat(acc["commas"], F.array(own))).otherwise(acc["commas"]).alias("commas"), refs.alias("refs"))
+
+    nothing = F.struct(F.array(F.lit(_OUTSIDE)).alias("stack"), F.array().alias("roles"), F.array().alias("commas"), F.array().alias("refs"))
+    return F.aggregate(_marks(sql), nothing.cast(_STATE), step)
 
 
 def clean_statement(sql: Column) -> Column:
@@ -60,14 +152,11 @@ def _is_lower(name: Column) -> Column:
     return (F.lower(name) == name) & (F.upper(name) != name)
 
 
-def _item_parts(clause: Column, item: Column) -> Column:
-    """Cut one item of a table list into its written parts; further dotted parts of a name do not count."""
-    return F.struct(
-        clause.role.alias("role"), (F.size(clause["items"]) > 1).alias("listed"), item.alias("item"),
-        F.regexp_extract(item, rf"^({_WORD_OR_QUOTED})", 1).alias("first"),
-        F.regexp_extract(item, rf"^{_WORD_OR_QUOTED}\.({_WORD_OR_QUOTED})", 1).alias("second"),
-        F.regexp_extract(item, rf"^{_NAME}({_ARGS})", 1).alias("args"),
-        F.regexp_extract(item, rf"^{_NAME}{_ARGS}{_ALIAS}", 1).alias("alias"))
+def _reference_parts(state: Column) -> Column:
+    """The references with their written parts; further dotted parts of a name do not count."""
+    return F.transform(state.refs, lambda r: F.struct(
+        F.get(state.roles, r["list"]).alias("role"), F.array_contains(state.commas, r["list"]).alias("listed"),
+        r["first"].alias("first"), r["second"].alias("second"), r["arguments"].alias("arguments"), r["alias"].alias("alias")))
 
 
 def _reference(p: Column, is_insert: Column) -> Column:
@@ -77,11 +166,12 @@ def _reference(p: Column, is_insert: Column) -> Column:
     schema = F.when(dotted, drop_text(p["first"], '"'))
     name = drop_text(F.when(dotted, p["second"]).otherwise(p["first"]), '"')
     alias = F.when(p["alias"] != "", drop_text(p["alias"], '"'))
-    quotes = F.length(p["item"]) - F.length(drop_text(p["item"], '"'))
-    schema_quoted = dotted & p["item"].startswith('"')
+    text = F.concat(p["first"], p["second"], p["alias"])
+    quotes = F.length(text) - F.length(drop_text(text, '"'))
+    schema_quoted = dotted & p["first"].startswith('"')
     name_quoted = (quotes > 2) | ((quotes > 0) & ~schema_quoted)
     requoted = F.concat(F.lit('"'), F.coalesce(alias, name), F.lit('"'))
-    needs_quotes = (alias.isNotNull() & p["item"].endswith('"')) | (name_quoted & alias.isNull() & _is_lower(name))
+    needs_quotes = p["alias"].endswith('"') | (name_quoted & alias.isNull() & _is_lower(name))
     lone_alias = F.when(needs_quotes, requoted).otherwise(alias)
     lowered = ~name_quoted & ~_is_lower(name)
     return F.struct(
@@ -89,20 +179,19 @@ def _reference(p: Column, is_insert: Column) -> Column:
         F.when(p.listed | schema_quoted, schema).otherwise(F.lower(schema)).alias("table_schema"),
         F.when(~p.listed & lowered, F.lower(name)).otherwise(name).alias("table_name"),
         F.when(p.listed, alias).when(lowered, F.coalesce(lone_alias, name)).otherwise(lone_alias).alias("alias"),
-        ((p.args != "") & ~is_insert).alias("is_function"))
+        (p.arguments & ~is_insert).alias("is_function"))
 
 
 def statement_table_refs(sql: Column) -> Column:
     """array of (role, table_schema, table_name, alias, is_function), in order of appearance (Q8).
 
-    The column list of an INSERT is neither a function call nor a source of names.
+    The column list of an INSERT is neither a function call nor a source of names. USING names a table in
+    MERGE and DELETE only.
     """
     is_insert = F.upper(strip(sql)).startswith("INSERT")
-    clauses = F.transform(F.regexp_extract_all(without_values(sql), F.lit(_CLAUSE), F.lit(0)), lambda clause: F.struct(
-        F.upper(F.regexp_extract(clause, rf"^(?i:{_ROLE})", 0)).alias("role"),
-        F.regexp_extract_all(F.regexp_replace(clause, rf"^(?i:{_ROLE}){_B}+", ""), F.lit(_ITEM), F.lit(0)).alias("items")))
-    parts = F.flatten(F.transform(clauses, lambda c: F.transform(c["items"], lambda item: _item_parts(c, item))))
-    return F.transform(parts, lambda p: _reference(p, is_insert))
+    # bound to a variable, as each mention of the fold would run it again
+    parts = F.transform(F.array(_folded(sql)), _reference_parts)
+    return F.transform(F.flatten(parts), lambda p: _reference(p, is_insert))
 
 
 def reference_label(name: Column, alias: Column) -> Column:

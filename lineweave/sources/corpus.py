@@ -30,6 +30,21 @@ BLOCKS = [
 ]
 HEADER_LINES = HEADER.count("~") + 1
 
+# Statements of the orders whose block holds none: nested, quoted and listed references.
+SHAPES = [
+    "SELECT 1 FROM SWG.A<a> x WHERE x.p IS DISTINCT FROM y.q AND x.r IS NOT DISTINCT FROM z.s",
+    "SELECT EXTRACT(YEAR FROM CAST(COALESCE(a, NVL(b, TRIM(c))) AS DATE)) FROM act.t<a>",
+    "SELECT 1 FROM ONLY tmp.t<a>",
+    "SELECT 1 FROM (SELECT 1 FROM swg.a<a>) q, TMP.After<b>",
+    "SELECT 1 FROM swg.t<a> TABLESAMPLE (10 PERCENT) x, tmp.t<b>",
+    "SELECT 1 FROM swg.f<a>(g(h(1))) f, tmp.z<b>",
+    "SELECT 1 FROM swg.a<a> JOIN (tmp.b<b> JOIN act.c<a> ON 1 = 1) ON 2 = 2 JOIN stg.d<b> USING (id), gone.t",
+    "MERGE INTO swg.t<a> t USING tmp.u<b> u ON t.i = u.i WHEN MATCHED THEN UPDATE SET v = 1",
+    "DELETE FROM swg.t<a> USING tmp.u<b> WHERE 1 = 1",
+    "WITH q AS (SELECT 1 FROM swg.a<a>, (SELECT 2 FROM tmp.b<b>) z, stg.c<a>) SELECT 1 FROM q, LATERAL (SELECT 1 FROM act.e<b>) l, bcm.f<a>",
+    "SELECT 1 FROM ((SELECT 1 FROM swg.a<a>) UNION (SELECT 2 FROM tmp.b<b>)) q WHERE x IN (SELECT (SELECT max(i) FROM act.h<a>) FROM stg.i<b>)",
+]
+
 # Orders of one script are numbered in key ranges of 2^18 keys, so that no range is unbounded.
 KEY_RANGE_BITS = 18
 
@@ -94,9 +109,13 @@ def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """statements: (script_id, stmt_no, sql), the bodies of the triple-quoted blocks, `${…}` marks. Narrow."""
+    """statements: (script_id, stmt_no, sql), the bodies of the triple-quoted blocks, `${…}` marks, and SHAPES for
+    the orders without such a block. Narrow."""
     body = F.regexp_extract(_block_text(F.col("blk"), F.col("script_id")), r'"""~(.*)~"""', 1)
+    shape = F.element_at(F.array(*map(F.lit, SHAPES)), (F.floor(F.col("blk") / 10) % len(SHAPES) + 1).cast("int"))
+    for mark, n in (("<a>", 97), ("<b>", 89)):
+        shape = F.replace(shape, F.lit(mark), (F.col("blk") % n).cast("string"))
     return (orders_of(spark, sf_dir)
             .select("script_id", F.col("blk").alias("stmt_no"),
-                    F.replace(F.replace(body, F.lit("~"), F.lit("\n")), F.lit("{"), F.lit("${")).alias("sql"))
-            .where(F.col("sql") != ""))
+                    F.when(body == "", shape).otherwise(
+                        F.replace(F.replace(body, F.lit("~"), F.lit("\n")), F.lit("{"), F.lit("${"))).alias("sql")))

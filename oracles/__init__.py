@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from lineweave import fixed_values as fv
 from lineweave.functions.text import BLANKS
-from lineweave.sources.corpus import BLOCKS, HEADER
+from lineweave.sources.corpus import BLOCKS, HEADER, SHAPES
 
 W = r"[\p{L}\p{N}_]"
 WS = "||".join(f"chr({ord(c)})" for c in BLANKS)
@@ -58,14 +58,44 @@ corpus AS (
          row_number() OVER (PARTITION BY script_id ORDER BY blk, p) AS src_line_no
   FROM (SELECT script_id, blk, unnest(rows) AS line, generate_subscripts(rows, 1) - 1 AS p FROM blocks))"""
 
+# the references of every shape: (shape, ref_no, role, schema, name, alias, is_function), with the marks of its text
+SHAPE_REFS = [
+    (0, 0, "FROM", "swg", "a<a>", "x", False), (1, 0, "FROM", "act", "t<a>", None, False), (2, 0, "FROM", "tmp", "t<a>", None, False),
+    (3, 0, "FROM", "swg", "a<a>", None, False), (3, 1, "FROM", "TMP", "After<b>", None, False),
+    (4, 0, "FROM", "swg", "t<a>", "x", False), (4, 1, "FROM", "tmp", "t<b>", None, False),
+    (5, 0, "FROM", "swg", "f<a>", "f", True), (5, 1, "FROM", "tmp", "z<b>", None, False),
+    (6, 0, "FROM", "swg", "a<a>", None, False), (6, 1, "JOIN", "tmp", "b<b>", None, False), (6, 2, "JOIN", "act", "c<a>", None, False),
+    (6, 3, "JOIN", "stg", "d<b>", None, False),
+    (7, 0, "INTO", "swg", "t<a>", "t", False), (7, 1, "USING", "tmp", "u<b>", "u", False),
+    (8, 0, "FROM", "swg", "t<a>", None, False), (8, 1, "USING", "tmp", "u<b>", None, False),
+    (9, 0, "FROM", "swg", "a<a>", None, False), (9, 1, "FROM", "tmp", "b<b>", None, False), (9, 2, "FROM", "stg", "c<a>", None, False),
+    (9, 3, "FROM", None, "q", None, False), (9, 4, "FROM", "act", "e<b>", None, False), (9, 5, "FROM", "bcm", "f<a>", None, False),
+    (10, 0, "FROM", "swg", "a<a>", None, False), (10, 1, "FROM", "tmp", "b<b>", None, False),
+    (10, 2, "FROM", "act", "h<a>", None, False), (10, 3, "FROM", "stg", "i<b>", None, False),
+]
+
+
+def marked(x: str) -> str:
+    return f"replace(replace({x}, '<a>', (o_orderkey % 97)::VARCHAR), '<b>', (o_orderkey % 89)::VARCHAR)"
+
+
+_PLAIN = "o_orderkey % 10 NOT IN (0, 2, 3, 6)"
+_SHAPE = f"(o_orderkey // 10) % {len(SHAPES)}"
 STATEMENTS = f"""
-statements AS (
+shaped AS (
+  SELECT o_custkey AS script_id, o_orderkey AS stmt_no, {marked(f"{sql_list(SHAPES)}[{_SHAPE} + 1]")} AS sql FROM orders WHERE {_PLAIN}),
+shape_refs AS (
+  SELECT o_custkey AS script_id, o_orderkey AS stmt_no, ref_no::BIGINT AS ref_no, role, table_schema, {marked("table_name")} AS table_name, alias, is_function
+  FROM orders JOIN (VALUES {", ".join("(" + ", ".join("NULL" if v is None else q(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in SHAPE_REFS)})
+    r(shape, ref_no, role, table_schema, table_name, alias, is_function) ON {_PLAIN} AND shape = {_SHAPE}),
+block_statements AS (
   SELECT o_custkey AS script_id, o_orderkey AS stmt_no,
          replace(array_to_string(rows[first + 1 : last - 1], chr(10)), '{{', '${{') AS sql
   FROM (SELECT *, list_position(list_transform(rows, lambda r: ends_with(r, '\"\"\"')), true) AS first,
                list_position(rows, '\"\"\")') AS last
         FROM (SELECT o_custkey, o_orderkey, string_split({block()}, '~') AS rows FROM orders))
-  WHERE first IS NOT NULL)"""
+  WHERE first IS NOT NULL),
+statements AS (SELECT * FROM block_statements UNION ALL SELECT * FROM shaped)"""
 
 # --- cleaning and variables -----------------------------------------------------------------------
 
@@ -310,12 +340,13 @@ cleaned AS (
   SELECT script_id, stmt_no, replace(replace(array_to_string(list_transform(string_split(cut, chr(10)),
            lambda r: split_part(r, '--', 1)), chr(10)), '${', ''), '}', '') AS sql
   FROM (SELECT *, regexp_replace(sql, '/\\*.*?\\*/', '', 'gs') AS cut FROM statements))"""
-# tokens of a statement; a name follows its role word, an alias follows the name
+_BLOCK = _PLAIN.replace("o_orderkey", "stmt_no").replace("NOT IN", "IN")
+# tokens of a statement of a block; a name follows its role word, an alias follows the name
 REFS = rf"""
 tokens AS (
   SELECT script_id, stmt_no, t, i, lead(t) OVER w AS t1, lead(t, 2) OVER w AS t2
   FROM (SELECT script_id, stmt_no, unnest(l) AS t, generate_subscripts(l, 1) AS i
-        FROM (SELECT *, regexp_extract_all(sql, '[\p{{L}}\p{{N}}_.]+|[^\p{{L}}\p{{N}}_.\s]') AS l FROM cleaned))
+        FROM (SELECT *, regexp_extract_all(sql, '[\p{{L}}\p{{N}}_.]+|[^\p{{L}}\p{{N}}_.\s]') AS l FROM cleaned WHERE {_BLOCK}))
   WINDOW w AS (PARTITION BY script_id, stmt_no ORDER BY i)),
 named_tokens AS (
   SELECT *, CASE WHEN contains(t1, '.') THEN split_part(t1, '.', 2) ELSE t1 END AS own FROM tokens),
@@ -328,7 +359,8 @@ refs AS (
          coalesce(t2 = '(', false) AS is_function
   FROM named_tokens
   WHERE upper(t) IN ('COPY', 'FROM', 'INTO', 'UPDATE', 'TABLE', 'JOIN') AND regexp_matches(t1, '^{W}')
-    AND NOT list_contains({sql_list(_STOP)}, upper(t1)))"""
+    AND NOT list_contains({sql_list(_STOP)}, upper(t1))
+  UNION ALL SELECT * FROM shape_refs)"""
 FROMS = rf"""
 froms AS (
   SELECT script_id, stmt_no, unnest(l) AS table_name, generate_subscripts(l, 1) - 1 AS ref_no
@@ -505,7 +537,7 @@ def all_sql() -> dict[str, str]:
             FROM cleaned WHERE regexp_matches(sql, '(?:OVERWRITE|INTO){B}+TABLE{B}+{W}+\.{W}+')"""),
         "statement_table_refs": stmt([REFS], "SELECT script_id, stmt_no, ref_no, role, table_schema, table_name, alias, is_function FROM refs"),
         "reference_label": stmt([REFS], """
-            SELECT script_id, stmt_no, ref_no, coalesce(alias, CASE WHEN regexp_matches(table_name, '[a-z]') THEN table_name
+            SELECT script_id, stmt_no, ref_no, coalesce(alias, CASE WHEN lower(table_name) = table_name AND upper(table_name) <> table_name THEN table_name
                    ELSE '"' || table_name || '"' END) AS label FROM refs"""),
         "statement_tables_distinct": stmt([REFS, FROMS, TABLES], "SELECT * FROM tables"),
         "schema_membership_split": stmt([REFS, FROMS, TABLES], f"""

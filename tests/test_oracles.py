@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ["orders", "documents", "pages"]
+TABLES = ["orders", "documents", "pages", "conversations"]
 
 
 @pytest.fixture(scope="module")

@@ -40,6 +40,39 @@ def test_references(spark):
     assert got[7] == [("TABLE", "swg", "t1", "T1", False, "T1")]
 
 
+def test_nested_references(spark):
+    cases = {
+        "SELECT 1 FROM s.a a WHERE a.x IS DISTINCT FROM b.y AND a.z IS NOT DISTINCT FROM c.z": ["FROM s.a a"],
+        "SELECT EXTRACT(YEAR FROM CAST(COALESCE(a, NVL(b, TRIM(c))) AS DATE)) FROM s.q": ["FROM s.q"],
+        "SELECT 1 FROM ONLY s.t": ["FROM s.t"],
+        "SELECT 1 FROM (SELECT 1 FROM s.a) q, s.after": ["FROM s.a", "FROM s.after"],
+        "SELECT 1 FROM s.t3 TABLESAMPLE (10 PERCENT) x, s.t4": ["FROM s.t3 x", "FROM s.t4"],
+        "SELECT 1 FROM s.f(g(h(1))) f, s.z": ["FROM s.f f ()", "FROM s.z"],
+        "SELECT 1 FROM s.a JOIN (s.b JOIN s.c ON 1 = 1) ON 1 = 1 JOIN s.d USING (i), s.no": ["FROM s.a", "JOIN s.b", "JOIN s.c", "JOIN s.d"],
+        "MERGE INTO s.t USING s.u u ON a = b WHEN MATCHED THEN UPDATE SET x = 1": ["INTO s.t", "USING s.u u"],
+        "MERGE INTO s.t t USING (SELECT 1 FROM s.v, s.w) q ON 1 = 1": ["INTO s.t t", "FROM s.v", "FROM s.w"],
+        "DELETE FROM s.t USING s.u WHERE 1 = 1": ["FROM s.t", "USING s.u"],
+        "SELECT a, COALESCE(NVL(b, c), d) x FROM ((SELECT 1 FROM s.a) UNION (SELECT 2 FROM s.b)) q, S.C cc JOIN s.d dd ON (1=1)": [
+            "FROM s.a", "FROM s.b", "FROM S.C cc", "JOIN s.d dd"],
+        "SELECT 1 FROM TABLE(s.f(1, (SELECT 1 FROM s.q))) t, s.k AS kk": ["TABLE s.f ()", "FROM s.q", "TABLE s.k kk"],
+        "SELECT 1 FROM s.f((SELECT 1 FROM s.q)) z": ["FROM s.f z ()", "FROM s.q"],
+        "CREATE TABLE s.n (a DECIMAL(10, 2), b INT) USING parquet": ["TABLE s.n ()"],
+        "INSERT INTO s.t (a, b) SELECT 1 FROM s.x, s.y": ["INTO s.t", "FROM s.x", "FROM s.y"],
+        "COPY s.t FROM 's3://x' (FORMAT csv)": ["COPY s.t"],
+        "SELECT 1 FROM s.a PIVOT (sum(x) FOR y IN (1, 2)) p JOIN s.b ON 1=1, s.no": ["FROM s.a p", "JOIN s.b"],
+        "SELECT 1) FROM s.a, (s.b": ["FROM s.a", "FROM s.b"],
+        "SELECT 1 FROM s.a, (SELECT 2 FROM s.b": ["FROM s.a", "FROM s.b"],
+        "": [], "FROM": [], "((((": [], "))))": [], ", a FROM": [],
+        "SELECT " + "f(" * 300 + "1" + ")" * 300 + " FROM " + "(SELECT 1 FROM s.x, " * 60 + "s.deep" + ")" * 60 + ", s.last": ["FROM s.x"] * 60 + ["FROM s.deep", "FROM s.last"],
+    }
+    shown = [[" ".join(x for x in (r[0], f"{r[1]}.{r[2]}", r[3], "()" if r[4] else None) if x) for r in found] for found in refs(spark, *cases)]
+    assert shown == list(cases.values())
+
+
+def test_a_null_statement_has_no_references(spark):
+    assert st.reference_rows(spark.createDataFrame([(1, None)], "n int, sql string")).collect() == []
+
+
 def test_table_split_on_a_long_insert(spark):
     sql = """
       INSERT OVERWRITE TABLE ${TMP}.SALES_DAY PARTITION (P='1')
