@@ -17,7 +17,7 @@ from lineweave.functions import refs, spans
 from lineweave.functions import text as tx
 from lineweave.operators import assemble, clean, lineage, pairs, variables
 from lineweave.plans import call_bodies, program_map, statement_tables
-from lineweave.sources import corpus, files, map_table
+from lineweave.sources import corpus, files, map_table, script_files
 
 try:  # the training-data operators and their pipeline may be absent
     import corpus_pipeline
@@ -75,10 +75,30 @@ def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(files.script_decode(content)).alias("text_md5"))
 
 
+def _document_files(spark: SparkSession, sf_dir: str) -> str:
+    """Every text of `documents` as a file: hidden names and folders, one extension that is none, latin-1 where it fits."""
+    root = _stored_map(spark).replace("/map-", "/scripts-")
+    files.remove_at_exit(spark, root)
+    text, i = F.coalesce("text", F.lit("")), F.col("doc_id").cast("string")
+    names = [(i, ".sql"), (F.concat(F.lit("_x"), i), ".py"), (F.concat(F.lit(".h/"), i), ".sh"), (F.concat(F.lit("sub/_y/"), i), ".sql"), (i, ".SQL"),
+             (F.concat(F.lit("sub/.w"), i), ".py")]
+    name = F.element_at(F.array(*[F.concat(a, F.lit(b)) for a, b in names]), (F.col("doc_id") % 6 + 1).cast("int"))
+    content = F.when(text.rlike(r"^[\x00-\xff]*$"), F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    script_files.write_scripts(_table(spark, sf_dir, "documents").select(name.alias("name"), content.alias("content")), root)
+    return root
+
+
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table files themselves, found by extension."""
-    scan = files.script_scan(spark, sf_dir, ["parquet"]).select("path")
-    return scan.select(files.script_name(files.relative_path(F.col("path"), sf_dir)).alias("script_name"))
+    root = _document_files(spark, sf_dir)
+    path = files.relative_path(F.col("path"), root)
+    return script_files.script_scan(spark, root).select(files.script_path(path).alias("script_path"), files.script_name(path).alias("script_name"), "length")
+
+
+def _range_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the files, read in ranges so short that most files are cut."""
+    root = _document_files(spark, sf_dir)
+    lines, _ = script_files.script_lines(script_files.script_scan(spark, root), root, 1 << 12)
+    return lines
 
 
 def _assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,6 +267,7 @@ def _reference_queries() -> dict[str, Query]:
     return {
         "script_scan": _scanned,
         "script_decode": _decoded,
+        "script_lines_by_range": _range_lines,
         "script_lines": _doc_lines,
         "relative_path": _pages(
             script_path=lambda html, url: files.script_path(files.relative_path(url, "/")),

@@ -57,3 +57,6 @@ STATEMENT_SCHEMAS = [
 # A script of at most this many source lines is one window partition. A longer one is cut into
 # chunks of this many lines, and state is carried from chunk to chunk (operators/scan.py).
 CHUNK_LINES = 16384
+
+# Script files are read in ranges of this many bytes, and a task reads about as many.
+RANGE_BYTES = 64 << 20

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineweave import fixed_values as fv
-from lineweave.functions.text import lines_of
-from lineweave.plans.call_bodies import df_sql_pairs as pairs_of
+from lineweave.operators import pairs
 from lineweave.plans.call_bodies import first_call_bodies
 from lineweave.plans.program_map import MAP_COLUMNS, program_table_map
-from lineweave.sources import files
+from lineweave.sources import files, script_files
 
 
 def _located(rows: DataFrame) -> DataFrame:
@@ -20,22 +19,18 @@ def _located(rows: DataFrame) -> DataFrame:
 def map_directory(spark: SparkSession, root: str, strd_dt: str, extensions: list[str] = fv.SCRIPT_EXTENSIONS,
                   schemas: list[str] = fv.KNOWN_SCHEMAS, chunk_lines: int = fv.CHUNK_LINES) -> DataFrame:
     """The program-to-table map of every script below `root`."""
-    scan = files.script_scan(spark, root, extensions)
-    # a script of more lines than that has more bytes than that: the others are not opened to be measured
-    large = files.script_texts(scan.where(F.col("length") >= chunk_lines), root)
-    sizes = large.select("script_id", F.size(lines_of(F.col("text"))).alias("n_src_lines"))
-    lines = files.script_lines(files.script_texts(scan, root))
+    lines, sizes = script_files.script_lines(script_files.script_scan(spark, root, extensions), root)
     rows = program_table_map(lines, strd_dt, schemas, chunk_lines=chunk_lines, sizes=sizes)
     return _located(rows).select(MAP_COLUMNS)
 
 
 def call_bodies(spark: SparkSession, root: str, extensions: list[str] = fv.SCRIPT_EXTENSIONS) -> DataFrame:
     """The first call body of every script below `root`, with the name it is assigned to."""
-    texts = files.script_texts(files.script_scan(spark, root, extensions), root)
-    return _located(first_call_bodies(texts)).select("script_path", "script_name", "status", "df_name", "body")
+    contents = script_files.script_contents(script_files.script_scan(spark, root, extensions))
+    return _located(first_call_bodies(files.script_texts(contents, root))).select("script_path", "script_name", "status", "df_name", "body")
 
 
 def df_sql_pairs(spark: SparkSession, root: str, extensions: list[str] = fv.SCRIPT_EXTENSIONS) -> DataFrame:
     """DataFrame names and their SQL texts of every script below `root`."""
-    texts = files.script_texts(files.script_scan(spark, root, extensions), root)
-    return _located(pairs_of(texts)).select("script_path", "script_name", "status", "df_name", "sql_text")
+    lines, _ = script_files.script_lines(script_files.script_scan(spark, root, extensions), root)
+    return _located(pairs.df_sql_pairs(lines)).select("script_path", "script_name", "status", "df_name", "sql_text")

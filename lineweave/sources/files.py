@@ -1,8 +1,4 @@
-"""Script files to a table of lines.
-
-Spark's file listing skips names that start with `_` or `.`; `skipped_scripts` lists such scripts, so that none
-is left out without a trace. An empty file gives no row, as it has no line.
-"""
+"""Columns of script files: encoding, paths, lines (S2-S4). `script_files` lists and reads the files."""
 
 from __future__ import annotations
 
@@ -12,32 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave import fixed_values as fv
 from lineweave.functions.text import lines_of
 
 
-def script_scan(spark: SparkSession, root: str, extensions: list[str] = fv.SCRIPT_EXTENSIONS) -> DataFrame:
-    """(path, length, content) of every script below `root`; extensions are case-sensitive."""
-    return (spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(extensions)}}}")
-            .load(root).select("path", "length", "content"))
-
-
-def skipped_scripts(spark: SparkSession, root: str, extensions: list[str] = fv.SCRIPT_EXTENSIONS) -> DataFrame:
-    """(path, length) of the scripts below `root` that `script_scan` does not read, as a folder or file name on their way
-    starts with `_` or `.`. Lists the tree by the file system's own listing and opens no file."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
-    found = []
-    while listed.hasNext():
-        status = listed.next()
-        path = status.getPath().toString()
-        below = re.sub(rf"^(?:[A-Za-z0-9]+:(?://[^/]*)?)?{re.escape(root.rstrip('/'))}/", "", path)
-        if path.rsplit(".", 1)[-1] in extensions and any(part[0] in "_." for part in below.split("/")):
-            found.append((path, status.getLen()))
-    return spark.createDataFrame(found, "path string, length long")
-
-
 def remove_at_exit(spark: SparkSession, path: str) -> None:
     """Removes what will be written at `path` when the session ends."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

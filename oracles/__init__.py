@@ -394,6 +394,12 @@ doc_lines AS (
   SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS line_no
   FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents))"""
 
+FILE_NAMES = """
+SELECT doc_id, [doc_id || '.sql', '_x' || doc_id || '.py', '.h/' || doc_id || '.sh', 'sub/_y/' || doc_id || '.sql', doc_id || '.SQL',
+                'sub/.w' || doc_id || '.py'][doc_id % 6 + 1] AS name,
+       CASE WHEN regexp_full_match(text, '[\\x{00}-\\x{ff}]*', 's') THEN length(text) ELSE strlen(text) END AS length
+FROM documents"""
+
 ALL_DOC_LINES = r"""
 doc_lines AS (
   SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS line_no
@@ -431,9 +437,12 @@ _NAME_EQ = rf"({W}+){B}*="
 def all_sql() -> dict[str, str]:
     return {
         # sources and sinks
-        "script_scan": "SELECT unnest(" + sql_list(f"{t}.parquet" for t in (
-            "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier").split())
-        + ") AS script_name",
+        "script_scan": f"""
+            SELECT CASE WHEN contains(name, '/') THEN regexp_replace(name, '/[^/]*$', '') ELSE '.' END AS script_path, string_split(name, '/')[-1] AS script_name, length
+            FROM ({FILE_NAMES}) WHERE NOT ends_with(name, '.SQL')""",
+        "script_lines_by_range": f"""WITH{DOC_LINES}
+            SELECT name AS script_id, line_no AS src_line_no, max(line_no) OVER (PARTITION BY name) AS n_src_lines, line
+            FROM doc_lines JOIN ({FILE_NAMES}) USING (doc_id) WHERE NOT ends_with(name, '.SQL')""",
         "script_decode": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
         "script_lines": f"WITH{DOC_LINES} SELECT doc_id AS script_id, line_no AS src_line_no, line FROM doc_lines",
         "relative_path": """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lineweave.functions.text import all_lines_of
 from lineweave.plans import directory
 from lineweave.plans import program_map as pm
-from lineweave.sources import files, map_table
+from lineweave.sources import files, map_table, script_files
 
 SCRIPT = 'DB_T = "TMP"\r\ndf_A = spark.sql(f"""\rSELECT 1 FROM {DB_T}.TB_ONE\n""")\ndf_A.createOrReplaceTempView("V_A1")\nFROM V_A1 x'
 
@@ -26,10 +26,10 @@ def test_files_to_map(spark, tmp_path):
     root = tmp_path / "in"
     root.mkdir()
     write(root)
-    texts = files.script_texts(files.script_scan(spark, str(root)), str(root))
+    texts = files.script_texts(script_files.script_contents(script_files.script_scan(spark, str(root))), str(root))
     got = {r.script_id: r.text for r in texts.collect()}
     plain = SCRIPT.replace("\r\n", "\n").replace("\r", "\n")
-    assert got == {"a.py": plain, "sub/b.sql": "-- note\nSELECT é FROM SWG.TB_TWO"}
+    assert got == {"a.py": plain, "sub/b.sql": "-- note\nSELECT é FROM SWG.TB_TWO", "sub/d.sh": ""}
 
     lines = files.script_lines(texts)
     assert [r.line for r in lines.where("script_id = 'a.py'").orderBy("src_line_no").collect()] == [
@@ -74,14 +74,51 @@ def test_stored_map(spark, tmp_path):
     assert spark.read.schema(one.schema).parquet(path).count() == 0
 
 
-def test_scripts_that_are_not_read_are_listed(spark, tmp_path):
+def test_hidden_and_empty_scripts_are_read(spark, tmp_path):
     root = tmp_path / "in"
-    for name in ("a.py", "__init__.py", "_x.sql", ".h.sh", "sub/_y/z.sql", "_n.txt"):
+    names = ["a.py", "__init__.py", "_x.sql", ".h/x.py", ".h.sh", "sub/_y/z.sql", "sub/_y/.w/v.sh", "py", "x.py.txt", "_n.txt", "sub/A.SQL"]
+    for name in names:
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text("FROM SWG.TB_ONE")
-    scanned = {r.path.split("/in/")[1] for r in files.script_scan(spark, str(root)).collect()}
-    skipped = {r.path.split("/in/")[1]: r.length for r in files.skipped_scripts(spark, str(root)).collect()}
-    assert scanned == {"a.py"} and skipped == {n: 15 for n in ("__init__.py", "_x.sql", ".h.sh", "sub/_y/z.sql")}
+    (root / "empty.sql").write_text("")
+    (root / "no" / "files").mkdir(parents=True)
+    expected = {n: 15 for n in names[:7]} | {"empty.sql": 0}
+    for folders in (1, 2, 64):
+        scanned = script_files.script_scan(spark, str(root), folders=folders).collect()
+        assert {r.path.split("/in/")[1]: r.length for r in scanned} == expected and len(scanned) == len(expected)
+    rows = directory.map_directory(spark, f"file:{root}", "20240101").collect()
+    assert {f"{r.script_path}/{r.script_name}".removeprefix("./") for r in rows} == set(names[:7])
+    assert script_files.script_scan(spark, str(root / "no")).collect() == []
+    assert directory.map_directory(spark, str(root / "no"), "20240101").collect() == []
+
+
+def test_lines_over_range_borders(spark, tmp_path):
+    """Ranges of a few bytes cut line ends, characters and lines at every place; all equal the whole read."""
+    contents = {
+        "crlf.py": "ab\r\ncd\r\n\r\n\r\re\n\nf".encode(), "utf8.py": "é€𝄞\r\nüß\n𝄞𝄞𝄞\rx".encode(), "latin.sql": "é€𝄞\r\nabc".encode() + b"\xe9\r\nx\xff",
+        "bad_end.sql": b"abc\n" + "é".encode()[:1], "long.sh": b"x" * 500, "ends.sh": b"\r\n" * 40, "cr.sh": b"\r" * 33, "empty.sh": b"", "one.py": b"a", "nl.py": b"\n",
+        "surrogate.py": b"ok\n\xed\xa0\x80\n", "latin_late.py": b"a\n" * 200 + b"\xfc",
+    }
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+
+    def plain(data):
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
+            text = data.decode("latin-1")
+        return text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+
+    for range_bytes in (1, 3, 100):
+        lines, sizes = script_files.script_lines(script_files.script_scan(spark, str(tmp_path)), str(tmp_path), range_bytes)
+        got = {}
+        for r in lines.collect():
+            assert r.src_line_no not in got.setdefault(r.script_id, {})
+            got[r.script_id][r.src_line_no] = r.line
+            assert r.n_src_lines == len(plain(contents[r.script_id]))
+        assert {n: [x[k] for k in sorted(x)] for n, x in got.items()} == {n: plain(d) for n, d in contents.items()}
+        assert all(sorted(x) == list(range(1, len(x) + 1)) for x in got.values())
+        assert dict(map(tuple, sizes.collect())) == {n: len(plain(d)) for n, d in contents.items()}
 
 
 def test_lines_of_hash_and_slash_comments(spark):
