@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from lineweave import fixed_values as fv
 from lineweave.functions import names as nm
 from lineweave.functions.text import computed_once, holds_any, starts_with_any
-from lineweave.operators.scan import CHUNK_KEYS, counted, next_level, running
+from lineweave.operators.lookup import names_within
+from lineweave.operators.scan import CHUNK_KEYS, counted, cut_lineage, running
 
-# names a long script may carry along with each of its lines
-FEW_VIEWS = 256
 USE = "struct<name:string,copies:bigint>"
 
 
@@ -90,60 +89,24 @@ def _uses_short(stmts: DataFrame) -> DataFrame:
             .drop("views"))
 
 
-def _held_names(stmts: DataFrame, names: DataFrame) -> DataFrame:
-    """(script_id, chunk, name): the view names that occur in some line of a chunk.
-
-    A script of at most FEW_VIEWS names carries them along. The names of others are found by an
-    equi-join with the substrings of the chunk's lines; only substrings that have the length of a
-    name, and a beginning that some name may have, get as far as the join.
-    """
-    lines = stmts.where("kind <> 'TEMP_VIEW'").select(*CHUNK_KEYS, "upper")
-    chunks = lines.select(*CHUNK_KEYS).distinct()
-    head = F.pmod(F.hash(F.substring("name", 1, 3)), F.lit(256))
-    scripts = names.groupBy("script_id").agg(
-        F.count("*").alias("n"), F.collect_set(F.length("name")).alias("sizes"), F.collect_set(head).alias("heads"))
-
-    few = names.join(scripts.where(F.col("n") <= FEW_VIEWS).select("script_id"), "script_id")
-    few = few.groupBy("script_id").agg(F.collect_list("name").alias("names"))
-    plain = (lines.join(chunks.join(few, "script_id"), CHUNK_KEYS)
-             .select(*CHUNK_KEYS, F.explode_outer(F.filter("names", lambda n: F.contains("upper", n))).alias("name"))
-             .where(F.col("name").isNotNull()).distinct())
-
-    many = scripts.where(F.col("n") > FEW_VIEWS).select("script_id", "sizes", "heads")
-    parts = (lines.join(chunks.join(many, "script_id"), CHUNK_KEYS)
-             .select(*CHUNK_KEYS, "upper", "heads", F.explode("sizes").alias("size"))
-             .where(F.length("upper") >= F.col("size"))
-             .select(*CHUNK_KEYS, "heads", F.explode_outer(F.array_distinct(F.transform(
-                 F.sequence(F.lit(1), F.length("upper") - F.col("size") + 1),
-                 lambda at: F.substring(F.col("upper"), at, F.col("size"))))).alias("name"))
-             .where(F.array_contains("heads", head)).select(*CHUNK_KEYS, "name").distinct())
-    return plain.unionByName(parts.join(names, ["script_id", "name"]).select(*CHUNK_KEYS, "name"))
-
-
 def _uses_long(stmts: DataFrame, levels: int) -> DataFrame:
-    """Which views a chunk holds is found first; how often each was declared before the chunk is a
-    running sum per view."""
-    declared = (stmts.where(F.col("view").isNotNull())
-                .groupBy(*CHUNK_KEYS, F.col("view").alias("name")).agg(F.count("*").alias("n")))
-    held = _held_names(stmts, declared.select("script_id", "name").distinct())
-    counts = (held.withColumn("n", F.lit(0).cast("bigint"))
-              .unionByName(declared)
-              .groupBy(*CHUNK_KEYS, "name").agg(F.sum("n").alias("n"), F.max(F.col("n") == 0).alias("held")))
-    counts = running(next_level(counts), levels - 1, total={"n": F.col("n")}, by=["script_id", "name"])
-    known = (counts.where("held")
-             .groupBy("script_id", F.col("pos").alias("chunk"))
-             .agg(F.collect_list(F.struct("name", F.col("prev_n").alias("earlier"))).alias("known")))
-
-    so_far = Window.partitionBy(*CHUNK_KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = F.transform(
-        F.filter("known", lambda k: F.contains("upper", k["name"])),
-        lambda k: F.struct(
-            k["name"].alias("name"),
-            (k.earlier + F.size(F.filter("views", lambda v: v == k["name"]))).cast("bigint").alias("copies")))
-    return (stmts.withColumn("views", F.collect_list("view").over(so_far))
-            .join(known, CHUNK_KEYS, "left")
-            .withColumn("uses", F.coalesce(F.filter(counted, lambda u: u.copies > 0), F.array().cast(f"array<{USE}>")))
-            .drop("views", "known"))
+    """The views that each line holds are found by a join; how often each was declared up to the line is a running sum per view over
+    the lines that declare or hold it."""
+    place = [*CHUNK_KEYS, "pos"]
+    declared = stmts.where(F.col("view").isNotNull()).select(*place, F.col("view").alias("name"))
+    names = declared.select("script_id", "name").distinct()
+    lines = stmts.where("kind <> 'TEMP_VIEW'").select(*place, F.col("upper").alias("text"))
+    held = names_within(lines, names.where("name <> ''"), place)
+    # the empty name is held by every line
+    held = held.unionByName(lines.drop("text").join(names.where("name = ''"), "script_id"))
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    events = (declared.select("*", one.alias("n"), zero.alias("held")).unionByName(held.select(*declared.columns, zero.alias("n"), one.alias("held")))
+              .groupBy(*place, "name").agg(F.sum("n").alias("n"), F.max("held").alias("held")))
+    events = running(cut_lineage(events, levels), levels, total={"n": F.col("n")}, by=["script_id", "name"])
+    copies = F.col("prev_n") + F.col("n")
+    uses = (events.where((F.col("held") == 1) & (copies > 0)).groupBy(*place)
+            .agg(F.collect_list(F.struct("name", copies.cast("bigint").alias("copies"))).alias("uses")))
+    return stmts.join(uses, place, "left").withColumn("uses", F.coalesce("uses", F.array().cast(f"array<{USE}>")))
 
 
 def drop_after_bad_line(stmts: DataFrame, levels: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lineweave import fixed_values as fv
 from lineweave.functions.text import WORD, drop_text, matches_any, strip
+from lineweave.operators.lookup import names_within
 from lineweave.operators.scan import CHUNK_KEYS
 
 PLACEHOLDER = r"\{[^}]+\}"
@@ -121,13 +122,12 @@ def _fill_short(lines: DataFrame) -> DataFrame:
 
 
 def _fill_long(lines: DataFrame) -> DataFrame:
-    """Resolve the distinct placeholders of each chunk by an equi-join of their substrings with the names.
+    """Resolve the distinct placeholders of each chunk by looking for the names in them.
 
     The number of variables of a long script has no bound, so they are never gathered in one place.
     """
     names = assignment_map(lines)
     per_script = names.groupBy("script_id").agg(
-        F.max(F.length("var_name")).alias("longest"),
         F.min(F.when(F.col("var_name") == "", F.col("first_pos"))).alias("empty_pos"),
         F.max(F.when(F.col("var_name") == "", F.col("var_value"))).alias("empty_value"))
     lines = lines.withColumn("line", collapse_placeholders(F.col("line")))
@@ -136,16 +136,11 @@ def _fill_long(lines: DataFrame) -> DataFrame:
     # by way of the chunks: a long script has few of them, but may have many placeholders
     chunks = used.select(*CHUNK_KEYS).distinct().join(per_script, "script_id")
     marks = used.join(chunks, CHUNK_KEYS).groupBy("script_id", "mark").agg(
-        F.first("longest").alias("longest"), F.first("empty_pos").alias("empty_pos"), F.first("empty_value").alias("empty_value"))
-
-    size = F.length("mark")
-    parts = marks.select(
-        "script_id", "mark",
-        F.explode_outer(F.array_distinct(F.flatten(F.transform(
-            F.sequence(F.lit(1), size), lambda at: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.col("longest"), size - at + 1))),
-                lambda n: F.substring(F.col("mark"), at, n)))))).alias("var_name"))
-    hits = parts.join(names, ["script_id", "var_name"]).groupBy("script_id", "mark").agg(
+        F.first("empty_pos").alias("empty_pos"), F.first("empty_value").alias("empty_value"))
+
+    parts = names_within(marks.select("script_id", "mark", F.col("mark").alias("text")),
+                         names.where("var_name <> ''").select("script_id", F.col("var_name").alias("name")), ["script_id", "mark"])
+    hits = parts.withColumnRenamed("name", "var_name").join(names, ["script_id", "var_name"]).groupBy("script_id", "mark").agg(
         F.min(F.struct(F.col("first_pos").alias("at"), F.col("var_value").alias("value"))).alias("hit"))
     # the empty name is held by every placeholder
     empty = F.when(F.col("empty_pos").isNotNull(),
