@@ -19,12 +19,10 @@ from lineweave.operators import assemble, clean, lineage, pairs, variables
 from lineweave.plans import call_bodies, program_map, statement_tables
 from lineweave.sources import corpus, files, map_table, script_files
 
-try:  # the training-data operators and their pipeline may be absent
+try:  # the training-data operators and their pipeline may be absent, or a package that they need
     import corpus_pipeline
     from lineweave.llm import queries as training
-except ImportError as absent:
-    if absent.name not in ("corpus_pipeline", "lineweave.llm"):
-        raise
+except ImportError:
     corpus_pipeline = training = None
 
 Query = Callable[[SparkSession, str], DataFrame]

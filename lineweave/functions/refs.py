@@ -73,16 +73,17 @@ def _marks(sql: Column) -> Column:
     parts = F.split(marked, _BREAK, -1)
     parts = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda m: F.split(m, _FIELD, -1))
     merges = sql.rlike(rf"^{_B}*(?i:MERGE|DELETE){_END}")
-    roles = F.when(merges, F.array(*map(F.lit, _ROLES))).otherwise(F.array(*map(F.lit, _ROLES[:-1])))
 
-    def mark(m: Column) -> Column:
-        word = F.upper(m[0])
-        kind = (F.when(word == ",", _COMMA).when(word == "(", _OPEN).when(word == ")", _CLOSE).when(F.array_contains(roles, word), _ROLE)
-                .when(word == "LATERAL", _LATERAL).when(word.startswith("("), _SUBSELECT).otherwise(_OTHER))
-        return F.struct(kind.alias("kind"), word.alias("word"), m[1].alias("first"), m[2].alias("second"),
-                        (F.ltrim(m[3]) == "(").alias("arguments"), (m[3] != "").alias("opens"), m[4].alias("alias"))
+    def kind(word: Column) -> Column:
+        return (F.when(word == ",", _COMMA).when(word == "(", _OPEN).when(word == ")", _CLOSE).when(word.isin(_ROLES[:-1]), _ROLE)
+                .when(word == "LATERAL", _LATERAL).when(word.startswith("("), _SUBSELECT)
+                .when(word == "USING", F.when(merges, _ROLE).otherwise(_OTHER)).otherwise(_OTHER))
 
-    return F.transform(parts, mark)
+    # in two steps: what a lambda uses several times is bound once
+    parts = F.transform(parts, lambda m: F.struct(F.upper(m[0]).alias("word"), m[1].alias("first"), m[2].alias("second"), m[3].alias("opened"), m[4].alias("alias")))
+    return F.transform(parts, lambda m: F.struct(
+        kind(m["word"]).alias("kind"), m["word"].alias("word"), m["first"].alias("first"), m["second"].alias("second"),
+        (F.ltrim(m["opened"]) == "(").alias("arguments"), (m["opened"] != "").alias("opens"), m["alias"].alias("alias")))
 
 
 # --- the fold: a frame is its mode and, in steps of 16, the list it is in or the reference it belongs to
@@ -159,27 +160,35 @@ def _reference_parts(state: Column) -> Column:
         r["first"].alias("first"), r["second"].alias("second"), r["arguments"].alias("arguments"), r["alias"].alias("alias")))
 
 
-def _reference(p: Column, is_insert: Column) -> Column:
+def _references(parts: Column, is_insert: Column) -> Column:
     """Names in a list stay as written; a name that stands alone is lower-cased unless quoted, and
-    then keeps its written form as alias."""
-    dotted = p["second"] != ""
-    schema = F.when(dotted, drop_text(p["first"], '"'))
-    name = drop_text(F.when(dotted, p["second"]).otherwise(p["first"]), '"')
-    alias = F.when(p["alias"] != "", drop_text(p["alias"], '"'))
-    text = F.concat(p["first"], p["second"], p["alias"])
-    quotes = F.length(text) - F.length(drop_text(text, '"'))
-    schema_quoted = dotted & p["first"].startswith('"')
-    name_quoted = (quotes > 2) | ((quotes > 0) & ~schema_quoted)
-    requoted = F.concat(F.lit('"'), F.coalesce(alias, name), F.lit('"'))
-    needs_quotes = p["alias"].endswith('"') | (name_quoted & alias.isNull() & _is_lower(name))
-    lone_alias = F.when(needs_quotes, requoted).otherwise(alias)
-    lowered = ~name_quoted & ~_is_lower(name)
-    return F.struct(
-        p.role.alias("role"),
-        F.when(p.listed | schema_quoted, schema).otherwise(F.lower(schema)).alias("table_schema"),
-        F.when(~p.listed & lowered, F.lower(name)).otherwise(name).alias("table_name"),
-        F.when(p.listed, alias).when(lowered, F.coalesce(lone_alias, name)).otherwise(lone_alias).alias("alias"),
-        (p.arguments & ~is_insert).alias("is_function"))
+    then keeps its written form as alias. In steps: what a lambda uses several times is bound once."""
+    def named(p: Column) -> Column:
+        dotted = p["second"] != ""
+        text = F.concat(p["first"], p["second"], p["alias"])
+        return F.struct(
+            p["role"].alias("role"), p["listed"].alias("listed"), p["arguments"].alias("arguments"),
+            F.when(dotted, drop_text(p["first"], '"')).alias("schema"), drop_text(F.when(dotted, p["second"]).otherwise(p["first"]), '"').alias("name"),
+            F.when(p["alias"] != "", drop_text(p["alias"], '"')).alias("alias"), p["alias"].endswith('"').alias("alias_quoted"),
+            (dotted & p["first"].startswith('"')).alias("schema_quoted"), (F.length(text) - F.length(drop_text(text, '"'))).alias("quotes"))
+
+    def judged(p: Column) -> Column:
+        name_quoted = (p["quotes"] > 2) | ((p["quotes"] > 0) & ~p["schema_quoted"])
+        return F.struct(p.alias("p"), name_quoted.alias("quoted"), _is_lower(p["name"]).alias("lower"))
+
+    def reference(x: Column) -> Column:
+        p = x["p"]
+        needs_quotes = p["alias_quoted"] | (x["quoted"] & p["alias"].isNull() & x["lower"])
+        lone = F.when(needs_quotes, F.concat(F.lit('"'), F.coalesce(p["alias"], p["name"]), F.lit('"'))).otherwise(p["alias"])
+        lowered = ~x["quoted"] & ~x["lower"]
+        return F.struct(
+            p["role"].alias("role"),
+            F.when(p["listed"] | p["schema_quoted"], p["schema"]).otherwise(F.lower(p["schema"])).alias("table_schema"),
+            F.when(~p["listed"] & lowered, F.lower(p["name"])).otherwise(p["name"]).alias("table_name"),
+            F.when(p["listed"], p["alias"]).when(lowered, F.coalesce(lone, p["name"])).otherwise(lone).alias("alias"),
+            (p["arguments"] & ~is_insert).alias("is_function"))
+
+    return F.transform(F.transform(F.transform(parts, named), judged), reference)
 
 
 def statement_table_refs(sql: Column) -> Column:
@@ -191,7 +200,7 @@ def statement_table_refs(sql: Column) -> Column:
     is_insert = F.upper(strip(sql)).startswith("INSERT")
     # bound to a variable, as each mention of the fold would run it again
     parts = F.transform(F.array(_folded(sql)), _reference_parts)
-    return F.transform(F.flatten(parts), lambda p: _reference(p, is_insert))
+    return _references(F.flatten(parts), is_insert)
 
 
 def reference_label(name: Column, alias: Column) -> Column:

@@ -30,7 +30,7 @@ BLOCKS = [
 ]
 HEADER_LINES = HEADER.count("~") + 1
 
-# Statements of the orders whose block holds none: nested, quoted and listed references.
+# Statements of the orders with blocks of the last kind, which hold none: nested and listed references.
 SHAPES = [
     "SELECT 1 FROM SWG.A<a> x WHERE x.p IS DISTINCT FROM y.q AND x.r IS NOT DISTINCT FROM z.s",
     "SELECT EXTRACT(YEAR FROM CAST(COALESCE(a, NVL(b, TRIM(c))) AS DATE)) FROM act.t<a>",
@@ -110,12 +110,15 @@ def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """statements: (script_id, stmt_no, sql), the bodies of the triple-quoted blocks, `${…}` marks, and SHAPES for
-    the orders without such a block. Narrow."""
+    the orders of the last kind. The keys, a few bytes each, are dealt out before they become text: a small table is one split."""
     body = F.regexp_extract(_block_text(F.col("blk"), F.col("script_id")), r'"""~(.*)~"""', 1)
     shape = F.element_at(F.array(*map(F.lit, SHAPES)), (F.floor(F.col("blk") / 10) % len(SHAPES) + 1).cast("int"))
     for mark, n in (("<a>", 97), ("<b>", 89)):
         shape = F.replace(shape, F.lit(mark), (F.col("blk") % n).cast("string"))
-    return (orders_of(spark, sf_dir)
+    # a given number, as Spark would merge partitions by the size of the keys
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return (orders_of(spark, sf_dir).repartition(tasks, "blk")
             .select("script_id", F.col("blk").alias("stmt_no"),
-                    F.when(body == "", shape).otherwise(
-                        F.replace(F.replace(body, F.lit("~"), F.lit("\n")), F.lit("{"), F.lit("${"))).alias("sql")))
+                    F.when(F.col("blk") % 10 == 9, shape).otherwise(
+                        F.replace(F.replace(body, F.lit("~"), F.lit("\n")), F.lit("{"), F.lit("${"))).alias("sql"))
+            .where(F.col("sql") != ""))

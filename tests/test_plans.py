@@ -5,11 +5,12 @@ import pytest
 import __spark_entry__ as entry
 
 NARROW = [
-    "script_decode", "script_lines", "relative_path", "strip_comments_text", "strip_comments_hashslash", "strip_comments_stmt",
+    "script_decode", "script_lines", "relative_path", "strip_comments_text", "strip_comments_hashslash",
     "pad_parentheses", "strip_placeholder_marks", "first_balanced_span", "first_call_body", "widest_call_body", "paren_groups",
-    "from_tables", "insert_target", "statement_table_refs", "reference_label", "statement_tables_distinct",
-    "schema_membership_split",
 ]
+# the keys that statements are derived from are dealt out; all that follows is narrow
+STATEMENTS = ["from_tables", "insert_target", "statement_table_refs", "reference_label", "statement_tables_distinct", "schema_membership_split",
+              "strip_comments_stmt"]
 # numbering the derived lines takes three shuffles of keys; everything that follows takes one more
 STATEFUL = ["placeholder_substitute", "join_continuations", "line_number", "block_owner", "temp_view_use", "carried_refs",
             "program_table_map"]
@@ -24,6 +25,11 @@ def test_narrow(spark, tiny, name):
     assert "Exchange" not in plan(spark, tiny, name)
 
 
+@pytest.mark.parametrize("name", STATEMENTS)
+def test_narrow_after_the_keys(spark, tiny, name):
+    assert plan(spark, tiny, name).count("Exchange") == 1
+
+
 @pytest.mark.parametrize("name", STATEFUL)
 def test_one_shuffle_after_the_source(spark, tiny, name):
     text = plan(spark, tiny, name)
