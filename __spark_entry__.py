@@ -33,9 +33,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _by_length(body: Callable[[DataFrame, int], DataFrame], lines: Callable[[DataFrame], DataFrame] = lambda d: d) -> Query:
+def _by_length(body: Callable[[DataFrame, int], DataFrame]) -> Query:
     return lambda spark, sf_dir: program_map.by_length(
-        lines(corpus.corpus_lines(spark, sf_dir)), body, sizes=corpus.script_sizes(spark, sf_dir))
+        corpus.corpus_lines(spark, sf_dir), body, sizes=corpus.script_sizes(spark, sf_dir))
 
 
 def _lines(step: Callable[[DataFrame], DataFrame]) -> Query:
@@ -184,15 +184,13 @@ def _flags(lines: DataFrame, levels: int) -> DataFrame:
 
 
 def _cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scripts that lost their save_dir lines: a write statement without a path ends them."""
-    kept = _by_length(lambda lines, levels: _statements(lines, levels).select("script_id", "line_no"),
-                      lambda lines: lines.where(~F.col("line").startswith("save_dir")))(spark, sf_dir)
+    """What is left of every script: a write statement without a path ends some."""
+    kept = _by_length(lambda lines, levels: _statements(lines, levels).select("script_id", "line_no"))(spark, sf_dir)
     return kept.groupBy("script_id").agg(F.count("*").alias("n_statements"), F.max("line_no").alias("last_line_no"))
 
 
 def _bad_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = corpus.corpus_lines(spark, sf_dir).where(~F.col("line").startswith("save_dir"))
-    return program_map.bad_scripts(lines, sizes=corpus.script_sizes(spark, sf_dir))
+    return program_map.bad_scripts(corpus.corpus_lines(spark, sf_dir), sizes=corpus.script_sizes(spark, sf_dir))
 
 
 def _map(spark: SparkSession, sf_dir: str, date: str = DATE) -> DataFrame:

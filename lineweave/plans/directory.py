@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lineweave import fixed_values as fv
 from lineweave.operators import pairs
 from lineweave.plans.call_bodies import first_call_bodies
-from lineweave.plans.program_map import MAP_COLUMNS, program_table_map
+from lineweave.plans.program_map import MAP_COLUMNS, bad_scripts, program_table_map
 from lineweave.sources import files, script_files
 
 
@@ -24,6 +24,12 @@ def map_directory(spark: SparkSession, root: str, strd_dt: str, extensions: list
     return _located(rows).select(MAP_COLUMNS)
 
 
+def ended_scripts(spark: SparkSession, root: str, extensions: list[str] = fv.SCRIPT_EXTENSIONS, chunk_lines: int = fv.CHUNK_LINES) -> DataFrame:
+    """(script_path, script_name, bad_line_no): the scripts below `root` that the map leaves off before their end, and at which line."""
+    lines, sizes = script_files.script_lines(script_files.script_scan(spark, root, extensions), root)
+    return _located(bad_scripts(lines, chunk_lines, sizes)).select("script_path", "script_name", "bad_line_no")
+
+
 def call_bodies(spark: SparkSession, root: str, extensions: list[str] = fv.SCRIPT_EXTENSIONS) -> DataFrame:
     """The first call body of every script below `root`, with the name it is assigned to."""
     contents = script_files.script_contents(script_files.script_scan(spark, root, extensions))

@@ -29,6 +29,9 @@ BLOCKS = [
     'try:~    spark.sql(f"ALTER TABLE {DB_BCM}.TB_<b> ADD COLUMN X")~-- end~spark.stop()',
 ]
 HEADER_LINES = HEADER.count("~") + 1
+# One order in 97 has this block instead: a write without a path, which ends its script.
+BAD_BLOCK = 'df_W<a>.write.mode("overwrite").parquet(target_<a>)~SELECT 1 FROM {DB_SWG}.TB_<b> Y'
+BLOCKS.append(BAD_BLOCK)
 
 # Statements of the orders with blocks of the last kind, which hold none: nested and listed references.
 SHAPES = [
@@ -49,9 +52,13 @@ SHAPES = [
 KEY_RANGE_BITS = 18
 
 
+def _kind(order_key: Column) -> Column:
+    return F.when(order_key % 97 == 5, 10).otherwise(order_key % 10)
+
+
 def _block_text(order_key: Column, cust_key: Column) -> Column:
-    kind = order_key % 10
-    text = reduce(lambda acc, k: acc.when(kind == k, BLOCKS[k]), range(1, 10), F.when(kind == 0, BLOCKS[0]))
+    kind = _kind(order_key)
+    text = reduce(lambda acc, k: acc.when(kind == k, BLOCKS[k]), range(1, len(BLOCKS)), F.when(kind == 0, BLOCKS[0]))
     marks = {
         "<a>": (order_key % 97).cast("string"), "<b>": (order_key % 89).cast("string"),
         "<c>": (cust_key % 7).cast("string"), "<bs>": F.lit("\\"), "<sq>": F.lit("'"),
@@ -61,8 +68,8 @@ def _block_text(order_key: Column, cust_key: Column) -> Column:
 
 def _block_lines(order_key: Column) -> Column:
     per_kind = [b.count("~") + 1 for b in BLOCKS]
-    kind = order_key % 10
-    n = reduce(lambda acc, k: acc.when(kind == k, per_kind[k]), range(1, 10), F.when(kind == 0, per_kind[0]))
+    kind = _kind(order_key)
+    n = reduce(lambda acc, k: acc.when(kind == k, per_kind[k]), range(1, len(BLOCKS)), F.when(kind == 0, per_kind[0]))
     return n.cast("bigint")
 
 

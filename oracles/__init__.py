@@ -41,7 +41,7 @@ def any_in(x: str, tokens) -> str:
 
 def block() -> str:
     cases = " ".join(f"WHEN {k} THEN {q(b)}" for k, b in enumerate(BLOCKS))
-    x = f"CASE o_orderkey % 10 {cases} END"
+    x = f"CASE CASE WHEN o_orderkey % 97 = 5 THEN 10 ELSE o_orderkey % 10 END {cases} END"
     for mark, value in (("<a>", "(o_orderkey % 97)::VARCHAR"), ("<b>", "(o_orderkey % 89)::VARCHAR"),
                         ("<c>", "(o_custkey % 7)::VARCHAR"), ("<bs>", "chr(92)"), ("<sq>", "chr(39)")):
         x = f"replace({x}, '{mark}', {value})"
@@ -315,7 +315,6 @@ shown AS (
         FROM name_rows) GROUP BY ALL)"""
 
 LINES = "\nlines AS (SELECT script_id, src_line_no, line FROM corpus)"
-NO_DIR = "\nlines AS (SELECT script_id, src_line_no, line FROM corpus WHERE NOT starts_with(line, 'save_dir'))"
 SUBSTITUTED = [C1, C5, V12, V3, V4, C7, C6]
 ASSEMBLED = [*SUBSTITUTED, L1, L2]
 NAMED = [*ASSEMBLED, OWNER, TYPED, USES, CARRIED]
@@ -511,9 +510,9 @@ def all_sql() -> dict[str, str]:
         "carried_refs": over(NAMED, "SELECT script_id, line_no, kind AS stmt_type, name AS table_name, copies FROM name_rows"),
         "in_line_flag": over(NAMED, "SELECT script_id, line_no, table_name, in_line FROM shown"),
         "bad_script_cutoff": over([*ASSEMBLED, TYPED, USES], """
-            SELECT script_id, count(*) AS n_statements, max(line_no) AS last_line_no FROM good GROUP BY ALL""", NO_DIR),
+            SELECT script_id, count(*) AS n_statements, max(line_no) AS last_line_no FROM good GROUP BY ALL"""),
         "bad_scripts": over([*ASSEMBLED, TYPED, USES], """
-            SELECT script_id, min(line_no) AS bad_line_no FROM stmts WHERE bad GROUP BY ALL""", NO_DIR),
+            SELECT script_id, min(line_no) AS bad_line_no FROM stmts WHERE bad GROUP BY ALL"""),
         "program_table_map": over(NAMED, MAP.format(date=DATE)),
         # texts and statements
         "first_balanced_span": f"WITH{SPAN} SELECT page_id, start, stop FROM spans",

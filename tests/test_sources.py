@@ -92,6 +92,15 @@ def test_hidden_and_empty_scripts_are_read(spark, tmp_path):
     assert directory.map_directory(spark, str(root / "no"), "20240101").collect() == []
 
 
+def test_scripts_that_end_early_are_listed(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "good.py").write_text("FROM SWG.TB_ONE x\nSELECT A.B")
+    (tmp_path / "sub" / "_bad.py").write_text('# note\nFROM SWG.TB_ONE x\ndf_A.write.mode("overwrite").parquet(target)\nFROM SWG.TB_TWO x')
+    for chunk_lines in (1 << 14, 2):
+        found = directory.ended_scripts(spark, str(tmp_path), chunk_lines=chunk_lines).collect()
+        assert [(r.script_path, r.script_name, r.bad_line_no) for r in found] == [("sub", "_bad.py", 2)]
+
+
 def test_lines_over_range_borders(spark, tmp_path):
     """Ranges of a few bytes cut line ends, characters and lines at every place; all equal the whole read."""
     contents = {
