@@ -69,13 +69,13 @@ def _pair_lines(part: pd.DataFrame) -> pd.DataFrame:
         if state == NAME:
             if df:
                 state, at = CALL, line_no
-                out.append((script, at, line_no, "name", False))
+                out.append((script, at, line_no, "name"))
             continue
         role = "call" if state == CALL and sql else "text"
         ends = (state == END or sql) and stop
-        out.append((script, at, line_no, role, bool(ends)))
+        out.append((script, at, line_no, role))
         state = NAME if ends else END if role == "call" else state
-    return pd.DataFrame(out, columns=["script_id", "df_at", "src_line_no", "role", "closes"])
+    return pd.DataFrame(out, columns=["script_id", "df_at", "src_line_no", "role"])
 
 
 def df_sql_pairs(lines: DataFrame, chunk_lines: int = fv.CHUNK_LINES) -> DataFrame:
@@ -90,13 +90,16 @@ def df_sql_pairs(lines: DataFrame, chunk_lines: int = fv.CHUNK_LINES) -> DataFra
     starts = ends.groupBy("script_id").applyInPandas(_chunk_starts, f"script_id {kind}, chunk long, state int, at long")
     open_ = starts.where((F.col("chunk") == -1) & (F.col("state") == END)).select("script_id")
     placed = (marked.join(starts, ["script_id", "chunk"]).groupBy("script_id", "chunk").applyInPandas(
-        _pair_lines, f"script_id {kind}, df_at long, src_line_no long, role string, closes boolean"))
+        _pair_lines, f"script_id {kind}, df_at long, src_line_no long, role string"))
+    # what follows a name whose call never closes, up to the rest of the script, is left out before any text is gathered
+    unclosed = starts.where((F.col("chunk") == -1) & (F.col("state") != NAME)).select("script_id", F.col("at").alias("df_at"))
+    placed = placed.join(unclosed, ["script_id", "df_at"], "left_anti")
     pieces = placed.join(lines.select("script_id", F.col("src_line_no").cast("long").alias("src_line_no"), "line"), ["script_id", "src_line_no"])
     text = F.when(F.col("role") == "call", F.substring(line, F.instr(line, "spark.sql("), F.length(line))).when(F.col("role") == "text", line)
     body = F.sort_array(F.collect_list(F.when(text.isNotNull(), F.struct("src_line_no", text.alias("line")))))
     pairs = (pieces.groupBy("script_id", "df_at")
-             .agg(F.max(F.when(F.col("role") == "name", strip(F.substring_index(line, "=", 1)))).alias("df_name"), F.max("closes").alias("closes"), body.alias("body"))
-             .where("closes").withColumn("sql_text", strip(F.array_join("body.line", "\n"))))
+             .agg(F.max(F.when(F.col("role") == "name", strip(F.substring_index(line, "=", 1)))).alias("df_name"), body.alias("body"))
+             .withColumn("sql_text", strip(F.array_join("body.line", "\n"))))
     last = pairs.groupBy("script_id", "df_name").agg(F.max_by("sql_text", "df_at").alias("sql_text")).join(open_, "script_id", "left_anti")
     none = F.lit(None).cast("string")
     return (last.select("script_id", F.lit("ok").alias("status"), "df_name", "sql_text")

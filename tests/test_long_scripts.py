@@ -6,7 +6,7 @@ import pytest
 import sequential
 from pyspark.sql import functions as F
 
-from lineweave.operators import assemble, variables
+from lineweave.operators import assemble, pairs, variables
 from lineweave.operators.lookup import names_within
 from lineweave.plans import program_map as pm
 
@@ -56,3 +56,13 @@ def test_many_views_in_one_script(spark):
     rows = pm.program_table_map(lines, "20240101").where("stmt_type = 'TEMP_VIEW_USE' AND table_name <> 'TB_1'")
     assert rows.agg(F.count("*"), F.sum("copies"), F.max("copies")).first() == (n // 2, n // 2, 1)
     assert rows.where(F.col("table_name") != F.concat(F.lit("V"), (F.col("line_no") - 1).cast("string"), F.lit("_X"))).isEmpty()
+
+
+@pytest.mark.parametrize("last, status", [("df_B = x", "ok"), ("df_B = spark.sql(", "unterminated")])
+def test_names_whose_call_never_closes(spark, last, status):
+    """The rest of a long script behind an open name or call is not gathered; pairs before an open name stay, an open call voids them."""
+    texts = ["df_A = 1", "y = spark.sql('s'", "t)", "df_A = 2", "spark.sql(u)", last, *(["spark.sql("] if status != "ok" else []), *["FROM SWG.T x"] * 40_000]
+    rows = spark.createDataFrame([(0, n, t) for n, t in enumerate(texts, 1)], "script_id long, src_line_no int, line string")
+    for chunk_lines in (1 << 14, 1 << 20):
+        found = pairs.df_sql_pairs(rows, chunk_lines)
+        assert [tuple(r) for r in found.collect()] == ([(0, "ok", "df_A", "spark.sql(u)")] if status == "ok" else [(0, "unterminated", None, None)])
