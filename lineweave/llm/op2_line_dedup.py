@@ -1,15 +1,18 @@
 """Line dedup by exact set-similarity join.
 
-A line is the set of its words (A-Z in lower case). A line of at least MIN_WORDS different words is removed when an earlier
-line, by doc_id and line number, has a Jaccard similarity of PERCENT or more; whether that line is removed itself makes no
-difference, so the result does not depend on any order of work. Shorter lines stay.
+A line is the set of its words (A-Z in lower case). A line with a word is removed when an earlier line, by doc_id and line
+number, has a Jaccard similarity of PERCENT or more; whether that line is removed itself makes no difference, so the result
+does not depend on any order of work. Lines without words stay.
 
-Lines of equal sets are one (`first` is the earliest) before anything is joined. Sets list their words by rarity, counted over
+Lines of equal sets are settled first, by a key of the set, whatever their size. Distinct sets that may be similar to others are numbered in the
+order of their first lines; from there on a set is one number. Sets list their words by rarity, counted over
 all texts. Prefix filter: similar sets of n words differ in d <= n / 4 words, and at most n / 5 of n are missing in the other.
 Of the d + 2 first words they share, two neighbours have none of the d differing words between them, so they are neighbours
 in both sets, among the first n / 4 + n / 5 + 2 words. Such pairs of neighbours are the tokens of the join: two unrelated
-lines often share one rare word, but hardly two in a row. Pairs of words that occur once go no further. Candidates must
-have sizes within t (length filter) and enough words after the shared place (positional filter).
+lines often share one rare word, but hardly two in a row. Sets of up to three words are similar to equal sets only and have no
+tokens. Pairs of words that occur once go no further. Candidates must have sizes within t (length filter), enough words after the
+shared place (positional filter), and signatures near each other: every word flips one bit of 64, so signatures differ in no more
+bits than sets differ in words.
 
 Each set is first compared with the earliest holder of each of its tokens, which is linear in the rows and decides
 almost all lines of a group of near copies; only sets that no such comparison decides meet the other holders. Pairs are
@@ -32,22 +35,19 @@ from pyspark.sql import functions as F
 from lineweave.llm import sets, words
 from lineweave.llm.shared import dropped, scratch, stored
 
-#: Similarity in percent, and the least number of different words of a line that is judged. The prefix below is for 80 %.
-PERCENT, MIN_WORDS = 80, 5
+#: Similarity in percent; the prefix below is for 80 %. Sets of fewer than LEAST words have no similar set but equal ones.
+PERCENT, LEAST = 80, 4
 
 
 def _line_sets(column: pa.Array, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all lines that are judged: row, line, start of the set, and (one after the other) the sets; the last start is the end."""
+    """Of all lines with words: row, line, start of the set, and (one after the other) the sets; the last start is the end."""
     hashes, rows, lines = words.flat_words(column)
     if not len(hashes):
         return rows, lines, np.zeros(1, np.int64), hashes
     new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (lines[1:] != lines[:-1])])
     group, heads = np.cumsum(new) - 1, np.flatnonzero(new)
     values, group = words.distinct_in_groups(sets.ranked(hashes, levels), group)
-    n = np.bincount(group, minlength=len(heads))
-    judged = n >= MIN_WORDS
-    values = values[judged[group]]
-    return rows[heads][judged], lines[heads][judged], np.concatenate([[0], np.cumsum(n[judged])]), values
+    return rows[heads], lines[heads], np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(heads)))]), values
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -57,7 +57,8 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
 
 def _tokens(starts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of neighbours in the prefixes, with set and place."""
-    count = prefix_size(np.diff(starts)) - 1
+    n = np.diff(starts)
+    count = np.where(n < LEAST, 0, prefix_size(n) - 1)
     group = np.repeat(np.arange(len(count)), count)
     place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     at = starts[:-1][group] + place
@@ -80,14 +81,22 @@ def _count_tokens(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1").select("token")
 
 
-LINES = ("doc struct<known: boolean, id: bigint, h: bigint>, line int, key binary, n int, tokens array<bigint>, places array<int>, "
-         "words array<bigint>")
+def _signatures(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """64 bits of each set, of which every word flips one."""
+    return np.bitwise_xor.reduceat(np.uint64(1) << (values & np.uint64(63)), starts[:-1]).view(np.int64)
+
+
+LINES = ("doc struct<known: boolean, id: bigint, h: bigint>, line int, key binary, open boolean, n int, signature bigint, tokens array<bigint>, "
+         "places array<int>, words array<bigint>")
+#: Keys of sets that a task remembers it has given.
+HELD_KEYS = 200_000
 
 
 def _lines_of(docs: DataFrame, levels: np.ndarray, shared: np.ndarray) -> DataFrame:
-    """One row per line that is judged: doc, line, key of its set, size, tokens that may be in another line, with places, and the set of
-    lines that have such tokens. A set that stands in the batch before is not given again."""
+    """One row per line with words: doc, line, key of its set, and whether the set is open, that is, has tokens that may be in another
+    line. An open set itself comes with the first of its lines that a task meets: size, signature, such tokens with places, and words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[bytes] = set()
         for batch in words.pieces(batches, 1024):
             rows, lines, starts, values = _line_sets(batch["text"], levels)
             if len(starts) == 1:
@@ -96,53 +105,65 @@ def _lines_of(docs: DataFrame, levels: np.ndarray, shared: np.ndarray) -> DataFr
             hit = sets.in_bitmap(shared, token)
             token, group, place = token[hit], group[hit], place[hit]
             edges = np.searchsorted(group, np.arange(len(rows) + 1))
+            open_ = edges[1:] > edges[:-1]
             bytes_ = memoryview(values.tobytes())
             keys = [xxhash.xxh3_128_digest(bytes_[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-            seen, whole = set(), []
-            for i, (key, a, b) in enumerate(zip(keys, edges[:-1].tolist(), edges[1:].tolist())):
-                whole.append(values[starts[i] : starts[i + 1]].view(np.int64) if a < b and key not in seen else None)
-                seen.add(key)
-            lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x, kind))
+            new = np.zeros(len(rows), bool)
+            for i in np.flatnonzero(open_).tolist():
+                if keys[i] not in given:
+                    if len(given) >= HELD_KEYS:
+                        given.clear()
+                    given.add(keys[i])
+                    new[i] = True
+            sizes = np.diff(starts)
+
+            def lists(x: np.ndarray, n: np.ndarray, kind: pa.DataType) -> pa.Array:
+                """x dealt to the new rows, n to each; null for the others."""
+                ends = np.concatenate([[0], np.cumsum(np.where(new, n, 0))]).astype(np.int32)
+                return pa.ListArray.from_arrays(pa.array(ends), pa.array(x, kind), mask=pa.array(~new))
+            mine = new[group]
             yield pa.record_batch([
-                batch["doc"].take(pa.array(rows)), pa.array(lines, pa.int32()), pa.array(keys, pa.binary()), pa.array(np.diff(starts), pa.int32()),
-                lists(token, pa.int64()), lists(place, pa.int32()), pa.array(whole, pa.list_(pa.int64()))],
-                ["doc", "line", "key", "n", "tokens", "places", "words"])
+                batch["doc"].take(pa.array(rows)), pa.array(lines, pa.int32()), pa.array(keys, pa.binary()), pa.array(open_),
+                pa.array(sizes, pa.int32()), pa.array(_signatures(starts, values)), lists(token[mine], np.diff(edges), pa.int64()),
+                lists(place[mine], np.diff(edges), pa.int32()), lists(values[np.repeat(new, sizes)].view(np.int64), sizes, pa.int64())],
+                ["doc", "line", "key", "open", "n", "signature", "tokens", "places", "words"])
     return docs.select(document_key().alias("doc"), "text").mapInArrow(run, LINES)
 
 
 def _near(x: str, y: str) -> Column:
-    """Length and positional filter of x and y that share the token at their places p."""
+    """Length, positional and signature filter of x and y that share the token at their places p."""
     nx, ny, px, py = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.p"), F.col(f"{y}.p")
     most = F.least(px, py) + F.least(nx - px, ny - py)
-    return (100 * nx >= PERCENT * ny) & (100 * ny >= PERCENT * nx) & ((100 + PERCENT) * most >= PERCENT * (nx + ny))
+    apart = F.bit_count(F.col(f"{x}.signature").bitwiseXOR(F.col(f"{y}.signature")))
+    return ((100 * nx >= PERCENT * ny) & (100 * ny >= PERCENT * nx) & ((100 + PERCENT) * most >= PERCENT * (nx + ny))
+            & ((100 + PERCENT) * apart <= (100 - PERCENT) * (nx + ny)))
 
 
 def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Pairs (x, y) of keys whose sets are similar."""
-    both = (pairs.select("x", "y").distinct().join(whole.select(F.col("key").alias("x"), F.col("words").alias("wx")), "x")
-            .join(whole.select(F.col("key").alias("y"), F.col("words").alias("wy")), "y"))
+    """Pairs (x, y) of numbers whose sets are similar."""
+    both = (pairs.distinct().join(whole.select(F.col("id").alias("x"), F.col("words").alias("wx")), "x")
+            .join(whole.select(F.col("id").alias("y"), F.col("words").alias("wy")), "y"))
     shared = F.size(F.array_intersect("wx", "wy"))
     return both.where(100 * shared >= PERCENT * (F.size("wx") + F.size("wy") - shared)).select("x", "y")
 
 
 def _removed_sets(distinct: DataFrame) -> DataFrame:
-    """Keys of the distinct sets (key, first, n, tokens, places, words) that an earlier one is similar to."""
-    whole = distinct.where("words is not null").select("key", "words")
-    me = F.struct("first", "key", "n", "p")
-    held = stored(distinct.select("first", "key", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
-                  .select("first", "key", "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("p")), "tokens")
-    heads = stored(held.groupBy("token").agg(F.min(me).alias("x"), F.count("*").alias("c")).where("c > 1"), "heads")
-    tests = held.join(heads, "token").select("x", me.alias("y")).where("x.key <> y.key").where(_near("x", "y"))
-    found = stored(_verified(tests.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")), whole), "found")
-    decided = found.select(F.col("y").alias("key")).distinct()
+    """Numbers of the open sets (id, n, signature, tokens, places, words) that an earlier one is similar to."""
+    me = F.struct("id", "n", "p", "signature")
+    held = (distinct.select("id", "n", "signature", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
+            .select("id", "n", "signature", F.col("t.tokens").alias("token"), F.col("t.places").alias("p")))
+    heads = held.groupBy("token").agg(F.min(me).alias("x"), F.count("*").alias("c")).where("c > 1")
+    met = stored(held.join(heads, "token").where("c > 2 or id <> x.id").select("token", me.alias("y"), "x", "c"), "met")
+    tests = met.where("x.id <> y.id").where(_near("x", "y")).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+    whole = distinct.select("id", "words")
+    found = stored(_verified(tests, whole), "found")
     # of two holders one is the head, which the other has met
-    many = heads.where("c > 2")
-    open_rows = held.join(many.select("token"), "token").join(decided, "key", "left_anti")
-    earlier = held.join(many.select("token", F.col("x.key").alias("head")), "token").where("key <> head")
-    rest = (open_rows.select("token", me.alias("y")).join(earlier.select("token", me.alias("x")), "token")
-            .where("x.first < y.first").where(_near("x", "y")))
-    more = _verified(rest.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")), whole)
-    return found.unionByName(more).select(F.col("y").alias("key")).distinct()
+    many = met.where("c > 2 and x.id <> y.id").select("token", "y")
+    decided = found.select(F.col("y").alias("id")).distinct()
+    open_rows = many.select("token", "y", F.col("y.id").alias("id")).join(decided, "id", "left_anti").select("token", "y")
+    rest = open_rows.join(many.withColumnRenamed("y", "x"), "token").where("x.id < y.id").where(_near("x", "y"))
+    more = _verified(rest.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")), whole)
+    return found.unionByName(more).select(F.col("y").alias("id")).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -154,10 +175,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         dropped(counts)
         lines = stored(_lines_of(docs, levels, shared), "lines")
         place = F.struct("doc", "line")
-        places = lines.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        sets_ = lines.where("words is not null").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "places", "words")])
-        places = stored(places, "places")
-        gone = stored(_removed_sets(stored(sets_.join(places.select("key", "first"), "key"), "line-sets")), "gone").withColumn("gone", F.lit(True))
+        places = stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("open").alias("open")), "places")
+        numbers = stored(places.where("open").select("key", "first").orderBy("first").select("key", F.monotonically_increasing_id().alias("id")), "numbers")
+        parts = ("n", "signature", "tokens", "places", "words")
+        sets_ = lines.where("words is not null").groupBy("key").agg(F.first(F.struct(*parts)).alias("set"))
+        distinct = stored(sets_.join(numbers, "key").select("id", "set.*"), "line-sets")
+        gone = stored(_removed_sets(distinct).join(numbers, "id").select("key", F.lit(True).alias("gone")), "gone")
         later = places.join(gone, "key", "left").where("gone or first <> last").select("key", "first", "gone")
         return stored(lines.select("doc", "line", "key").join(later, "key").where("gone or struct(doc, line) <> first")
                 .groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed", keep=True)

@@ -57,29 +57,51 @@ _LOWER = np.arange(1, 257, dtype=np.uint64)
 _LOWER[65:91] += 32
 
 
+#: Bytes of text that are hashed at once; a longer word is one block.
+BLOCK = 1 << 20
+
+
+def _blocks(word: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Parts of about BLOCK bytes, none of which ends inside a word."""
+    at, n = 0, len(word)
+    while at < n:
+        end = at + BLOCK
+        while end < n:  # up to the next place where no word goes on
+            free = np.flatnonzero(~word[end : end + 4096] | first[end : min(n, end + 4096)])
+            if len(free):
+                end += int(free[0])
+                break
+            end += 4096
+        yield at, min(end, n)
+        at = end
+
+
 def flat_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts of a column one after the other: the hash of each word (A-Z in lower case), its row, and its line.
 
-    Works on the bytes of the column: a word's hash is a difference of sums of powers, so no word becomes an object."""
+    Works on the bytes of the column, a block at a time: a word's hash is a difference of sums of powers, so no word becomes an object."""
     wide = pa.types.is_large_string(column.type)
     ends = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
     ends = ends - ends[0]
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    blank = _BLANK[data]
+    word = ~_BLANK[data]
     first = np.zeros(len(data) + 1, bool)
     first[ends] = True  # a text begins here, or the last ends
-    word = ~blank
-    starts = np.flatnonzero(word & (np.concatenate([[True], blank[:-1]]) | first[:-1]))
-    stops = np.flatnonzero(word & (np.concatenate([blank[1:], [True]]) | first[1:])) + 1
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LOWER[data] * up, out=sums[1:])
-    hashes = mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
-    lines = np.concatenate([[0], np.cumsum(data == 10)])
+    hashes, places = [], []
+    for a, b in _blocks(word, first):
+        own = word[a:b]
+        starts = np.flatnonzero(own & (np.concatenate([[True], ~own[:-1]]) | first[a:b]))
+        stops = np.flatnonzero(own & (np.concatenate([~own[1:], [True]]) | first[a + 1 : b + 1])) + 1
+        up, down = powers(b - a)
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_LOWER[data[a:b]] * up, out=sums[1:])
+        hashes.append(mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64)))
+        places.append(starts + a)
+    starts, breaks = np.concatenate(places), np.flatnonzero(data == 10)
     rows = np.searchsorted(ends, starts, "right") - 1
-    return hashes, rows, lines[starts] - lines[ends[rows]]
+    return np.concatenate(hashes), rows, np.searchsorted(breaks, starts) - np.searchsorted(breaks, ends[rows])
 
 
 def distinct_in_groups(values: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +130,29 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches cut into short ones, so that few long texts are in memory at once."""
+def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of the texts and binaries of each row."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        kind = column.type
+        if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+            wide = pa.types.is_large_string(kind) or pa.types.is_large_binary(kind)
+            ends = np.frombuffer(column.buffers()[1] or b"\0" * 8, np.int64 if wide else np.int32)
+            size += np.diff(ends[column.offset : column.offset + len(column) + 1])
+    return size
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches cut into short ones of at most `rows` rows and, but for single rows, `most` bytes of text, so that few long texts are in
+    memory at once."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.cumsum(_row_bytes(batch)) if batch.num_rows else np.zeros(0, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, "right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def packed(rows: DataFrame, column: str) -> DataFrame:

@@ -16,7 +16,7 @@ def lower(word: str) -> str:
 
 def line_sets(text: str | None) -> list[tuple[int, frozenset]]:
     sets = [(i, frozenset(map(lower, WORD.findall(x)))) for i, x in enumerate((text or "").split("\n"))]
-    return [(i, s) for i, s in sets if len(s) >= 5]
+    return [(i, s) for i, s in sets if s]
 
 
 def removed_lines(rows: list[tuple[int | None, str | None]]) -> dict[tuple, set[int]]:

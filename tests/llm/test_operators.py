@@ -6,12 +6,13 @@ import base64
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lineweave.llm import (
     dom, op1_url_filter, op2_line_dedup, op3_html_extraction, op4_pieces, op5_sentence_spans, op6_suffix_dedup, op7_quality, op8_ngram_join,
-    op9_decontamination, op10_warc)
+    op9_decontamination, op10_warc, words)
 from lineweave.llm.shared import shared_path, ship_package
 
 from . import brute
@@ -114,6 +115,37 @@ def test_line_dedup(docs, rows, none):
     assert op2_line_dedup.deduplicated(none).count() == 0
 
 
+def test_lines_of_few_words_and_sets_of_all_sizes(spark):
+    ship_package(spark)
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(60)]
+    lines = [" ".join(r.sample(vocabulary, r.choice((1, 2, 3, 4, 5, 6, 9, 14, 30)))) for _ in range(150)]
+    for base in range(0, 150, 2):  # one word more, less, or another
+        ws = lines[base].split()
+        kind = r.randrange(3)
+        lines.append(" ".join(ws[1:] if kind == 0 else [*ws, "extra"] if kind == 1 else ["Other", *ws[1:]]))
+    r.shuffle(lines)
+    rows = [(i, "\n".join(lines[5 * i : 5 * i + 5])) for i in range(len(lines) // 5)]
+    got = op2_line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    want = {d: sorted(x) for (d, _), x in brute.removed_lines(rows).items()}
+    assert {x["doc"]["id"]: x["removed"] for x in got.collect()} == want
+
+
+def test_words_do_not_depend_on_blocks_and_memory_not_on_texts(monkeypatch):
+    texts = ["Ab c\n\nd" * 50, None, "", " x", "y" * 300, "é\n" * 40, "\n z "] * 3
+    whole = [x.tolist() for x in words.flat_words(pa.array(texts))]
+    for block in (1, 7, 64):
+        monkeypatch.setattr(words, "BLOCK", block)
+        assert [x.tolist() for x in words.flat_words(pa.array(texts))] == whole
+    monkeypatch.undo()
+    long = pa.record_batch([pa.array(["some words and more " * 50_000] * 64)], ["text"])
+    sizes = [b.num_rows for b in words.pieces([long], 1024)]
+    assert sum(sizes) == 64 and max(sizes) == 4
+    for batch in words.pieces([long.slice(0, 4)], 1024):
+        words.flat_words(batch["text"])  # 4 MB
+    assert max(map(len, words._powers)) <= 1 << 21
+
+
 def test_html_extraction(spark):
     ship_package(spark)
     page = ("<html><head><title>T &amp; t</title><style>p{}</style></head><body><nav>Home &gt; {n}</nav><div class='left'>Menu {m}</div><div class=\"side-bar cookie\">c</div>"

@@ -56,6 +56,6 @@ def test_the_merge_of_front_coded_runs():
 
 def test_registered_names():
     names = queries.queries()
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.oracle_sql()) <= set(names)
     assert op7_quality.ORDER >= 3
