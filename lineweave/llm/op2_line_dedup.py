@@ -12,7 +12,7 @@ in both sets, among the first n / 4 + n / 5 + 2 words. Such pairs of neighbours
 lines often share one rare word, but hardly two in a row. Sets of up to three words are similar to equal sets only and have no
 tokens. Pairs of words that occur once go no further. Candidates must have sizes within t (length filter), enough words after the
 shared place (positional filter), and signatures near each other: every word flips one bit of 64, so signatures differ in no more
-bits than sets differ in words.
+bits than sets differ in words. Words themselves are read from the texts again, for the sets of the pairs that are left.
 
 Each set is first compared with the earliest holder of each of its tokens, which is linear in the rows and decides
 almost all lines of a group of near copies; only sets that no such comparison decides meet the other holders. Pairs are
@@ -24,7 +24,7 @@ document and get the same result; null ids come first. Columns of the input name
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,14 +87,14 @@ def _signatures(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 LINES = ("doc struct<known: boolean, id: bigint, h: bigint>, line int, key binary, open boolean, n int, signature bigint, tokens array<bigint>, "
-         "places array<int>, words array<bigint>")
+         "places array<int>")
 #: Keys of sets that a task remembers it has given.
 HELD_KEYS = 200_000
 
 
 def _lines_of(docs: DataFrame, levels: np.ndarray, shared: np.ndarray) -> DataFrame:
     """One row per line with words: doc, line, key of its set, and whether the set is open, that is, has tokens that may be in another
-    line. An open set itself comes with the first of its lines that a task meets: size, signature, such tokens with places, and words."""
+    line. An open set itself comes with the first of its lines that a task meets: size, signature, and such tokens with places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[bytes] = set()
         for batch in words.pieces(batches, 1024):
@@ -106,8 +106,7 @@ def _lines_of(docs: DataFrame, levels: np.ndarray, shared: np.ndarray) -> DataFr
             token, group, place = token[hit], group[hit], place[hit]
             edges = np.searchsorted(group, np.arange(len(rows) + 1))
             open_ = edges[1:] > edges[:-1]
-            bytes_ = memoryview(values.tobytes())
-            keys = [xxhash.xxh3_128_digest(bytes_[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+            keys = _keys(starts, values)
             new = np.zeros(len(rows), bool)
             for i in np.flatnonzero(open_).tolist():
                 if keys[i] not in given:
@@ -125,11 +124,39 @@ def _lines_of(docs: DataFrame, levels: np.ndarray, shared: np.ndarray) -> DataFr
             yield pa.record_batch([
                 batch["doc"].take(pa.array(rows)), pa.array(lines, pa.int32()), pa.array(keys, pa.binary()), pa.array(open_),
                 pa.array(sizes, pa.int32()), pa.array(_signatures(starts, values)), lists(token[mine], np.diff(edges), pa.int64()),
-                lists(place[mine], np.diff(edges), pa.int32()), lists(values[np.repeat(new, sizes)].view(np.int64), sizes, pa.int64())],
-                ["doc", "line", "key", "open", "n", "signature", "tokens", "places", "words"])
+                lists(place[mine], np.diff(edges), pa.int32())], ["doc", "line", "key", "open", "n", "signature", "tokens", "places"])
     return docs.select(document_key().alias("doc"), "text").mapInArrow(run, LINES)
 
 
+def _keys(starts: np.ndarray, values: np.ndarray) -> list[bytes]:
+    data = memoryview(values.tobytes())
+    return [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+
+
+def _whole_sets(docs: DataFrame, levels: np.ndarray, wanted: DataFrame) -> DataFrame:
+    """(id, words) of the wanted sets (id, key), from the texts; a bitmap of keys leaves most lines there."""
+    bits = sets.bitmap(wanted.select(sets.number("key").alias("k")), "k", wanted.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[bytes] = set()
+        for batch in words.pieces(batches, 1024):
+            _, _, starts, values = _line_sets(batch["text"], levels)
+            if len(starts) == 1:
+                continue
+            keys = _keys(starts, values)
+            hit = sets.in_bitmap(bits, np.frombuffer(b"".join([k[:8] for k in keys]), np.int64))
+            mine = [i for i in np.flatnonzero(hit).tolist() if keys[i] not in given]
+            if len(given) >= HELD_KEYS:
+                given.clear()
+            once = {keys[i]: i for i in mine}
+            given.update(once)
+            if once:
+                whole = [values[starts[i] : starts[i + 1]].view(np.int64) for i in once.values()]
+                yield pa.record_batch([pa.array(list(once), pa.binary()), pa.array(whole, pa.list_(pa.int64()))], ["key", "words"])
+    found = docs.select("text").mapInArrow(run, "key binary, words array<bigint>").join(wanted, "key")
+    return found.groupBy("id").agg(F.first("words").alias("words"))
+
+
 def _near(x: str, y: str) -> Column:
     """Length, positional and signature filter of x and y that share the token at their places p."""
     nx, ny, px, py = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.p"), F.col(f"{y}.p")
@@ -139,26 +166,30 @@ def _near(x: str, y: str) -> Column:
             & ((100 + PERCENT) * apart <= (100 - PERCENT) * (nx + ny)))
 
 
-def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Pairs (x, y) of numbers whose sets are similar."""
-    both = (pairs.distinct().join(whole.select(F.col("id").alias("x"), F.col("words").alias("wx")), "x")
-            .join(whole.select(F.col("id").alias("y"), F.col("words").alias("wy")), "y"))
+def _verified(pairs: DataFrame, whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (x, y) of numbers whose sets are similar; `whole` gives the words of sets."""
+    pairs = stored(pairs.distinct(), "pairs")
+    words_ = stored(whole(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()), "whole-sets")
+    both = (pairs.join(words_.select(F.col("id").alias("x"), F.col("words").alias("wx")), "x")
+            .join(words_.select(F.col("id").alias("y"), F.col("words").alias("wy")), "y"))
     shared = F.size(F.array_intersect("wx", "wy"))
-    return both.where(100 * shared >= PERCENT * (F.size("wx") + F.size("wy") - shared)).select("x", "y")
+    found = stored(both.where(100 * shared >= PERCENT * (F.size("wx") + F.size("wy") - shared)).select("x", "y"), "similar")
+    dropped(words_)
+    dropped(pairs)
+    return found
 
 
-def _removed_sets(distinct: DataFrame) -> DataFrame:
-    """Numbers of the open sets (id, n, signature, tokens, places, words) that an earlier one is similar to."""
+def _removed_sets(distinct: DataFrame, whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Numbers of the open sets (id, n, signature, tokens, places) that an earlier one is similar to."""
     me = F.struct("id", "n", "p", "signature")
     held = (distinct.select("id", "n", "signature", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
             .select("id", "n", "signature", F.col("t.tokens").alias("token"), F.col("t.places").alias("p")))
-    heads = held.groupBy("token").agg(F.min(me).alias("x"), F.count("*").alias("c")).where("c > 1")
-    met = stored(held.join(heads, "token").where("c > 2 or id <> x.id").select("token", me.alias("y"), "x", "c"), "met")
-    tests = met.where("x.id <> y.id").where(_near("x", "y")).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
-    whole = distinct.select("id", "words")
-    found = stored(_verified(tests, whole), "found")
+    heads = stored(held.groupBy("token").agg(F.min(me).alias("x"), F.count("*").alias("c")).where("c > 1"), "heads")
+    met = stored(held.join(heads, "token").select("token", me.alias("y"), "x", "c").where("x.id <> y.id"), "met")
+    dropped(heads)
+    found = _verified(met.where(_near("x", "y")).select(F.col("x.id").alias("x"), F.col("y.id").alias("y")), whole)
     # of two holders one is the head, which the other has met
-    many = met.where("c > 2 and x.id <> y.id").select("token", "y")
+    many = met.where("c > 2").select("token", "y")
     decided = found.select(F.col("y").alias("id")).distinct()
     open_rows = many.select("token", "y", F.col("y.id").alias("id")).join(decided, "id", "left_anti").select("token", "y")
     rest = open_rows.join(many.withColumnRenamed("y", "x"), "token").where("x.id < y.id").where(_near("x", "y"))
@@ -177,10 +208,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         place = F.struct("doc", "line")
         places = stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("open").alias("open")), "places")
         numbers = stored(places.where("open").select("key", "first").orderBy("first").select("key", F.monotonically_increasing_id().alias("id")), "numbers")
-        parts = ("n", "signature", "tokens", "places", "words")
-        sets_ = lines.where("words is not null").groupBy("key").agg(F.first(F.struct(*parts)).alias("set"))
+        parts = ("n", "signature", "tokens", "places")
+        sets_ = lines.where("tokens is not null").groupBy("key").agg(F.first(F.struct(*parts)).alias("set"))
         distinct = stored(sets_.join(numbers, "key").select("id", "set.*"), "line-sets")
-        gone = stored(_removed_sets(distinct).join(numbers, "id").select("key", F.lit(True).alias("gone")), "gone")
+        whole = lambda ids: _whole_sets(docs, levels, numbers.join(ids, "id"))
+        gone = stored(_removed_sets(distinct, whole).join(numbers, "id").select("key", F.lit(True).alias("gone")), "gone")
         later = places.join(gone, "key", "left").where("gone or first <> last").select("key", "first", "gone")
         return stored(lines.select("doc", "line", "key").join(later, "key").where("gone or struct(doc, line) <> first")
                 .groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed", keep=True)

@@ -87,7 +87,7 @@ def sets_of(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
 def _whole_sets(docs: DataFrame, levels: np.ndarray, keys: DataFrame) -> DataFrame:
     """(key, runs) of the sets of the keys, and of some others: keys are told apart by a bitmap."""
-    wanted = sets.bitmap(keys.select(_number("key").alias("k")), "k", keys.count())
+    wanted = sets.bitmap(keys.select(sets.number("key").alias("k")), "k", keys.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.pieces(batches):
@@ -186,15 +186,6 @@ def links(nodes: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
 
 
-def _number(key: str) -> Column:
-    """The first 8 bytes of a binary key as the bigint whose bytes, lowest first, they are."""
-    hexed = F.hex(key)
-    swapped = F.concat(*[F.substring(hexed, 1 + 2 * i, 2) for i in range(7, -1, -1)])
-    high = F.conv(F.substring(swapped, 1, 8), 16, 10).cast("long")
-    low = F.conv(F.substring(swapped, 9, 8), 16, 10).cast("long")
-    return F.shiftleft(high, 32).bitwiseOR(low)
-
-
 def classified(docs: DataFrame) -> DataFrame:
     """doc (identity), n_shingles, and head: the document that stands for the class, the smallest id of it."""
     with scratch(docs.sparkSession):

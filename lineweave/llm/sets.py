@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.llm import words
@@ -83,6 +83,15 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
+def number(key: str) -> Column:
+    """The first 8 bytes of a binary key as the bigint whose bytes, lowest first, they are."""
+    hexed = F.hex(key)
+    swapped = F.concat(*[F.substring(hexed, 1 + 2 * i, 2) for i in range(7, -1, -1)])
+    high = F.conv(F.substring(swapped, 1, 8), 16, 10).cast("long")
+    low = F.conv(F.substring(swapped, 9, 8), 16, 10).cast("long")
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of an edge table (a, b): root is the smallest node it is linked with.
 
