@@ -6,11 +6,12 @@ does not depend on any order of work. Lines without words stay.
 
 Lines of equal sets are settled first, by a key of the set, whatever their size. Distinct sets that may be similar to others are numbered in the
 order of their first lines; from there on a set is one number. Sets list their words by rarity, counted over
-all texts. Prefix filter: similar sets of n words differ in d <= n / 4 words, and at most n / 5 of n are missing in the other.
-Of the d + 2 first words they share, two neighbours have none of the d differing words between them, so they are neighbours
-in both sets, among the first n / 4 + n / 5 + 2 words. Such pairs of neighbours are the tokens of the join: two unrelated
-lines often share one rare word, but hardly two in a row. Sets of up to three words are similar to equal sets only and have no
-tokens. Pairs of words that occur once go no further. Candidates must have sizes within t (length filter), enough words after the
+all texts. Prefix filter: let a set of n words have a words that a similar one has not, and that one b others; a + 0.8 b <= n / 5. Of
+their first 2 (a + b) + 3 shared words, in order, some three in a row have none of the a + b other words between them, so they are
+neighbours in both sets, among the first 3 a + 2 b + 3 <= 3 n / 5 + 3 words. Such runs of three are the tokens of the join: two unrelated
+lines often share a rare word, and in large tables two in a row, but hardly three. Sets too small for runs of three, and sets
+that may be similar to those, have runs of two among the first 2 a + b + 2 <= 2 n / 5 + 2 words. Sets of up to three words are similar to equal
+sets only and have no tokens. Runs that occur once go no further. Candidates must have sizes within t (length filter), enough words after the
 shared place (positional filter), and signatures near each other: every word flips one bit of 64, so signatures differ in no more
 bits than sets differ in words. Words themselves are read from the texts again, for the sets of the pairs that are left.
 
@@ -35,8 +36,9 @@ from pyspark.sql import functions as F
 from lineweave.llm import sets, words
 from lineweave.llm.shared import dropped, scratch, stored
 
-#: Similarity in percent; the prefix below is for 80 %. Sets of fewer than LEAST words have no similar set but equal ones.
-PERCENT, LEAST = 80, 4
+#: Similarity in percent; the prefixes below are for 80 %. Sets of fewer than LEAST words have no similar set but equal ones; sets of
+#: LONG words and more have runs of three as tokens.
+PERCENT, LEAST, LONG = 80, 4, 12
 
 
 def _line_sets(column: pa.Array, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,19 +52,18 @@ def _line_sets(column: pa.Array, levels: np.ndarray) -> tuple[np.ndarray, np.nda
     return rows[heads], lines[heads], np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(heads)))]), values
 
 
-def prefix_size(n: np.ndarray) -> np.ndarray:
-    """How many first words of sets of n words hold two neighbours of every similar set."""
-    return np.minimum(n, n // 4 + n // 5 + 2)
-
-
 def _tokens(starts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of neighbours in the prefixes, with set and place."""
+    """Hashes of the runs in the prefixes, with set (rising) and place."""
     n = np.diff(starts)
-    count = np.where(n < LEAST, 0, prefix_size(n) - 1)
-    group = np.repeat(np.arange(len(count)), count)
-    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = starts[:-1][group] + place
-    return words.mixed(values[at] * np.uint64(0x9E3779B97F4A7C15) + values[at + 1]).view(np.int64), group, place
+    found = []
+    for size, judged, prefix in ((2, (n >= LEAST) & (PERCENT * n <= 100 * (LONG - 1)), 2 * n // 5 + 2), (3, n >= LONG, 3 * n // 5 + 3)):
+        count = np.where(judged, np.minimum(n, prefix) - size + 1, 0)
+        group = np.repeat(np.arange(len(n)), count)
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        found.append((words.window_hashes(values, size)[starts[:-1][group] + place].view(np.int64), group, place))
+    token, group, place = map(np.concatenate, zip(*found))
+    order = np.argsort(group, kind="stable")
+    return token[order], group[order], place[order]
 
 
 def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:

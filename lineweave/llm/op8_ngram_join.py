@@ -1,7 +1,8 @@
 """N-gram Jaccard join with a token-group matrix.
 
-A document is the set of its runs of four words (A-Z in lower case); one with fewer words is one run of them all, one without
-words is empty and linked with nothing. Two documents are linked when their sets have a Jaccard similarity of 85 % or more.
+A document is the set of its runs of `size` words (A-Z in lower case); one with fewer words is one run of them all, one without
+words is empty and linked with nothing. Two documents are linked when their sets have a Jaccard similarity of `percent` or more
+(Measure: 5 words and 80 % unless given otherwise).
 Every document gets its class: the smallest doc_id that it reaches by links.
 
 1. Equal sets are one node. Sets list their runs by rarity, counted over all texts; similar sets share one of the first
@@ -23,6 +24,7 @@ those of the result are not used.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +35,45 @@ from pyspark.sql import functions as F
 from lineweave.llm import sets, words
 from lineweave.llm.shared import dropped, scratch, stored
 
-#: Words of a run, similarity in percent, members of a group.
-SIZE, PERCENT, GROUP = 4, 85, 32
+#: Members of a group.
+GROUP = 32
 
-def runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+
+@dataclass(frozen=True)
+class Measure:
+    """Words of a run, and the similarity in percent from which on documents are linked."""
+
+    size: int = 5
+    percent: int = 80
+
+    def prefix(self, n):
+        """Runs of a set of n, of which two similar sets share one."""
+        return n - -(-self.percent * n // 100) + 1
+
+    def prefix_column(self, n: Column) -> Column:
+        return n - F.ceil(n * self.percent / 100) + 1
+
+    def alike(self, x: Column, y: Column) -> Column:
+        return (100 * x >= self.percent * y) & (100 * y >= self.percent * x)
+
+    def similar(self, x: str | Column, y: str | Column) -> Column:
+        shared = F.size(F.array_intersect(x, y))
+        return 100 * shared >= self.percent * (F.size(x) + F.size(y) - shared)
+
+    def enough(self, m: Column, n: Column, least: Column, most: Column) -> Column:
+        """Whether sets of n runs and of least to most runs that share m runs of their prefixes can be similar. Of two prefixes one
+        ends first in the order of runs; all its other runs are missing in the other set."""
+        behind = F.greatest(n - self.prefix_column(n), most - self.prefix_column(most))
+        return (100 + self.percent) * (m + behind) >= self.percent * (n + F.greatest(least, F.ceil(n * self.percent / 100)))
+
+
+def runs(column: pa.Array, run_size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of all texts of a column, and their rows."""
     found, rows, _ = words.flat_words(column)
     n = np.bincount(rows, minlength=len(column))
-    at = np.flatnonzero(rows[SIZE - 1 :] == rows[: len(rows) - SIZE + 1]) if len(rows) >= SIZE else np.zeros(0, np.int64)
-    hashes, where = words.window_hashes(found, SIZE)[at], rows[at]
-    for size in range(1, SIZE):  # texts of fewer words are one run
+    at = np.flatnonzero(rows[run_size - 1 :] == rows[: len(rows) - run_size + 1]) if len(rows) >= run_size else np.zeros(0, np.int64)
+    hashes, where = words.window_hashes(found, run_size)[at], rows[at]
+    for size in range(1, run_size):  # texts of fewer words are one run
         short = np.flatnonzero(n == size)
         if len(short):
             starts = np.searchsorted(rows, short)
@@ -51,19 +82,15 @@ def runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, where
 
 
-def _sets(column: pa.Array, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def _sets(column: pa.Array, levels: np.ndarray, run_size: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """The ordered sets of a column one after the other, their starts (the last is the end), and their keys."""
-    hashes, rows = runs(column)
+    hashes, rows = runs(column, run_size)
     values, rows = words.distinct_in_groups(sets.ranked(hashes, levels), rows)
     starts = np.searchsorted(rows, np.arange(len(column) + 1))
     data = memoryview(values.tobytes())
     return values, starts, [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
 
 
-def prefix_size(n):
-    return n - -(-PERCENT * n // 100) + 1
-
-
 def document(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Identity and place of a document, null ids last."""
     return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
@@ -72,26 +99,26 @@ def document(doc_id: str = "doc_id", text: str = "text") -> Column:
 ROWS = "doc struct<none: boolean, id: bigint, h: bigint>, key binary, n long, prefix array<int>"
 
 
-def sets_of(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+def sets_of(docs: DataFrame, levels: np.ndarray, measure: Measure) -> DataFrame:
     """doc, key of the set, its size, and its prefix (32 bits of each run)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.pieces(batches):
-            values, starts, keys = _sets(batch["text"], levels)
+            values, starts, keys = _sets(batch["text"], levels, measure.size)
             n = np.diff(starts)
-            size = np.where(n > 0, prefix_size(n), 0)
+            size = np.where(n > 0, measure.prefix(n), 0)
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[:-1], size)
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(values[at].astype(np.uint32).view(np.int32)))
             yield pa.record_batch([batch["doc"], pa.array(keys, pa.binary()), pa.array(n, pa.int64()), prefix], ["doc", "key", "n", "prefix"])
     return docs.select(document().alias("doc"), "text").mapInArrow(run, ROWS)
 
 
-def _whole_sets(docs: DataFrame, levels: np.ndarray, keys: DataFrame) -> DataFrame:
+def _whole_sets(docs: DataFrame, levels: np.ndarray, measure: Measure, keys: DataFrame) -> DataFrame:
     """(key, runs) of the sets of the keys, and of some others: keys are told apart by a bitmap."""
     wanted = sets.bitmap(keys.select(sets.number("key").alias("k")), "k", keys.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.pieces(batches):
-            values, starts, found = _sets(batch["text"], levels)
+            values, starts, found = _sets(batch["text"], levels, measure.size)
             numbers = np.frombuffer(b"".join([k[:8] for k in found]), np.int64)
             hit = np.flatnonzero(sets.in_bitmap(wanted, numbers) & (np.diff(starts) > 0))
             once = {found[i]: i for i in hit.tolist()}
@@ -114,33 +141,13 @@ def _prefix_rows(nodes: DataFrame, shared: np.ndarray) -> DataFrame:
     return nodes.select("key", "n", "prefix").mapInArrow(run, "token bigint, key binary, n bigint")
 
 
-def _alike(x: Column, y: Column) -> Column:
-    return (100 * x >= PERCENT * y) & (100 * y >= PERCENT * x)
-
-
-def _similar(x: str | Column, y: str | Column) -> Column:
-    shared = F.size(F.array_intersect(x, y))
-    return 100 * shared >= PERCENT * (F.size(x) + F.size(y) - shared)
-
-
-def _enough(m: Column, n: Column, least: Column, most: Column) -> Column:
-    """Whether sets of n runs and of least to most runs that share m runs of their prefixes can be similar. Of two prefixes one
-    ends first in the order of runs; all its other runs are missing in the other set."""
-    behind = F.greatest(n - prefix_column(n), most - prefix_column(most))
-    return (100 + PERCENT) * (m + behind) >= PERCENT * (n + F.greatest(least, F.ceil(n * PERCENT / 100)))
-
-
-def prefix_column(n: Column) -> Column:
-    return n - F.ceil(n * PERCENT / 100) + 1
-
-
-def _pairs(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+def _pairs(pairs: DataFrame, whole: DataFrame, measure: Measure) -> DataFrame:
     """Pairs (a, b) of keys whose sets are similar."""
     of = lambda key, runs: whole.select(F.col("key").alias(key), F.col("runs").alias(runs))
-    return pairs.join(of("a", "ra"), "a").join(of("b", "rb"), "b").where(_similar("ra", "rb"))
+    return pairs.join(of("a", "ra"), "a").join(of("b", "rb"), "b").where(measure.similar("ra", "rb"))
 
 
-def links(nodes: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
+def links(nodes: DataFrame, docs: DataFrame, levels: np.ndarray, measure: Measure) -> DataFrame:
     """(a, b): links of keys, enough of them to hold every class together."""
     counts = stored(nodes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
                     .select(F.col("token").cast("long").alias("token")), "tokens")
@@ -150,13 +157,13 @@ def links(nodes: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
     # a node that shares m prefix runs with its head can share no more than m and all behind the prefix; heads of other runs
     # may be other copies, so a third of the runs needed is enough to try. What is not tried here is left to the groups
-    shared = (held.join(heads, "token").where(F.col("key") != F.col("head.key")).where(_alike(F.col("n"), F.col("head.n")))
-              .groupBy("key", "n", "head").agg(F.count("*").alias("m")).where(_enough(3 * F.col("m"), F.col("n"), F.col("head.n"), F.col("head.n"))))
+    shared = (held.join(heads, "token").where(F.col("key") != F.col("head.key")).where(measure.alike(F.col("n"), F.col("head.n")))
+              .groupBy("key", "n", "head").agg(F.count("*").alias("m")).where(measure.enough(3 * F.col("m"), F.col("n"), F.col("head.n"), F.col("head.n"))))
     # each node tries one head, so there are no more tests than nodes
     tests = shared.groupBy(F.col("key").alias("a")).agg(F.min_by("head.key", F.struct(-F.col("m"), "head.key")).alias("b"))
     tests = stored(tests, "tests")
-    whole = stored(_whole_sets(docs, levels, tests.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "whole-sets")
-    star = stored(_pairs(tests, whole).select("a", "b"), "star")
+    whole = stored(_whole_sets(docs, levels, measure, tests.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "whole-sets")
+    star = stored(_pairs(tests, whole, measure).select("a", "b"), "star")
     roots = sets.components(star)
     dropped(whole)
 
@@ -169,31 +176,31 @@ def links(nodes: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
     rows = held.select("token", "key").join(members, "key")
     matrix = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("root").alias("last"))
     asks = (rows.select("token", "key", "root", "n").join(matrix, "token").where(F.col("root") < F.col("last"))
-            .where((100 * F.col("most") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("least")))
+            .where((100 * F.col("most") >= measure.percent * F.col("n")) & (100 * F.col("n") >= measure.percent * F.col("least")))
             .groupBy("key", "root", "n", "group").agg(F.count("*").alias("m"), F.min("least").alias("least"), F.max("most").alias("most"))
-            .where(_enough(F.col("m"), F.col("n"), F.col("least"), F.col("most"))))
+            .where(measure.enough(F.col("m"), F.col("n"), F.col("least"), F.col("most"))))
     asks = stored(asks.select("key", "root", "n", "group"), "asks")
     asked = members.join(asks.select("group").distinct(), "group")
-    whole = stored(_whole_sets(docs, levels, asked.select("key").union(asks.select("key")).distinct()), "whole-sets")
+    whole = stored(_whole_sets(docs, levels, measure, asked.select("key").union(asks.select("key")).distinct()), "whole-sets")
 
     # one row per group: its members and their union; at most GROUP and a few more sets, as the parts of a pivot are even
     groups = asked.join(whole, "key").groupBy("group").agg(
         F.collect_list(F.struct("key", "root", "runs")).alias("members"), F.array_distinct(F.flatten(F.collect_list("runs"))).alias("union"), F.min("n").alias("least"))
     own = asks.join(whole, "key").select(F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("runs").alias("asked"), "group")
-    bound = 100 * F.size(F.array_intersect("asked", "union")) >= PERCENT * F.greatest(F.col("na"), F.col("least"))
-    linked = F.filter("members", lambda x: (x["root"] > F.col("ra")) & _similar(F.col("asked"), x["runs"]))
+    bound = 100 * F.size(F.array_intersect("asked", "union")) >= measure.percent * F.greatest(F.col("na"), F.col("least"))
+    linked = F.filter("members", lambda x: (x["root"] > F.col("ra")) & measure.similar(F.col("asked"), x["runs"]))
     more = (own.join(groups, "group").where(bound).select("a", F.explode(F.transform(linked, lambda x: x["key"])).alias("b")))
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
 
 
-def classified(docs: DataFrame) -> DataFrame:
+def classified(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     """doc (identity), n_shingles, and head: the document that stands for the class, the smallest id of it."""
     with scratch(docs.sparkSession):
-        levels = sets.rarity(docs, lambda column: runs(column)[0])
-        rows = stored(sets_of(docs, levels), "sets")
+        levels = sets.rarity(docs, lambda column: runs(column, measure.size)[0])
+        rows = stored(sets_of(docs, levels, measure), "sets")
         nodes = stored(rows.where("n > 0").groupBy("key").agg(
             F.min("doc").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
-        roots = sets.components(links(nodes, docs, levels)).withColumnRenamed("node", "key")
+        roots = sets.components(links(nodes, docs, levels, measure)).withColumnRenamed("node", "key")
         joined = nodes.select("key", "first").join(roots, "key")
         heads = joined.groupBy("root").agg(F.min("first").alias("class"))
         classes = joined.join(heads, "root").select("key", "class")
@@ -203,9 +210,9 @@ def classified(docs: DataFrame) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the size of its set and its class."""
+    """Every document with the size of its set and its class, by runs of four words and 85 %."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return classified(docs).select(F.col("doc.id").alias("doc_id"), "n_shingles", F.col("head.id").alias("component_id"))
+    return classified(docs, Measure(4, 85)).select(F.col("doc.id").alias("doc_id"), "n_shingles", F.col("head.id").alias("component_id"))
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,14 +30,14 @@ def removed_lines(rows: list[tuple[int | None, str | None]]) -> dict[tuple, set[
     return out
 
 
-def shingles(text: str | None) -> frozenset:
+def shingles(text: str | None, size: int = 4) -> frozenset:
     ws = list(map(lower, WORD.findall(text or "")))
-    return frozenset(tuple(ws[i : i + 4]) for i in range(max(1, len(ws) - 3))) if ws else frozenset()
+    return frozenset(tuple(ws[i : i + size]) for i in range(max(1, len(ws) - size + 1))) if ws else frozenset()
 
 
-def classes(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
+def classes(rows: list[tuple[int | None, str | None]], size: int = 4, percent: int = 85) -> list[tuple]:
     """(doc_id, n_shingles, component_id) of each row."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, size) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i: int) -> int:
@@ -47,7 +47,7 @@ def classes(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):

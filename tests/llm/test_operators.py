@@ -296,7 +296,7 @@ def test_copies_of_one_text_do_not_set_the_band(spark):
 
 
 def test_ngram_join(docs, rows, none):
-    got = op8_ngram_join.classified(docs).select("doc.id", "n_shingles", "head.id").collect()
+    got = op8_ngram_join.classified(docs, op8_ngram_join.Measure(4, 85)).select("doc.id", "n_shingles", "head.id").collect()
     assert _sorted(got) == _sorted(brute.classes(rows))
     assert op8_ngram_join.classified(none).count() == 0
 
@@ -315,7 +315,7 @@ def test_ngram_groups_find_what_heads_do_not(spark, monkeypatch):
                 ws[r.randrange(len(ws))] = f"w{r.randrange(10**6)}"
     table = list(enumerate(made))
     r.shuffle(table)
-    got = op8_ngram_join.classified(spark.createDataFrame(table, "doc_id long, text string")).select("doc.id", "n_shingles", "head.id").collect()
+    got = op8_ngram_join.classified(spark.createDataFrame(table, "doc_id long, text string"), op8_ngram_join.Measure(4, 85)).select("doc.id", "n_shingles", "head.id").collect()
     assert _sorted(got) == _sorted(brute.classes(table))
 
 

@@ -28,7 +28,7 @@ def test_stages(spark, tiny):
             gone = brute.removed_lines(before)
             assert sorted(after) == sorted((d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get((d, t), ()))) for d, t in before)
         if name == "ngram_join":
-            assert sorted(d for d, _ in after) == sorted(d for d, n, c in brute.classes(before) if d == c or not n)
+            assert sorted(d for d, _ in after) == sorted(d for d, n, c in brute.classes(before, 5, 80) if d == c or not n)
         if name == "decontamination":
             items = [op9_decontamination.tokens(r["text"]) for r in bench.collect()]
             bad = {d for d, t in before for i in items if len(i) >= op9_decontamination.MIN_MATCH and sum(
