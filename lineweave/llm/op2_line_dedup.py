@@ -4,7 +4,7 @@ A line is the set of its words (A-Z in lower case). A line with a word is remove
 number, has a Jaccard similarity of PERCENT or more; whether that line is removed itself makes no difference, so the result
 does not depend on any order of work. Lines without words stay.
 
-Lines of equal sets are settled first, by a key of the set, whatever their size. Distinct sets that may be similar to others are numbered in the
+Lines of equal sets are settled first, by a key of the set, whatever their size; only the first line of a set goes on. Distinct sets that may be similar to others are numbered in the
 order of their first lines; from there on a set is one number. Sets list their words by rarity, counted over
 all texts. Prefix filter: let a set of n words have a words that a similar one has not, and that one b others; a + 0.8 b <= n / 5. Of
 their first 2 (a + b) + 3 shared words, in order, some three in a row have none of the a + b other words between them, so they are
@@ -26,6 +26,7 @@ document and get the same result; null ids come first. Columns of the input name
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -72,14 +73,77 @@ def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
                     F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
 
 
-def _count_tokens(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+def _keys(starts: np.ndarray, values: np.ndarray) -> list[bytes]:
+    data = memoryview(values.tobytes())
+    return [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+
+
+def _key_numbers(keys: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([k[:8] for k in keys]), np.int64)
+
+
+LINES = "doc struct<known: boolean, id: bigint, h: bigint>, line int, key binary"
+
+
+def _lines_of(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    """One row per line with words: doc, line, key of its set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in words.pieces(batches, 2048):
-            _, _, starts, values = _line_sets(batch["text"], levels)
+        for batch in words.pieces(batches, 1024):
+            rows, lines, starts, values = _line_sets(batch["text"], levels)
             if len(starts) > 1:
+                yield pa.record_batch([batch["doc"].take(pa.array(rows)), pa.array(lines, pa.int32()), pa.array(_keys(starts, values), pa.binary())],
+                                      ["doc", "line", "key"])
+    return docs.select(document_key().alias("doc"), "text").mapInArrow(run, LINES)
+
+
+def _place_numbers(doc: pa.StructArray, line: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of document and line."""
+    h, i = (doc.field(f).to_numpy(zero_copy_only=False).view(np.uint64) for f in ("h", "id"))
+    return words.mixed(words.mixed(h + words.mixed(i)) + line.astype(np.uint64)).view(np.int64)
+
+
+@dataclass(frozen=True)
+class Firsts:
+    """Tells the first line of each set from its copies: a bitmap of the keys of sets with several places, and one of the first places
+    of all sets that the former takes for such. Some copies pass as well; no first line fails."""
+
+    repeated: np.ndarray
+    places: np.ndarray
+
+    @staticmethod
+    def of(places: DataFrame) -> Firsts:
+        many = places.where("first <> last")
+        n = many.count()
+        repeated = sets.bitmap(many.select(sets.number("key").alias("k")), "k", n)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.filter(pa.array(sets.in_bitmap(repeated, _key_numbers(batch["key"].to_pylist()))))
+                yield pa.record_batch([pa.array(_place_numbers(own["doc"], own["line"].to_numpy()))], ["k"])
+        firsts = places.select("key", "first.doc", "first.line").mapInArrow(run, "k long")
+        return Firsts(repeated, sets.bitmap(firsts, "k", 2 * n))
+
+    def judged(self, batch: pa.RecordBatch, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Starts, sets and keys of those lines of a batch that are first and whose sets have tokens."""
+        rows, lines, starts, values = _line_sets(batch["text"], levels)
+        keys, n = _keys(starts, values), np.diff(starts)
+        if not keys:
+            return starts, values, keys
+        place = _place_numbers(batch["doc"].take(pa.array(rows)), lines)
+        mine = (n >= LEAST) & (~sets.in_bitmap(self.repeated, _key_numbers(keys)) | sets.in_bitmap(self.places, place))
+        return np.concatenate([[0], np.cumsum(n[mine])]), values[np.repeat(mine, n)], [keys[i] for i in np.flatnonzero(mine).tolist()]
+
+
+def _count_tokens(docs: DataFrame, levels: np.ndarray, firsts: Firsts) -> DataFrame:
+    """Tokens of two sets or more, and few others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in words.pieces(batches, 2048):
+            starts, values, keys = firsts.judged(batch, levels)
+            if keys:
                 token, n = np.unique(_tokens(starts, values)[0], return_counts=True)
                 yield pa.record_batch([pa.array(token), pa.array(n)], ["token", "n"])
-    return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1").select("token")
+    counted = docs.select(document_key().alias("doc"), "text").mapInArrow(run, "token long, n long")
+    return counted.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1").select("token")
 
 
 def _signatures(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -87,51 +151,27 @@ def _signatures(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(np.uint64(1) << (values & np.uint64(63)), starts[:-1]).view(np.int64)
 
 
-LINES = ("doc struct<known: boolean, id: bigint, h: bigint>, line int, key binary, open boolean, n int, signature bigint, tokens array<bigint>, "
-         "places array<int>")
 #: Keys of sets that a task remembers it has given.
 HELD_KEYS = 200_000
 
 
-def _lines_of(docs: DataFrame, levels: np.ndarray, shared: np.ndarray) -> DataFrame:
-    """One row per line with words: doc, line, key of its set, and whether the set is open, that is, has tokens that may be in another
-    line. An open set itself comes with the first of its lines that a task meets: size, signature, and such tokens with places."""
+def _open_sets(docs: DataFrame, levels: np.ndarray, firsts: Firsts, shared: np.ndarray) -> DataFrame:
+    """Sets with tokens that may be in another set: key, size, signature, such tokens with places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: set[bytes] = set()
         for batch in words.pieces(batches, 1024):
-            rows, lines, starts, values = _line_sets(batch["text"], levels)
-            if len(starts) == 1:
+            starts, values, keys = firsts.judged(batch, levels)
+            if not keys:
                 continue
             token, group, place = _tokens(starts, values)
             hit = sets.in_bitmap(shared, token)
             token, group, place = token[hit], group[hit], place[hit]
-            edges = np.searchsorted(group, np.arange(len(rows) + 1))
-            open_ = edges[1:] > edges[:-1]
-            keys = _keys(starts, values)
-            new = np.zeros(len(rows), bool)
-            for i in np.flatnonzero(open_).tolist():
-                if keys[i] not in given:
-                    if len(given) >= HELD_KEYS:
-                        given.clear()
-                    given.add(keys[i])
-                    new[i] = True
-            sizes = np.diff(starts)
-
-            def lists(x: np.ndarray, n: np.ndarray, kind: pa.DataType) -> pa.Array:
-                """x dealt to the new rows, n to each; null for the others."""
-                ends = np.concatenate([[0], np.cumsum(np.where(new, n, 0))]).astype(np.int32)
-                return pa.ListArray.from_arrays(pa.array(ends), pa.array(x, kind), mask=pa.array(~new))
-            mine = new[group]
+            own, n = np.unique(group, return_counts=True)
+            lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(x, kind))
             yield pa.record_batch([
-                batch["doc"].take(pa.array(rows)), pa.array(lines, pa.int32()), pa.array(keys, pa.binary()), pa.array(open_),
-                pa.array(sizes, pa.int32()), pa.array(_signatures(starts, values)), lists(token[mine], np.diff(edges), pa.int64()),
-                lists(place[mine], np.diff(edges), pa.int32())], ["doc", "line", "key", "open", "n", "signature", "tokens", "places"])
-    return docs.select(document_key().alias("doc"), "text").mapInArrow(run, LINES)
-
-
-def _keys(starts: np.ndarray, values: np.ndarray) -> list[bytes]:
-    data = memoryview(values.tobytes())
-    return [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+                pa.array([keys[i] for i in own.tolist()], pa.binary()), pa.array(np.diff(starts)[own], pa.int32()), pa.array(_signatures(starts, values)[own]),
+                lists(token, pa.int64()), lists(place, pa.int32())], ["key", "n", "signature", "tokens", "places"])
+    rows = docs.select(document_key().alias("doc"), "text").mapInArrow(run, "key binary, n int, signature bigint, tokens array<bigint>, places array<int>")
+    return rows.groupBy("key").agg(F.first(F.struct("n", "signature", "tokens", "places")).alias("set")).select("key", "set.*")
 
 
 def _whole_sets(docs: DataFrame, levels: np.ndarray, wanted: DataFrame) -> DataFrame:
@@ -145,7 +185,7 @@ def _whole_sets(docs: DataFrame, levels: np.ndarray, wanted: DataFrame) -> DataF
             if len(starts) == 1:
                 continue
             keys = _keys(starts, values)
-            hit = sets.in_bitmap(bits, np.frombuffer(b"".join([k[:8] for k in keys]), np.int64))
+            hit = sets.in_bitmap(bits, _key_numbers(keys))
             mine = [i for i in np.flatnonzero(hit).tolist() if keys[i] not in given]
             if len(given) >= HELD_KEYS:
                 given.clear()
@@ -202,16 +242,18 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc, removed): the numbers of the lines to remove from each document that has any."""
     with scratch(docs.sparkSession):
         levels = sets.rarity(docs, lambda column: words.flat_words(column)[0])
-        counts = stored(_count_tokens(docs, levels), "counts")
+        lines = stored(_lines_of(docs, levels), "lines")
+        place = F.struct("doc", "line")
+        places = stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")), "places")
+        firsts = Firsts.of(places)
+        counts = stored(_count_tokens(docs, levels, firsts), "counts")
         shared = sets.bitmap(counts, "token", counts.count())
         dropped(counts)
-        lines = stored(_lines_of(docs, levels, shared), "lines")
-        place = F.struct("doc", "line")
-        places = stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("open").alias("open")), "places")
-        numbers = stored(places.where("open").select("key", "first").orderBy("first").select("key", F.monotonically_increasing_id().alias("id")), "numbers")
-        parts = ("n", "signature", "tokens", "places")
-        sets_ = lines.where("tokens is not null").groupBy("key").agg(F.first(F.struct(*parts)).alias("set"))
-        distinct = stored(sets_.join(numbers, "key").select("id", "set.*"), "line-sets")
+        open_ = stored(_open_sets(docs, levels, firsts, shared), "open-sets")
+        numbers = stored(places.join(open_.select("key"), "key").select("key", "first").orderBy("first").select(
+            "key", F.monotonically_increasing_id().alias("id")), "numbers")
+        distinct = stored(open_.join(numbers, "key").drop("key"), "line-sets")
+        dropped(open_)
         whole = lambda ids: _whole_sets(docs, levels, numbers.join(ids, "id"))
         gone = stored(_removed_sets(distinct, whole).join(numbers, "id").select("key", F.lit(True).alias("gone")), "gone")
         later = places.join(gone, "key", "left").where("gone or first <> last").select("key", "first", "gone")
