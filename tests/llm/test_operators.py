@@ -322,7 +322,7 @@ def test_ngram_groups_find_what_heads_do_not(spark, monkeypatch):
 def test_one_document_of_each_class_stays(spark, docs, rows):
     kept = op8_ngram_join.ngram_stage(spark, docs, "")
     assert kept.columns == docs.columns
-    want = {(d, t) for (d, t), (_, n, c) in zip(rows, brute.classes(rows)) if n and d == c and d is not None}
+    want = {(d, t) for (d, t), (_, n, c) in zip(rows, brute.classes(rows, 5, 80)) if n and d == c and d is not None}
     got = [(r["doc_id"], r["text"]) for r in kept.collect() if brute.WORD.search(r["text"] or "")]
     assert len(got) == len(set(got)) and set(got) == want
     assert kept.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).count() == sum(not brute.shingles(t) for _, t in rows)
