@@ -7,11 +7,14 @@ Every document gets its class: the smallest doc_id that it reaches by links.
 
 1. Equal sets are one node. Sets list their runs by rarity, counted over all texts; similar sets share one of the first
    n - ceil(t n) + 1 runs (the prefix). Runs in one prefix only go no further.
-2. Each node is compared with one head, the first holder of most of its prefix runs: no more tests than nodes, and enough to join
-   most near copies of a text, however many there are.
-3. The partition: nodes go to the head with which they share most prefix runs, and the nodes of a head are cut into groups of
-   about GROUP members. The token-group matrix holds which prefix runs occur in which group; each group that is asked for keeps
-   its members' whole sets and their union.
+2. Each node is compared with one head. The head of a run is the holder that lacks fewest of its own prefix runs elsewhere: of
+   copies with random edits the one closest to the original. Nodes that were tested are then compared in rounds with one member, dealt
+   by a hash of the round, of the largest class that holds most of their prefix runs. A round makes no more tests than there are
+   nodes; rounds end when fewer than one test in SUCCESS finds a link. They only lighten step 4, which finds all links between classes.
+3. The partition: nodes go to their class, single ones to the head with which they share most prefix runs, and the nodes of each are cut
+   into groups of about GROUP members. The token-group matrix holds which prefix runs occur in which group; each group that is asked
+   for keeps its members' whole sets and their union.
+   Nodes that share too few prefix runs with nodes of other classes, all taken together, are left out of both.
 4. A node asks the groups with which it shares prefix runs, whose sizes can match and which hold a later class. Prefix runs in common
    bound the overlap first, the union of the group then; only groups whose bounds reach t are opened, and their
    members of later classes compared one by one. Links within a class need no search: they can't change the classes.
@@ -35,8 +38,8 @@ from pyspark.sql import functions as F
 from lineweave.llm import sets, words
 from lineweave.llm.shared import dropped, scratch, stored
 
-#: Members of a group.
-GROUP = 32
+#: Members of a group; tests of a round of which one must find a link for another round.
+GROUP, SUCCESS = 32, 20
 
 
 @dataclass(frozen=True)
@@ -96,18 +99,18 @@ def document(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
 
 
-ROWS = "doc struct<none: boolean, id: bigint, h: bigint>, key binary, n long, prefix array<int>"
+ROWS = "doc struct<none: boolean, id: bigint, h: bigint>, key binary, n long, prefix array<bigint>"
 
 
 def sets_of(docs: DataFrame, levels: np.ndarray, measure: Measure) -> DataFrame:
-    """doc, key of the set, its size, and its prefix (32 bits of each run)."""
+    """doc, key of the set, its size, and its prefix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.pieces(batches):
             values, starts, keys = _sets(batch["text"], levels, measure.size)
             n = np.diff(starts)
             size = np.where(n > 0, measure.prefix(n), 0)
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[:-1], size)
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(values[at].astype(np.uint32).view(np.int32)))
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(values[at].view(np.int64)))
             yield pa.record_batch([batch["doc"], pa.array(keys, pa.binary()), pa.array(n, pa.int64()), prefix], ["doc", "key", "n", "prefix"])
     return docs.select(document().alias("doc"), "text").mapInArrow(run, ROWS)
 
@@ -133,7 +136,7 @@ def _prefix_rows(nodes: DataFrame, shared: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prefix = batch["prefix"]
-            flat, sizes = prefix.flatten().to_numpy().astype(np.int64), np.diff(prefix.offsets.to_numpy())
+            flat, sizes = prefix.flatten().to_numpy(), np.diff(prefix.offsets.to_numpy())
             rows = np.repeat(np.arange(len(sizes)), sizes)
             hit = np.flatnonzero(sets.in_bitmap(shared, flat))
             at = pa.array(rows[hit])
@@ -147,29 +150,78 @@ def _pairs(pairs: DataFrame, whole: DataFrame, measure: Measure) -> DataFrame:
     return pairs.join(of("a", "ra"), "a").join(of("b", "rb"), "b").where(measure.similar("ra", "rb"))
 
 
+def _open(rows: DataFrame, measure: Measure, label: str) -> DataFrame:
+    """rows (token, key, n, root) of nodes that can still have a link to another class: enough of their runs occur in prefixes of others, of
+    sizes that can match. Repeated, as nodes that go leave runs to one class only, until a round takes less than one row in SUCCESS."""
+    n, low, high = F.col("n"), F.ceil(F.col("n") * measure.percent / 100), F.floor(F.col("n") * 100 / measure.percent)
+    rows = stored(rows, label)
+    while True:
+        tokens = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+        shared = rows.join(tokens.where("lo < hi").select("token", "least", "most"), "token").where((F.col("least") <= high) & (F.col("most") >= low))
+        shared = stored(shared.select("token", "key", "n", "root", F.greatest("least", low).alias("least"), F.least("most", high).alias("most")), label)
+        alive = (shared.groupBy("key", "n").agg(F.count("*").alias("m"), F.min("least").alias("least"), F.max("most").alias("most"))
+                 .where(measure.enough(F.col("m"), n, F.col("least"), F.col("most"))))
+        kept = stored(shared.select("token", "key", "n", "root").join(alive.select("key"), "key", "left_semi"), label)
+        before, after = rows.count(), kept.count()
+        dropped(rows)
+        dropped(shared)
+        rows = kept
+        if (before - after) * SUCCESS <= before:
+            return rows
+
+
+def _tests(rows: DataFrame, heads: DataFrame, measure: Measure) -> DataFrame:
+    """(a, b): for each node the head of another class with which it shares most runs. rows: token, key, n, root; heads: token, head (key, n, root).
+
+    A node that shares m prefix runs with its head can share no more than m and all behind the prefix; heads of other runs may be other
+    copies, so a third of the runs needed is enough to try. What is not tried is left to the groups."""
+    head = F.col("head")
+    shared = (rows.join(heads, "token").where((F.col("root") != head["root"]) & measure.alike(F.col("n"), head["n"]))
+              .groupBy("key", "n", "head").agg(F.count("*").alias("m")).where(measure.enough(3 * F.col("m"), F.col("n"), head["n"], head["n"])))
+    return shared.groupBy(F.col("key").alias("a")).agg(F.min_by("head.key", F.struct(-F.col("m"), "head.key")).alias("b"))
+
+
+def _stars(held: DataFrame, docs: DataFrame, levels: np.ndarray, measure: Measure) -> tuple[DataFrame, DataFrame]:
+    """The first tests (a, b), and the classes (node, root) that the tests of all rounds make."""
+    lacks = held.groupBy("key", "n").agg(F.count("*").alias("m")).select("key", (measure.prefix_column(F.col("n")) - F.col("m")).alias("lacks"))
+    rows = stored(held.join(lacks, "key").withColumn("root", F.col("key")), "lacks")
+    heads = rows.groupBy("token").agg(F.min(F.struct("lacks", "key", "n", "root")).alias("head")).select(
+        "token", F.struct("head.key", "head.n", "head.root").alias("head"))
+    first = tests = stored(_tests(rows, heads, measure), "tests")
+    keys = stored(first.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "tested")
+    whole = stored(_whole_sets(docs, levels, measure, keys), "whole-sets")
+    tested = stored(held.join(keys, "key"), "tested")
+    dropped(rows)
+    found, links_, round_ = None, None, 0
+    while True:
+        new = stored(_pairs(tests, whole, measure).select("a", "b"), "star")
+        links_ = new if links_ is None else links_.unionByName(new)
+        if found is None or not new.isEmpty():
+            found = sets.components(links_)
+        if new.count() * SUCCESS < max(1, tests.count()):
+            break
+        round_ += 1
+        rows = stored(tested.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "tested")
+        classes = rows.groupBy("token", "root").agg(F.count("*").alias("c"), F.min_by(F.struct("key", "n", "root"), F.xxhash64("key", F.lit(round_))).alias("head"))
+        heads = classes.groupBy("token").agg(F.max_by("head", F.struct("c", "root")).alias("head"))
+        tests = stored(_tests(rows, heads, measure), "tests")
+        dropped(rows)
+    dropped(whole)
+    return first, found
+
+
 def links(nodes: DataFrame, docs: DataFrame, levels: np.ndarray, measure: Measure) -> DataFrame:
     """(a, b): links of keys, enough of them to hold every class together."""
-    counts = stored(nodes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-                    .select(F.col("token").cast("long").alias("token")), "tokens")
-    held = stored(_prefix_rows(nodes, sets.bitmap(counts, "token", counts.count())), "prefixes")
-    heads = stored(held.groupBy("token").agg(F.min(F.struct("key", "n")).alias("head"), F.count("*").alias("c")).where("c > 1"), "heads")
-    held = stored(held.join(heads.select("token"), "token"), "held")
-
-    # a node that shares m prefix runs with its head can share no more than m and all behind the prefix; heads of other runs
-    # may be other copies, so a third of the runs needed is enough to try. What is not tried here is left to the groups
-    shared = (held.join(heads, "token").where(F.col("key") != F.col("head.key")).where(measure.alike(F.col("n"), F.col("head.n")))
-              .groupBy("key", "n", "head").agg(F.count("*").alias("m")).where(measure.enough(3 * F.col("m"), F.col("n"), F.col("head.n"), F.col("head.n"))))
-    # each node tries one head, so there are no more tests than nodes
-    tests = shared.groupBy(F.col("key").alias("a")).agg(F.min_by("head.key", F.struct(-F.col("m"), "head.key")).alias("b"))
-    tests = stored(tests, "tests")
-    whole = stored(_whole_sets(docs, levels, measure, tests.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "whole-sets")
-    star = stored(_pairs(tests, whole, measure).select("a", "b"), "star")
-    roots = sets.components(star)
-    dropped(whole)
+    counts = stored(nodes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
+    held = _open(_prefix_rows(nodes, sets.bitmap(counts, "token", counts.count())).withColumn("root", F.col("key")), measure, "held").drop("root")
+    dropped(counts)
+    tests, roots = _stars(held, docs, levels, measure)
 
+    classed = roots.select(F.col("node").alias("key"), "root")
     pivots = tests.select(F.col("a").alias("key"), F.col("b").alias("pivot"))
-    members = (held.select("key", "n").distinct().join(pivots, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
-               .select("key", "n", F.coalesce("root", "key").alias("root"), F.coalesce("pivot", "key").alias("pivot")))
+    held = _open(held.join(classed, "key", "left").withColumn("root", F.coalesce("root", "key")), measure, "open")
+    members = (held.select("key", "n", "root").distinct().join(pivots, "key", "left")
+               .select("key", "n", "root", F.when(F.col("root") != F.col("key"), F.col("root")).otherwise(F.coalesce("pivot", "key")).alias("pivot")))
     parts = members.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     members = stored(members.join(parts, "pivot").select(
         "key", "n", "root", F.struct("pivot", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part")).alias("group")), "members")
