@@ -49,10 +49,10 @@ class Arrays:
         if not len(self.keys):
             return self.first(keys)
         if self._starts is None:
-            self._bits = max(1, int(len(self.keys)).bit_length())
+            self._bits = max(1, int(len(self.keys)).bit_length() - 1)
             edges = (np.arange(1 << self._bits, dtype=np.int64) - (1 << (self._bits - 1))) << (64 - self._bits)
-            self._starts = np.searchsorted(self.keys, edges).astype(np.int64)
-        at = np.minimum(self._starts[(keys >> (64 - self._bits)) + (1 << (self._bits - 1))], len(self.keys) - 1)
+            self._starts = np.searchsorted(self.keys, edges).astype(np.int32 if len(self.keys) < 1 << 31 else np.int64)
+        at = np.minimum(self._starts[(keys >> (64 - self._bits)) + (1 << (self._bits - 1))].astype(np.int64), len(self.keys) - 1)
         behind = np.flatnonzero(self.keys[at] < keys)
         while len(behind):
             behind = behind[at[behind] < len(self.keys) - 1]

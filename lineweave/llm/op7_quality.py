@@ -40,7 +40,7 @@ LEAST_WIDTH = 0.02
 MIN_WORDS, MAX_REPEATED_PERCENT = 10, 20
 SYMBOLS = "#*$%&|<>"
 #: Words that a task holds at once while it counts, and while it scores.
-HELD_WORDS, HELD_COSTS = 400_000, 1_000_000
+HELD_WORDS, HELD_COSTS = 200_000, 200_000
 
 _START, _END = "\x02", "\x03"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -106,8 +106,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def spread() -> Iterator[pa.RecordBatch]:
         for lang, counted in held.items():
             forms = list(counted)
-            for at in range(0, len(forms), 100_000):
-                part = forms[at : at + 100_000]
+            for at in range(0, len(forms), 50_000):
+                part = forms[at : at + 50_000]
                 grams = Counter()
                 for w in part:
                     c, padded = counted[w], _START * (ORDER - 1) + w + _END
@@ -236,7 +236,7 @@ def _score(model: hash_arrays.HashArrays):
         if model.name not in _costs:
             _costs.clear()
         cost = _costs.setdefault(model.name, {})
-        for batch in words.pieces(batches):
+        for batch in words.pieces(batches, most=1 << 20):
             counts, scores = [], []
             found = [words.WORD.findall(t or "") for t in batch["text"].to_pylist()]
             langs = [x or "" for x in batch["lang"].to_pylist()]
