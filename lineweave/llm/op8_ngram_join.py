@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from lineweave.llm import sets, words
 from lineweave.llm.shared import dropped, scratch, stored
 
-#: Members of a group; tests of a round of which one must find a link for another round.
-GROUP, SUCCESS = 32, 20
+#: Members of a group; tests of a round of which one must find a link for another round; rows of which one must go for another.
+GROUP, SUCCESS, LEFT_OUT = 32, 20, 4
 
 
 @dataclass(frozen=True)
@@ -151,22 +151,22 @@ def _pairs(pairs: DataFrame, whole: DataFrame, measure: Measure) -> DataFrame:
 
 
 def _open(rows: DataFrame, measure: Measure, label: str) -> DataFrame:
-    """rows (token, key, n, root) of nodes that can still have a link to another class: enough of their runs occur in prefixes of others, of
-    sizes that can match. Repeated, as nodes that go leave runs to one class only, until a round takes less than one row in SUCCESS."""
+    """rows (token, key, n, root) of nodes that can still have a link to another class, with m, their number: enough of a node's runs occur in
+    prefixes of others, of sizes that can match. Repeated, as nodes that go leave runs to one class only, until a round takes less than one
+    row in LEFT_OUT. A node's runs are gathered as in its prefix, of which they are a part."""
     n, low, high = F.col("n"), F.ceil(F.col("n") * measure.percent / 100), F.floor(F.col("n") * 100 / measure.percent)
     rows = stored(rows, label)
     while True:
         tokens = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
-        shared = rows.join(tokens.where("lo < hi").select("token", "least", "most"), "token").where((F.col("least") <= high) & (F.col("most") >= low))
-        shared = stored(shared.select("token", "key", "n", "root", F.greatest("least", low).alias("least"), F.least("most", high).alias("most")), label)
-        alive = (shared.groupBy("key", "n").agg(F.count("*").alias("m"), F.min("least").alias("least"), F.max("most").alias("most"))
-                 .where(measure.enough(F.col("m"), n, F.col("least"), F.col("most"))))
-        kept = stored(shared.select("token", "key", "n", "root").join(alive.select("key"), "key", "left_semi"), label)
+        shared = rows.select("token", "key", "n", "root").join(tokens.where("lo < hi").select("token", "least", "most"), "token")
+        nodes = shared.where((F.col("least") <= high) & (F.col("most") >= low)).groupBy("key", "n", "root").agg(
+            F.collect_list("token").alias("tokens"), F.min(F.greatest("least", low)).alias("least"), F.max(F.least("most", high)).alias("most"))
+        alive = nodes.where(measure.enough(F.size("tokens"), n, F.col("least"), F.col("most")))
+        kept = stored(alive.select(F.explode("tokens").alias("token"), "key", "n", "root", F.size("tokens").alias("m")), label)
         before, after = rows.count(), kept.count()
         dropped(rows)
-        dropped(shared)
         rows = kept
-        if (before - after) * SUCCESS <= before:
+        if (before - after) * LEFT_OUT <= before:
             return rows
 
 
@@ -183,15 +183,13 @@ def _tests(rows: DataFrame, heads: DataFrame, measure: Measure) -> DataFrame:
 
 def _stars(held: DataFrame, docs: DataFrame, levels: np.ndarray, measure: Measure) -> tuple[DataFrame, DataFrame]:
     """The first tests (a, b), and the classes (node, root) that the tests of all rounds make."""
-    lacks = held.groupBy("key", "n").agg(F.count("*").alias("m")).select("key", (measure.prefix_column(F.col("n")) - F.col("m")).alias("lacks"))
-    rows = stored(held.join(lacks, "key").withColumn("root", F.col("key")), "lacks")
+    rows = held.withColumn("lacks", measure.prefix_column(F.col("n")) - F.col("m"))
     heads = rows.groupBy("token").agg(F.min(F.struct("lacks", "key", "n", "root")).alias("head")).select(
         "token", F.struct("head.key", "head.n", "head.root").alias("head"))
     first = tests = stored(_tests(rows, heads, measure), "tests")
     keys = stored(first.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "tested")
     whole = stored(_whole_sets(docs, levels, measure, keys), "whole-sets")
-    tested = stored(held.join(keys, "key"), "tested")
-    dropped(rows)
+    tested = stored(held.select("token", "key", "n").join(keys, "key"), "tested")
     found, links_, round_ = None, None, 0
     while True:
         new = stored(_pairs(tests, whole, measure).select("a", "b"), "star")
@@ -213,13 +211,13 @@ def _stars(held: DataFrame, docs: DataFrame, levels: np.ndarray, measure: Measur
 def links(nodes: DataFrame, docs: DataFrame, levels: np.ndarray, measure: Measure) -> DataFrame:
     """(a, b): links of keys, enough of them to hold every class together."""
     counts = stored(nodes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
-    held = _open(_prefix_rows(nodes, sets.bitmap(counts, "token", counts.count())).withColumn("root", F.col("key")), measure, "held").drop("root")
+    held = _open(_prefix_rows(nodes, sets.bitmap(counts, "token", counts.count())).withColumn("root", F.col("key")), measure, "held")
     dropped(counts)
     tests, roots = _stars(held, docs, levels, measure)
 
     classed = roots.select(F.col("node").alias("key"), "root")
     pivots = tests.select(F.col("a").alias("key"), F.col("b").alias("pivot"))
-    held = _open(held.join(classed, "key", "left").withColumn("root", F.coalesce("root", "key")), measure, "open")
+    held = _open(held.select("token", "key", "n").join(classed, "key", "left").withColumn("root", F.coalesce("root", "key")), measure, "open")
     members = (held.select("key", "n", "root").distinct().join(pivots, "key", "left")
                .select("key", "n", "root", F.when(F.col("root") != F.col("key"), F.col("root")).otherwise(F.coalesce("pivot", "key")).alias("pivot")))
     parts = members.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
