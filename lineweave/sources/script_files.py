@@ -148,33 +148,54 @@ def _inside(data: bytes, alone: bool) -> tuple[bytes, bytes | None, bytes | None
     return data[first.end() : last + 1], data[: first.start()], data[last + 1 :]
 
 
+def _batched(rows: Iterator[tuple[int, list[tuple]]], types: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Batches of the rows of many ranges: (bytes, rows) of each, up to some 16,384 rows or 8 MB before a batch is full."""
+    held, size = [], 0
+    for n, more in rows:
+        held += more
+        size += n
+        if len(held) >= 1 << 14 or size >= 8 << 20:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), types.values())], list(types))
+            held, size = [], 0
+    if held:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), types.values())], list(types))
+
+
+_MEASURED = {"path": pa.string(), "length": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "ends": pa.int64(), "valid": pa.bool_(),
+             "head": pa.binary(), "tail": pa.binary()}
+_LINES = {"path": pa.string(), "src_line_no": pa.int64(), "n_src_lines": pa.int64(), "line": pa.string()}
+
+
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, length, start, stop in zip(*(batch[c].to_pylist() for c in ("path", "length", "start", "stop"))):
-            data = _range(path, start, stop)
-            ends = data.count(b"\n") + data.count(b"\r") - data.count(b"\r\n")
-            inside, head, tail = _inside(data, stop - start == length)
-            try:
-                valid = inside.decode() is not None
-            except UnicodeDecodeError:
-                valid = False
-            yield pa.record_batch([pa.array([path]), pa.array([length]), pa.array([start]), pa.array([stop]), pa.array([ends]), pa.array([valid]),
-                                   pa.array([head], pa.binary()), pa.array([tail], pa.binary())],
-                                  ["path", "length", "start", "stop", "ends", "valid", "head", "tail"])
+    def rows() -> Iterator[tuple[int, list[tuple]]]:
+        for batch in batches:
+            for path, length, start, stop in zip(*(batch[c].to_pylist() for c in ("path", "length", "start", "stop"))):
+                data = _range(path, start, stop)
+                ends = data.count(b"\n") + data.count(b"\r") - data.count(b"\r\n")
+                inside, head, tail = _inside(data, stop - start == length)
+                try:
+                    valid = inside.decode() is not None
+                except UnicodeDecodeError:
+                    valid = False
+                yield len(head or b"") + len(tail or b""), [(path, length, start, stop, ends, valid, head, tail)]
+
+    return _batched(rows(), _MEASURED)
 
 
 def _whole_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, length, start, stop, before, n, utf8 in zip(*(batch[c].to_pylist() for c in ("path", "length", "start", "stop", "before", "n", "utf8"))):
-            alone = stop - start == length
-            inside, head, _ = _inside(_range(path, start, stop), alone)
-            lines = _LINE_END.split(inside)
-            if not alone:
-                lines, before = lines[:-1], before + 1  # behind the last line end lies nothing; the head is the first line
-            for k in range(0, len(lines), 1 << 14):
-                part = [x.decode("utf-8" if utf8 else "latin-1") for x in lines[k : k + (1 << 14)]]
-                yield pa.record_batch([pa.array([path] * len(part)), pa.array(range(before + k + 1, before + k + len(part) + 1), pa.int64()),
-                                       pa.array([n] * len(part), pa.int64()), pa.array(part, pa.string())], ["path", "src_line_no", "n_src_lines", "line"])
+    def rows() -> Iterator[tuple[int, list[tuple]]]:
+        for batch in batches:
+            for path, length, start, stop, before, n, utf8 in zip(*(batch[c].to_pylist() for c in ("path", "length", "start", "stop", "before", "n", "utf8"))):
+                alone = stop - start == length
+                inside, head, _ = _inside(_range(path, start, stop), alone)
+                lines = _LINE_END.split(inside)
+                if not alone:
+                    lines, before = lines[:-1], before + 1  # behind the last line end lies nothing; the head is the first line
+                for k in range(0, len(lines), 1 << 14):
+                    part = [x.decode("utf-8" if utf8 else "latin-1") for x in lines[k : k + (1 << 14)]]
+                    yield sum(map(len, part)), [(path, before + k + i, n, x) for i, x in enumerate(part, 1)]
+
+    return _batched(rows(), _LINES)
 
 
 def script_lines(scan: DataFrame, root: str, range_bytes: int = fv.RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -183,7 +204,9 @@ def script_lines(scan: DataFrame, root: str, range_bytes: int = fv.RANGE_BYTES)
     ranges = scan.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), step)).alias("start"))
     ranges = ranges.withColumn("stop", F.least("length", F.col("start") + step))
     size = F.col("stop") - F.col("start")
-    found = _spread(ranges, size, range_bytes).mapInArrow(
+    # short ranges make no more tasks: what a task reads has a size of its own
+    bytes_a_task = max(range_bytes, fv.RANGE_BYTES)
+    found = _spread(ranges, size, bytes_a_task).mapInArrow(
         _measured, "path string, length long, start long, stop long, ends long, valid boolean, head binary, tail binary")
     found = cut_lineage(found, 1)
     earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -199,7 +222,7 @@ def script_lines(scan: DataFrame, root: str, range_bytes: int = fv.RANGE_BYTES)
     scripts = cut_lineage(votes.groupBy("path").agg((F.sum("ends") + 1).alias("n"), F.min("valid").alias("utf8")), 1)
 
     reads = found.select("path", "length", "start", "stop", "before").join(scripts, "path")
-    whole = _spread(reads, size, range_bytes).mapInArrow(_whole_lines, "path string, src_line_no long, n_src_lines long, line string")
+    whole = _spread(reads, size, bytes_a_task).mapInArrow(_whole_lines, "path string, src_line_no long, n_src_lines long, line string")
     text = F.when(F.col("utf8"), F.decode("bytes", "UTF-8")).otherwise(F.decode("bytes", "ISO-8859-1"))
     crossed = crossing.join(scripts, "path").select("path", "src_line_no", F.col("n").alias("n_src_lines"), text.alias("line"))
     script_id = relative_path(F.col("path"), root).alias("script_id")

@@ -130,6 +130,15 @@ def test_lines_over_range_borders(spark, tmp_path):
         assert dict(map(tuple, sizes.collect())) == {n: len(plain(d)) for n, d in contents.items()}
 
 
+def test_short_ranges_make_no_more_tasks(spark, tmp_path):
+    """What a task reads does not shrink with the ranges: 5,000 ranges of a byte are read by as many tasks as two files."""
+    for name in ("a.py", "b.py"):
+        (tmp_path / name).write_text("FROM SWG.TB\n" * 208)
+    lines, _ = script_files.script_lines(script_files.script_scan(spark, str(tmp_path)), str(tmp_path), 1)
+    assert lines.count() == 2 * 209
+    assert lines.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_lines_of_hash_and_slash_comments(spark):
     texts = ["a\r\nb\x0bc\u2028d\x85e\n", "", "\n\n", "x\x1cy\x0c", "one", "\r\r\n\n"]
     rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select("n", all_lines_of(F.col("text")).alias("lines")).collect()
