@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from lineweave.functions import spans
+from lineweave.operators.pairs import df_sql_pairs as line_pairs
 from lineweave.plans.call_bodies import df_sql_pairs, first_call_bodies
 
 
@@ -98,3 +99,16 @@ def test_df_sql_pairs(spark):
         for n, text in rows:
             expected = pairs(text)
             assert got.get(n, {}) == ({None: "unterminated"} if expected is None else expected), text
+
+
+def test_short_scripts_are_walked_in_one_stream(spark):
+    """Thousands of short scripts: none is a Python call of its own, and each gets its pairs."""
+    n = 20_000
+    rows = spark.range(n).select(F.concat(F.lit("s"), "id").alias("script_id"), F.posexplode(F.array(
+        F.concat(F.lit("df_"), "id", F.lit(" = 1")), F.lit("x spark.sql("), F.concat("id", F.lit(")")))).alias("i", "line"))
+    found = line_pairs(rows.select("script_id", (F.col("i") + 1).alias("src_line_no"), "line"))
+    assert "InPandas" not in found._jdf.queryExecution().toString()
+    expected = F.concat(F.lit("spark.sql(\n"), F.substring("script_id", 2, 9), F.lit(")"))
+    assert found.where((F.col("sql_text") == expected) & (F.col("status") == "ok") & (F.col("df_name") == F.concat(F.lit("df_"), F.substring("script_id", 2, 9)))).count() == n
+    nothing = line_pairs(spark.createDataFrame([(None, 1, "df_A"), (None, 2, "spark.sql(")], "script_id string, src_line_no int, line string"))
+    assert [tuple(r) for r in nothing.collect()] == [(None, "unterminated", None, None)]
