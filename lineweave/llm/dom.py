@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 
+import numpy as np
 import xxhash
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
@@ -104,69 +106,183 @@ def numbered(root: Element) -> list[Element]:
 #: A tree for matching: (label, value, number, size, children).
 Tree = tuple
 
-#: Products of child counts above which children are paired in one walk instead of by the quadratic table.
-MOST_PAIRS = 40_000
+#: Products of list lengths up to which all rows of a table are kept; of longer ones some are, and the others are made again.
+KEPT_CELLS = 1 << 20
 
 
 def matched(a: Tree, b: Tree) -> list[tuple[int, int]]:
     """Pairs of numbers that simple tree matching aligns: roots of one label, and between their children an alignment in
-    order with the most aligned nodes. Equal first and last children are taken as they are, which is never worse."""
+    order with the most aligned nodes. Equal first and last children are taken as they are, which is never worse. Trees of
+    every depth and lists of every length are aligned alike."""
+    shapes = _Shapes()
     out: list[tuple[int, int]] = []
-    known: dict[tuple[int, int], int] = {}
-    work = [(a, b)] if a[0] == b[0] else []
+    work = [(shapes.shaped(a), shapes.shaped(b))] if a[0] == b[0] else []
     while work:
         x, y = work.pop()
         out.append((x[2], y[2]))
-        work.extend(_aligned(x[4], y[4], known))
+        work.extend(_aligned(x[4], y[4], shapes))
     return out
 
 
-def _score(x: Tree, y: Tree, known: dict) -> int:
-    if x[0] != y[0]:
-        return 0
-    if x[1] == y[1]:
-        return x[3]
-    if not x[4] or not y[4]:
-        return 1
-    key = (x[2], y[2])
-    if key not in known:
-        known[key] = 1 + sum(_score(p, q, known) for p, q in _aligned(x[4], y[4], known))
-    return known[key]
+class _Shapes:
+    """The shapes of two trees: how many nodes align depends on the labels alone, so it is counted once for two shapes. A node
+    that is larger than its children say (they are left out) has its value in its shape."""
 
+    def __init__(self) -> None:
+        self.ids: dict[tuple, int] = {}
+        self.labels: list[str] = []
+        self.sizes: list[int] = []
+        self.children: list[tuple[int, ...]] = []
+        self.known: dict[tuple[int, int], int] = {}
 
-def _aligned(xs: list[Tree], ys: list[Tree], known: dict) -> list[tuple[Tree, Tree]]:
+    def shaped(self, tree: Tree) -> Tree:
+        """The tree with the shape of each node behind its children."""
+        order, work = [], [tree]
+        while work:
+            node = work.pop()
+            order.append(node)
+            work.extend(node[4])
+        done: dict[int, Tree] = {}
+        for node in reversed(order):
+            children = [done[id(c)] for c in node[4]]
+            inner = tuple(c[5] for c in children)
+            key = (node[0], inner) if inner or node[3] == 1 else (node[0], node[3], node[1])
+            shape = self.ids.setdefault(key, len(self.ids))
+            if shape == len(self.labels):
+                self.labels.append(node[0])
+                self.sizes.append(node[3])
+                self.children.append(inner)
+            done[id(node)] = (*node[:4], children, shape)
+        return done[id(tree)]
+
+    def open(self, p: int, q: int) -> bool:
+        return p != q and self.labels[p] == self.labels[q] and bool(self.children[p] and self.children[q]) and (p, q) not in self.known
+
+    def score(self, p: int, q: int) -> int:
+        if p == q:
+            return self.sizes[p]
+        if self.labels[p] != self.labels[q]:
+            return 0
+        return self.known[p, q] if self.children[p] and self.children[q] else 1
+
+    def settle(self, xs: list[int], ys: list[int]) -> None:
+        """Counts the aligned nodes of all pairs of shapes of two lists; without recursion, as pages may be deep."""
+        work = [(p, q) for p in set(xs) for q in set(ys) if self.open(p, q)]
+        while work:
+            p, q = work[-1]
+            if (p, q) in self.known:
+                work.pop()
+                continue
+            low, xe, ye = _trimmed(self.children[p], self.children[q])
+            left, right = self.children[p][low:xe], self.children[q][low:ye]
+            missing = [(v, w) for v in set(left) for w in set(right) if self.open(v, w)]
+            if missing:
+                work.extend(missing)
+                continue
+            ends = self.children[p][:low] + self.children[p][xe:]
+            self.known[p, q] = 1 + sum(self.sizes[c] for c in ends) + self.most(left, right)
+
+    def flat(self, xs: list[int], ys: list[int]) -> bool:
+        """Leaves of one label."""
+        label = self.labels[xs[0]]
+        return all(not self.children[t] and self.labels[t] == label for t in {*xs, *ys})
+
+    def most(self, xs: list[int], ys: list[int]) -> int:
+        """The most nodes that two lists align."""
+        if not xs or not ys:
+            return 0
+        if self.flat(xs, ys):
+            return sum(map(self.score, xs, ys))
+        if len({*xs, *ys}) == 1:
+            return self.sizes[xs[0]] * min(len(xs), len(ys))
+        row, scores = _first_row(ys), _Scores(self, ys)
+        for p in xs:
+            row = _next_row(row, scores.of(p))
+        return int(row[-1])
+
+
+class _Scores:
+    """Rows of scores of one shape against a list."""
+
+    def __init__(self, shapes: _Shapes, ys: list[int]) -> None:
+        self.shapes, self.ys, self.made = shapes, ys, {}
+        self.distinct, self.places = np.unique(ys, return_inverse=True) if len(ys) >= _LONG else (None, None)
+
+    def of(self, p: int):
+        if p not in self.made:
+            if len(self.made) == 64:
+                self.made.clear()
+            score = self.shapes.score
+            self.made[p] = ([score(p, q) for q in self.ys] if self.distinct is None
+                            else np.array([score(p, q) for q in self.distinct.tolist()], np.int64)[self.places])
+        return self.made[p]
+
+
+# rows of the table are lists up to this length, then arrays: same numbers
+_LONG = 64
+
+
+def _first_row(ys: list[int]):
+    return [0] * (len(ys) + 1) if len(ys) < _LONG else np.zeros(len(ys) + 1, np.int64)
+
+
+def _next_row(above, scores):
+    if isinstance(above, list):
+        row = [0]
+        for j, s in enumerate(scores):
+            row.append(max(above[j + 1], row[j], above[j] + s))
+        return row
+    row = np.zeros_like(above)
+    np.maximum.accumulate(np.maximum(above[1:], above[:-1] + scores), out=row[1:])
+    return row
+
+
+def _trimmed(xs, ys) -> tuple[int, int, int]:
+    """How many first items are equal, and the ends of both lists without equal last ones."""
     low, xe, ye = 0, len(xs), len(ys)
-    while low < xe and low < ye and xs[low][:2] == ys[low][:2]:
+    while low < xe and low < ye and xs[low] == ys[low]:
         low += 1
-    pairs = list(zip(xs[:low], ys[:low]))
-    while xe > low and ye > low and xs[xe - 1][:2] == ys[ye - 1][:2]:
+    while xe > low and ye > low and xs[xe - 1] == ys[ye - 1]:
         xe, ye = xe - 1, ye - 1
-    pairs += list(zip(xs[xe:], ys[ye:]))
+    return low, xe, ye
+
+
+def _aligned(xs: list[Tree], ys: list[Tree], shapes: _Shapes) -> list[tuple[Tree, Tree]]:
+    low, xe, ye = _trimmed([t[:2] for t in xs], [t[:2] for t in ys])
+    pairs = list(zip(xs[:low], ys[:low])) + list(zip(xs[xe:], ys[ye:]))
     xs, ys = xs[low:xe], ys[low:ye]
     if not xs or not ys:
         return pairs
-    if len(xs) * len(ys) > MOST_PAIRS or all(not t[4] and t[0] == xs[0][0] for t in xs + ys):
-        j = 0  # leaves of one label, or too many: in order of the first list
-        for x in xs:
-            k = next((k for k in range(j, min(len(ys), j + 50)) if ys[k][0] == x[0]), None)
-            if k is not None:
-                pairs.append((x, ys[k]))
-                j = k + 1
-        return pairs
-    table = [[0] * (len(ys) + 1)]
-    scores = []
-    for x in xs:
-        above, row, own = table[-1], [0], [_score(x, y, known) for y in ys]
-        for j, s in enumerate(own):
-            row.append(max(above[j + 1], row[j], above[j] + s))
-        table.append(row)
-        scores.append(own)
-    i, j = len(xs), len(ys)
+    left, right = [t[5] for t in xs], [t[5] for t in ys]
+    if shapes.flat(left, right):
+        return pairs + list(zip(xs, ys))
+    if len({*left, *right}) == 1:
+        n = min(len(xs), len(ys))
+        return pairs + list(zip(xs[-n:], ys[-n:]))
+    shapes.settle(left, right)
+    scores = _Scores(shapes, right)
+    step = 1 if len(xs) * len(ys) <= KEPT_CELLS else math.isqrt(len(xs))
+    kept = [_first_row(right)]
+    row = kept[0]
+    for i, p in enumerate(left, 1):
+        row = _next_row(row, scores.of(p))
+        if i % step == 0:
+            kept.append(row)
+    i, j, base = len(xs), len(ys), -1
     while i and j:
-        if scores[i - 1][j - 1] and table[i][j] == table[i - 1][j - 1] + scores[i - 1][j - 1]:
+        if base != (i - 1) // step:
+            base = (i - 1) // step
+            rows = [kept[base]]
+            if step == 1:
+                rows.append(kept[i])
+            else:
+                for p in left[base * step : i]:
+                    rows.append(_next_row(rows[-1], scores.of(p)))
+        above, here, s = rows[i - 1 - base * step], rows[i - base * step], scores.of(left[i - 1])[j - 1]
+        if s and here[j] == above[j - 1] + s:
             i, j = i - 1, j - 1
             pairs.append((xs[i], ys[j]))
-        elif table[i][j] == table[i - 1][j]:
+        elif here[j] == above[j]:
             i -= 1
         else:
             j -= 1

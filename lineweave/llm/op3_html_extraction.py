@@ -88,23 +88,24 @@ def main_text(page: str, template: set[int]) -> str:
 
 
 def _skeleton(page: str) -> str:
-    """The tree as nested lists: label, value, number, size, children. Subtrees of main elements are left out."""
-    def tree(e: dom.Element) -> list:
-        inner = [] if e.tag in MAIN else [tree(c) for c in e.children if isinstance(c, dom.Element)]
-        return [f"{e.tag} {e.names}", e.value, e.number, e.size, inner]
+    """The tree as a flat list in page order: label, value, number, size, number of children. Subtrees of main elements are left out."""
     root = dom.parsed(page)
-    depth = _depth(root)
     dom.numbered(root)
-    return json.dumps(tree(root) if depth < 400 else [root.tag, root.value, 0, 1, []])
+    rows, work = [], [root]
+    while work:
+        e = work.pop()
+        inner = [] if e.tag in MAIN else [c for c in e.children if isinstance(c, dom.Element)]
+        rows.append([f"{e.tag} {e.names}", e.value, e.number, e.size, len(inner)])
+        work.extend(reversed(inner))
+    return json.dumps(rows)
 
 
-def _depth(root: dom.Element) -> int:
-    deepest, work = 0, [(root, 1)]
-    while work:
-        node, d = work.pop()
-        deepest = max(deepest, d)
-        work.extend((c, d + 1) for c in node.children if isinstance(c, dom.Element))
-    return deepest
+def _tree(skeleton: str) -> dom.Tree:
+    waiting: list[dom.Tree] = []
+    for label, value, number, size, n in reversed(json.loads(skeleton)):
+        children = [waiting.pop() for _ in range(n)]
+        waiting.append((label, value, number, size, children))
+    return waiting[0]
 
 
 KEY = "page struct<page_id: bigint, h: bigint>"
@@ -128,8 +129,8 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if ref not in known:
                 if len(known) > 200:
                     known.clear()
-                known[ref] = json.loads(ref)
-            tree = json.loads(own)
+                known[ref] = _tree(ref)
+            tree = _tree(own)
             values = {}
             work = [tree]
             while work:

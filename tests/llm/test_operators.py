@@ -188,6 +188,34 @@ def test_tree_matching_aligns_most_nodes():
         assert len(dom.matched(a, b)) == plain(a, b)
 
 
+def test_tree_matching_is_exact_for_long_lists_and_deep_trees(spark, monkeypatch):
+    r = random.Random(4)
+
+    def leaf(n, label):
+        return ["x", n, n, 2, [[label, -n, -n, 1, []]]]
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            above, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(max(above[j + 1], row[j], above[j] + 1 + (x == y)))
+        return row[-1]
+
+    a, b = ([r.choice("abc") for _ in range(300)] for _ in range(2))
+    trees = [["body", k, 0, 1 + 2 * len(x), [leaf(n + 1000 * (k + 1), c) for n, c in enumerate(x)]] for k, x in enumerate((a, b))]
+    found = sorted(dom.matched(*trees))
+    assert len(found) == 1 + longest(a, b)
+    monkeypatch.setattr(dom, "KEPT_CELLS", 0)
+    assert sorted(dom.matched(*trees)) == found
+
+    # a menu below 600 elements is template like one below 3
+    for depth in (3, 600):
+        pages = [(k, "http://a.org/", f"<body>{'<div>' * depth}<p>Menu A</p><p>text {k}</p>{'</div>' * depth}</body>") for k in range(4)]
+        rows = op3_html_extraction.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+        assert {x.page_id: x.text for x in rows} == {k: f"text {k}" for k in range(4)}
+
+
 def test_pieces(docs, none):
     library = op4_pieces.ChunkTable(op4_pieces.default_model()).library
     for r in op4_pieces.encoded(docs, op4_pieces.default_model()).collect():
