@@ -58,5 +58,8 @@ STATEMENT_SCHEMAS = [
 # chunks of this many lines, and state is carried from chunk to chunk (operators/scan.py).
 CHUNK_LINES = 16384
 
+# A task holds about this many lines of scripts; the map sorts its rows several times.
+LINES_A_TASK = 1 << 17
+
 # Script files are read in ranges of this many bytes, and a task reads about as many.
 RANGE_BYTES = 64 << 20

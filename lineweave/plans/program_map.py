@@ -29,26 +29,30 @@ def with_length(lines: DataFrame, chunk_lines: int) -> DataFrame:
 
 
 def by_length(lines: DataFrame, body: Callable[[DataFrame, int], DataFrame],
-              chunk_lines: int = fv.CHUNK_LINES, sizes: DataFrame | None = None) -> DataFrame:
+              chunk_lines: int = fv.CHUNK_LINES, sizes: DataFrame | None = None, lines_a_task: int = fv.LINES_A_TASK) -> DataFrame:
     """Run `body(lines, levels)` on short scripts and, where there are any, on the chunks of long ones.
 
     `lines` has (script_id, src_line_no, line) and, from sources that know it, n_src_lines. Short
     scripts need one shuffle on script_id and no join; only scripts above `chunk_lines` pay for
-    carrying state. The longest script is asked for first, from `sizes` (script_id, n_src_lines) when
-    that is cheaper to read than `lines`.
+    carrying state. The longest script and the number of lines are asked for first, from `sizes`
+    (script_id, n_src_lines) when that is cheaper to read than `lines`. Lines are dealt to so many tasks
+    that each has about `lines_a_task` of them, whatever the number of all.
     """
     measured = lines if sizes is None else sizes
-    longest = measured.agg(F.max("n_src_lines" if "n_src_lines" in measured.columns else "src_line_no")).first()[0] or 0
-    levels = levels_for(longest, chunk_lines)
+    longest, total = measured.agg(F.max("n_src_lines" if "n_src_lines" in measured.columns else "src_line_no"),
+                                  F.count("*") if sizes is None else F.sum("n_src_lines")).first()
+    levels = levels_for(longest or 0, chunk_lines)
+    # an explicit number: Spark would size tasks by shuffled bytes, of which repetitive text has few, while every window sorts whole rows
+    tasks = max(lines.sparkSession.sparkContext.defaultParallelism, -(-(total or 0) // lines_a_task))
     placed = lines.withColumn("pos", F.col("src_line_no"))
     if not levels:
-        return body(placed.select("script_id", "pos", "line"), 0)
+        return body(placed.select("script_id", "pos", "line").repartition(tasks, "script_id"), 0)
     if "n_src_lines" not in lines.columns:
         placed = with_length(lines, chunk_lines).withColumn("pos", F.col("src_line_no"))
     is_long = F.col("n_src_lines") > chunk_lines
     chunk = F.floor((F.col("pos") - 1) / chunk_lines).alias("chunk")
-    short = body(placed.where(~is_long).select("script_id", "pos", "line"), 0)
-    long = body(placed.where(is_long).select("script_id", "pos", "line", chunk), levels)
+    short = body(placed.where(~is_long).select("script_id", "pos", "line").repartition(tasks, "script_id"), 0)
+    long = body(placed.where(is_long).select("script_id", "pos", "line", chunk).repartition(tasks, "script_id", "chunk"), levels)
     return short.unionByName(long.select(*short.columns))
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 import sequential
+from pyspark.sql import functions as F
 
 from lineweave.operators import scan
 from lineweave.plans import program_map as pm
@@ -113,3 +114,20 @@ def test_one_shuffle_and_no_python(spark):
     assert plan.count("Exchange hashpartitioning(script_id") == 1
     assert plan.count("Exchange") == 1
     assert "Python" not in plan and "Join" not in plan
+
+
+def test_tasks_follow_the_number_of_lines(spark):
+    """Ten times the lines are ten times the tasks, not tasks of ten times the lines; the map is the same."""
+    def lines(n):
+        return spark.range(n).select(F.col("id").alias("script_id"), F.posexplode(F.array(*map(F.lit, ["df_A = 1", "FROM SWG.TB_ONE x"]))).alias("i", "line")).select(
+            "script_id", (F.col("i") + 1).cast("long").alias("src_line_no"), "line")
+
+    def steps(part, levels):
+        return pm.assembled(part, levels)
+
+    for n in (2_000, 20_000):
+        found = pm.by_length(lines(n), steps, lines_a_task=100)
+        assert found.rdd.getNumPartitions() == 2 * n // 100 and found.count() == 2 * n
+    # chunks of long scripts
+    assert pm.by_length(lines(500).withColumn("src_line_no", 2 * F.col("script_id") + F.col("src_line_no")).withColumn("script_id", F.lit(1)),
+                        lambda part, levels: part, chunk_lines=100, lines_a_task=50).rdd.getNumPartitions() >= 20
