@@ -110,8 +110,10 @@ def _fill_short(lines: DataFrame) -> DataFrame:
     pair = F.struct(F.col("var_name").alias("k"), F.col("var_value").alias("v"))
 
     def value_of(mark: Column) -> Column:
-        key = F.get(F.filter("vars", lambda v: F.contains(mark, v.k)), F.lit(0)).k
-        return F.try_element_at(F.filter("vars", lambda v: v.k == key), F.lit(-1)).v
+        # the variables that a mark holds are looked for once, not again for each variable
+        held = F.array(F.filter("vars", lambda v: F.contains(mark, v.k)))
+        last = F.transform(held, lambda vs: F.try_element_at(F.filter(vs, lambda v: v.k == F.get(vs, F.lit(0)).k), F.lit(-1)).v)
+        return F.get(last, F.lit(0))
 
     lines = with_assignment(lines)
     return (lines.withColumn("vars", F.collect_list(F.when(F.col("var_name").isNotNull(), pair)).over(whole))

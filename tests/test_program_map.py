@@ -1,13 +1,14 @@
 """The whole map, on random scripts and on the derived corpus, against the sequential statement of the rules."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
 import sequential
 from pyspark.sql import functions as F
 
-from lineweave.operators import scan
+from lineweave.operators import scan, variables
 from lineweave.plans import program_map as pm
 from lineweave.sources.corpus import corpus_lines
 
@@ -131,3 +132,14 @@ def test_tasks_follow_the_number_of_lines(spark):
     # chunks of long scripts
     assert pm.by_length(lines(500).withColumn("src_line_no", 2 * F.col("script_id") + F.col("src_line_no")).withColumn("script_id", F.lit(1)),
                         lambda part, levels: part, chunk_lines=100, lines_a_task=50).rdd.getNumPartitions() >= 20
+
+
+def test_many_variables_in_a_short_script(spark):
+    """A mark asks each variable once: 1,500 variables and as many marks are no cube of that number."""
+    n = 1500
+    texts = [f'v{k:04}x = "A{k}"' for k in range(n)] + [f'v{7:04}x = "LAST"'] + [f"FROM {{v{k:04}x}}" for k in range(n)]
+    rows = spark.createDataFrame([(1, p, t) for p, t in enumerate(texts, 1)], "script_id long, pos long, line string")
+    before = time.monotonic()
+    got = [r.line for r in variables.fill_placeholders(rows, 0).orderBy("pos").collect()][n + 1 :]
+    assert got == [f"FROM {{{'LAST' if k == 7 else f'A{k}'}}}" for k in range(n)]
+    assert time.monotonic() - before < 30
