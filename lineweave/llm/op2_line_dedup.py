@@ -30,8 +30,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineweave.llm import sets, words
@@ -73,16 +74,14 @@ def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
                     F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
 
 
-def _keys(starts: np.ndarray, values: np.ndarray) -> list[bytes]:
+def _keys(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """128-bit keys of the sets, as two columns of 64."""
     data = memoryview(values.tobytes())
-    return [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+    found = [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
 
 
-def _key_numbers(keys: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join([k[:8] for k in keys]), np.int64)
-
-
-LINES = "doc struct<known: boolean, id: bigint, h: bigint>, line int, key binary"
+LINES = "doc struct<known: boolean, id: bigint, h: bigint>, line int, k1 long, k2 long"
 
 
 def _lines_of(docs: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -91,8 +90,9 @@ def _lines_of(docs: DataFrame, levels: np.ndarray) -> DataFrame:
         for batch in words.pieces(batches, 1024):
             rows, lines, starts, values = _line_sets(batch["text"], levels)
             if len(starts) > 1:
-                yield pa.record_batch([batch["doc"].take(pa.array(rows)), pa.array(lines, pa.int32()), pa.array(_keys(starts, values), pa.binary())],
-                                      ["doc", "line", "key"])
+                keys = _keys(starts, values)
+                yield pa.record_batch([batch["doc"].take(pa.array(rows)), pa.array(lines, pa.int32()), pa.array(keys[:, 0]), pa.array(keys[:, 1])],
+                                      ["doc", "line", "k1", "k2"])
     return docs.select(document_key().alias("doc"), "text").mapInArrow(run, LINES)
 
 
@@ -102,109 +102,201 @@ def _place_numbers(doc: pa.StructArray, line: np.ndarray) -> np.ndarray:
     return words.mixed(words.mixed(h + words.mixed(i)) + line.astype(np.uint64)).view(np.int64)
 
 
+def _having(rows: DataFrame, bits: np.ndarray, kinds: str, key: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows whose key may be in the bitmap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sets.in_bitmap(bits, key(batch))))
+    return rows.mapInArrow(run, kinds)
+
+
 @dataclass(frozen=True)
 class Firsts:
     """Tells the first line of each set from its copies: a bitmap of the keys of sets with several places, and one of the first places
-    of all sets that the former takes for such. Some copies pass as well; no first line fails."""
+    of all sets that the former takes for such. Some copies pass as well; no first line fails.
+
+    copied: (k1, k2, doc, line) of all lines of such sets; first: their first places, with `several` true where there is another."""
 
     repeated: np.ndarray
     places: np.ndarray
+    copied: DataFrame
+    first: DataFrame
 
     @staticmethod
-    def of(places: DataFrame) -> Firsts:
-        many = places.where("first <> last")
-        n = many.count()
-        repeated = sets.bitmap(many.select(sets.number("key").alias("k")), "k", n)
+    def of(lines: DataFrame) -> Firsts:
+        many = stored(lines.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1"), "copied")
+        repeated = sets.bitmap(many, "k1", many.count())
+        dropped(many)
+        copied = _having(lines, repeated, LINES, lambda batch: batch["k1"].to_numpy())
+        place = F.struct("doc", "line")
+        first = stored(copied.groupBy("k1", "k2").agg(F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("several")), "places")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = batch.filter(pa.array(sets.in_bitmap(repeated, _key_numbers(batch["key"].to_pylist()))))
-                yield pa.record_batch([pa.array(_place_numbers(own["doc"], own["line"].to_numpy()))], ["k"])
-        firsts = places.select("key", "first.doc", "first.line").mapInArrow(run, "k long")
-        return Firsts(repeated, sets.bitmap(firsts, "k", 2 * n))
+                yield pa.record_batch([pa.array(_place_numbers(batch["doc"], batch["line"].to_numpy()))], ["k"])
+        return Firsts(repeated, sets.bitmap(first.select("first.doc", "first.line").mapInArrow(run, "k long"), "k", first.count()), copied, first)
+
+    def later(self) -> DataFrame:
+        """(doc, line) of the lines that are not the first of their set."""
+        return (self.copied.join(self.first.where("several"), ["k1", "k2"]).where(F.struct("doc", "line") != F.col("first"))
+                .select("doc", "line"))
+
+    def judge(self) -> Judge:
+        return Judge(self.repeated, self.places)
 
-    def judged(self, batch: pa.RecordBatch, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Starts, sets and keys of those lines of a batch that are first and whose sets have tokens."""
+
+@dataclass(frozen=True)
+class Judge:
+    """What tasks need of Firsts."""
+
+    repeated: np.ndarray
+    places: np.ndarray
+
+    def judged(self, batch: pa.RecordBatch, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, lines, starts and sets of those lines of a batch that are first and whose sets have tokens."""
         rows, lines, starts, values = _line_sets(batch["text"], levels)
-        keys, n = _keys(starts, values), np.diff(starts)
-        if not keys:
-            return starts, values, keys
+        n = np.diff(starts)
+        if not len(n):
+            return rows, lines, starts, values
         place = _place_numbers(batch["doc"].take(pa.array(rows)), lines)
-        mine = (n >= LEAST) & (~sets.in_bitmap(self.repeated, _key_numbers(keys)) | sets.in_bitmap(self.places, place))
-        return np.concatenate([[0], np.cumsum(n[mine])]), values[np.repeat(mine, n)], [keys[i] for i in np.flatnonzero(mine).tolist()]
+        mine = n >= LEAST
+        mine[mine] = ~self._copied(starts, values, mine) | sets.in_bitmap(self.places, place[mine])
+        return rows[mine], lines[mine], np.concatenate([[0], np.cumsum(n[mine])]), values[np.repeat(mine, n)]
+
+    def _copied(self, starts: np.ndarray, values: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        n = np.diff(starts)
+        keys = _keys(np.concatenate([[0], np.cumsum(n[mine])]), values[np.repeat(mine, n)])
+        return sets.in_bitmap(self.repeated, np.ascontiguousarray(keys[:, 0]))
+
+
+#: Tokens are exchanged by their first BLOCK_BITS bits, with the next 32; the bitmap of shared ones goes by their first SHARED_BITS bits.
+BLOCK_BITS, SHARED_BITS = 10, 26
+#: Tokens that a task holds before it sends them.
+HELD_TOKENS = 1 << 20
 
 
-def _count_tokens(docs: DataFrame, levels: np.ndarray, firsts: Firsts) -> DataFrame:
-    """Tokens of two sets or more, and few others."""
+def _token_blocks(docs: DataFrame, levels: np.ndarray, judge: Judge) -> DataFrame:
+    """All tokens of the judged lines, cut to 42 bits: blocks of sorted numbers, equal ones as often as they occur."""
+    def blocks(found: list[np.ndarray]) -> pa.RecordBatch:
+        token = np.sort(np.concatenate(found).view(np.uint64) >> np.uint64(32 - BLOCK_BITS))
+        ends = np.searchsorted(token >> np.uint64(32), np.arange((1 << BLOCK_BITS) + 1, dtype=np.uint64))
+        low, own = token.astype(np.uint32), np.flatnonzero(np.diff(ends))
+        return pa.record_batch([pa.array(own, pa.int32()), pa.array([low[ends[b] : ends[b + 1]].tobytes() for b in own.tolist()], pa.binary())], ["block", "tokens"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for batch in words.pieces(batches, 2048):
-            starts, values, keys = firsts.judged(batch, levels)
-            if keys:
-                token, n = np.unique(_tokens(starts, values)[0], return_counts=True)
-                yield pa.record_batch([pa.array(token), pa.array(n)], ["token", "n"])
-    counted = docs.select(document_key().alias("doc"), "text").mapInArrow(run, "token long, n long")
-    return counted.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1").select("token")
+            _, _, starts, values = judge.judged(batch, levels)
+            if len(starts) > 1:
+                found.append(_tokens(starts, values)[0])
+                held += len(found[-1])
+            if held >= HELD_TOKENS:
+                yield blocks(found)
+                found, held = [], 0
+        if held:
+            yield blocks(found)
+    return docs.select(document_key().alias("doc"), "text").mapInArrow(run, "block int, tokens binary")
+
+
+def shared_tokens(docs: DataFrame, levels: np.ndarray, judge: Judge) -> np.ndarray:
+    """A bitmap of the tokens of two sets or more, and few others: each block is sorted and gives its part of the map, so the driver
+    receives a map of one size, whatever the input is."""
+    def repeated(table: pa.Table) -> pa.Table:
+        token = np.sort(np.frombuffer(b"".join(table["tokens"].to_pylist()), np.uint32))
+        bits = np.zeros(1 << (SHARED_BITS - BLOCK_BITS), bool)
+        bits[token[1:][token[1:] == token[:-1]] >> np.uint32(32 - SHARED_BITS + BLOCK_BITS)] = True
+        return pa.table([table["block"][:1], pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+    found = _token_blocks(docs, levels, judge).groupBy("block").applyInArrow(repeated, "block int, bits binary").toArrow()
+    out = np.zeros((1 << BLOCK_BITS, 1 << (SHARED_BITS - BLOCK_BITS - 3)), np.uint8)
+    for block, bits in zip(found["block"].to_pylist(), found["bits"].to_pylist()):
+        out[block] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
 
 
-def _signatures(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """64 bits of each set, of which every word flips one."""
-    return np.bitwise_xor.reduceat(np.uint64(1) << (values & np.uint64(63)), starts[:-1]).view(np.int64)
+def _is_shared(shared: np.ndarray, token: np.ndarray) -> np.ndarray:
+    at = token.view(np.uint64) >> np.uint64(64 - SHARED_BITS)
+    return (shared[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
-#: Keys of sets that a task remembers it has given.
-HELD_KEYS = 200_000
+def _signatures(starts: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+    """128 bits of each set, of which every word flips one, as two columns of 64."""
+    bit, half = np.uint64(1) << (values & np.uint64(63)), (values >> np.uint64(6)) & np.uint64(1)
+    return [np.bitwise_xor.reduceat(np.where(half == np.uint64(i), bit, np.uint64(0)), starts[:-1]).view(np.int64) for i in (0, 1)]
 
 
-def _open_sets(docs: DataFrame, levels: np.ndarray, firsts: Firsts, shared: np.ndarray) -> DataFrame:
-    """Sets with tokens that may be in another set: key, size, signature, such tokens with places."""
+OPEN_SETS = "doc struct<known: boolean, id: bigint, h: bigint>, line int, n int, s1 bigint, s2 bigint, tokens array<bigint>, places array<int>"
+
+
+def _open_sets(docs: DataFrame, levels: np.ndarray, judge: Judge, shared: np.ndarray) -> DataFrame:
+    """Sets with tokens that may be in another set: place, size, signature, such tokens with their places in the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.pieces(batches, 1024):
-            starts, values, keys = firsts.judged(batch, levels)
-            if not keys:
+            rows, lines, starts, values = judge.judged(batch, levels)
+            if len(starts) == 1:
                 continue
             token, group, place = _tokens(starts, values)
-            hit = sets.in_bitmap(shared, token)
+            hit = _is_shared(shared, token)
             token, group, place = token[hit], group[hit], place[hit]
             own, n = np.unique(group, return_counts=True)
             lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(x, kind))
+            s1, s2 = _signatures(starts, values)
             yield pa.record_batch([
-                pa.array([keys[i] for i in own.tolist()], pa.binary()), pa.array(np.diff(starts)[own], pa.int32()), pa.array(_signatures(starts, values)[own]),
-                lists(token, pa.int64()), lists(place, pa.int32())], ["key", "n", "signature", "tokens", "places"])
-    rows = docs.select(document_key().alias("doc"), "text").mapInArrow(run, "key binary, n int, signature bigint, tokens array<bigint>, places array<int>")
-    return rows.groupBy("key").agg(F.first(F.struct("n", "signature", "tokens", "places")).alias("set")).select("key", "set.*")
+                batch["doc"].take(pa.array(rows[own])), pa.array(lines[own], pa.int32()), pa.array(np.diff(starts)[own], pa.int32()), pa.array(s1[own]),
+                pa.array(s2[own]), lists(token, pa.int64()), lists(place, pa.int32())], ["doc", "line", "n", "s1", "s2", "tokens", "places"])
+    return docs.select(document_key().alias("doc"), "text").mapInArrow(run, OPEN_SETS)
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by place, each place once: documents that stand in the table twice are one."""
+    last = None
+    for batch in batches:
+        places = list(zip(*[batch["doc"].field(f).to_pylist() for f in ("known", "id", "h")], batch["line"].to_pylist()))
+        yield batch.filter(pa.array([a != b for a, b in zip(places, [last, *places])]))
+        last = places[-1] if places else last
+
+
+def _numbered(open_: DataFrame) -> DataFrame:
+    """The open sets with numbers (id) in the order of their places."""
+    return open_.orderBy("doc", "line").mapInArrow(_once, OPEN_SETS).withColumn("id", F.monotonically_increasing_id())
 
 
 def _whole_sets(docs: DataFrame, levels: np.ndarray, wanted: DataFrame) -> DataFrame:
-    """(id, words) of the wanted sets (id, key), from the texts; a bitmap of keys leaves most lines there."""
-    bits = sets.bitmap(wanted.select(sets.number("key").alias("k")), "k", wanted.count())
+    """(id, words) of the wanted sets (id, doc, line), from the texts: only the wanted lines are cut into words."""
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(_place_numbers(batch["doc"], batch["line"].to_numpy()))], ["k"])
+    bits = sets.bitmap(wanted.select("doc", "line").mapInArrow(number, "k long"), "k", wanted.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: set[bytes] = set()
         for batch in words.pieces(batches, 1024):
-            _, _, starts, values = _line_sets(batch["text"], levels)
-            if len(starts) == 1:
+            n_lines = pc.add(pc.count_substring(pc.fill_null(batch["text"], ""), "\n"), 1).to_numpy().astype(np.int64)
+            rows = np.repeat(np.arange(len(n_lines)), n_lines)
+            lines = np.arange(len(rows)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
+            hit = sets.in_bitmap(bits, _place_numbers(batch["doc"].take(pa.array(rows)), lines))
+            rows, lines = rows[hit], lines[hit]
+            if not len(rows):
                 continue
-            keys = _keys(starts, values)
-            hit = sets.in_bitmap(bits, _key_numbers(keys))
-            mine = [i for i in np.flatnonzero(hit).tolist() if keys[i] not in given]
-            if len(given) >= HELD_KEYS:
-                given.clear()
-            once = {keys[i]: i for i in mine}
-            given.update(once)
-            if once:
-                whole = [values[starts[i] : starts[i + 1]].view(np.int64) for i in once.values()]
-                yield pa.record_batch([pa.array(list(once), pa.binary()), pa.array(whole, pa.list_(pa.int64()))], ["key", "words"])
-    found = docs.select("text").mapInArrow(run, "key binary, words array<bigint>").join(wanted, "key")
-    return found.groupBy("id").agg(F.first("words").alias("words"))
-
-
-def _near(x: str, y: str) -> Column:
+            cut: dict[int, list[str]] = {}
+            own = []
+            for row, line in zip(rows.tolist(), lines.tolist()):
+                if row not in cut:
+                    cut = {row: (batch["text"][row].as_py() or "").split("\n")}
+                own.append(cut[row][line])
+            at, _, starts, values = _line_sets(pa.array(own, pa.large_string()), levels)
+            whole = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))
+            yield pa.record_batch([batch["doc"].take(pa.array(rows[at])), pa.array(lines[at], pa.int32()), whole], ["doc", "line", "words"])
+    found = docs.select(document_key().alias("doc"), "text").mapInArrow(run, "doc struct<known: boolean, id: bigint, h: bigint>, line int, words array<bigint>")
+    # rows of the table may be repeated
+    return found.join(wanted, ["doc", "line"]).select("id", "words").dropDuplicates(["id"])
+
+
+def _near(x: Column, y: Column) -> Column:
     """Length, positional and signature filter of x and y that share the token at their places p."""
-    nx, ny, px, py = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.p"), F.col(f"{y}.p")
-    most = F.least(px, py) + F.least(nx - px, ny - py)
-    apart = F.bit_count(F.col(f"{x}.signature").bitwiseXOR(F.col(f"{y}.signature")))
-    return ((100 * nx >= PERCENT * ny) & (100 * ny >= PERCENT * nx) & ((100 + PERCENT) * most >= PERCENT * (nx + ny))
-            & ((100 + PERCENT) * apart <= (100 - PERCENT) * (nx + ny)))
+    most = F.least(x.p, y.p) + F.least(x.n - x.p, y.n - y.p)
+    apart = F.bit_count(x.s1.bitwiseXOR(y.s1)) + F.bit_count(x.s2.bitwiseXOR(y.s2))
+    return ((100 * x.n >= PERCENT * y.n) & (100 * y.n >= PERCENT * x.n) & ((100 + PERCENT) * most >= PERCENT * (x.n + y.n))
+            & ((100 + PERCENT) * apart <= (100 - PERCENT) * (x.n + y.n)))
 
 
 def _verified(pairs: DataFrame, whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -220,21 +312,37 @@ def _verified(pairs: DataFrame, whole: Callable[[DataFrame], DataFrame]) -> Data
     return found
 
 
+#: Earliest holders of a token that every other holder is compared with.
+HEADS = 8
+
+
+def _met(distinct: DataFrame) -> DataFrame:
+    """What the holders of a token find when they meet its earliest holders: token, y (the holder), first (the number of the earliest
+    holder, where it is near), others (numbers of the next ones that are near), late (whether there are two or more holders beyond those, and y is one).
+    Holders that find nothing are left out. One shuffle by token; heads stand in a column, so no row is made for a pair that is not near."""
+    held = (distinct.select("id", "n", "s1", "s2", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
+            .select(F.col("t.tokens").alias("token"), F.struct("id", "n", F.col("t.places").alias("p"), "s1", "s2").alias("y")))
+    order = Window.partitionBy("token").orderBy("y.id")
+    group = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    held = held.withColumn("rank", F.row_number().over(order)).withColumns({
+        "c": F.count("*").over(group), "heads": F.collect_list(F.when(F.col("rank") <= HEADS, F.col("y"))).over(group)}).where("rank > 1")
+    y = F.col("y")
+    found = held.select("token", "y", F.when(_near(F.col("heads")[0], y), F.col("heads")[0]["id"]).alias("first"),
+                        F.transform(F.filter(F.slice("heads", 2, HEADS - 1), lambda x: (x.id < y.id) & _near(x, y)), lambda x: x.id).alias("others"),
+                        ((F.col("c") > HEADS + 1) & (F.col("rank") > HEADS)).alias("late"))
+    return found.where(F.col("first").isNotNull() | (F.size("others") > 0) | F.col("late"))
+
+
 def _removed_sets(distinct: DataFrame, whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Numbers of the open sets (id, n, signature, tokens, places) that an earlier one is similar to."""
-    me = F.struct("id", "n", "p", "signature")
-    held = (distinct.select("id", "n", "signature", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
-            .select("id", "n", "signature", F.col("t.tokens").alias("token"), F.col("t.places").alias("p")))
-    heads = stored(held.groupBy("token").agg(F.min(me).alias("x"), F.count("*").alias("c")).where("c > 1"), "heads")
-    met = stored(held.join(heads, "token").select("token", me.alias("y"), "x", "c").where("x.id <> y.id"), "met")
-    dropped(heads)
-    found = _verified(met.where(_near("x", "y")).select(F.col("x.id").alias("x"), F.col("y.id").alias("y")), whole)
-    # of two holders one is the head, which the other has met
-    many = met.where("c > 2").select("token", "y")
+    """Numbers of the open sets (id, n, s1, s2, tokens, places) that an earlier one is similar to."""
+    met = stored(_met(distinct), "met")
+    found = _verified(met.where("first is not null").select(F.col("first").alias("x"), F.col("y.id").alias("y")), whole)
     decided = found.select(F.col("y").alias("id")).distinct()
-    open_rows = many.select("token", "y", F.col("y.id").alias("id")).join(decided, "id", "left_anti").select("token", "y")
-    rest = open_rows.join(many.withColumnRenamed("y", "x"), "token").where("x.id < y.id").where(_near("x", "y"))
-    more = _verified(rest.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")), whole)
+    open_ = met.where("late or size(others) > 0").withColumn("id", F.col("y.id")).join(decided, "id", "left_anti")
+    heads = open_.select(F.explode("others").alias("x"), F.col("id").alias("y"))
+    late = met.where("late").select("token", F.col("y").alias("x"))
+    rest = open_.where("late").select("token", "y").join(late, "token").where("x.id < y.id").where(_near(F.col("x"), F.col("y")))
+    more = _verified(heads.unionByName(rest.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))), whole)
     return found.unionByName(more).select(F.col("y").alias("id")).distinct()
 
 
@@ -242,23 +350,15 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc, removed): the numbers of the lines to remove from each document that has any."""
     with scratch(docs.sparkSession):
         levels = sets.rarity(docs, lambda column: words.flat_words(column)[0])
-        lines = stored(_lines_of(docs, levels), "lines")
-        place = F.struct("doc", "line")
-        places = stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")), "places")
-        firsts = Firsts.of(places)
-        counts = stored(_count_tokens(docs, levels, firsts), "counts")
-        shared = sets.bitmap(counts, "token", counts.count())
-        dropped(counts)
-        open_ = stored(_open_sets(docs, levels, firsts, shared), "open-sets")
-        numbers = stored(places.join(open_.select("key"), "key").select("key", "first").orderBy("first").select(
-            "key", F.monotonically_increasing_id().alias("id")), "numbers")
-        distinct = stored(open_.join(numbers, "key").drop("key"), "line-sets")
+        firsts = Firsts.of(stored(_lines_of(docs, levels), "lines"))
+        judge = firsts.judge()
+        shared = shared_tokens(docs, levels, judge)
+        open_ = stored(_open_sets(docs, levels, judge, shared), "open-sets")
+        distinct = stored(_numbered(open_), "line-sets")
         dropped(open_)
-        whole = lambda ids: _whole_sets(docs, levels, numbers.join(ids, "id"))
-        gone = stored(_removed_sets(distinct, whole).join(numbers, "id").select("key", F.lit(True).alias("gone")), "gone")
-        later = places.join(gone, "key", "left").where("gone or first <> last").select("key", "first", "gone")
-        return stored(lines.select("doc", "line", "key").join(later, "key").where("gone or struct(doc, line) <> first")
-                .groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed", keep=True)
+        places = distinct.select("id", "doc", "line")
+        gone = _removed_sets(distinct, lambda ids: _whole_sets(docs, levels, places.join(ids, "id"))).join(places, "id").select("doc", "line")
+        return stored(firsts.later().unionByName(gone).groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed", keep=True)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -131,6 +131,24 @@ def test_lines_of_few_words_and_sets_of_all_sizes(spark):
     assert {x["doc"]["id"]: x["removed"] for x in got.collect()} == want
 
 
+def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies that differ from one base, which comes last, in five words of sixty: no two are similar, though they share most tokens.
+    More of them than a token has heads; rows stand in the table twice."""
+    ship_package(spark)
+    r = random.Random(5)
+    base, lines = [f"b{i}" for i in range(60)], []
+    for i in range(150):
+        own = r.sample(range(60), 3 if i % 10 == 9 else 5)
+        lines.append(" ".join(f"x{i}_{k}" if k in own else w for k, w in enumerate(base)))
+    rows = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(50)] + [(None, lines[0]), (60, " ".join(base))]
+    counts, verified = [], op2_line_dedup._verified
+    monkeypatch.setattr(op2_line_dedup, "_verified", lambda pairs, whole: counts.append(pairs.distinct().count()) or verified(pairs, whole))
+    got = op2_line_dedup.removed_lines(spark.createDataFrame(rows + rows[:20], "doc_id long, text string").repartition(4))
+    want = {d: sorted(x) for (d, _), x in brute.removed_lines(rows).items()}
+    assert {x["doc"]["id"] if x["doc"]["known"] else None: x["removed"] for x in got.collect()} == want
+    assert sum(counts) < 2_500  # of 11,325
+
+
 def test_words_do_not_depend_on_blocks_and_memory_not_on_texts(monkeypatch):
     texts = ["Ab c\n\nd" * 50, None, "", " x", "y" * 300, "é\n" * 40, "\n z "] * 3
     whole = [x.tolist() for x in words.flat_words(pa.array(texts))]
