@@ -12,12 +12,12 @@ neighbours in both sets, among the first 3 a + 2 b + 3 <= 3 n / 5 + 3 words. Suc
 lines often share a rare word, and in large tables two in a row, but hardly three. Sets too small for runs of three, and sets
 that may be similar to those, have runs of two among the first 2 a + b + 2 <= 2 n / 5 + 2 words. Sets of up to three words are similar to equal
 sets only and have no tokens. Runs that occur once go no further. Candidates must have sizes within t (length filter), enough words after the
-shared place (positional filter), and signatures near each other: every word flips one bit of 64, so signatures differ in no more
+shared place (positional filter), and signatures near each other: every word flips one bit of 128, so signatures differ in no more
 bits than sets differ in words. Words themselves are read from the texts again, for the sets of the pairs that are left.
 
-Each set is first compared with the earliest holder of each of its tokens, which is linear in the rows and decides
-almost all lines of a group of near copies; only sets that no such comparison decides meet the other holders. Pairs are
-verified on the whole sets.
+Each set is first compared with the earliest holder of each of its tokens, which decides almost all lines of a group of near copies; only
+sets that this does not decide meet the next HEADS - 1 holders, which is linear in the rows too, and then all others. Pairs are verified on
+the whole sets.
 
 Null and empty texts have no lines to remove. Documents are told apart by doc_id and text; repeated rows are one
 document and get the same result; null ids come first. Columns of the input named like those of the result are replaced.
@@ -170,7 +170,7 @@ class Judge:
 
 
 #: Tokens are exchanged by their first BLOCK_BITS bits, with the next 32; the bitmap of shared ones goes by their first SHARED_BITS bits.
-BLOCK_BITS, SHARED_BITS = 10, 26
+BLOCK_BITS, SHARED_BITS = 10, 27
 #: Tokens that a task holds before it sends them.
 HELD_TOKENS = 1 << 20
 
@@ -292,10 +292,12 @@ def _whole_sets(docs: DataFrame, levels: np.ndarray, wanted: DataFrame) -> DataF
 
 
 def _near(x: Column, y: Column) -> Column:
-    """Length, positional and signature filter of x and y that share the token at their places p."""
+    """Length, positional and signature filter of x and y that share the token at their places p; false as well where the tokens before it
+    (prev) are equal, so that a pair is met at the first token of a row of shared ones only. The first of all tokens that a pair shares, in the
+    order in which y lists them, is never left out."""
     most = F.least(x.p, y.p) + F.least(x.n - x.p, y.n - y.p)
     apart = F.bit_count(x.s1.bitwiseXOR(y.s1)) + F.bit_count(x.s2.bitwiseXOR(y.s2))
-    return ((100 * x.n >= PERCENT * y.n) & (100 * y.n >= PERCENT * x.n) & ((100 + PERCENT) * most >= PERCENT * (x.n + y.n))
+    return (~F.coalesce(x.prev == y.prev, F.lit(False)) & (100 * x.n >= PERCENT * y.n) & (100 * y.n >= PERCENT * x.n) & ((100 + PERCENT) * most >= PERCENT * (x.n + y.n))
             & ((100 + PERCENT) * apart <= (100 - PERCENT) * (x.n + y.n)))
 
 
@@ -320,8 +322,9 @@ def _met(distinct: DataFrame) -> DataFrame:
     """What the holders of a token find when they meet its earliest holders: token, y (the holder), first (the number of the earliest
     holder, where it is near), others (numbers of the next ones that are near), late (whether there are two or more holders beyond those, and y is one).
     Holders that find nothing are left out. One shuffle by token; heads stand in a column, so no row is made for a pair that is not near."""
-    held = (distinct.select("id", "n", "s1", "s2", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
-            .select(F.col("t.tokens").alias("token"), F.struct("id", "n", F.col("t.places").alias("p"), "s1", "s2").alias("y")))
+    before = F.concat(F.array(F.lit(None).cast("bigint")), F.slice("tokens", F.lit(1), F.size("tokens") - 1))
+    held = (distinct.select("id", "n", "s1", "s2", F.explode(F.arrays_zip("tokens", "places", before.alias("before"))).alias("t"))
+            .select(F.col("t.tokens").alias("token"), F.struct("id", "n", F.col("t.places").alias("p"), F.col("t.before").alias("prev"), "s1", "s2").alias("y")))
     order = Window.partitionBy("token").orderBy("y.id")
     group = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     held = held.withColumn("rank", F.row_number().over(order)).withColumns({

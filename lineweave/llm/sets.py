@@ -18,6 +18,8 @@ from lineweave.llm.shared import dropped, stored
 
 #: Bits of a token's hash that name its cell, and cells of a block of the sketch.
 CELL_BITS, BLOCK = 22, 1 << 14
+#: Tokens that a task collects before it adds them to its cells.
+HELD_CELLS = 1 << 20
 
 
 def rarity(docs: DataFrame, hashes: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
@@ -27,14 +29,17 @@ def rarity(docs: DataFrame, hashes: Callable[[pa.Array], np.ndarray]) -> np.ndar
     sums, which have one size whatever the input is. A cell is rare up to what chance puts into it when tokens are
     dealt evenly (the mean and four standard deviations)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, any_ = np.zeros(1 << CELL_BITS, np.uint32), False
+        cells, found, held, any_ = np.zeros(1 << CELL_BITS, np.int64), [], 0, False
         for batch in words.pieces(batches):
-            found = (hashes(batch["text"]) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-            any_ = any_ or len(found) > 0
-            cells += np.bincount(found, minlength=1 << CELL_BITS).astype(np.uint32) if len(found) > 1 << 18 else 0
-            if len(found) <= 1 << 18:
-                np.add.at(cells, found, 1)
-        if any_:
+            found.append((hashes(batch["text"]) >> np.uint64(64 - CELL_BITS)).astype(np.uint32))
+            held += len(found[-1])
+            if held >= HELD_CELLS:
+                cells += np.bincount(np.concatenate(found), minlength=1 << CELL_BITS)
+                any_, found, held = True, [], 0
+        if held:
+            cells += np.bincount(np.concatenate(found), minlength=1 << CELL_BITS)
+        if any_ or held:
+            cells = cells.astype(np.uint32)
             for b in range(0, 1 << CELL_BITS, BLOCK):
                 yield pa.record_batch([pa.array([b // BLOCK], pa.int32()), pa.array([cells[b : b + BLOCK].tobytes()], pa.binary())], ["block", "cells"])
 

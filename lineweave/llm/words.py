@@ -58,7 +58,7 @@ _LOWER[65:91] += 32
 
 
 #: Bytes of text that are hashed at once; a longer word is one block.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 
 def _blocks(word: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -106,7 +106,10 @@ def flat_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def distinct_in_groups(values: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different values of each group in order; groups are numbers under 2 ** 24 in rising order."""
-    order = np.lexsort((values, groups))
+    order = np.argsort(values)
+    own = groups[order]
+    # a stable sort of 16-bit numbers is a radix sort
+    order = order[np.argsort(own.astype(np.uint16) if len(groups) and groups[-1] < 1 << 16 else own, kind="stable")]
     values, groups = values[order], groups[order]
     new = np.concatenate([[True], (values[1:] != values[:-1]) | (groups[1:] != groups[:-1])]) if len(values) else np.zeros(0, bool)
     return values[new], groups[new]
